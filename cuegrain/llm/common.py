@@ -59,6 +59,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def held_out(mod: int) -> Column:
+    """Rows from which nothing is learned; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == 0
+
+
 # ---------------------------------------------------------------- skew
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 CHUNK, HOP = 512, 448
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 12, 4, 48, 16
 #: The classifier is fitted on at most this many labelled rows of each class, and on at most this many chunks of each.
@@ -126,11 +128,6 @@ class Net:
                     w[k] = (w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def held_out(mod: int):
-    """Rows from which nothing is learned; a null doc_id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == 0
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Net:
     """Learn from ``rows`` labelled documents of each class, those with the smallest hashes of doc_id.
 
