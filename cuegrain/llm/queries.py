@@ -1,14 +1,18 @@
 """Queries of the training-data operators and the SQL that expresses them, where SQL can."""
 
-from . import context_mixing, exact_dedup, quality_cnn, quality_rules, sentencepiece_fst, simhash
+from . import context_mixing, exact_dedup, fm_dedup, quality_cnn, quality_rules, sentencepiece_fst, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_substring_dedup": fm_dedup.op5_substring_dedup,
     "op7_sentencepiece": sentencepiece_fst.op7_sentencepiece,
     "op8_simhash": simhash.op8_simhash,
     "op9_lm_score": context_mixing.op9_lm_score,
     "op10_quality_cnn": quality_cnn.op10_quality_cnn,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_substring_dedup": fm_dedup.ORACLE,
+}
