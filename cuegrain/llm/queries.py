@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL that expresses them, where SQL can."""
 
-from . import context_mixing, exact_dedup, fm_dedup, quality_cnn, quality_rules, sentencepiece_fst, simhash
+from . import context_mixing, exact_dedup, fm_dedup, quality_cnn, quality_rules, sentencepiece_fst, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_substring_dedup": fm_dedup.op5_substring_dedup,
+    "op6_warc_index": warc.op6_warc_index,
     "op7_sentencepiece": sentencepiece_fst.op7_sentencepiece,
     "op8_simhash": simhash.op8_simhash,
     "op9_lm_score": context_mixing.op9_lm_score,
