@@ -1,10 +1,12 @@
 """Queries of the training-data operators and the SQL that expresses them, where SQL can."""
 
-from . import context_mixing, exact_dedup, fm_dedup, quality_cnn, quality_rules, sentencepiece_fst, simhash, warc
+from . import context_mixing, exact_dedup, fm_dedup, line_dedup, mixing, quality_cnn, quality_rules, sentencepiece_fst, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_substring_dedup": fm_dedup.op5_substring_dedup,
     "op6_warc_index": warc.op6_warc_index,
     "op7_sentencepiece": sentencepiece_fst.op7_sentencepiece,
@@ -15,5 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_mix_sources": mixing.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
     "op5_substring_dedup": fm_dedup.ORACLE,
 }
