@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Words and pairs that a worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 400_000
 MARK = "▁"
 #: Model types in a model file's trainer settings.
 UNIGRAM, BPE = 1, 2
@@ -259,36 +261,48 @@ def _broadcast(spark, model: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def with_ids(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with an array of piece identifiers. Null texts give null, empty ones an empty array.
+def transduce(docs: DataFrame, model: str | None = None, decode: bool = False, rows: int = 256) -> DataFrame:
+    """docs (column text) with ids, an array of piece identifiers, and with ``decode`` the text that they stand for, as decoded.
 
-    Bytes that are not UTF-8 are read as U+FFFD. Other columns and repeated rows stay as they are.
+    Null texts give null, empty ones an empty array. Bytes that are not UTF-8 are read as U+FFFD.
+    Columns of docs by these names are replaced; all others and repeated rows stay as they are.
+    Results leave a task ``rows`` at a time, so that its memory doesn't grow with a batch.
     """
     held = _broadcast(docs.sparkSession, model)
+    docs = docs.drop("ids", *["decoded"] * decode)
+    names = [*docs.columns, "ids", *["decoded"] * decode]
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _machine(held.value)
-        return pd.Series([None if t is None else m.encode(t.decode("utf-8", "replace")) for t in texts], dtype=object)
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                ids = [None if t is None else m.encode(t.decode("utf-8", "replace")) for t in texts]
+                out = [pa.array(ids, pa.list_(pa.int32()))]
+                if decode:
+                    out.append(pa.array([None if x is None else m.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names)
 
-    return docs.withColumn(out_col, encode.asNondeterministic()(F.col(text_col).cast("binary")))
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * decode])
+    return docs.mapInArrow(run, schema)
 
 
-def with_text(df: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+def decode(df: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with the text that the identifiers stand for; null for null."""
     held = _broadcast(df.sparkSession, model)
 
     @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
+    def text(ids: pd.Series) -> pd.Series:
         m = _machine(held.value)
         return pd.Series([None if x is None else m.decode(x) for x in ids], dtype=object)
 
-    return df.withColumn(out_col, decode.asNondeterministic()(F.col(ids_col)).cast("string"))
+    return df.withColumn(out_col, text(F.col(ids_col)).cast("string"))
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_hash (XXH64 over the identifiers, seed 42), round_trip: what encoding and decoding gave."""
-    out = with_text(with_ids(docs.select("doc_id", "text"), model), model, out_col="decoded")
+    out = transduce(docs.select("doc_id", "text"), model, decode=True)
     return out.select("doc_id", F.coalesce(F.size("ids").cast("long"), F.lit(0)).alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
