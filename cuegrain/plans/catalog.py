@@ -1,6 +1,8 @@
-"""Registered queries of the timeline, subtitle and text operators, each with its SQL."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relations, scalars, timeline  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
