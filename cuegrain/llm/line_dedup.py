@@ -51,7 +51,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    each = _chunks(base, ["id", "row"]).select("id", "row", F.explode("chunks").alias("c")).select("id", "row", "c.k", "c.text", "c.worded").where(F.col("worded") >= MIN_LINES)
+    # The outer form keeps the optimizer from testing the size of the array below all the columns that it is made from.
+    each = _chunks(base, ["id", "row"]).select("id", "row", F.explode_outer("chunks").alias("c")).select("id", "row", "c.k", "c.text", "c.worded").where(F.col("worded") >= MIN_LINES)
     each = each.withColumn("digest", F.md5("text"))
     counts = scratch.save(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
     total = counts.agg(F.sum("n")).first()[0] or 0
