@@ -2,8 +2,8 @@
 
 Windows of words that occur twice share the least hash of their word groups (their anchor), so
 equal windows meet if stretches of text go to the shard of their anchor. A first pass counts
-anchors; only stretches around repeated ones are read again. Equal stretches are met by a
-grouping, and what is left, one row a distinct stretch, is indexed in its shard: suffix order,
+anchors; only stretches around repeated ones are read again. Of equal stretches a task sends
+just the earliest on. In its shard each distinct stretch is indexed: suffix order,
 Burrows-Wheeler transform and a wavelet matrix of packed bits with sampled counts. The stretches
 are streamed through backward search; the matching statistics at each place are followed up to
 the length of a window, and windows whose interval holds an earlier place are reported.
@@ -11,11 +11,13 @@ the length of a window, and windows whose interval holds an earlier place are re
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ STRETCH = 64
 #: Bytes of the map of repeated anchors that may be broadcast; beyond, stretches are joined with them.
 FILTER_BYTES = 1 << 25
 SHARD_WORDS = 1_000_000
+#: Stretches that a task remembers, to send equal ones once.
+SEEN_STRETCHES = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -91,9 +95,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(held):
+    """Stretches with words; and without, of n words, those that are equal to an earlier one that this task has seen."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest: dict[bytes, tuple] = {}
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
+            ids, rows = b.column("id").to_pylist(), b.column("row").to_pylist()
             for lo, hi in chunks(texts):
                 got = stretches(texts[lo:hi])
                 if not len(got[0]):
@@ -102,12 +110,22 @@ def _cut(held):
                     ok = in_filter(held.value, got[3])
                     got = [x[ok] for x in got]
                 out, last, words = [], -1, []
-                for d, first, n in zip(*(x.tolist() for x in got[:3]), strict=True):
+                for d, first, n, h in zip(*(x.tolist() for x in got[:4]), strict=True):
                     if d != last:
                         last, words = d, texts[lo + d].split()
-                    out.append(b" ".join(words[first : first + n + WINDOW - 1]))
-                at = pa.array(got[0] + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(got[3]), b.column("id").take(at), b.column("row").take(at), pa.array(got[1]), pa.array(out, pa.binary())], ["h", "id", "row", "first", "words"])
+                    own = b" ".join(words[first : first + n + WINDOW - 1])
+                    place, key = (ids[lo + d], rows[lo + d], first), xxhash.xxh3_128_digest(own)
+                    before = earliest.get(key)
+                    if before is None or place < before:
+                        earliest[key] = place
+                        out.append((h, *place, n + WINDOW - 1, own))
+                    else:
+                        out.append((h, *place, n + WINDOW - 1, None if place > before else own))
+                if len(earliest) > SEEN_STRETCHES:
+                    earliest.clear()
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "id", "row", "first", "n", "words"])
 
     return run
 
@@ -115,12 +133,11 @@ def _cut(held):
 def first_and_later(seen: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Of equal stretches, the earliest (h, words, id, row, first); and (id, row, first, n) of all others, which go whole."""
     place = F.struct("id", "row", "first")
-    firsts = scratch.save(seen.groupBy("words").agg(F.min(place).alias("at"), F.first("h").alias("h"), F.count(F.lit(1)).alias("n")), name)
+    firsts = scratch.save(seen.groupBy("words").agg(F.min(place).alias("at"), F.first("h").alias("h"), F.first("n").alias("size"), F.count(F.lit(1)).alias("n")), name)
     total = firsts.agg(F.sum("n")).first()[0] or 0
     copies = firsts.where("n > 1").select("words", "at", "n")
-    later = salted_join(seen.drop("h"), copies, "words", "n", total, F.struct("id", "row", "first")).where(place != F.col("at"))
-    later = later.select("id", "row", "first", (F.length(F.regexp_replace(F.col("words").cast("string"), "[^ ]+", "")) + 1).cast("long").alias("n"))
-    return firsts.select("h", "words", "at.*"), later
+    later = salted_join(seen.select("id", "row", "first", F.col("n").alias("size"), "words"), copies, "words", "n", total, F.struct("id", "row", "first")).where(place != F.col("at"))
+    return firsts.select("h", "at.*", F.col("size").alias("n"), "words"), later.select("id", "row", "first", F.col("size").alias("n"))
 
 
 # ---------------------------------------------------------------- the index
@@ -204,19 +221,34 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     t = pa.concat_tables(held)
+    id_, row, first, n = (t.column(c).to_numpy() for c in ("id", "row", "first", "n"))
+    order = np.lexsort((first, row, id_))
+    seen: dict[bytes, tuple] = {}
+    later, firsts = [], []
+    texts = t.column("words").to_pylist()
+    for i in order.tolist():
+        place = (id_[i], row[i], first[i])
+        known = seen.setdefault(texts[i], place)
+        if known is place:
+            firsts.append(i)
+        elif known != place:  # else: the same row, twice in the table
+            later.append(i)
+    del seen
+    if later:
+        yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (id_, row, first, n)], ["id", "row", "first", "n"])
+    id_, row, first = id_[firsts], row[firsts], first[firsts]
     number: dict[bytes, int] = {}
     ids, lens = [], []
-    for words in t.column("words"):
-        own = words.as_py().split(b" ")
+    for i in firsts:
+        own = texts[i].split(b" ")
         ids.extend([number.setdefault(w, len(number) + 1) for w in own])
         ids.append(0)
         lens.append(len(own))
     symbols, lens = np.array(ids, np.int64), np.array(lens)
-    del ids
+    del ids, texts, t, held
     head = np.cumsum(lens + 1) - lens - 1
     index = FmIndex(symbols)
     # The order of places: documents by (id, row), then words.
-    id_, row, first = (t.column(c).to_numpy() for c in ("id", "row", "first"))
     by = np.lexsort((row, id_))
     new = np.r_[0, (np.diff(id_[by]) != 0) | (np.diff(row[by]) != 0)]
     rank = np.empty(len(by), np.int64)
@@ -262,49 +294,67 @@ def substring_dedup(docs: DataFrame, filter_bytes: int = FILTER_BYTES, hot: int
     counted = base.select("text").mapInArrow(_count, "h bigint, n int").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = scratch.save(counted.where("n > 1").select("h"), "anchors")
     held = bit_filter(repeated, repeated.count(), filter_bytes)
-    cut = base.mapInArrow(_cut(held), "h bigint, id bigint, row bigint, first bigint, words binary")
+    cut = base.mapInArrow(_cut(held), "h bigint, id bigint, row bigint, first bigint, n bigint, words binary")
     if held is None:
         cut = cut.join(repeated, "h", "left_semi")
-    cut = scratch.save(cut, "stretches")
-    firsts, gone = first_and_later(cut, scratch, "distinct")
-
-    total, words = firsts.agg(F.count(F.lit(1)), F.sum(F.length("words")) / 6).first()
-    sizes = firsts.groupBy("h").count()
-    limit = hot or max(2000, (total or 0) // 2000)
-    wide = sizes.where(F.col("count") > limit).select("h")  # at most 2,000 rows
-    marked = firsts.join(F.broadcast(wide.withColumn("wide", F.lit(True))), "h", "left")
-    own = F.split(F.col("words").cast("string"), " ")
-    each = marked.where("wide").select("id", "row", "first", own.alias("w")).select("id", "row", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("k"))
-    each = each.select("id", "row", (F.col("first") + F.col("k")).alias("first"), F.array_join(F.slice("w", F.col("k") + 1, WINDOW), " ").cast("binary").alias("words"))
-    each = scratch.save(each.select(F.xxhash64("words").alias("h"), "id", "row", "first", "words"), "windows")
-    single, gone_single = first_and_later(each, scratch, "distinct-windows")
-
-    shards = max(partitions(spark), int((words or 0) // SHARD_WORDS))
-    columns = ["h", "words", "id", "row", "first"]
-    indexed = marked.where("wide IS NULL").select(*columns).unionByName(single.select(*columns)).repartition(shards, "h")
-    found = indexed.mapInArrow(_search, "id bigint, row bigint, first bigint, n bigint")
-    gone = scratch.save(gone.unionByName(gone_single).unionByName(found), "removed")
-
+    cut = scratch.save(cut, "stretches", compression="zstd")
+    later = cut.where("words IS NULL").select("id", "row", "first", "n")
+    seen = cut.where("words IS NOT NULL")
+
+    total, size = seen.agg(F.count(F.lit(1)), F.sum("n")).first()
+    limit = hot or max(20_000, (total or 0) // 2000)
+    wide = seen.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("wide"))  # at most 2,000 rows
+    wide = scratch.save(wide, "wide")
+    gone, indexed = [later], seen
+    if not wide.isEmpty():
+        seen = seen.join(F.broadcast(wide), "h", "left")
+        own = F.split(F.col("words").cast("string"), " ")
+        each = seen.where("wide").select("id", "row", "first", own.alias("w")).select("id", "row", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("k"))
+        each = each.select("id", "row", (F.col("first") + F.col("k")).alias("first"), F.array_join(F.slice("w", F.col("k") + 1, WINDOW), " ").cast("binary").alias("words"))
+        each = scratch.save(each.select(F.xxhash64("words").alias("h"), "id", "row", "first", F.lit(WINDOW).cast("long").alias("n"), "words"), "windows", compression="zstd")
+        single, gone_single = first_and_later(each, scratch, "distinct-windows")
+        gone.append(gone_single)
+        indexed = seen.where("wide IS NULL").drop("wide").unionByName(single)
+
+    shards = max(partitions(spark), int((size or 0) // SHARD_WORDS))
+    gone.append(indexed.repartition(shards, "h").mapInArrow(_search, "id bigint, row bigint, first bigint, n bigint"))
+    gone = scratch.save(reduce(DataFrame.unionByName, gone), "removed", compression="zstd")
+    scratch.drop(cut)
+
+    # Texts from which words go meet their spans by a join; the others, where a bit map tells them apart, don't move.
     spans = gone.groupBy("id", "row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    docs_ = docs.select("doc_id", F.col("text").alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    joined = docs_.join(spans.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", text.alias("text"), "spans")
+    spans = scratch.save(spans, "spans", compression="zstd")
+    key = F.xxhash64("id", "row")
+    some = bit_filter(spans.select(key.alias("h")), spans.count(), filter_bytes)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("t", F.lit(""))).alias("row"), F.col("t").cast("binary").alias("text"))
+    none = F.lit(None).cast("array<struct<first: bigint, n: bigint>>").alias("spans")
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part, out = b.slice(lo, 500), []
-                for t, spans in zip(part.column("text"), part.column("spans"), strict=True):
-                    own, spans = (t.as_py() or b"").split(), spans.as_py()
-                    keep = np.ones(len(own), bool)
-                    for s in spans or ():
-                        keep[s["first"] : s["first"] + s["n"]] = False
-                    kept = [own[i] for i in np.flatnonzero(keep).tolist()] if spans else own
-                    out.append((len(own), len(own) - len(kept), b" ".join(kept)))
-                n, gone, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    joined = joined.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return joined.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    @F.pandas_udf("boolean")
+    def touched(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(some.value, h.to_numpy()))
+
+    moved = named if some is None else named.where(touched(key))
+    moved = moved.join(spans.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, KEPT)
+    out = moved if some is None else moved.unionByName(named.where(~touched(key)).select("doc_id", "text", none).mapInArrow(_remove, KEPT))
+    return out.withColumn("kept_text", F.col("kept_text").cast("string"))
+
+
+KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text binary"
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            part, out = b.slice(lo, 500), []
+            for t, spans in zip(part.column("text"), part.column("spans"), strict=True):
+                own, spans = (t.as_py() or b"").split(), spans.as_py()
+                keep = np.ones(len(own), bool)
+                for s in spans or ():
+                    keep[s["first"] : s["first"] + s["n"]] = False
+                kept = [own[i] for i in np.flatnonzero(keep).tolist()] if spans else own
+                out.append((len(own), len(own) - len(kept), b" ".join(kept)))
+            n, gone, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
