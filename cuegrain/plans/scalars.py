@@ -265,3 +265,12 @@ def white_list(t):
 @query("update_eligible", "SELECT o_orderkey FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey > 100 AND o_orderstatus = 'O'")
 def update_eligible(t):
     return t("orders").where((F.col("o_custkey") % 3 > 0) & (F.col("o_orderkey") > 100) & (F.col("o_orderstatus") == "O")).select("o_orderkey")
+
+
+@query("charset_udf")
+def charset_udf(t):
+    """Texts in the old encoding of their language, and what the detector says of them (no SQL: a detector of encodings)."""
+    from ..functions.charset import detect_charset
+
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    return t("documents").select("doc_id", detect_charset(raw).alias("d")).select("doc_id", "d.charset", F.round("d.confidence", 6).alias("confidence"))
