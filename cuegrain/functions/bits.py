@@ -266,6 +266,103 @@ def subpicture_times(packet: bytes | None) -> dict | None:
     return {"start": start, "end": end, "forced": forced}
 
 
+def configuration_units(avcc: bytes | None) -> list[bytes] | None:
+    """Parameter sets inside an avcC record."""
+    if not avcc or len(avcc) < 7 or avcc[0] != 1:
+        return None
+    out, at = [], 5
+    for mask in (31, 255):
+        n = avcc[at] & mask
+        at += 1
+        for _ in range(n):
+            size = struct.unpack(">H", avcc[at : at + 2])[0]
+            out.append(avcc[at + 2 : at + 2 + size])
+            at += 2 + size
+        if at >= len(avcc):
+            break
+    return out
+
+
+def mpeg_picture_kind(data: bytes | None) -> str | None:
+    """I, P or B from the first MPEG-1 or MPEG-2 picture header."""
+    at = (data or b"").find(b"\0\0\1\0")
+    if data is None or at < 0 or at + 5 >= len(data):
+        return None
+    return {1: "I", 2: "P", 3: "B"}.get(data[at + 5] >> 3 & 7)
+
+
+def unframe_subpicture(framed: bytes | None, stream: int | None = None) -> bytes | None:
+    """The subpicture inside program-stream packets, up to its own declared size; of one substream, or of any."""
+    if not framed:
+        return None
+    out, at = b"", 0
+    while at + 6 <= len(framed) and framed[at : at + 3] == b"\0\0\1":
+        kind = framed[at + 3]
+        if kind == 0xBA:
+            at += 14 + (framed[at + 13] & 7)
+            continue
+        size = struct.unpack(">H", framed[at + 4 : at + 6])[0]
+        if kind == 0xBD:
+            head = at + 9 + framed[at + 8]
+            if stream is None or framed[head] & 31 == stream:
+                out += framed[head + 1 : at + 6 + size]
+            if len(out) >= 2 and len(out) >= struct.unpack(">H", out[:2])[0]:
+                break
+        elif kind not in (0xBE, 0xBF):
+            break
+        at += 6 + size
+    return out[: struct.unpack(">H", out[:2])[0]] if len(out) >= 2 else None
+
+
+def subpicture_colours(packet: bytes | None, palette: list[int] | None) -> list[int] | None:
+    """Four ARGB colours of a subpicture from its first control sequence; None unless colours and contrast are both there."""
+    if not packet or not palette or len(packet) < 4:
+        return None
+    at = struct.unpack(">H", packet[2:4])[0] + 4
+    colours = contrast = None
+    while at < len(packet) and packet[at] != 255:
+        c = packet[at]
+        if c == 3:
+            colours = [packet[at + 2] & 15, packet[at + 2] >> 4, packet[at + 1] & 15, packet[at + 1] >> 4]
+        elif c == 4:
+            contrast = [packet[at + 2] & 15, packet[at + 2] >> 4, packet[at + 1] & 15, packet[at + 1] >> 4]
+        at += {0: 1, 1: 1, 2: 1, 3: 3, 4: 3, 5: 7, 6: 5}.get(c, len(packet))
+    if colours is None or contrast is None:
+        return None
+    return [a * 17 << 24 | palette[c] & 0xFFFFFF for c, a in zip(colours, contrast, strict=True)]
+
+
+def bitmap_header(width: int, height: int, bits_: int, code: bytes, extra: bytes = b"", as_width: bool = False) -> bytes:
+    """A BITMAPINFOHEADER; ``as_width`` writes the width in the place of the height, as an old writer did."""
+    return struct.pack("<IiiHH4sIiiII", 40 + len(extra), width, width if as_width else height, 1, bits_, code, width * height * bits_ // 8, 0, 0, 0, 0) + extra
+
+
+def atom(kind: bytes, payload: bytes) -> bytes:
+    return struct.pack(">I4s", 8 + len(payload), kind) + payload
+
+
+def wave_cookie(format_: bytes, tag: int, channels: int, rate: int, byte_rate: int, align: int, bits_: int, extra: bytes = b"") -> bytes:
+    """The atoms of a sound description: format, the little-endian wave header under the same name, and an end."""
+    header = struct.pack("<HHIIHHH", tag, channels, rate, byte_rate, align, bits_, len(extra)) + extra
+    return atom(b"frma", format_) + atom(format_, header) + atom(b"\0\0\0\0", b"")
+
+
+#: Burst types of DTS frames by their number of samples (IEC 61937).
+DTS_TYPES = {512: 11, 1024: 12, 2048: 13}
+
+
+def dts_burst(frame: bytes | None) -> bytes | None:
+    """A DTS core frame as a burst of 16-bit words for a digital output, padded to its samples; None for other sizes."""
+    if not frame or len(frame) < 8 or frame[:4] != b"\x7f\xfe\x80\x01":
+        return None
+    samples = (((frame[4] & 1) << 6 | frame[5] >> 2) + 1) * 32
+    if samples not in DTS_TYPES or len(frame) + 8 > samples * 4:
+        return None
+    body = frame + b"\0" * (len(frame) & 1)
+    words = np.frombuffer(body, ">u2").astype("<u2").tobytes()
+    return (struct.pack("<HHHH", 0xF872, 0x4E1F, DTS_TYPES[samples], len(frame) * 8) + words).ljust(samples * 4, b"\0")
+
+
 # ---------------------------------------------------------------- pixels
 
 
@@ -330,6 +427,10 @@ PARSERS: dict[str, tuple[Callable, str]] = {
     "parse_flac": (flac_blocks, "array<struct<kind:int,size:int,last:boolean>>"),
     "parse_atoms": (atoms, "array<struct<type:string,payload:binary>>"),
     "inflate": (inflate, "binary"),
+    "split_avcc": (configuration_units, "array<binary>"),
+    "mpeg_picture_kind": (mpeg_picture_kind, "string"),
+    "unframe_subpicture": (unframe_subpicture, "binary"),
+    "dts_burst": (dts_burst, "binary"),
     "subpicture_times": (subpicture_times, "start int, end int, forced boolean"),
 }
 

@@ -116,6 +116,25 @@ def test_headers():
     assert bits.subpicture_times(packet) == {"start": 0, "end": 1024, "forced": True}
 
 
+def test_more_headers():
+    record = b"\x01\x4d\x00\x1e\xff\xe1" + struct.pack(">H", 3) + b"sps" + b"\x01" + struct.pack(">H", 2) + b"pp"
+    assert bits.configuration_units(record) == [b"sps", b"pp"]
+    assert bits.mpeg_picture_kind(b"..\0\0\1\0\0" + bytes([2 << 3])) == "P"
+    spu = struct.pack(">HH", 12, 4) + b"abcdefgh"
+    pes = lambda body: b"\0\0\1\xbd" + struct.pack(">H", 3 + 1 + len(body)) + b"\x81\0\0" + b"\x20" + body
+    framed = b"\0\0\1\xba" + b"\0" * 9 + b"\xf8" + pes(spu[:5]) + b"\0\0\1\xbe\0\2xx" + pes(spu[5:] + b"junk")
+    assert bits.unframe_subpicture(framed) == spu == bits.unframe_subpicture(framed, 0)
+    control = struct.pack(">HHHH", 20, 4, 0, 4) + b"\x03\x32\x10\x04\xff\x0f\xff"
+    assert bits.subpicture_colours(control, list(range(16))) == [0xFF000000, 1, 0xFF000002, 0xFF000003]
+    assert bits.subpicture_colours(control[:11] + b"\xff", list(range(16))) is None
+    assert struct.unpack("<Iii", bits.bitmap_header(4, 3, 24, b"XVID")[:12]) == (40, 4, 3)
+    assert struct.unpack("<Iii", bits.bitmap_header(4, 3, 24, b"XVID", as_width=True)[:12]) == (40, 4, 4)
+    assert [a["type"] for a in bits.atoms(bits.wave_cookie(b"ms\0U", 85, 2, 48000, 16000, 1, 0))][:2] == ["frma", "ms\0U"]
+    dts = b"\x7f\xfe\x80\x01" + bytes([0xFC, 15 << 2]) + b"\0" * 90
+    burst = bits.dts_burst(dts)
+    assert len(burst) == 2048 and burst[:8] == struct.pack("<HHHH", 0xF872, 0x4E1F, 11, 96 * 8)
+
+
 def test_pixels():
     rnd = np.random.default_rng(1)
     y, u, v, a = (rnd.integers(0, 256, s, dtype=np.uint8) for s in ((5, 6), (3, 3), (3, 3), (5, 6)))
