@@ -10,7 +10,9 @@ score is taken, the earlier one among equals. The whole text is read, whatever i
 from __future__ import annotations
 
 import codecs
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,7 +39,8 @@ FREQUENT = {"windows-1252": "éèêàâçùûîïôëäöüßñóíáúåæøœ"
 MARKS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 #: Escape sequences of stateful encodings.
 ESCAPES = ((b"\x1b$B", "iso2022_jp"), (b"\x1b$@", "iso2022_jp"), (b"\x1b$)C", "iso2022_kr"), (b"~{", "hz"))
-FLOOR = 0.2
+WIDE = ("shift_jis", "euc_jp", "euc_kr", "gb18030", "big5")
+HIGH_WORDS = re.compile(rb"[A-Za-z]*[\x80-\xff][A-Za-z\x80-\xff]*").findall
 
 
 def utf8_share(data: bytes) -> float:
@@ -63,9 +66,9 @@ def _script(c: str) -> str:
     return got
 
 
-def _plausible(text: str, scripts: tuple[str, ...], frequent: str = "") -> float:
-    """From 0 to 1: how much what is beyond ASCII looks like words of these scripts."""
-    total = good = bad = 0
+def _judge(text: str, scripts: tuple[str, ...], frequent: str) -> tuple[float, float, float, int]:
+    """(characters beyond ASCII, those that fit, those that don't, hiragana)."""
+    total = good = bad = 0.0
     before, small = "", False
     kana = 0
     for c in text:
@@ -94,6 +97,15 @@ def _plausible(text: str, scripts: tuple[str, ...], frequent: str = "") -> float
         if s and before and s != before and "CJK" not in (s, before) and {s, before} != {"HIRAGANA", "KATAKANA"}:
             bad += 1
         before, small = s, c.islower()
+    return total, good, bad, kana
+
+
+def _plausible(parts: dict[str, int], scripts: tuple[str, ...], frequent: str = "") -> float:
+    """From 0 to 1: how much what is beyond ASCII looks like words of these scripts; parts of a text with how often they occur."""
+    total = good = bad = kana = 0.0
+    for text, n in parts.items():
+        got = _judge(text, scripts, frequent)
+        total, good, bad, kana = total + n * got[0], good + n * got[1], bad + n * got[2], kana + n * got[3]
     if not total:
         return 0.0
     if "HIRAGANA" in scripts and kana * 20 < good:
@@ -143,12 +155,16 @@ def detect(data: bytes | None) -> tuple[str | None, float]:
     if share >= 0.5:
         return "utf-8", share
     best, name = share, "utf-8" if share else None
+    words = Counter(HIGH_WORDS(data))
     for candidate, scripts in CANDIDATES:
         try:
-            text = data.decode(candidate)
+            if candidate in WIDE:
+                parts = Counter([data.decode(candidate)])
+            else:  # a byte a character: only words with a high byte tell anything
+                parts = {w.decode(candidate): n for w, n in words.items()}
         except UnicodeDecodeError:
             continue
-        conf = 0.95 * _plausible(text, scripts, FREQUENT.get(candidate, "")) * _common(data, candidate)
+        conf = 0.95 * _plausible(parts, scripts, FREQUENT.get(candidate, "")) * _common(data, candidate)
         if conf > best:
             best, name = conf, candidate
     return (name, best) if name else ("windows-1252", 0.01)
