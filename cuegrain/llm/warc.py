@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, salted_join
 
-#: Bytes of one archive, captures of one block, and bytes of ranges that one read joins.
-ARCHIVE_BYTES, BLOCK_ROWS, READ_BYTES = 64 << 20, 256, 4 << 20
+#: Bytes of one archive, captures of one block, bytes of ranges that one read joins, and of what one task reads.
+ARCHIVE_BYTES, BLOCK_ROWS, READ_BYTES, TASK_BYTES = 64 << 20, 256, 4 << 20, 32 << 20
 #: Fixed value: revisit profile of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -230,11 +230,12 @@ def look_up(queries: DataFrame, root: str, table: list) -> DataFrame:
     return queries.mapInArrow(run, fields + ", file string, offset bigint, length bigint")
 
 
-def read_records(found: DataFrame, root: str) -> DataFrame:
+def read_records(found: DataFrame, root: str, parts: int) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload: from the archives' bytes.
 
     Rows of found (file, offset, length) are read in the order of their places; ranges that lie
-    together are read at once, READ_BYTES at most.
+    together are read at once, READ_BYTES at most. The places are few bytes for what they stand
+    for, so the number of tasks is given: it follows the size of the archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,7 @@ def read_records(found: DataFrame, root: str) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    placed = found.where("file IS NOT NULL").select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    placed = found.where("file IS NOT NULL").select("file", "offset", "length").repartition(parts, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary")
 
 
@@ -284,7 +285,8 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, block_rows:
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     archives, indexes = scratch.path("archives"), scratch.path("index")
     captures = write_archives(judged(pages), archives, scratch, archive_bytes)
-    parts = max(1, min(2000, captures.count() // 20_000 + 1))
+    n, size = captures.agg(F.count(F.lit(1)), F.sum("length")).first()
+    parts = max(1, min(2000, n // 20_000 + 1))
     table = write_index(captures, indexes, scratch, parts, block_rows)
 
     @F.udf("string")
@@ -293,7 +295,7 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, block_rows:
 
     queries = pages.select(key(F.col("url").cast("string")).alias("surt"), F.col("page_id").cast("long"))
     queries = queries.repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    return read_records(look_up(queries, indexes, table), archives)
+    return read_records(look_up(queries, indexes, table), archives, max(spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES))
 
 
 def op6_warc_index(spark, sf_dir: str) -> DataFrame:
