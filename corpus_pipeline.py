@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuegrain.llm import exact_dedup, mixing, quality_cnn, sentencepiece_fst, simhash
 from cuegrain.llm.common import Scratch
 
-#: Share of tokens that mixing keeps.
+#: Share of tokens that mixing keeps at most; it keeps less where the targets ask for it.
 KEEP = 0.9
 
 
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target weights."""
-    return mixing.mix(mixing.with_topics(docs), keep=KEEP).where("kept").select(*docs.columns)
+    return mixing.mix(mixing.with_topics(docs), keep=KEEP, exact=True).where("kept").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

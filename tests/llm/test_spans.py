@@ -136,6 +136,49 @@ def test_raking_meets_the_targets(spark):
         assert abs(sum(r.n_tokens for r in got if r.kept) / n - 0.4) < 0.05
 
 
+def test_exact_mixing_meets_the_targets_in_the_sample(spark):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice("aaab"), rnd.choices(["en", "de", "fr"], [80, 15, 5])[0], rnd.choice(["x", "y", "y"]), rnd.randrange(1, 50)) for i in range(6000)]
+    df = spark.createDataFrame(rows, MIX)
+    tokens = sum(r[4] for r in rows)
+    for cells in (100_000, 0):
+        got = mixing.mix(df, keep=0.9, exact=True, sweeps=12 if cells else 5, max_cells=cells).collect()
+        kept = sum(r.n_tokens * r.probability for r in got)
+        room = []
+        for d, dim in enumerate(mixing.DIMS, 1):
+            share = {v: sum(r[4] for r in rows if r[d] == v) / tokens for v in {r[d] for r in rows}}
+            for v, x in share.items():
+                want = x**0.5 / sum(y**0.5 for y in share.values())
+                room.append(x / want)
+                assert abs(sum(r.n_tokens * r.probability for r in got if r[dim] == v) / kept - want) < 0.01 * want
+                assert abs(sum(r.n_tokens for r in got if r.kept and r[dim] == v) / sum(r.n_tokens for r in got if r.kept) - want) < 0.04
+        assert 0.9 * min(room) < kept / tokens < 1.01 * min(room) < 0.9
+
+
+def test_exact_mixing_keeps_rare_values_whole(spark):
+    rows = [(i, "a", "en" if i % 5 else "de", "x", 20) for i in range(3000)] + [(5000, "a", "en", "rare", 2)]
+    for cells in (100_000, 0):
+        with pytest.warns(UserWarning, match="topic rare: target 0.0057"):
+            got = mixing.mix(spark.createDataFrame(rows, MIX), exact=True, keep=0.9, sweeps=4, max_cells=cells).collect()
+        kept = sum(r.n_tokens * r.probability for r in got)
+        assert [r.probability for r in got if r.topic == "rare"] == [1] and kept > 0.55 * 60000
+        assert abs(sum(r.n_tokens * r.probability for r in got if r.lang == "de") / kept - 1 / 3) < 0.003
+
+
+def test_exact_mixing_names_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", "en" if i % 2 else "de", "x", 10) for i in range(100)], MIX)
+    with pytest.warns(UserWarning, match="source a: target 0.7"):
+        mixing.mix(df, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.3, "de": 0.7}}, exact=True)
+
+
+def test_pipeline_mixing_has_the_target_shares(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, "w " * 40, "de" if i % 10 == 0 else "en", "s") for i in range(4000)], "doc_id bigint, text string, lang string, source string")
+    n = {r.lang: r["count"] for r in cp.mixing_sources(spark, docs, "").groupBy("lang").count().collect()}
+    assert abs(n["de"] / (n["de"] + n["en"]) - 0.1**0.5 / (0.1**0.5 + 0.9**0.5)) < 0.03
+
+
 def test_mixing_of_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], MIX)).count() == 0
     got = mixing.mix(spark.createDataFrame([(None, None, None, None, 0), (1, "a", "en", "x", 0), (1, "a", "en", "x", 0)], MIX)).collect()
