@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from cuegrain.llm import quality_cnn, quality_rules, sentencepiece_fst
@@ -52,6 +53,28 @@ def test_bands_reject_repetition_and_noise(spark):
     assert {r.doc_id: r.kept for r in quality_rules.quality_rules(df).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_bands_come_from_clean_documents(spark):
+    rnd = random.Random(9)
+    word = lambda parts: "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5)))
+    some = ["th", "er", "on", "an", "re", "he", "in", "ed"]
+    clean = [" ".join(word([*some, "ou", "st", "ly", "ma", "pi", "go", "uc", "ek"]) for _ in range(500)) for _ in range(260)]
+    junk = [" ".join(word(some) for _ in range(500)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(clean + junk)), SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 260)) for i in range(290)] + [(270, 1), (None, 1)], "doc_id bigint, quality int")
+    kept = lambda **bands: Counter(r.doc_id < 260 for r in quality_rules.quality_rules(df, **bands).collect() if r.kept)
+    assert kept() == {True: 260, False: 40}
+    bands, chunk_bands = quality_rules.fit_bands(df, labels)
+    got = kept(bands=bands, chunk_bands=chunk_bands)
+    assert got[True] > 250 and got[False] == 0
+    assert quality_rules.fit_bands(df, labels.limit(0))[0] == quality_rules.BANDS
+
+
+def test_short_last_chunks_count():
+    rnd = random.Random(10)
+    text = bytes(rnd.choice(b"abcdefgh ") for _ in range(quality_rules.CHUNK)) + b"a" * 800
+    assert quality_rules.judge(text, zstandard.ZstdCompressor(level=3))[8:] == (2, 1)
+
+
 def test_repeated_words_of_other_windows():
     rnd = random.Random(6)
     for window in (1, 2, 3, 5, 8, 11):
