@@ -18,6 +18,7 @@ CHAPTERS, EDITION, ATOM, UID, START, HIDDEN, DISPLAY, CHAPTER_TEXT = 0x1043A770,
 ATTACHMENTS, FILE, FILE_NAME, FILE_MIME = 0x1941A469, 0x61A7, 0x466E, 0x4660
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, CLUSTER, GROUP, CHAPTERS, EDITION, ATOM, DISPLAY, ATTACHMENTS, FILE, EBML}
 LEVEL_ONE = {INFO, TRACKS, CLUSTER, CHAPTERS, ATTACHMENTS}
+SEEK_HEAD, CUES, TAGS = 0x114D9B74, 0x1C53BB6B, 0x1254C367
 
 
 def _number(data: bytes, at: int, keep_mark: bool) -> tuple[int | None, int]:
@@ -120,9 +121,9 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
             continue
         ident, a, b = got
         if ident == CLUSTER:
-            if headers_only:
-                break
-            _cluster(data, a, b, out["frames"])
+            b = _cluster_end(data, a, b, end)
+            if not headers_only:  # tables that a SeekHead would point to may stand behind the clusters
+                _cluster(data, a, b, out["frames"])
         elif ident not in seen:  # each of the others counts once
             seen.add(ident)
             if ident == INFO:
@@ -151,6 +152,18 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
     return out
 
 
+def _cluster_end(data: bytes, a: int, b: int, end: int) -> int:
+    """Where a cluster ends: one of unknown size goes on to the next level-one element."""
+    if b < end:
+        return b
+    at = a
+    for ident, _, stop in elements(data, a, b):
+        if ident in LEVEL_ONE or ident in (SEEK_HEAD, CUES, TAGS):
+            return at
+        at = stop
+    return b
+
+
 def _cluster(data: bytes, a: int, b: int, out: list[dict]) -> None:
     base = 0
     for ident, x, y in elements(data, a, b):

@@ -109,6 +109,18 @@ def test_matroska(spark, tmp_path):
     assert sorted((r.path.rpartition("/")[2], r["count"]) for r in every) == [("damaged.mkv", 6), ("ok.mkv", 6)]
 
 
+def test_matroska_tables_behind_the_clusters(spark, tmp_path):
+    head = el(mk.EBML, el(mk.DOC_TYPE, b"matroska"))
+    cluster = lambda tc: uint(mk.TIMECODE, tc) + el(mk.SIMPLE, b"\x81\x00\x05\x80" + b"F" * 10)
+    unknown = lambda tc: mk.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + cluster(tc)
+    tables = el(mk.TRACKS, el(mk.TRACK, uint(mk.NUMBER, 1))) + el(mk.CHAPTERS, el(mk.EDITION, el(mk.ATOM, uint(mk.UID, 7)))) + el(mk.ATTACHMENTS, el(mk.FILE, el(mk.FILE_NAME, b"b.ttf")))
+    for name, clusters in (("sized", el(mk.CLUSTER, cluster(1)) + el(mk.CLUSTER, cluster(2))), ("unknown", unknown(1) + unknown(2))):
+        put(tmp_path / name, "late.mkv", head + el(mk.SEGMENT, el(mk.INFO, uint(mk.SCALE, 5)) + clusters + tables))
+        read = lambda t, name=name: mk.read_matroska(spark, str(tmp_path / name), t).collect()
+        assert [r.number for r in read("tracks")] == [1] and [int(r.uid) for r in read("chapters")] == [7]
+        assert [r.name for r in read("attachments")] == ["b.ttf"] and [r.tc for r in read("frames")] == [6, 7]
+
+
 def avi(code):
     chunk = lambda tag, body: tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     strl = chunk(b"LIST", b"strl" + chunk(b"strh", b"vids" + code + b"\0" * 49))
