@@ -1,101 +1,329 @@
-"""Language-model scores by online logistic context mixing over the bits of words.
-
-A text is its lower-cased words, each with an end byte, and one end of text (a word of no
-bytes). Every bit is predicted from several contexts: the last one, two, three and five bytes,
-hashed into tables of counts, and the whole word so far, counted exactly. The predictions are
-mixed in the logistic domain by weights that a gate picks (how often the longer contexts were
-seen); the weights are learned online, each word left out of its own counts, and an adaptive
-map refines the mixed probability. As no context reaches over a word, Spark aggregates the
-corpus to words with counts first, and everything is learned and evaluated once a distinct
-word: learning costs a shuffle of the vocabulary, whatever the size of the texts.
-
-Texts keep to a class (their language): training counts by class give P(class | word), and so a
-model of words for each class; a text's probability is the mean of what the classes give it,
-weighted by their share of training texts. The class of the scored text itself is not an input.
+"""Language-model scores by online logistic context mixing over the bits of a text's words.
+
+A text is its lower-cased words, each with an end byte, and one end of text. Along the text each
+word is predicted given the one before. First a bit says whether the two have been seen together
+(twice or more in the training texts); it is predicted from the counts of the word before. Then
+come the bits of the word: with the word before and the word so far as their context if the pair
+is known, with the word so far otherwise. Next to that exact context stand predictors of one byte,
+two bytes, and the place in the word with one byte, each in a table that has a slot for every
+context there can be. Predictions are mixed in the logistic domain by weights that a gate picks
+(how often the contexts were seen, and the bit); weights are learned online along fixed streams of
+the training words and pairs, each occurrence left out of its own counts, and an adaptive map
+refines the mixed probability.
+
+Spark aggregates the training texts to words and pairs with counts. Whatever is learned comes from
+these alone and is dealt to streams by hashes of the words, so neither the held-out texts nor the
+number of cores or partitions change a score. A node of the tree of words (a context and the bits
+so far) is evaluated once, for all texts that pass it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
-
-#: Bytes of context and bits of table size of each hashed predictor.
-ORDERS = ((1, 18), (2, 20), (3, 22), (4, 22), (6, 23))
-OFFSETS = np.cumsum([0, *(1 << b for _, b in ORDERS)])
-INPUTS = len(ORDERS) + 2  # and the word so far, and a constant
-#: Bytes of a word that are modelled; each later one costs eight bits.
-DEPTH = 64
-END = 0x20
-#: Bytes of a word that its exact counts share, and those for beginnings with more than HOT_WORDS words.
-KEY, LONG_KEY, HOT_WORDS = 4, 10, 200_000
-#: Most frequent words that tasks get by broadcast; all others are joined.
-TOP_WORDS = 1 << 19
-MEMTABLE = 400_000
-#: Values of the class column that get a class of their own, and the counts that P(class | word) is smoothed by.
-MOST_CLASSES, CLASS_ALPHA = 15, 1.0
-BLOCK = 1 << 15
+from .common import Scratch, bit_filter, chunks, held_out, in_filter, mix64, partitions, salted_join, word_hashes, words_of
+
+#: Contexts of the tables: one byte, two bytes, place (up to 16) and one byte; each has a slot for every node.
+SIZES = (1 << 16, 1 << 24, 1 << 20)
+OFFSETS = np.cumsum([0, *SIZES])
+INPUTS = len(SIZES) + 2  # and the exact context, and a constant
+#: Longer words are modelled as pieces of so many bytes, each with the piece before as its context.
+PIECE = 64
+END, CUT, LEAD = 0x20, 0x0A, 0x09
+END_HASH = np.uint64(0x5851F42D4C957F2D)
+#: Kinds of counted rows: pairs, words (and pieces) of the model, whole words that were cut to pieces.
+PAIR, WORD, LONG = 0, 1, 2
+#: Bytes of text that a task counts at once.
+COUNT_BYTES = 24 << 20
+#: Most frequent words and pairs that tasks get by broadcast; all others are joined.
+TOP_KEYS = 1 << 20
+#: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
+FILTER_BYTES = 1 << 25
+#: Distinct words below one beginning; a beginning with more is split at HEAD more bytes.
+GROUP_ROWS, HEAD = 100_000, 3
+#: Distinct words or pairs of one stream of learning, of one step, and of one task.
+STREAM_ROWS, BLOCK, TASK_ROWS = 1 << 18, 1 << 14, 250_000
+#: Curvature that holds a weight where it starts.
+PRIOR = 10.0
 SLOTS = 1 << 16
 DELTA = 0.05
 SEEN = 7  # levels of "how often seen"
-GATES = 8 * SEEN * SEEN
+GATES = 8 * SEEN * SEEN + SEEN  # the last ones are those of the bit that says whether a pair is known
 CELLS = 33
 ALPHA = 0.1
 
 
+# ---------------------------------------------------------------- texts as tokens
+
+
+@dataclass
+class Tokens:
+    """Model tokens of some texts in order: words, pieces of long words, and an end of each text (begin == end)."""
+
+    buf: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    lead: np.ndarray  # a piece that goes on with a word
+    cut: np.ndarray  # a piece that the word goes on after
+    text: np.ndarray
+    h: np.ndarray
+    n_words: np.ndarray  # words of each text
+    long_text: np.ndarray  # text and hash of each word that was cut
+    long_h: np.ndarray
+
+    def name(self, i: int) -> bytes:
+        if self.begin[i] == self.end[i]:
+            return bytes([END])
+        own = self.buf[self.begin[i] : self.end[i]].tobytes()
+        return (bytes([LEAD]) if self.lead[i] else b"") + own + bytes([CUT if self.cut[i] else END])
+
+    def before(self) -> np.ndarray:
+        """Hash of the token before each one; before the first of a text stands the end of one."""
+        return np.concatenate([[END_HASH], self.h[:-1]])
+
+
+def tokens(texts: list[bytes]) -> Tokens:
+    buf, s, e, doc = words_of([t.lower() for t in texts])
+    n_words = np.bincount(doc, minlength=len(texts))
+    k = np.maximum(-(-(e - s) // PIECE), 1)
+    long = np.flatnonzero(k > 1)
+    whole = word_hashes(buf, s[long], e[long])
+    number = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    begin, stop = np.repeat(s, k) + PIECE * number, np.repeat(e, k)
+    end = np.minimum(begin + PIECE, stop)
+    lead, cut, text = number > 0, end < stop, np.repeat(doc, k)
+    h = word_hashes(buf, begin, end)
+    odd = lead | cut
+    h[odd] = mix64(h[odd] + lead[odd] * np.uint64(0xA0761D6478BD642F) + cut[odd] * np.uint64(0xE7037ED1A0B428DB))
+    at = np.cumsum(np.bincount(text, minlength=len(texts)))
+    put = lambda x, v: np.insert(x, at, v)
+    return Tokens(buf, put(begin, 0), put(end, 0), put(lead, False), put(cut, False), np.insert(text, at, np.arange(len(texts))), put(h, END_HASH), n_words, doc[long], whole)
+
+
+def pair_hash(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(p * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def name_hash(names: list[bytes]) -> np.ndarray:
+    """The hash of tokens by their names."""
+    out = np.full(len(names), END_HASH)
+    some = np.array([i for i, b in enumerate(names) if len(b) > 1], np.int64)
+    if len(some):
+        cores = [names[i][names[i][0] == LEAD : -1] for i in some]
+        lens = np.fromiter(map(len, cores), np.int64, len(cores))
+        h = word_hashes(np.frombuffer(b"".join(cores), np.uint8), np.cumsum(lens) - lens, np.cumsum(lens))
+        lead, cut = np.array([names[i][0] == LEAD for i in some]), np.array([names[i][-1] == CUT for i in some])
+        odd = lead | cut
+        h[odd] = mix64(h[odd] + lead[odd] * np.uint64(0xA0761D6478BD642F) + cut[odd] * np.uint64(0xE7037ED1A0B428DB))
+        out[some] = h
+    return out
+
+
 # ---------------------------------------------------------------- counts
 
+COUNTED = "kind int, g bigint, w binary, c bigint"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, g: np.ndarray, w: pa.Array, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(g), 50_000):
+            part = slice(lo, lo + 50_000)
+            n = len(g[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(g[part].view(np.int64)), w.slice(lo, n), pa.array(c[part].astype(np.int64))], ["kind", "g", "w", "c"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = tokens(texts)
+        train = ~np.array(held)[t.text]
+        words, first, number = np.unique(t.h, return_index=True, return_inverse=True)
+        names = pa.array([t.name(i) for i in first.tolist()], pa.binary())
+        yield from rows(WORD, words, names, np.bincount(number, train, len(words)))
+        before = np.searchsorted(words, END_HASH) if len(words) else 0
+        pairs, n = np.unique((np.concatenate([[before], number[:-1]]) * len(words) + number)[train], return_counts=True)
+        yield from rows(PAIR, words[pairs // len(words)], names.take(pa.array(pairs % len(words))), n)
+        if len(t.long_h):
+            yield from rows(LONG, t.long_h, pa.array([b""] * len(t.long_h), pa.binary()), ~np.array(held)[t.long_text])
+
+    texts, held, size = [], [], 0
+    for b in batches:
+        for text, h in zip(b.column("text"), b.column("held").to_pylist(), strict=True):
+            texts.append(text.as_py() or b"")
+            held.append(h)
+            size += len(texts[-1])
+            if size >= COUNT_BYTES or len(texts) >= 100_000:
+                yield from flush()
+                texts, held, size = [], [], 0
+    if texts:
+        yield from flush()
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """kind, g, w, c: tokens with their hash (g), pairs with the hash of the first one, counts in training texts.
+
+    Words are there for all texts, pairs only where they occur twice or more in training texts.
+    """
+    rows = docs.select(F.col("text").cast("binary").alias("text"), held_out(10).alias("held")).mapInArrow(_count, COUNTED)
+    return rows.groupBy("kind", "g", "w").agg(F.sum("c").alias("c")).where((F.col("kind") != PAIR) | (F.col("c") > 1))
+
+
+# ---------------------------------------------------------------- trees of words
 
-def class_of(docs: DataFrame, column: str | None) -> tuple[Column, int]:
-    """The number of a text's class and how many there are: the most frequent values, MOST_CLASSES at most, and one for all others."""
-    if column is None or column not in docs.columns:
-        return F.lit(0), 1
-    values = [r[0] for r in docs.groupBy(column).count().orderBy(F.desc("count"), column).limit(MOST_CLASSES).collect() if r[0] is not None]
-    number = F.array_position(F.array(*map(F.lit, values)), F.col(column)) if values else F.lit(0)
-    return (F.coalesce(number, F.lit(0))).cast("int"), len(values) + 1
 
+def _bits(names: list[bytes], width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in names), np.uint8)
+    return flat.reshape(len(names), width)
 
-def count_words(docs: DataFrame, column: str | None) -> tuple[DataFrame, int]:
-    """word (binary), c and by (counts in training texts: all, and of each class), for all words of all texts.
 
-    The end of text is the empty word.
+class Block:
+    """Sorted words of whole groups (a context, or a beginning in it), walked bit by bit, node by node.
+
+    ``heads`` gives, by group, the zeros and ones of the whole context at each bit of the beginning
+    that the group's words share; below it the group's own words are all there are.
     """
-    number, classes = class_of(docs, column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter() for _ in range(classes + 1)]  # the last one: texts that are held out
+    def __init__(self, names: list[bytes], counts: np.ndarray, group: np.ndarray, heads: dict[int, tuple]):
+        self.n, self.names = len(names), names
+        self.lens = np.fromiter(map(len, names), np.int64, self.n)
+        self.counts = counts.astype(np.float64)
+        self.group = group
+        self.m = _bits(names, int(self.lens.max(initial=1)))
+        self.start = np.concatenate([[True], group[1:] != group[:-1]])
+        deep = max([len(z) for z, _ in heads.values()], default=0)
+        self.deep = np.zeros(int(group.max(initial=0)) + 1, np.int64)
+        self.above = np.zeros((2, len(self.deep), deep))
+        for g, (zeros, ones) in heads.items():
+            self.deep[g] = len(zeros)
+            self.above[0, g, : len(zeros)], self.above[1, g, : len(zeros)] = zeros, ones
+
+    def steps(self):
+        """(rows, place of each row's node, first row of each node, d, bit, partial byte of each node, y of each row, zeros, ones) of each bit."""
+        rows, new = np.arange(self.n), self.start
+        for d in range(self.m.shape[1]):
+            stay = np.flatnonzero(self.lens[rows] > d)
+            if len(stay) < len(rows):
+                new = np.logical_or.reduceat(new[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else new[:0]
+                rows = rows[stay]
+            if not len(rows):
+                return
+            byte, c = self.m[rows, d].astype(np.int64), self.counts[rows]
+            for bit in range(7, -1, -1):
+                y = (byte >> bit) & 1
+                first = np.flatnonzero(new)
+                at = np.cumsum(new) - 1
+                ones = np.add.reduceat(c * y, first)
+                zeros = np.add.reduceat(c, first) - ones
+                t = 8 * d + 7 - bit
+                if t < self.above.shape[2]:
+                    g = self.group[rows[first]]
+                    up = self.deep[g] > t
+                    zeros, ones = np.where(up, self.above[0, g, t], zeros), np.where(up, self.above[1, g, t], ones)
+                yield rows, at, rows[first], d, bit, (1 << (7 - bit)) | (byte[first] >> (bit + 1)), y, zeros, ones
+                new = new.copy()
+                new[1:] |= y[1:] != y[:-1]
+
+    def slots(self, row: np.ndarray, d: int, node: np.ndarray) -> list[np.ndarray]:
+        one = self.m[row, d - 1].astype(np.int64) if d else np.full(len(row), END)
+        two = self.m[row, d - 2].astype(np.int64) if d > 1 else np.full(len(row), END)
+        return [one << 8 | node, OFFSETS[1] + (two << 16 | one << 8 | node), OFFSETS[2] + (min(d, 15) << 16 | one << 8 | node)]
+
+
+def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Zeros and ones at each bit of the next HEAD bytes of the beginnings below one beginning."""
+    pdf = pdf.sort_values("kid")
+    skip = len(pdf["head"].iloc[0])
+    names = [bytes(x)[skip:] for x in pdf["kid"]]
+    b = Block(names, pdf["c"].to_numpy(), np.zeros(len(pdf), np.int64), {})
+    zeros, ones = np.zeros((2, b.n, 8 * HEAD))
+    for rows, at, _, d, bit, _, _, z, o in b.steps():
+        zeros[rows, 8 * d + 7 - bit], ones[rows, 8 * d + 7 - bit] = z[at], o[at]
+    cut = (8 * b.lens).tolist()
+    return pd.DataFrame({"g": pdf["g"], "head": pdf["head"], "kid": pdf["kid"], "z": [x[:k].tolist() for x, k in zip(zeros, cut, strict=True)], "o": [x[:k].tolist() for x, k in zip(ones, cut, strict=True)]})
+
+
+def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """words (g, w, c) with key, the group they are walked in, and for groups that are but a beginning a row with the counts above it (zeros, ones).
+
+    A context with more than group_rows words (at most words / group_rows of them) is split by the
+    beginnings of its words, HEAD bytes more each time, until no group has more.
+    """
+    heads, k = [], 0
+    rows = words.withColumn("head", F.lit(b""))
+    hot = scratch.save(rows.groupBy("g", "head").count().where(F.col("count") > group_rows).select("g", "head"), "hot")
+    above = hot.select("g", "head", F.array().cast("array<double>").alias("zeros"), F.array().cast("array<double>").alias("ones"))
+    while not hot.isEmpty():
+        k += HEAD
+        rows = rows.join(F.broadcast(hot.withColumn("split", F.lit(True))), ["g", "head"], "left")
+        kid = F.when(F.col("split"), F.substring("w", 1, k)).otherwise(F.col("head"))
+        rows = rows.withColumn("kid", kid)
+        kids = rows.where("split").groupBy("g", "head", "kid").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+        kids = scratch.save(kids, "kids")
+        paths = kids.groupBy("g", "head").applyInPandas(_paths, "g bigint, head binary, kid binary, z array<double>, o array<double>")
+        paths = paths.join(above, ["g", "head"]).select("g", F.col("kid").alias("head"), F.concat("zeros", "z").alias("zeros"), F.concat("ones", "o").alias("ones"))
+        paths = scratch.save(paths, "heads")
+        hot = scratch.save(kids.where(F.col("n") > group_rows).select("g", F.col("kid").alias("head")), "hot")
+        heads.append(paths.join(F.broadcast(hot), ["g", "head"], "left_anti"))
+        above = paths.join(F.broadcast(hot), ["g", "head"], "left_semi")
+        rows = rows.select("g", "w", "c", F.col("kid").alias("head"))
+    none = F.lit(None).cast("array<double>")
+    rows = rows.select("g", "head", "w", "c", none.alias("zeros"), none.alias("ones"))
+    if heads:
+        rows = rows.unionByName(reduce(DataFrame.unionByName, heads).select("g", "head", F.lit(None).cast("binary").alias("w"), F.lit(0).cast("bigint").alias("c"), "zeros", "ones"))
+    return rows.select(F.xxhash64("g", "head").alias("key"), "g", "w", "c", "zeros", "ones")
+
+
+def in_order(rows: DataFrame, parts: int, by: str, streams: int = 1) -> DataFrame:
+    """Dealt rows by stream or key, and sorted."""
+    rows = rows.withColumn("stream", F.pmod("key", F.lit(streams)))
+    return rows.repartition(parts, by).sortWithinPartitions("stream", "key", F.col("w").asc_nulls_first())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, Block]]:
+    """(stream, contexts, block) of whole groups, ``most`` words together or more; batches don't show in them."""
+
+    def block(t: pa.Table, new: np.ndarray) -> tuple[int, np.ndarray, Block]:
+        group = np.cumsum(new) - 1
+        head = t.column("w").is_null().to_numpy()
+        heads = {int(group[i]): (np.array(t.column("zeros")[i].as_py()), np.array(t.column("ones")[i].as_py())) for i in np.flatnonzero(head).tolist()}
+        own = np.flatnonzero(~head)
+        names = t.column("w").take(pa.array(own)).to_pylist()
+        return t.column("stream")[0].as_py(), t.column("g").to_numpy()[own], Block(names, t.column("c").to_numpy()[own], group[own], heads)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, counts in enumerate(held):
-                words = list(counts)
-                for lo in range(0, len(words), 100_000):
-                    part = words[lo : lo + 100_000]
-                    n = [counts[w] if k < classes else 0 for w in part]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([k] * len(part), pa.int32()), pa.array(n, pa.int64())], ["word", "k", "n"])
-                counts.clear()
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows > most:
+            held, *out = _cut(held.combine_chunks(), most, False)
+            yield from (block(*x) for x in out)
+    if held is not None and held.num_rows:
+        yield from (block(*x) for x in _cut(held.combine_chunks(), most, True)[1:])
 
-        for b in batches:
-            for text, k in zip(b.column("text"), b.column("k").to_pylist(), strict=True):
-                held[k].update((text.as_py() or b"").lower().split())
-                held[k][b""] += 1
-                if sum(map(len, held)) > MEMTABLE:
-                    yield from flush()
-        yield from flush()
 
-    rows = docs.select(F.col("text").cast("binary").alias("text"), F.when(held_out(10), classes).otherwise(number).cast("int").alias("k")).mapInArrow(run, "word binary, k int, n bigint")
-    each = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(classes)]
-    return rows.groupBy("word").agg(F.sum("n").alias("c"), F.array(*each).alias("by")), classes
+def _cut(t: pa.Table, most: int, all_: bool) -> list:
+    """What is left of t, and its complete pieces with the first rows of their groups marked: a piece ends with a stream, or with a group behind ``most`` rows."""
+    key, stream = t.column("key").to_numpy(), t.column("stream").to_numpy()
+    turn = np.r_[True, stream[1:] != stream[:-1]]
+    new = turn | np.r_[True, key[1:] != key[:-1]]
+    ends, turns = np.flatnonzero(new), np.flatnonzero(turn)
+    out, lo = [], 0
+    while True:
+        a, b = np.searchsorted(turns, lo, "right"), np.searchsorted(ends, lo + most)
+        hi = min([*turns[a : a + 1], *ends[b : b + 1]], default=t.num_rows if all_ else lo)
+        if hi <= lo:
+            return [t.slice(lo), *out]
+        out.append((t.slice(lo, hi - lo), new[lo:hi]))
+        lo = int(hi)
 
 
-# ---------------------------------------------------------------- contexts
+# ---------------------------------------------------------------- predictors
 
 
 def _code(n: np.ndarray) -> np.ndarray:
@@ -108,11 +336,11 @@ _value = np.concatenate([np.arange(32), 32 * 2 ** ((np.arange(32, 256) - 31.5) /
 
 
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + DELTA) / (n0 + DELTA)).astype(np.float32)
+    return np.log((n1 + DELTA) / (n0 + DELTA))
 
 
 def _seen(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted([1, 2, 4, 16, 128, 2048], n, "right").astype(np.uint8)
+    return np.searchsorted([1, 2, 4, 16, 128, 2048], n, "right").astype(np.int64)
 
 
 def _lookups() -> tuple[np.ndarray, np.ndarray]:
@@ -125,70 +353,33 @@ def _lookups() -> tuple[np.ndarray, np.ndarray]:
 _LUT, _LEVEL = _lookups()
 
 
-class Words:
-    """A sorted block of distinct words as a byte matrix, walked bit by bit."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, keys: np.ndarray):
-        self.n = len(words)
-        self.lens = np.fromiter(map(len, words), np.int64, self.n)
-        self.counts = counts.astype(np.float64)
-        self.keys = keys  # a place in a word from which on all words with the same bytes before it are here
-        width = int(min(DEPTH, self.lens.max(initial=0))) + 1
-        flat = np.frombuffer(b"".join((w + b"\x20")[:width].ljust(width, b"\0") for w in words), np.uint8)
-        self.m = flat.reshape(self.n, width)
-        differ = self.m[1:] != self.m[:-1]
-        # A row and the one above agree in so many bytes.
-        self.common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), width)])
-
-    def steps(self, exact: bool = True):
-        """(rows, slots of each hashed context, zeros and ones of the word so far, partial byte, bit number, bit) of each bit."""
-        for d in range(self.m.shape[1]):
-            rows = np.flatnonzero(self.lens >= d)
-            byte = self.m[rows, d].astype(np.int64)
-            contexts = []
-            for k, _ in ORDERS:
-                h = np.full(len(rows), k * 0x1000193 + min(d, k), np.uint64)
-                for j in range(max(0, d - k), d):
-                    h = (h + self.m[rows, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                contexts.append(h)
-            whole = self.keys[rows] <= d
-            c = self.counts[rows]
-            common = self.common
-            if len(rows) < self.n:  # over rows left out, two neighbours share the least of the steps between them
-                common = np.minimum.reduceat(common[: rows[-1] + 1], np.concatenate([[0], rows[:-1] + 1]))
-            for bit in range(7, -1, -1):
-                node = (1 << (7 - bit)) | (byte >> (bit + 1))
-                y = (byte >> bit) & 1
-                slots = [(((h + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64) + off for h, (_, bits), off in zip(contexts, ORDERS, OFFSETS, strict=False)]
-                zeros = ones = None
-                if exact:
-                    new = common < d
-                    new[1:] |= node[1:] != node[:-1]
-                    new[0] = True
-                    first = np.flatnonzero(new)
-                    size = np.diff(np.append(first, len(rows)))
-                    one = np.add.reduceat(c * y, first)
-                    all_ = np.add.reduceat(c, first)
-                    ones = np.where(whole, np.repeat(one, size), 0)
-                    zeros = np.where(whole, np.repeat(all_ - one, size), 0)
-                yield rows, slots, zeros, ones, node, bit, y
-
-
-def _inputs(table: np.ndarray, slots, zeros, ones, y, c, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions (inputs by rows) and the gate of each row."""
-    x = np.empty((INPUTS, len(y)), np.float32)
-    off = ((1 + y) << 16) * (c > 0) if leave_out else 0
+def _inputs(table: np.ndarray, slots, zeros: np.ndarray, ones: np.ndarray, bit: int, less: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions (inputs by nodes) and the gate of each; ``less``: a bit that is left out once."""
+    x = np.empty((INPUTS, len(zeros)))
+    off = 0 if less is None else (1 + less) << 16
     for k, s in enumerate(slots):
-        at = table[s] + off
+        at = table[s].astype(np.int32) + off
         x[k] = _LUT[at]
-    level = _LEVEL[at]  # of the longest hashed context
-    if leave_out:
-        one = (c > 0) * 1.0
-        zeros, ones = np.maximum(zeros - one * (1 - y), 0), np.maximum(ones - one * y, 0)
+        if k == 1:
+            level = _LEVEL[at]  # of the context of two bytes
+    if less is not None:
+        zeros, ones = (zeros, np.maximum(ones - 1, 0)) if less else (np.maximum(zeros - 1, 0), ones)
     x[-2] = _stretch(zeros, ones)
     x[-1] = 0.3
-    return x, _seen(zeros + ones).astype(np.int64) * SEEN + level
+    return x, (bit * SEEN + _seen(zeros + ones)) * SEEN + level
+
+
+def _known(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and gate of the bit that says whether a pair is known, from how often that was so after the word before."""
+    x = np.zeros((INPUTS, len(zeros)))
+    x[-2], x[-1] = _stretch(zeros, ones), 0.3
+    return x, 8 * SEEN * SEEN + _seen(zeros + ones)
+
+
+def _both(inputs: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and gates for a bit that is 0 and for one that is 1."""
+    (a, g), (b, h) = inputs(0), inputs(1)
+    return np.concatenate([a, b], 1), np.r_[g, h]
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -202,250 +393,314 @@ def _cell(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-# ---------------------------------------------------------------- learning
+@dataclass
+class Model:
+    """Weights by gate and input, and the adaptive map by partial byte (0: the bit of known pairs) and cell."""
+
+    weights: np.ndarray
+    cells: np.ndarray
+
+    def p(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Probability of a one."""
+        z = np.einsum("kn,nk->n", x, self.weights[gate])
+        low, up = _cell(z)
+        refined = self.cells[node, low] * (1 - up) + self.cells[node, low + 1] * up
+        return np.clip((_squash(z) + refined) / 2, 1e-7, 1 - 1e-7)
+
+
+class Learner:
+    """Weights and map learned along one stream: after each step of predicted bits a Newton step, with the curvature of all bits so far."""
+
+    def __init__(self):
+        self.w = np.full((GATES, INPUTS), 0.15)
+        self.w[:, -2] = 0.7
+        self.seen = np.zeros(GATES)
+        self.curve = np.tile(np.eye(INPUTS) * PRIOR, (GATES, 1, 1))
+        self.cells = np.zeros((256 * CELLS, 2))
+
+    def see(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, y: np.ndarray, mass: np.ndarray) -> None:
+        """Predict bits, then learn from their values ``y``, which occurred ``mass`` times."""
+        some = np.flatnonzero(mass > 0)
+        if not len(some):
+            return
+        x, gate, node, y, mass = x[:, some], gate[some], node[some], y[some], mass[some]
+        z = np.einsum("kn,nk->n", x, self.w[gate])
+        p = _squash(z)
+        here, number = np.unique(gate, return_inverse=True)
+        err, bend = (y - p) * mass, np.maximum(p * (1 - p), 1e-4) * mass
+        slope = np.empty((len(here), INPUTS))
+        for j in range(INPUTS):
+            slope[:, j] = np.bincount(number, err * x[j], len(here))
+            for k in range(j, INPUTS):
+                both = np.bincount(number, bend * x[j] * x[k], len(here))
+                self.curve[here, j, k] += both
+                if k > j:
+                    self.curve[here, k, j] += both
+        step = np.linalg.solve(self.curve[here], slope[:, :, None])[:, :, 0]
+        self.w[here] += np.clip(step, -0.5, 0.5)
+        self.seen[here] += np.bincount(number, mass, len(here))
+        low, up = _cell(z)
+        for at, part in ((low, 1 - up), (low + 1, up)):
+            self.cells[:, 0] += np.bincount(node * CELLS + at, part * mass, len(self.cells))
+            self.cells[:, 1] += np.bincount(node * CELLS + at, part * mass * y, len(self.cells))
+
+    def sums(self) -> np.ndarray:
+        return np.concatenate([(self.w * self.seen[:, None]).ravel(), self.seen, self.cells.ravel()])
+
+
+def _model(sums: np.ndarray) -> Model:
+    seen = sums[GATES * INPUTS : GATES * (INPUTS + 1)]
+    fresh = Learner().w
+    w = np.where(seen[:, None] > 0, sums[: GATES * INPUTS].reshape(GATES, INPUTS) / np.maximum(seen, 1e-9)[:, None], fresh)
+    cells = sums[GATES * (INPUTS + 1) :].reshape(256, CELLS, 2)
+    prior = _squash((np.arange(CELLS) * 24 / (CELLS - 1)) - 12)
+    # Rounded, so that the order in which Spark adds up streams doesn't show.
+    return Model(np.round(w, 6), np.round((cells[:, :, 1] + 20 * prior) / (cells[:, :, 0] + 20), 8))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Blocks of whole groups of words with one beginning; rows come sorted by it and by the word."""
-    held: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows < BLOCK:
-            continue
-        held = held.combine_chunks()
-        begin = held.column("begin").to_pylist()
-        cut = len(begin) - 1
-        while cut and begin[cut - 1] == begin[-1]:
-            cut -= 1
-        if cut:
-            yield _words(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield _words(held.combine_chunks())
+# ---------------------------------------------------------------- tables
 
 
-def _words(t: pa.Table) -> tuple[pa.Table, Words]:
-    return t, Words(t.column("word").to_pylist(), t.column("c").to_numpy(), t.column("bytes").to_numpy())
+def count_tables(words: DataFrame) -> np.ndarray:
+    """Codes of zeros and ones of each slot of the tables, summed by Spark. Their size is that of all contexts there can be."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, b in _blocks(batches, 2 * BLOCK):
+            parts = []
+            for rows, at, first, d, _, node, y, _, _ in b.steps():
+                c = b.counts[rows]
+                ones, both = np.bincount(at, c * y, len(first)), np.bincount(at, c, len(first))
+                parts += [(s, both - ones, ones) for s in b.slots(first, d, node)]
+            slot, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            sums = [np.bincount(back, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2)]
+            for lo in range(0, len(slot), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (slot, *sums)], ["slot", "zeros", "ones"])
 
-def sorted_words(vocabulary: DataFrame, parts: int) -> DataFrame:
-    """The vocabulary with the beginning of each word, dealt and sorted by it.
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.zeros(SLOTS, np.uint16)
+        codes[pdf["slot"].to_numpy() % SLOTS] = _code(pdf["zeros"].to_numpy()).astype(np.uint16) << 8 | _code(pdf["ones"].to_numpy())
+        return pd.DataFrame({"k": [pdf["slot"].iloc[0] // SLOTS], "codes": [codes.tobytes()]})
 
-    Beginnings with more than HOT_WORDS words (at most vocabulary / HOT_WORDS of them) get longer.
-    """
-    short = F.substring("word", 1, KEY)
-    hot = vocabulary.groupBy(short.alias("short")).count().where(F.col("count") > HOT_WORDS).select("short", F.lit(LONG_KEY).alias("bytes"))
-    out = vocabulary.select("word", "c").withColumn("short", short).join(F.broadcast(hot), "short", "left")
-    begin = F.when(F.col("bytes").isNull(), F.col("short")).otherwise(F.substring("word", 1, LONG_KEY))
-    out = out.select("word", "c", F.coalesce("bytes", F.lit(KEY)).alias("bytes"), begin.alias("begin"))
-    return out.repartition(parts, "begin").sortWithinPartitions("begin", "word")
-
-
-def count_tables(words: DataFrame, parts: int) -> np.ndarray:
-    """The hashed tables: codes of zeros and ones of each slot, summed over all tasks. Their size is fixed."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((int(OFFSETS[-1]), 2), np.float32)
-        for _, w in _blocks(batches):
-            for rows, slots, _, _, _, _, y in w.steps(exact=False):
-                c = w.counts[rows].astype(np.float32)
-                for s in slots:
-                    np.add.at(table.reshape(-1), s * 2 + y, c)
-        for k in range(len(table) // SLOTS):
-            part = table[k * SLOTS : (k + 1) * SLOTS].reshape(-1)
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], ["k", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS * 2, np.float32)
-        for x in pdf["counts"]:
-            n = len(x) // 8
-            total[np.frombuffer(x, np.int32, n)] += np.frombuffer(x, np.float32, n, 4 * n)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "counts": [_packed(total)]})
-
-    tables = words.mapInArrow(build, "k int, counts binary")
-    while parts > 32:  # no task adds more than 32 pieces
-        parts = -(-parts // 32)
-        tables = tables.withColumn("deal", F.pmod(F.xxhash64("counts"), F.lit(parts))).groupBy("k", "deal").applyInPandas(add, "k int, counts binary")
+    slots = words.mapInArrow(count, "slot bigint, zeros bigint, ones bigint").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     out = np.zeros(int(OFFSETS[-1]), np.uint16)
-    final = tables.groupBy("k").applyInPandas(lambda pdf: _coded(add(pdf)), "k int, codes binary")
-    for r in final.toLocalIterator():
+    for r in slots.groupBy(F.shiftright("slot", 16)).applyInPandas(code, "k bigint, codes binary").toLocalIterator():  # 273 rows at most
         out[r["k"] * SLOTS : (r["k"] + 1) * SLOTS] = np.frombuffer(r["codes"], np.uint16)
     return out
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Places and values of the counts that are not zero."""
-    at = np.flatnonzero(counts).astype(np.int32)
-    return at.tobytes() + counts[at].tobytes()
+# ---------------------------------------------------------------- learning and scoring
 
 
-def _coded(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = pdf["counts"].iloc[0]
-    counts, n = np.zeros(SLOTS * 2, np.float32), len(x) // 8
-    counts[np.frombuffer(x, np.int32, n)] = np.frombuffer(x, np.float32, n, 4 * n)
-    code = _code(counts).reshape(-1, 2).astype(np.uint16)
-    return pd.DataFrame({"k": pdf["k"], "codes": [(code[:, 0] << 8 | code[:, 1]).tobytes()]})
+def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None, least: int = 1) -> Model:
+    """The model of dealt words: each stream of groups is learned online, then streams are averaged by the bits they saw.
 
+    Words with a count below ``least`` count for others, but are not learned from. ``known`` has
+    the counts (stream, g, zeros, ones) of the bit of known pairs, one row a word before.
+    """
 
-def learn(words: DataFrame, table) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (gate, input) and the adaptive map (partial byte, cell): every task learns online from its words, then tasks are averaged by the tokens they saw."""
+    def out(learner: Learner) -> pa.RecordBatch:
+        sums = learner.sums()
+        at = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
-        w = np.full((GATES, INPUTS), 0.2, np.float32)
-        power = np.full(GATES, 1.0)
-        seen = np.zeros(GATES)
-        cells = np.zeros((256 * CELLS, 2))
-        for _, block in _blocks(batches):
-            for rows, slots, zeros, ones, node, bit, y in block.steps():
-                c = np.minimum(block.counts[rows], 1e4)
-                if not c.any():
-                    continue
-                x, gate = _inputs(t, slots, zeros, ones, y, c, True)
-                gate += bit * SEEN * SEEN
-                z = np.einsum("kn,nk->n", x, w[gate])
-                err = (y - _squash(z)) * c
-                mass = np.bincount(gate, c, GATES)
-                power = 0.995 * power + 0.005 * np.maximum(np.bincount(gate, c * (x[:-1] ** 2).sum(0), GATES) / np.maximum(mass, 1e-9), 1)
-                rate = 1.0 / power / np.sqrt(1 + seen / 1e6)
-                for k in range(INPUTS):
-                    w[:, k] += rate * np.bincount(gate, err * x[k], GATES) / np.maximum(mass, 1e-9)
-                seen += mass
-                low, up = _cell(z)
-                for at, part in ((low, 1 - up), (low + 1, up)):
-                    cells[:, 0] += np.bincount(node * CELLS + at, part * c, len(cells))
-                    cells[:, 1] += np.bincount(node * CELLS + at, part * c * y, len(cells))
-        sums = np.concatenate([(w * seen[:, None]).ravel(), seen, cells.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["at", "x"])
-
-    size = GATES * (INPUTS + 1) + 256 * CELLS * 2
-    got = words.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # as many rows at any input size
-    sums = np.zeros(size)
-    sums[got["at"].to_numpy()] = got["x"].to_numpy()
-    seen = sums[GATES * INPUTS : GATES * (INPUTS + 1)]
-    w = np.where(seen[:, None] > 0, sums[: GATES * INPUTS].reshape(GATES, INPUTS) / np.maximum(seen, 1e-9)[:, None], 0.25).astype(np.float32)
-    cells = sums[GATES * (INPUTS + 1) :].reshape(256, CELLS, 2)
-    prior = _squash((np.arange(CELLS) * 24 / (CELLS - 1)) - 12)
-    return w, ((cells[:, :, 1] + 20 * prior) / (cells[:, :, 0] + 20)).astype(np.float32)
+        learner, last = Learner(), None
+        for stream, _, b in _blocks(batches, BLOCK):
+            if last is not None and stream != last:
+                yield out(learner)
+                learner = Learner()
+            last = stream
+            for rows, at, first, d, bit, node, y, zeros, ones in b.steps():
+                c = b.counts[rows] * (b.counts[rows] >= least)
+                one = np.bincount(at, c * y, len(first))
+                slots = b.slots(first, d, node)
+                learner.see(*_both(lambda v: _inputs(table.value, slots, zeros, ones, bit, v)), np.tile(node, 2), np.repeat([0, 1], len(first)), np.r_[np.bincount(at, c, len(first)) - one, one])  # noqa: B023
+        if last is not None:
+            yield out(learner)
+
+    def run_known(pdf: pd.DataFrame) -> pd.DataFrame:
+        learner, pdf = Learner(), pdf.sort_values("g")
+        for lo in range(0, len(pdf), 512):
+            z, o = (pdf[c].iloc[lo : lo + 512].to_numpy().astype(float) for c in ("zeros", "ones"))
+            learner.see(*_both(lambda v: _known(np.maximum(z - 1 + v, 0), np.maximum(o - v, 0))), np.zeros(2 * len(z), np.int64), np.repeat([0, 1], len(z)), np.r_[z, o])  # noqa: B023
+        return out(learner).to_pandas()
+
+    sums = [in_order(words, streams, "stream", streams).mapInArrow(run, "at bigint, x double")]
+    if known is not None:
+        sums.append(known.groupBy("stream").applyInPandas(run_known, "at bigint, x double"))
+    got = reduce(DataFrame.unionByName, sums).groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # as many rows at any input size
+    total = np.zeros(GATES * (INPUTS + 1) + 256 * CELLS * 2)
+    total[got["at"].to_numpy()] = got["x"].to_numpy()
+    return _model(total)
 
 
 def score_words(words: DataFrame, table, model) -> DataFrame:
-    """word, c, logp: the model's log10 probability of each word and its end byte."""
+    """g, h (hash of the word), c, logp: the model's log10 probability of each dealt word in its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, cells = model.value
-        for t, block in _blocks(batches):
-            logp = np.zeros(block.n)
-            for rows, slots, zeros, ones, node, bit, y in block.steps():
-                x, gate = _inputs(table.value, slots, zeros, ones, y, None, False)
-                z = np.einsum("kn,nk->n", x, w[gate + bit * SEEN * SEEN])
-                low, up = _cell(z)
-                refined = cells[node, low] * (1 - up) + cells[node, low + 1] * up
-                p = np.clip((_squash(z) + refined) / 2, 1e-7, 1 - 1e-7)
+        for _, g, b in _blocks(batches, 2 * BLOCK):
+            logp = np.zeros(b.n)
+            for rows, at, first, d, bit, node, y, zeros, ones in b.steps():
+                p = model.value.p(*_inputs(table.value, b.slots(first, d, node), zeros, ones, bit), node)[at]
                 logp[rows] += np.log10(np.where(y == 1, p, 1 - p))
-            logp -= np.maximum(block.lens - DEPTH, 0) * 8 * math.log10(2)
-            yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("c").combine_chunks(), pa.array(logp)], ["word", "c", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(name_hash(b.names).view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "c", "logp"])
+
+    return words.mapInArrow(run, "g bigint, h bigint, c bigint, logp double")
+
 
-    return words.mapInArrow(run, "word binary, c bigint, logp double")
+@dataclass
+class Fitted:
+    """What scoring needs: ``values`` has key, c (null: not a word of the text), v (added to a text's score for each occurrence)."""
+
+    values: DataFrame
+    pairs: int
+    n: int
+    v: int
+    table: np.ndarray
+    words: Model
+    pairs_model: Model
+
+
+def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitted:
+    spark = docs.sparkSession
+    counted = scratch.save(count_words(docs), "counted", compression="zstd")
+    sizes = {(r["kind"], r["known"]): r["rows"] for r in counted.groupBy("kind", (F.col("c") > 0).alias("known")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    n_words, n_train, n_pairs = (sum(n for k, n in sizes.items() if k in of) for of in ({(WORD, True), (WORD, False)}, {(WORD, True)}, {(PAIR, True)}))
+    tasks = lambda n: max(partitions(spark), -(-n // TASK_ROWS))
+    streams = lambda n: max(1, -(-n // STREAM_ROWS))
+
+    # Words have one context, the empty one; only those of training texts are learned from.
+    words = counted.where(F.col("kind") == WORD).select("g", "w", "c")
+    one = words.select(F.lit(0).cast("bigint").alias("g"), "w", "c")
+    train = dealt(one.where("c > 0"), scratch, group_rows)
+    table = count_tables(in_order(train, tasks(n_train), "key"))
+    shared = spark.sparkContext.broadcast(table)
+
+    # After a word, a pair counts as known if it stays so without the occurrence looked at.
+    pairs = counted.where(F.col("kind") == PAIR).select("g", "w", "c")
+    after = pairs.groupBy("g").agg(F.sum(F.when(F.col("c") > 2, F.col("c")).otherwise(0)).alias("ones"), F.count(F.lit(1)).alias("n"))
+    piece = (F.substring("w", -1, 1) == F.lit(bytes([CUT]))) | (F.substring("w", 1, 1) == F.lit(bytes([LEAD])))
+    before = words.select("g", "c", piece.alias("piece")).join(after, "g", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("ones", "n")})
+    before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
+    known = before.where("zeros + ones > 0").select(F.pmod("g", F.lit(streams(n_train))).alias("stream"), "g", "zeros", "ones")
+    held = spark.sparkContext.broadcast(learn(train, streams(n_train), shared, known))
+
+    @F.pandas_udf("array<double>")
+    def flag(zeros: pd.Series, ones: pd.Series) -> pd.Series:
+        """log10 of the probabilities that the pair with the next word is not known, and that it is."""
+        p = held.value.p(*_known(zeros.to_numpy().astype(float), ones.to_numpy().astype(float)), np.zeros(len(zeros), np.int64))
+        return pd.Series(list(np.column_stack([np.log10(1 - p), np.log10(p)])))
+
+    before = before.select("g", "piece", "n", flag("zeros", "ones").alias("flag"))
+    alone = score_words(in_order(dealt(one, scratch, group_rows), tasks(n_words), "key"), shared, held).select(F.col("h").alias("g"), "c", "logp")
+    alone = scratch.save(alone.join(before, "g"), "words")
+
+    both = dealt(pairs, scratch, group_rows)
+    held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, 3))
+    both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs), "scored")
+    # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
+    both = salted_join(both, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
+    uses = both.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
+    follow = uses.join(alone.select(F.col("g").alias("h"), F.col("logp").alias("alone")), "h")
+    both = salted_join(both, follow, "h", "uses", n_pairs, F.col("g"))
+
+    @F.pandas_udf("bigint")
+    def key(g: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(pair_hash(g.to_numpy().view(np.uint64), h.to_numpy().view(np.uint64)).view(np.int64))
+
+    values = both.select(key("g", "h").alias("key"), F.lit(None).cast("bigint").alias("base"), "c", (F.col("turn") + F.col("logp") - F.col("alone")).alias("v"))
+    own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag")[0]).alias("v"))
+    long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
+    values = scratch.save(values.unionByName(own).unionByName(long), "values")
+    n, v = values.agg(F.coalesce(F.sum("base"), F.lit(0)), F.count_if(F.col("base") > 0)).first()
+    return Fitted(values, n_pairs, n, v, table, held.value, held_pairs.value)
 
 
 # ---------------------------------------------------------------- texts
 
 
-def _top(scored: DataFrame, most: int) -> pa.Table:
-    """The words with the highest counts, ``most`` at most."""
+def _top(values: DataFrame, most: int) -> pa.Table:
+    """The words and pairs with the highest counts, ``most`` at most."""
     level = F.floor(F.log2(F.col("c")) * 8).cast("int")
-    sizes = scored.where("c > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 504 rows
+    sizes = values.where("c > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 504 rows
     n, least = 0, None
     for r in sizes:
         n += r["count"]
         if n > most:
             break
         least = r["level"]
-    top = scored.where("c > 0")
+    top = values.where("c > 0")
     return (top.where(level >= least) if least is not None else top.limit(0)).toArrow()
 
 
-def with_classes(scored: DataFrame, vocabulary: DataFrame, classes: int) -> tuple[DataFrame, list[float]]:
-    """word, c, logp, ratio (log10 P(word | class) / P(word) for each class), and the share of training texts of each class."""
-    both = scored.join(vocabulary.select("word", "by"), "word")
-    p, c = F.pow(F.lit(10.0), F.col("logp")), F.col("c")
-    n = both.agg(*(F.sum(F.col("by")[k]) for k in range(classes))).first()
-    total = sum(x or 0 for x in n)
-    share = [((x or 0) + 1) / (total + classes) for x in n]
-    given = [(F.col("by")[k] + CLASS_ALPHA * share[k]) / (c + CLASS_ALPHA) for k in range(classes)]
-    sums = both.agg(F.sum(p), *(F.sum(p * g) for g in given)).first()
-    # The mass of words that are not in the vocabulary is shared out like the tokens.
-    mass = [(sums[k + 1] or 0) + max(0.0, 1 - (sums[0] or 0)) * share[k] for k in range(classes)]
-    ends = both.where(F.col("word") == F.lit(b"")).select("by").first()
-    texts = [x + 1 for x in (ends["by"] if ends else [0] * classes)]
-    ratio = F.array(*(F.log10(g / F.lit(m)) for g, m in zip(given, mass, strict=True)))
-    return both.select("word", "c", "logp", ratio.alias("ratio")), [x / sum(texts) for x in texts]
-
-
-def score_texts(docs: DataFrame, scored: DataFrame, prior: list[float], scratch: Scratch, top_words: int = TOP_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int = TOP_KEYS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, held_out, n_bytes, n_tokens, n_known, log_c (sum of log10(c + ALPHA)), score of each text."""
-    top = _top(scored, top_words)
-    classes = len(prior)
-    c = top["c"].to_numpy().astype(np.float64)
-    values = np.column_stack([np.log10(c + ALPHA), top["logp"].to_numpy(), top["ratio"].combine_chunks().flatten().to_numpy().reshape(len(c), classes)])
-    held = docs.sparkSession.sparkContext.broadcast((top["word"].to_pylist(), values))
-    index: dict = {}
+    spark, values = docs.sparkSession, fitted.values
+    top = _top(values.select("key", "base", "c", "v"), top_keys)
+    keys = top["key"].to_numpy()
+    by = np.argsort(keys)
+    base = top["base"].to_numpy(zero_copy_only=False).astype(float)
+    numbers = np.column_stack([np.nan_to_num(base > 0), np.where(np.isnan(base), 0.0, np.log10(np.nan_to_num(base) + ALPHA)), top["v"].to_numpy()])[by]
+    held = spark.sparkContext.broadcast((np.append(keys[by], np.iinfo(np.int64).max), np.vstack([numbers, np.zeros(3)])))
+    known = bit_filter(values.where("base IS NULL").select(F.col("key").alias("h")), fitted.pairs, filter_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, values = held.value
-        if not index:
-            index.update(zip(words, range(len(words)), strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))
+        keys, numbers = held.value
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part, out = b.slice(lo, 1000), []
-                for text in part.column("text"):
-                    tokens = [*(text.as_py() or b"").lower().split(), b""]
-                    at = np.fromiter(map(index.get, tokens, [-1] * len(tokens)), np.int64, len(tokens))
-                    known = at[at >= 0]
-                    rest = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
-                    out.append((sum(map(len, tokens)) + len(tokens), len(tokens), len(known), values[known].sum(0), [{"word": w, "n": n} for w, n in rest.items()]))
-                cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), *cols], ["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "sums", "rest"])
-
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            for lo, hi in chunks(texts):
+                t = tokens(texts[lo:hi])
+                n = hi - lo
+                pair = pair_hash(t.before(), t.h)
+                key = np.concatenate([t.h, t.long_h, pair]).view(np.int64)
+                text = np.concatenate([t.text, t.long_text, t.text])
+                must = len(t.h) + len(t.long_h)  # words are all in the table, pairs may be
+                at = np.searchsorted(keys, key)
+                hit = keys[at] == key
+                sums = [np.bincount(text[hit], numbers[at[hit], k], n).astype(float) for k in range(3)]
+                miss = ~hit
+                if known is not None:
+                    miss[must:] &= in_filter(known.value, key[must:])
+                text, key = text[miss], key[miss]
+                by = np.lexsort((key, text))
+                text, key = text[by], key[by]
+                new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])] if len(text) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                times = np.diff(np.r_[first, len(text)])
+                ends = np.r_[0, np.cumsum(np.bincount(text[first], minlength=n))].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times.astype(np.int32))], ["key", "n"])).cast(kind)
+                size = np.bincount(t.text, t.end - t.begin, n).astype(np.int64) + t.n_words + 1
+                part = b.slice(lo, n)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(t.n_words + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rest], names)
+
+    names = ["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "log_c", "score", "rest"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), held_out(10).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    rows = scratch.save(rows.mapInArrow(run, "row bigint, doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, n_known bigint, sums array<double>, rest array<struct<word: binary, n: int>>"), "texts")
-    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n").join(scored, "word")
-    parts = [F.log10(F.col("c") + ALPHA), F.col("logp"), *(F.col("ratio")[k] for k in range(classes))]
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), *(F.sum(F.col("n") * x).alias(f"s{k}") for k, x in enumerate(parts)))
+    rows = scratch.save(rows.mapInArrow(run, "row bigint, doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, n_known bigint, log_c double, score double, rest array<struct<key: bigint, n: int>>"), "texts", compression="zstd")
+    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.key", "x.n").join(values, "key")
+    n = F.col("n")
+    logs = F.when(F.col("base").isNotNull(), n * F.log10(F.col("base") + ALPHA)).otherwise(0.0)
+    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("base") > 0, n).otherwise(0)).alias("known"), F.sum(logs).alias("logs"), F.sum(n * F.col("v")).alias("more"))
     out = rows.drop("rest").join(rest, "row", "left")
-    s = [F.col("sums")[k] + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(classes + 2)]
-    best = F.greatest(*s[2:]) if classes > 1 else s[2]
-    mixed = best + F.log10(sum((F.lit(q) * F.pow(F.lit(10.0), x - best) for q, x in zip(prior, s[2:], strict=True)), F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_bytes", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), s[0].alias("log_c"), (s[1] + mixed).alias("score"))
+    add = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+    return out.select("doc_id", "held_out", "n_bytes", "n_tokens", add("n_known", "known"), add("log_c", "logs"), add("score", "more"))
 
 
-def lm_score(docs: DataFrame, top_words: int = TOP_WORDS, class_col: str | None = "lang") -> DataFrame:
+def lm_score(docs: DataFrame, top_keys: int = TOP_KEYS, filter_bytes: int = FILTER_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    One row for each row of docs (doc_id, text; ``class_col`` if there). Nothing is learned from
-    rows whose crc32(doc_id as text) mod 10 is 0; a null doc_id counts as the empty text and so is
-    held out. Null texts are empty: their one token is the end. Words longer than DEPTH bytes cost
-    eight bits for each byte beyond. Without training rows the counts are zero, and base_score
-    is that of the smoothed counts. No rows: no rows.
+    One row for each row of docs (doc_id, text; other columns are not read). Nothing is learned
+    from rows whose crc32(doc_id as text) mod 10 is 0; a null doc_id counts as the empty text and
+    so is held out. Null texts are empty: their one token is the end. Words of more than PIECE
+    bytes, up to whole texts without white space, are modelled piece by piece to their end.
+    Repeated rows are texts of their own. Without training rows the counts are zero, and
+    base_score is that of the smoothed counts. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    spark = docs.sparkSession
-    counted, classes = count_words(docs, class_col)
-    vocabulary = scratch.save(counted, "vocabulary")
-    n, v, all_ = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
-    build = max(1, -(-all_ // 1_000_000))  # tables are added up: fewer, larger tasks
-    table = spark.sparkContext.broadcast(count_tables(sorted_words(vocabulary, build), build))
-    ordered = sorted_words(vocabulary, max(-(-all_ // 250_000), spark.sparkContext.defaultParallelism))
-    model = spark.sparkContext.broadcast(learn(ordered, table))
-    scored, prior = with_classes(scratch.save(score_words(ordered, table, model), "logp"), vocabulary, classes)
-    scored = scratch.save(scored, "scored")
-    out = score_texts(docs, scored, prior, scratch, top_words)
-    base = F.col("log_c") - F.col("n_tokens") * math.log10(n + ALPHA * (v + 1))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (F.col("score") * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
+    fitted = fit(docs.select("doc_id", "text"), scratch, group_rows)
+    out = score_texts(docs.select("doc_id", "text"), fitted, scratch, top_keys, filter_bytes)
+    base = F.col("log_c") - F.col("n_tokens") * math.log10(fitted.n + ALPHA * (fitted.v + 1))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (F.col("score") * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Language-model scores: counts against brute force, probabilities against their sum."""
+"""Language-model scores: counts and scores against brute force, and what they may not depend on."""
 
 import math
 import random
@@ -10,16 +10,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrain.llm import context_mixing as cm
+from cuegrain.llm.common import Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string"
 
 
+def held(i):
+    return zlib.crc32((str(i) if i is not None else "").encode()) % 10 == 0
+
+
 def brute(rows):
-    held = [zlib.crc32((str(i) if i is not None else "").encode()) % 10 == 0 for i, _, _ in rows]
     tokens = [[*(t or "").encode().lower().split(), None] for _, t, _ in rows]
-    c = Counter(w for h, ws in zip(held, tokens) if not h for w in ws)
+    c = Counter(w for (i, _, _), ws in zip(rows, tokens) if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    return [(i, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for (i, _, _), h, ws in zip(rows, held, tokens)]
+    return [(i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for (i, _, _), ws in zip(rows, tokens)]
 
 
 @pytest.fixture(scope="module")
@@ -33,17 +37,19 @@ def rows():
     return [*out, (None, "null id", None), (900, None, "en"), (901, "", None), (902, "x" * 5000 + " y", "fr"), (3, "repeated row", "en"), (3, "repeated row", "en")]
 
 
-@pytest.mark.parametrize("top", [cm.TOP_WORDS, 20])
-def test_counts(spark, rows, top):
+key = lambda r: (str(r[0]), r[2], r[3], round(r[5], 3))
+
+
+@pytest.mark.parametrize("limits", [{}, {"top_keys": 20, "group_rows": 7, "filter_bytes": 0}])
+def test_counts(spark, rows, limits):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("word", F.lit(1)).withColumn("score", F.lit("s"))
-    got = cm.lm_score(df, top_words=top).collect()
-    key = lambda r: (str(r[0]), r[2], r[3], round(r[5], 3))
+    got = cm.lm_score(df, **limits).collect()
     for a, b in zip(sorted(got, key=key), sorted(brute(rows), key=key), strict=True):
         assert tuple(a[:5]) == b[:5]
         assert a.base_score == pytest.approx(b[5], abs=1e-6)
         assert a.score < 0 and a.bits_per_byte > 0
-    held = [r for r in got if r.held_out and r.doc_id is not None]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) - 0.1 * sum(r.n_tokens for r in held)
+    some = [r for r in got if r.held_out and r.doc_id is not None]
+    assert sum(r.score for r in some) > sum(r.base_score for r in some)
 
 
 def test_tables(spark):
@@ -52,16 +58,125 @@ def test_tables(spark):
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(True, 3, 0, 0)]
 
 
-def test_probabilities_of_all_short_words_do_not_pass_one(spark):
-    letters = b"abc"
-    words = [b"", *(bytes([x]) for x in letters), *(bytes([x, y]) for x in letters for y in letters), *(bytes(w) for w in np.array(np.meshgrid(*[list(letters)] * 6)).T.reshape(-1, 6).tolist())]
-    rnd = random.Random(1)
-    vocabulary = spark.createDataFrame([(w, rnd.choice([0, 0, 1, 5, 300])) for w in words], "word binary, c bigint")
-    table = spark.sparkContext.broadcast(cm.count_tables(cm.sorted_words(vocabulary, 1), 1))
-    ordered = cm.sorted_words(vocabulary, 3)
-    model = spark.sparkContext.broadcast(cm.learn(ordered, table))
-    got = cm.score_words(ordered, table, model).collect()
-    assert len(got) == len(words)
-    assert 0.5 < sum(10**r.logp for r in got) < 1.0
-    rate = lambda c: np.mean([r.logp for r in got if r.c == c])
-    assert rate(300) > rate(5) > rate(0)
+def test_scores_do_not_depend_on_held_out_texts_or_partitions(spark, rows):
+    score = lambda df: {(r.doc_id, r.n_tokens, r.score) for r in cm.lm_score(df).collect() if not r.held_out}
+    one = sorted(score(spark.createDataFrame(rows, SCHEMA)))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = [(i, "zzz thon " * 50 if held(i) else t, x) for i, t, x in reversed(rows)]
+        two = sorted(score(spark.createDataFrame(other, SCHEMA).repartition(5)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for a, b in zip(one, two, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_order_of_words_counts(spark):
+    rnd = random.Random(5)
+    say = lambda: "the cat of the house sat on the old mat in the sun and a dog ran to the door of the barn".split()[rnd.randrange(6) :]
+    texts = [" ".join(say()) for _ in range(300)]
+    mixed = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts[:50]]
+    ids = [i for i in range(2000) if held(i)][:50]
+    train = [i for i in range(2000) if not held(i)][:250]
+    rows = [*zip(train, texts[50:]), *zip(ids, texts[:50])]
+    right = cm.lm_score(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").agg(F.sum("score")).first()[0]
+    wrong = cm.lm_score(spark.createDataFrame([*zip(train, texts[50:]), *zip(ids, mixed)], "doc_id bigint, text string")).where("held_out").agg(F.sum("score")).first()[0]
+    assert right > wrong + 50
+
+
+# ---------------------------------------------------------------- brute force
+
+
+def names_of(text):
+    """Names of a text's model tokens, one after the other."""
+    out = []
+    for w in (text or "").encode().lower().split():
+        parts = [w[k : k + cm.PIECE] for k in range(0, len(w), cm.PIECE)]
+        out += [(b"\t" if k else b"") + p + (b"\n" if k < len(parts) - 1 else b" ") for k, p in enumerate(parts)]
+    return [*out, b" "]
+
+
+class Slow:
+    """The scorer without Spark, trees or hashes: counts in dictionaries, one bit at a time."""
+
+    def __init__(self, rows, fitted):
+        texts = [names_of(t) for i, t, _ in rows if not held(i)]
+        self.c = Counter(w for t in texts for w in t)
+        pairs = Counter(p for t in texts for p in zip([b" ", *t], t))
+        self.pairs = {p: n for p, n in pairs.items() if n > 1}
+        self.fitted = fitted
+        self.small = Counter()
+        self.words, self.after = Counter(), Counter()
+        for w, n in self.c.items():
+            self.add(self.words, (), w, n)
+            for s in self.tables(w):
+                self.small[s] += n
+        self.known = Counter()
+        for (p, w), n in self.pairs.items():
+            self.add(self.after, (p,), w, n)
+            self.known[p] += n * (n > 2)
+
+    @staticmethod
+    def bits(w):
+        return [(d, bit, w[d] >> bit & 1) for d in range(len(w)) for bit in range(7, -1, -1)]
+
+    def add(self, counts, context, w, n):
+        for d, bit, y in self.bits(w):
+            counts[*context, w[:d], bit, w[d] >> (bit + 1), y] += n
+
+    def tables(self, w):
+        for d, bit, y in self.bits(w):
+            one, two = w[d - 1] if d else 32, w[d - 2] if d > 1 else 32
+            for c in ((0, one), (1, two, one), (2, min(d, 15), one)):
+                yield (*c, bit, w[d] >> (bit + 1), y)
+
+    def log(self, model, counts, context, w):
+        total = 0.0
+        slots = iter(self.tables(w))
+        value = lambda n: float(cm._value[cm._code(np.array([n]))[0]])
+        for d, bit, y in self.bits(w):
+            x, levels = [], []
+            for _ in range(3):
+                s = next(slots)
+                n0, n1 = (value(self.small[(*s[:-1], v)]) for v in (0, 1))
+                x.append(math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)))
+                levels.append(int(cm._seen(n0 + n1)))
+            n0, n1 = (counts[*context, w[:d], bit, w[d] >> (bit + 1), v] for v in (0, 1))
+            x += [math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), 0.3]
+            gate = (bit * cm.SEEN + int(cm._seen(n0 + n1))) * cm.SEEN + levels[1]
+            p = self.p(model, x, gate, 1 << (7 - bit) | w[d] >> (bit + 1))
+            total += math.log10(p if y else 1 - p)
+        return total
+
+    @staticmethod
+    def p(model, x, gate, node):
+        z = sum(a * b for a, b in zip(x, model.weights[gate], strict=True))
+        at = (min(max(z, -11.99), 11.99) + 12) * (cm.CELLS - 1) / 24
+        low = int(at)
+        refined = model.cells[node, low] * (low + 1 - at) + model.cells[node, low + 1] * (at - low)
+        return min(max((1 / (1 + math.exp(-min(max(z, -16), 16))) + refined) / 2, 1e-7), 1 - 1e-7)
+
+    def score(self, text):
+        total, before = 0.0, b" "
+        for w in names_of(text):
+            n1 = self.known[before]
+            n0 = self.c[before] - n1
+            x = [0, 0, 0, math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), 0.3]
+            known = self.p(self.fitted.words, x, 8 * cm.SEEN**2 + int(cm._seen(n0 + n1)), 0)
+            if (before, w) in self.pairs:
+                total += math.log10(known) + self.log(self.fitted.pairs_model, self.after, (before,), w)
+            else:
+                total += math.log10(1 - known) + self.log(self.fitted.words, self.words, (), w)
+            before = w
+        return total
+
+
+@pytest.mark.parametrize("group_rows", [cm.GROUP_ROWS, 5])
+def test_scores_equal_brute_force(spark, rows, group_rows):
+    rows = [*rows[:60], *rows[-6:-2], (905, "a" * 70 + "b" * 70 + " end", "en"), (906, "a" * 70 + "b" * 70 + " end", "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    scratch = Scratch(spark)
+    fitted = cm.fit(df, scratch, group_rows)
+    slow = Slow(rows, fitted)
+    got = cm.score_texts(df, fitted, scratch).collect()
+    assert sorted(r.score for r in got) == pytest.approx(sorted(slow.score(t) for _, t, _ in rows), rel=1e-6)
