@@ -49,6 +49,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = self.path(name)
         df.write.options(**options).parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cuegrain_path = path
         return out
@@ -168,13 +169,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
+    if len(_powers[0]) < n:
+        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)]), dtype=np.uint64) for x in (_BASE, back)]
+    return _powers
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word's bytes, the same in every process."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    lens = ends - starts
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lens.max()), _BASE)]), dtype=np.uint64)
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
-    values = _byte_value[buf[at]] * power[at - np.repeat(starts, lens)]
-    firsts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    return mix64(np.add.reduceat(values, firsts) + lens.astype(np.uint64))
+    up, down = _powers_to(len(buf))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_byte_value[buf] * up[: len(buf)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -20,13 +20,14 @@ so far) is evaluated once, for all texts that pass it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ END, CUT, LEAD = 0x20, 0x0A, 0x09
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 #: Kinds of counted rows: pairs, words (and pieces) of the model, whole words that were cut to pieces.
 PAIR, WORD, LONG = 0, 1, 2
-#: Bytes of text that a task counts at once.
-COUNT_BYTES = 24 << 20
+#: Bytes of text that a task takes apart, and that it counts, at once.
+CHUNK, COUNT_BYTES = 1 << 18, 8 << 20
+#: Bytes of text whose words and pairs one task adds up.
+BUCKET_BYTES = 32 << 20
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
 TOP_KEYS = 1 << 20
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
@@ -80,12 +83,6 @@ class Tokens:
     long_text: np.ndarray  # text and hash of each word that was cut
     long_h: np.ndarray
 
-    def name(self, i: int) -> bytes:
-        if self.begin[i] == self.end[i]:
-            return bytes([END])
-        own = self.buf[self.begin[i] : self.end[i]].tobytes()
-        return (bytes([LEAD]) if self.lead[i] else b"") + own + bytes([CUT if self.cut[i] else END])
-
     def before(self) -> np.ndarray:
         """Hash of the token before each one; before the first of a text stands the end of one."""
         return np.concatenate([[END_HASH], self.h[:-1]])
@@ -133,36 +130,60 @@ def name_hash(names: list[bytes]) -> np.ndarray:
 COUNTED = "kind int, g bigint, w binary, c bigint"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(kind: int, g: np.ndarray, w: pa.Array, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(g), 50_000):
-            part = slice(lo, lo + 50_000)
-            n = len(g[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(g[part].view(np.int64)), w.slice(lo, n), pa.array(c[part].astype(np.int64))], ["kind", "g", "w", "c"])
+def _names(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Names of tokens: their bytes, between the marks of a piece where they are one, and the end byte."""
+    size = end - begin + lead + 1
+    stop = np.cumsum(size)
+    at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - lead - stop + size, size)
+    out = buf[np.clip(at, 0, len(buf) - 1)]
+    out[stop - 1] = np.where(cut, CUT, END)
+    out[(stop - size)[lead]] = LEAD
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, stop].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+class _Memtable:
+    """Tokens of some texts, told apart by their hashes."""
+
+    def __init__(self):
+        self.bufs, self.kept, self.number, self.train, self.long, self.size = [], [], [], [], [], 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def add(self, texts: list[bytes], held: np.ndarray) -> None:
         t = tokens(texts)
-        train = ~np.array(held)[t.text]
-        words, first, number = np.unique(t.h, return_index=True, return_inverse=True)
-        names = pa.array([t.name(i) for i in first.tolist()], pa.binary())
-        yield from rows(WORD, words, names, np.bincount(number, train, len(words)))
-        before = np.searchsorted(words, END_HASH) if len(words) else 0
-        pairs, n = np.unique((np.concatenate([[before], number[:-1]]) * len(words) + number)[train], return_counts=True)
-        yield from rows(PAIR, words[pairs // len(words)], names.take(pa.array(pairs % len(words))), n)
-        if len(t.long_h):
-            yield from rows(LONG, t.long_h, pa.array([b""] * len(t.long_h), pa.binary()), ~np.array(held)[t.long_text])
-
-    texts, held, size = [], [], 0
-    for b in batches:
-        for text, h in zip(b.column("text"), b.column("held").to_pylist(), strict=True):
-            texts.append(text.as_py() or b"")
-            held.append(h)
-            size += len(texts[-1])
-            if size >= COUNT_BYTES or len(texts) >= 100_000:
-                yield from flush()
-                texts, held, size = [], [], 0
-    if texts:
-        yield from flush()
+        h, first, number = np.unique(t.h, return_index=True, return_inverse=True)
+        self.bufs.append(t.buf)
+        self.kept.append((h, t.begin[first] + self.size, t.end[first] + self.size, t.lead[first], t.cut[first]))
+        self.number.append(number)
+        self.train.append(~held[t.text])
+        self.long.append((t.long_h, ~held[t.long_text]))
+        self.size += len(t.buf)
+
+    def table(self) -> tuple[pa.Table, np.ndarray]:
+        """COUNTED rows, and the hash of each one's word."""
+        train = np.concatenate(self.train)
+        h, begin, end, lead, cut = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        words, first = np.unique(h, return_index=True)
+        names = _names(np.concatenate(self.bufs), begin[first], end[first], lead[first], cut[first])
+        number = np.concatenate([np.searchsorted(words, k[0])[n] for k, n in zip(self.kept, self.number, strict=True)])
+        pairs = np.concatenate([[np.searchsorted(words, END_HASH)], number[:-1]]) * len(words) + number
+        pairs, n = np.unique(pairs[train], return_counts=True)
+        before, word = pairs // len(words), pairs % len(words)
+        long, c = (np.concatenate(x) for x in zip(*self.long, strict=True))
+        parts = [(PAIR, words[before], names.take(pa.array(word)), n), (WORD, words, names, np.bincount(number, train, len(words))), (LONG, long, pa.array([b""] * len(long), pa.binary()), c)]
+        rows = pa.concat_tables([pa.table({"kind": pa.array(np.full(len(g), kind, np.int32)), "g": pa.array(g.view(np.int64)), "w": w, "c": pa.array(c.astype(np.int64))}) for kind, g, w, c in parts])
+        return rows, np.concatenate([words[word], words, long])
+
+    def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The rows of each bucket (by both words of a pair) as compressed Arrow data."""
+        t, word = self.table()
+        bucket = (pair_hash(t["g"].to_numpy().view(np.uint64), word) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        t = t.take(pa.array(by))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t.slice(cuts[k], cuts[k + 1] - cuts[k]).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "rows"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -170,8 +191,29 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     Words are there for all texts, pairs only where they occur twice or more in training texts.
     """
-    rows = docs.select(F.col("text").cast("binary").alias("text"), held_out(10).alias("held")).mapInArrow(_count, COUNTED)
-    return rows.groupBy("kind", "g", "w").agg(F.sum("c").alias("c")).where((F.col("kind") != PAIR) | (F.col("c") > 1))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), size // BUCKET_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Memtable()
+        for b in batches:
+            texts, held = [t or b"" for t in b.column("text").to_pylist()], np.array(b.column("held").to_pylist(), bool)
+            for lo, hi in chunks(texts, CHUNK):
+                table.add(texts[lo:hi], held[lo:hi])
+                if table.size >= COUNT_BYTES:
+                    yield from table.packed(buckets)
+                    table = _Memtable()
+        if table.size:
+            yield from table.packed(buckets)
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["rows"]])
+        rows = rows.group_by(["kind", "g", "w"]).aggregate([("c", "sum")])
+        rows = rows.filter((pc.field("kind") != PAIR) | (pc.field("c_sum") > 1))
+        return pa.table({"kind": rows["kind"], "g": rows["g"], "w": rows["w"], "c": rows["c_sum"]})
+
+    rows = docs.select(F.col("text").cast("binary").alias("text"), held_out(10).alias("held")).mapInArrow(run, "bucket bigint, rows binary")
+    return rows.groupBy("bucket").applyInArrow(add, COUNTED)
 
 
 # ---------------------------------------------------------------- trees of words
@@ -245,7 +287,7 @@ def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
     for rows, at, _, d, bit, _, _, z, o in b.steps():
         zeros[rows, 8 * d + 7 - bit], ones[rows, 8 * d + 7 - bit] = z[at], o[at]
     cut = (8 * b.lens).tolist()
-    return pd.DataFrame({"g": pdf["g"], "head": pdf["head"], "kid": pdf["kid"], "z": [x[:k].tolist() for x, k in zip(zeros, cut, strict=True)], "o": [x[:k].tolist() for x, k in zip(ones, cut, strict=True)]})
+    return pd.DataFrame({"g": pdf["g"], "head": pdf["head"], "kid": pdf["kid"], "z": [x[:k].tobytes() for x, k in zip(zeros, cut, strict=True)], "o": [x[:k].tobytes() for x, k in zip(ones, cut, strict=True)]})
 
 
 def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -257,7 +299,7 @@ def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> D
     heads, k = [], 0
     rows = words.withColumn("head", F.lit(b""))
     hot = scratch.save(rows.groupBy("g", "head").count().where(F.col("count") > group_rows).select("g", "head"), "hot")
-    above = hot.select("g", "head", F.array().cast("array<double>").alias("zeros"), F.array().cast("array<double>").alias("ones"))
+    above = hot.select("g", "head", F.lit(b"").alias("zeros"), F.lit(b"").alias("ones"))
     while not hot.isEmpty():
         k += HEAD
         rows = rows.join(F.broadcast(hot.withColumn("split", F.lit(True))), ["g", "head"], "left")
@@ -265,14 +307,14 @@ def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> D
         rows = rows.withColumn("kid", kid)
         kids = rows.where("split").groupBy("g", "head", "kid").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
         kids = scratch.save(kids, "kids")
-        paths = kids.groupBy("g", "head").applyInPandas(_paths, "g bigint, head binary, kid binary, z array<double>, o array<double>")
+        paths = kids.groupBy("g", "head").applyInPandas(_paths, "g bigint, head binary, kid binary, z binary, o binary")
         paths = paths.join(above, ["g", "head"]).select("g", F.col("kid").alias("head"), F.concat("zeros", "z").alias("zeros"), F.concat("ones", "o").alias("ones"))
         paths = scratch.save(paths, "heads")
         hot = scratch.save(kids.where(F.col("n") > group_rows).select("g", F.col("kid").alias("head")), "hot")
         heads.append(paths.join(F.broadcast(hot), ["g", "head"], "left_anti"))
         above = paths.join(F.broadcast(hot), ["g", "head"], "left_semi")
         rows = rows.select("g", "w", "c", F.col("kid").alias("head"))
-    none = F.lit(None).cast("array<double>")
+    none = F.lit(None).cast("binary")
     rows = rows.select("g", "head", "w", "c", none.alias("zeros"), none.alias("ones"))
     if heads:
         rows = rows.unionByName(reduce(DataFrame.unionByName, heads).select("g", "head", F.lit(None).cast("binary").alias("w"), F.lit(0).cast("bigint").alias("c"), "zeros", "ones"))
@@ -291,7 +333,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
     def block(t: pa.Table, new: np.ndarray) -> tuple[int, np.ndarray, Block]:
         group = np.cumsum(new) - 1
         head = t.column("w").is_null().to_numpy()
-        heads = {int(group[i]): (np.array(t.column("zeros")[i].as_py()), np.array(t.column("ones")[i].as_py())) for i in np.flatnonzero(head).tolist()}
+        heads = {int(group[i]): (np.frombuffer(t.column("zeros")[i].as_py()), np.frombuffer(t.column("ones")[i].as_py())) for i in np.flatnonzero(head).tolist()}
         own = np.flatnonzero(~head)
         names = t.column("w").take(pa.array(own)).to_pylist()
         return t.column("stream")[0].as_py(), t.column("g").to_numpy()[own], Block(names, t.column("c").to_numpy()[own], group[own], heads)
@@ -353,17 +395,17 @@ def _lookups() -> tuple[np.ndarray, np.ndarray]:
 _LUT, _LEVEL = _lookups()
 
 
-def _inputs(table: np.ndarray, slots, zeros: np.ndarray, ones: np.ndarray, bit: int, less: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions (inputs by nodes) and the gate of each; ``less``: a bit that is left out once."""
+def _inputs(table: np.ndarray, slots, zeros: np.ndarray, ones: np.ndarray, bit: int, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions (inputs by nodes) and the gate of each; ``less``: the value of the bit that is left out once."""
     x = np.empty((INPUTS, len(zeros)))
     off = 0 if less is None else (1 + less) << 16
     for k, s in enumerate(slots):
-        at = table[s].astype(np.int32) + off
+        at = table[s].astype(np.int64) + off
         x[k] = _LUT[at]
         if k == 1:
             level = _LEVEL[at]  # of the context of two bytes
     if less is not None:
-        zeros, ones = (zeros, np.maximum(ones - 1, 0)) if less else (np.maximum(zeros - 1, 0), ones)
+        zeros, ones = np.maximum(zeros - 1 + less, 0), np.maximum(ones - less, 0)
     x[-2] = _stretch(zeros, ones)
     x[-1] = 0.3
     return x, (bit * SEEN + _seen(zeros + ones)) * SEEN + level
@@ -376,12 +418,6 @@ def _known(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return x, 8 * SEEN * SEEN + _seen(zeros + ones)
 
 
-def _both(inputs: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and gates for a bit that is 0 and for one that is 1."""
-    (a, g), (b, h) = inputs(0), inputs(1)
-    return np.concatenate([a, b], 1), np.r_[g, h]
-
-
 def _squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -16, 16)))
 
@@ -420,10 +456,6 @@ class Learner:
 
     def see(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, y: np.ndarray, mass: np.ndarray) -> None:
         """Predict bits, then learn from their values ``y``, which occurred ``mass`` times."""
-        some = np.flatnonzero(mass > 0)
-        if not len(some):
-            return
-        x, gate, node, y, mass = x[:, some], gate[some], node[some], y[some], mass[some]
         z = np.einsum("kn,nk->n", x, self.w[gate])
         p = _squash(z)
         here, number = np.unique(gate, return_inverse=True)
@@ -462,26 +494,33 @@ def _model(sums: np.ndarray) -> Model:
 
 
 def count_tables(words: DataFrame) -> np.ndarray:
-    """Codes of zeros and ones of each slot of the tables, summed by Spark. Their size is that of all contexts there can be."""
+    """Codes of zeros and ones of each slot of the tables, from words and their counts (w, c), summed by Spark.
+
+    Their size is that of all contexts there can be. Bytes are counted, and the nodes of a context summed from them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, b in _blocks(batches, 2 * BLOCK):
-            parts = []
-            for rows, at, first, d, _, node, y, _, _ in b.steps():
-                c = b.counts[rows]
-                ones, both = np.bincount(at, c * y, len(first)), np.bincount(at, c, len(first))
-                parts += [(s, both - ones, ones) for s in b.slots(first, d, node)]
-            slot, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            sums = [np.bincount(back, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2)]
-            for lo in range(0, len(slot), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (slot, *sums)], ["slot", "zeros", "ones"])
+        for b in batches:
+            w = b.column("w")
+            lens = pc.binary_length(w).to_numpy()
+            flat = np.frombuffer(b"".join(w.to_pylist()), np.uint8).astype(np.int64)
+            c = np.repeat(b.column("c").to_numpy(), lens).astype(float)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+            one, two = (np.where(place >= k, np.roll(flat, k), END) for k in (1, 2))
+            slot = np.concatenate([one << 8, OFFSETS[1] + (two << 16 | one << 8), OFFSETS[2] + (np.minimum(place, 15) << 16 | one << 8)]) | np.tile(flat, 3)
+            slot, back = np.unique(slot, return_inverse=True)
+            n = np.bincount(back, np.tile(c, 3)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = np.zeros(SLOTS, np.uint16)
-        codes[pdf["slot"].to_numpy() % SLOTS] = _code(pdf["zeros"].to_numpy()).astype(np.uint16) << 8 | _code(pdf["ones"].to_numpy())
+        n, codes = np.zeros(SLOTS), np.zeros((SLOTS // 256, 256), np.uint16)
+        n[pdf["slot"].to_numpy() % SLOTS] = pdf["n"].to_numpy()
+        for d in range(8):
+            both = n.reshape(-1, 1 << d, 2, 1 << (7 - d)).sum(3)
+            codes[:, 1 << d : 2 << d] = _code(both[:, :, 0]).astype(np.uint16) << 8 | _code(both[:, :, 1])
         return pd.DataFrame({"k": [pdf["slot"].iloc[0] // SLOTS], "codes": [codes.tobytes()]})
 
-    slots = words.mapInArrow(count, "slot bigint, zeros bigint, ones bigint").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    slots = words.select("w", "c").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     out = np.zeros(int(OFFSETS[-1]), np.uint16)
     for r in slots.groupBy(F.shiftright("slot", 16)).applyInPandas(code, "k bigint, codes binary").toLocalIterator():  # 273 rows at most
         out[r["k"] * SLOTS : (r["k"] + 1) * SLOTS] = np.frombuffer(r["codes"], np.uint16)
@@ -504,7 +543,7 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, last = Learner(), None
+        learner, last, t = Learner(), None, table.value
         for stream, _, b in _blocks(batches, BLOCK):
             if last is not None and stream != last:
                 yield out(learner)
@@ -514,7 +553,11 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
                 c = b.counts[rows] * (b.counts[rows] >= least)
                 one = np.bincount(at, c * y, len(first))
                 slots = b.slots(first, d, node)
-                learner.see(*_both(lambda v: _inputs(table.value, slots, zeros, ones, bit, v)), np.tile(node, 2), np.repeat([0, 1], len(first)), np.r_[np.bincount(at, c, len(first)) - one, one])  # noqa: B023
+                mass = np.r_[np.bincount(at, c, len(first)) - one, one]
+                some = np.flatnonzero(mass)
+                if len(some):
+                    v, on = some // len(first), some % len(first)
+                    learner.see(*_inputs(t, [s[on] for s in slots], zeros[on], ones[on], bit, v), node[on], v, mass[some])
         if last is not None:
             yield out(learner)
 
@@ -522,7 +565,10 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
         learner, pdf = Learner(), pdf.sort_values("g")
         for lo in range(0, len(pdf), 512):
             z, o = (pdf[c].iloc[lo : lo + 512].to_numpy().astype(float) for c in ("zeros", "ones"))
-            learner.see(*_both(lambda v: _known(np.maximum(z - 1 + v, 0), np.maximum(o - v, 0))), np.zeros(2 * len(z), np.int64), np.repeat([0, 1], len(z)), np.r_[z, o])  # noqa: B023
+            v, mass = np.repeat([0, 1], len(z)), np.r_[z, o]
+            x, gate = _known(np.maximum(np.tile(z, 2) - 1 + v, 0), np.maximum(np.tile(o, 2) - v, 0))
+            some = np.flatnonzero(mass)
+            learner.see(x[:, some], gate[some], np.zeros(len(some), np.int64), v[some], mass[some])
         return out(learner).to_pandas()
 
     sums = [in_order(words, streams, "stream", streams).mapInArrow(run, "at bigint, x double")]
@@ -573,7 +619,7 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     words = counted.where(F.col("kind") == WORD).select("g", "w", "c")
     one = words.select(F.lit(0).cast("bigint").alias("g"), "w", "c")
     train = dealt(one.where("c > 0"), scratch, group_rows)
-    table = count_tables(in_order(train, tasks(n_train), "key"))
+    table = count_tables(words.where("c > 0"))
     shared = spark.sparkContext.broadcast(table)
 
     # After a word, a pair counts as known if it stays so without the occurrence looked at.
@@ -581,7 +627,7 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     after = pairs.groupBy("g").agg(F.sum(F.when(F.col("c") > 2, F.col("c")).otherwise(0)).alias("ones"), F.count(F.lit(1)).alias("n"))
     piece = (F.substring("w", -1, 1) == F.lit(bytes([CUT]))) | (F.substring("w", 1, 1) == F.lit(bytes([LEAD])))
     before = words.select("g", "c", piece.alias("piece")).join(after, "g", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("ones", "n")})
-    before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
+    kept = before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
     known = before.where("zeros + ones > 0").select(F.pmod("g", F.lit(streams(n_train))).alias("stream"), "g", "zeros", "ones")
     held = spark.sparkContext.broadcast(learn(train, streams(n_train), shared, known))
 
@@ -597,7 +643,7 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
 
     both = dealt(pairs, scratch, group_rows)
     held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, 3))
-    both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs), "scored")
+    scored = both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs), "scored")
     # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
     both = salted_join(both, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
     uses = both.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
@@ -612,6 +658,8 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag")[0]).alias("v"))
     long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
     values = scratch.save(values.unionByName(own).unionByName(long), "values")
+    for done in (counted, kept, alone, scored):
+        scratch.drop(done)
     n, v = values.agg(F.coalesce(F.sum("base"), F.lit(0)), F.count_if(F.col("base") > 0)).first()
     return Fitted(values, n_pairs, n, v, table, held.value, held_pairs.value)
 
@@ -633,33 +681,54 @@ def _top(values: DataFrame, most: int) -> pa.Table:
     return (top.where(level >= least) if least is not None else top.limit(0)).toArrow()
 
 
+class Finder:
+    """Places of 64-bit hashes in a sorted array of them, by a directory of their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(np.sort(keys.view(np.uint64)), np.uint64((1 << 64) - 1))
+        self.shift = np.uint64(64 - max(8, len(self.keys).bit_length() + 1))
+        self.low = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place whose key is not smaller, whether it is equal) of each hash."""
+        at = self.low[(h >> self.shift).view(np.int64)].astype(np.int64)
+        behind = np.flatnonzero(self.keys[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < h[behind]]
+        return at, self.keys[at] == h
+
+
 def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int = TOP_KEYS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, held_out, n_bytes, n_tokens, n_known, log_c (sum of log10(c + ALPHA)), score of each text."""
     spark, values = docs.sparkSession, fitted.values
     top = _top(values.select("key", "base", "c", "v"), top_keys)
-    keys = top["key"].to_numpy()
-    by = np.argsort(keys)
+    keys = top["key"].to_numpy().astype(np.int64)
+    by = np.argsort(keys.view(np.uint64))
     base = top["base"].to_numpy(zero_copy_only=False).astype(float)
     numbers = np.column_stack([np.nan_to_num(base > 0), np.where(np.isnan(base), 0.0, np.log10(np.nan_to_num(base) + ALPHA)), top["v"].to_numpy()])[by]
-    held = spark.sparkContext.broadcast((np.append(keys[by], np.iinfo(np.int64).max), np.vstack([numbers, np.zeros(3)])))
+    held = spark.sparkContext.broadcast((keys[by], np.vstack([numbers, np.zeros(3)])))
+    finder: list[Finder] = []
     known = bit_filter(values.where("base IS NULL").select(F.col("key").alias("h")), fitted.pairs, filter_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers = held.value
+        if not finder:  # once a worker
+            finder.append(Finder(keys))
         kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 t = tokens(texts[lo:hi])
                 n = hi - lo
                 pair = pair_hash(t.before(), t.h)
-                key = np.concatenate([t.h, t.long_h, pair]).view(np.int64)
+                key = np.concatenate([t.h, t.long_h, pair])
                 text = np.concatenate([t.text, t.long_text, t.text])
                 must = len(t.h) + len(t.long_h)  # words are all in the table, pairs may be
-                at = np.searchsorted(keys, key)
-                hit = keys[at] == key
-                sums = [np.bincount(text[hit], numbers[at[hit], k], n).astype(float) for k in range(3)]
-                miss = ~hit
+                at, hit = finder[0].find(key)
+                found, at = text[hit], at[hit]
+                sums = [np.bincount(found, numbers[at, k], n).astype(float) for k in range(3)]
+                key, miss = key.view(np.int64), ~hit
                 if known is not None:
                     miss[must:] &= in_filter(known.value, key[must:])
                 text, key = text[miss], key[miss]
