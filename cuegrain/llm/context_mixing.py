@@ -4,7 +4,8 @@ A text is its lower-cased words, each with an end byte, and one end of text. Alo
 word is predicted given the one before. First a bit says whether the two have been seen together
 (twice or more in the training texts); it is predicted from the counts of the word before. Then
 come the bits of the word: with the word before and the word so far as their context if the pair
-is known, with the word so far otherwise. Next to that exact context stand predictors of one byte,
+is known (bits that no other known word has otherwise are certain then), with the word so far if
+not. Next to that exact context stand predictors of one byte,
 two bytes, and the place in the word with one byte, each in a table that has a slot for every
 context there can be. Predictions are mixed in the logistic domain by weights that a gate picks
 (how often the contexts were seen, and the bit); weights are learned online along fixed streams of
@@ -48,7 +49,7 @@ CHUNK, COUNT_BYTES = 1 << 18, 8 << 20
 #: Bytes of text whose words and pairs one task adds up.
 BUCKET_BYTES = 32 << 20
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
-TOP_KEYS = 1 << 20
+TOP_KEYS = 1 << 19
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
 FILTER_BYTES = 1 << 25
 #: Distinct words below one beginning; a beginning with more is split at HEAD more bytes.
@@ -196,7 +197,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Memtable()
-        for b in batches:
+        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts, held = [t or b"" for t in b.column("text").to_pylist()], np.array(b.column("held").to_pylist(), bool)
             for lo, hi in chunks(texts, CHUNK):
                 table.add(texts[lo:hi], held[lo:hi])
@@ -245,11 +246,17 @@ class Block:
             self.deep[g] = len(zeros)
             self.above[0, g, : len(zeros)], self.above[1, g, : len(zeros)] = zeros, ones
 
-    def steps(self):
-        """(rows, place of each row's node, first row of each node, d, bit, partial byte of each node, y of each row, zeros, ones) of each bit."""
+    def steps(self, branches: bool = False):
+        """(rows, place of each row's node, first row of each node, d, bit, partial byte of each node, y of each row, zeros, ones) of each bit.
+
+        With ``branches``, words that are alone below a node are not followed further.
+        """
         rows, new = np.arange(self.n), self.start
         for d in range(self.m.shape[1]):
-            stay = np.flatnonzero(self.lens[rows] > d)
+            stay = self.lens[rows] > d
+            if branches and len(rows):
+                stay &= ~(new & np.append(new[1:], True)) | (self.deep[self.group[rows]] > 8 * d)
+            stay = np.flatnonzero(stay)
             if len(stay) < len(rows):
                 new = np.logical_or.reduceat(new[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else new[:0]
                 rows = rows[stay]
@@ -530,10 +537,11 @@ def count_tables(words: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- learning and scoring
 
 
-def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None, least: int = 1) -> Model:
+def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None, sure: bool = False) -> Model:
     """The model of dealt words: each stream of groups is learned online, then streams are averaged by the bits they saw.
 
-    Words with a count below ``least`` count for others, but are not learned from. ``known`` has
+    ``sure``: the next word is one of the context's own, so bits with one outcome are certain, and
+    words that would not be left after leaving one occurrence out (counts below 3) are not learned from. ``known`` has
     the counts (stream, g, zeros, ones) of the bit of known pairs, one row a word before.
     """
 
@@ -549,12 +557,12 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
                 yield out(learner)
                 learner = Learner()
             last = stream
-            for rows, at, first, d, bit, node, y, zeros, ones in b.steps():
-                c = b.counts[rows] * (b.counts[rows] >= least)
+            for rows, at, first, d, bit, node, y, zeros, ones in b.steps(sure):
+                c = b.counts[rows] * (b.counts[rows] >= (3 if sure else 1))
                 one = np.bincount(at, c * y, len(first))
                 slots = b.slots(first, d, node)
                 mass = np.r_[np.bincount(at, c, len(first)) - one, one]
-                some = np.flatnonzero(mass)
+                some = np.flatnonzero((mass > 0) & np.tile((zeros > 0) & (ones > 0), 2)) if sure else np.flatnonzero(mass)
                 if len(some):
                     v, on = some // len(first), some % len(first)
                     learner.see(*_inputs(t, [s[on] for s in slots], zeros[on], ones[on], bit, v), node[on], v, mass[some])
@@ -580,15 +588,20 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
     return _model(total)
 
 
-def score_words(words: DataFrame, table, model) -> DataFrame:
+def score_words(words: DataFrame, table, model, sure: bool = False) -> DataFrame:
     """g, h (hash of the word), c, logp: the model's log10 probability of each dealt word in its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g, b in _blocks(batches, 2 * BLOCK):
             logp = np.zeros(b.n)
-            for rows, at, first, d, bit, node, y, zeros, ones in b.steps():
-                p = model.value.p(*_inputs(table.value, b.slots(first, d, node), zeros, ones, bit), node)[at]
-                logp[rows] += np.log10(np.where(y == 1, p, 1 - p))
+            for rows, at, first, d, bit, node, y, zeros, ones in b.steps(sure):
+                some = np.flatnonzero((zeros > 0) & (ones > 0)) if sure else np.arange(len(first))
+                if not len(some):
+                    continue
+                p = np.zeros((2, len(first)))
+                one = model.value.p(*_inputs(table.value, [s[some] for s in b.slots(first, d, node)], zeros[some], ones[some], bit), node[some])
+                p[0, some], p[1, some] = np.log10(1 - one), np.log10(one)
+                logp[rows] += p[y, at]
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(name_hash(b.names).view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "c", "logp"])
 
     return words.mapInArrow(run, "g bigint, h bigint, c bigint, logp double")
@@ -642,8 +655,8 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     alone = scratch.save(alone.join(before, "g"), "words")
 
     both = dealt(pairs, scratch, group_rows)
-    held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, 3))
-    scored = both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs), "scored")
+    held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, True))
+    scored = both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs, True), "scored")
     # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
     both = salted_join(both, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
     uses = both.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
@@ -716,7 +729,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
         if not finder:  # once a worker
             finder.append(Finder(keys))
         kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
-        for b in batches:
+        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts = [t or b"" for t in b.column("text").to_pylist()]
             for lo, hi in chunks(texts, CHUNK):
                 t = tokens(texts[lo:hi])

@@ -130,7 +130,7 @@ class Slow:
             for c in ((0, one), (1, two, one), (2, min(d, 15), one)):
                 yield (*c, bit, w[d] >> (bit + 1), y)
 
-    def log(self, model, counts, context, w):
+    def log(self, model, counts, context, w, sure=False):
         total = 0.0
         slots = iter(self.tables(w))
         value = lambda n: float(cm._value[cm._code(np.array([n]))[0]])
@@ -142,6 +142,8 @@ class Slow:
                 x.append(math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)))
                 levels.append(int(cm._seen(n0 + n1)))
             n0, n1 = (counts[*context, w[:d], bit, w[d] >> (bit + 1), v] for v in (0, 1))
+            if sure and not (n0 and n1):
+                continue
             x += [math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), 0.3]
             gate = (bit * cm.SEEN + int(cm._seen(n0 + n1))) * cm.SEEN + levels[1]
             p = self.p(model, x, gate, 1 << (7 - bit) | w[d] >> (bit + 1))
@@ -164,7 +166,7 @@ class Slow:
             x = [0, 0, 0, math.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), 0.3]
             known = self.p(self.fitted.words, x, 8 * cm.SEEN**2 + int(cm._seen(n0 + n1)), 0)
             if (before, w) in self.pairs:
-                total += math.log10(known) + self.log(self.fitted.pairs_model, self.after, (before,), w)
+                total += math.log10(known) + self.log(self.fitted.pairs_model, self.after, (before,), w, True)
             else:
                 total += math.log10(1 - known) + self.log(self.fitted.words, self.words, (), w)
             before = w
