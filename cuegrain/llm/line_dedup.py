@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A rolling hash over the hashes of three lines ends a chunk wherever it is divisible by DIVISOR,
-so that an inserted line moves the boundaries next to it and no others. Chunks with two or more
-lines with words that occur more than once anywhere are removed, but for the first, after their
-whole bytes were compared.
+Lines are cut into chunks in PHASES ways at once. In each way a chunk ends behind a line whose own
+hash has that way's bit set, so that nothing outside a passage but the line before it decides how
+the passage is cut, an inserted line moves no other boundary, and every passage of two lines or
+more is a whole chunk, or made of whole chunks, in one way or another (all but one in 24 of those
+with two lines). Chunks of two or more lines with words that occur more than once anywhere are
+removed, but for the first, after their whole bytes were compared.
 """
 
 from __future__ import annotations
@@ -13,60 +15,71 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, salted_join
 
-DIVISOR = 4
-PRIME, BASE = 2147483647, 1000003
+#: Ways of cutting, each with chunks of two lines on average; a line's hash has 28 bits.
+PHASES = 24
 MIN_LINES = 2
 NO_ID = -(1 << 63)
+PLACE = ("id", "row", "at")
 
 
-def _chunks(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs with lines, and with chunks: an array of (k, from, n, text, worded)."""
-    df = docs.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    df = df.withColumn("h", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
-    def ends_after(i: Column) -> Column:
-        back = lambda d: F.coalesce(F.get("h", i - 1 - d), F.lit(0))
-        rolled = F.pmod(back(0) + back(1) * BASE + back(2) * (BASE * BASE % PRIME), F.lit(PRIME))
-        return (F.pmod(rolled, F.lit(DIVISOR)) == 0) | (i == F.size("h"))
 
-    df = df.withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("h")), ends_after))
-    span = lambda e, k: F.struct(k.alias("k"), F.when(k == 0, 1).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))) + 1).alias("at"), e.alias("end"))
-    df = df.withColumn("spans", F.transform("ends", span))
+def _spans(docs: DataFrame) -> DataFrame:
+    """id, row, and at (first line), n (lines) and digest of each distinct chunk of MIN_LINES lines with words."""
+    df = docs.select("id", "row", _lines(F.col("text")).alias("lines"))
+    df = df.select(
+        "id",
+        "row",
+        F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("digests"),
+        F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]").cast("int")).alias("worded"),
+    )
 
-    def chunk(s: Column) -> Column:
-        own = F.slice("lines", s["at"], s["end"] - s["at"] + 1)
-        return F.struct(s["k"].alias("k"), (s["end"] - s["at"] + 1).alias("n"), F.array_join(own, "\n").alias("text"), F.size(F.filter(own, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("worded"))
+    def chunks(p: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (F.get("h", i - 1).bitwiseAND(p) != 0) | (i == F.size("h")))
+        begins = F.concat(F.array(F.lit(1)), F.transform(ends, lambda e: e + 1))
+        return F.zip_with(ends, begins, lambda e, b: F.struct(b.alias("at"), (e - b + 1).alias("n")))
 
-    return df.select(*keep, F.size("lines").cast("long").alias("n_lines"), F.transform("spans", chunk).alias("chunks"))
+    spans = F.flatten(F.transform(F.array(*(F.lit(1 << k) for k in range(PHASES))), chunks))
+    worded = lambda s: F.aggregate(F.slice("worded", s["at"], s["n"]), F.lit(0), lambda a, x: a + x)
+    spans = F.filter(F.array_distinct(F.filter(spans, lambda s: s["n"] >= MIN_LINES)), lambda s: worded(s) >= MIN_LINES)
+    # The outer form keeps the optimizer from testing the size of the array below all the columns that it is made from.
+    each = df.select("id", "row", "digests", F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(F.slice("digests", s["at"], s["n"])).alias("digest"))).alias("spans"))
+    return each.select("id", "row", F.explode_outer("spans").alias("s")).select("id", "row", "s.*").where("digest IS NOT NULL")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_chunks, n_removed_lines, kept_text: one row for each row of docs (doc_id, text).
+    """doc_id, n_lines, n_removed_lines, kept_text: one row for each row of docs (doc_id, text).
 
     Null counts as empty, and an empty text has one empty line. Of equal chunks the one with the
     smallest doc_id and place stays; a null doc_id comes before all others; rows with one doc_id
     come in the order of a hash of their texts, and rows that are the same in both are one
-    document that is returned as often. No rows: no rows.
+    document that is returned as often. Texts of any length are cut whole. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # The outer form keeps the optimizer from testing the size of the array below all the columns that it is made from.
-    each = _chunks(base, ["id", "row"]).select("id", "row", F.explode_outer("chunks").alias("c")).select("id", "row", "c.k", "c.text", "c.worded").where(F.col("worded") >= MIN_LINES)
-    each = each.withColumn("digest", F.md5("text"))
-    counts = scratch.save(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    repeated = scratch.save(salted_join(each, counts.where("n > 1"), "digest", "n", total, F.struct("id", "row", "k")).drop("n", "worded"), "repeated")
-    place = F.struct("id", "row", "k")
-    first = scratch.save(repeated.groupBy("text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "first")
-    gone = salted_join(repeated, first.where("n > 1"), "text", "n", total, place).where(place != F.col("first"))
-    gone = gone.groupBy("id", "row").agg(F.collect_set("k").alias("gone"))
-    joined = base.join(gone.hint("shuffle_hash"), ["id", "row"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    out = _chunks(joined, ["doc_id", "gone"])
-    stays = lambda c: ~F.array_contains("gone", c["k"])
-    kept = F.filter("chunks", stays)
-    lost = F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + F.when(stays(c), 0).otherwise(c["n"]))
-    return out.select("doc_id", "n_lines", F.size("chunks").cast("long").alias("n_chunks"), lost.alias("n_removed_lines"), F.array_join(F.transform(kept, lambda c: c["text"]), "\n").alias("kept_text"))
+    each = _spans(base)
+    counts = scratch.save(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "digests")
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    repeated = salted_join(each, counts, "digest", "n_rows", total, F.struct(*PLACE))
+    repeated = repeated.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+
+    # The texts of chunks that may repeat are compared, byte by byte.
+    texts = base.join(repeated.hint("shuffle_hash"), ["id", "row"]).select("id", "row", F.explode(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice(_lines(F.col("text")), s["at"], s["n"]), "\n").alias("text")))).alias("s"))
+    texts = scratch.save(texts.select("id", "row", "s.*").distinct(), "chunks", compression="zstd")
+    place = F.struct(*PLACE)
+    first = scratch.save(texts.groupBy("text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "first", compression="zstd")
+    gone = salted_join(texts, first, "text", "n_rows", total, place).where(place != F.col("first"))
+    gone = gone.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+
+    out = base.join(gone.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "gone", _lines(F.col("text")).alias("lines"))
+    stays = lambda _, i: ~F.exists("gone", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"]))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed_lines"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -76,12 +89,13 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
-r AS (SELECT *, (h + {BASE} * coalesce(lag(h) OVER w, 0) + {BASE * BASE % PRIME} * coalesce(lag(h, 2) OVER w, 0)) % {PRIME} % {DIVISOR} = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
-c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS worded FROM k GROUP BY ALL),
-g AS (SELECT *, worded >= {MIN_LINES} AND row_number() OVER (PARTITION BY worded >= {MIN_LINES}, text ORDER BY doc_id, k) > 1 AS gone FROM c)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed_lines,
-  sha256(coalesce(string_agg(text, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM l),
+r AS (SELECT *, (h >> p) & 1 AS ends FROM h, (SELECT unnest(range({PHASES})) AS p)),
+k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
+c AS (SELECT doc_id, p, k, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY ALL HAVING count(*) FILTER (worded) >= {MIN_LINES}),
+d AS (SELECT DISTINCT doc_id, first, n, text FROM c),
+g AS (SELECT doc_id, first, n, row_number() OVER (PARTITION BY text ORDER BY doc_id, first) > 1 AS gone FROM d),
+x AS (SELECT DISTINCT doc_id, unnest(range(first, first + n)) AS i FROM g WHERE gone)
+SELECT doc_id, count(*) AS n_lines, count(x.i) AS n_removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (x.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN x USING (doc_id, i) GROUP BY doc_id
 """

@@ -50,6 +50,8 @@ def _margins(keys: list[tuple], tokens: np.ndarray, targets: dict | None) -> tup
         share = np.bincount(code, tokens) / total
         given = (targets or {}).get(name)
         t = np.array([given.get(v, 0.0) for v in values]) if given else share**TEMPER
+        if not t.sum():
+            raise ValueError(f"none of the values of {name} that have a target occurs")
         want.append(t / t.sum())
         names.append(values)
     return codes, want, names
@@ -191,8 +193,12 @@ def rake_on_spark(cells: DataFrame, targets: dict | None, sweeps: int, scratch:
     want = {}
     for d in DIMS:
         if targets and targets.get(d):
-            s = sum(targets[d].values())
-            want[d] = spark.createDataFrame([(k, v / s) for k, v in targets[d].items()], f"{d} string, t double")
+            # Shares of values that don't occur go to the others, in proportion.
+            given = spark.createDataFrame(list(targets[d].items()), f"{d} string, t double").join(cells.select(d).distinct(), d)
+            s = given.agg(F.sum("t")).first()[0]
+            if not s:
+                raise ValueError(f"none of the values of {d} that have a target occurs")
+            want[d] = given.withColumn("t", F.col("t") / F.lit(s))
         else:
             t = cells.groupBy(d).agg(F.pow(F.sum("tokens") / total, F.lit(TEMPER)).alias("t"))
             want[d] = scratch.save(t.withColumn("t", F.col("t") / F.lit(t.agg(F.sum("t")).first()[0])), f"target-{d}")
@@ -220,10 +226,11 @@ def scale(weights: np.ndarray, tokens: np.ndarray, keep: float) -> float:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS, seed: int = 1, max_cells: int = MAX_CELLS, exact: bool = False) -> DataFrame:
-    """docs (doc_id, source, lang, topic, n_tokens; other columns stay) with weight, probability and kept.
+    """docs (doc_id, source, lang, topic, n_tokens; other columns stay) with weight, probability and kept, which replace columns by these names.
 
     Null sources, languages and topics are a value of their own, "(none)". Values without a
-    target share get weight 0. Rows with one doc_id are kept or left together; a null doc_id
+    target share get weight 0; shares of values that don't occur go to the others in proportion, and
+    targets none of whose values occur are an error. Rows with one doc_id are kept or left together; a null doc_id
     counts as the empty text. A document without tokens has the probability of its cell.
     With ``exact`` the tokens' expected shares are the targets, and ``keep`` is the most that is
     kept; values too rare for their target are kept whole and named in a warning. Without, ``keep``
@@ -231,10 +238,13 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("weight", "probability", "kept")
-    names = [f"_{d}" for d in DIMS]
-    keyed = docs.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMS})
+    under = "_"
+    while any(f"{under}{d}" in docs.columns for d in DIMS):
+        under += "_"
+    names = [f"{under}{d}" for d in DIMS]
+    keyed = docs.withColumns({f"{under}{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMS})
     cells = keyed.groupBy(*names).agg(F.sum("n_tokens").cast("long").alias("tokens"))
-    cells = scratch.save(cells.select(*(F.col(f"_{d}").alias(d) for d in DIMS), F.greatest("tokens", F.lit(0)).alias("tokens")), "cells")
+    cells = scratch.save(cells.select(*(F.col(f"{under}{d}").alias(d) for d in DIMS), F.greatest("tokens", F.lit(0)).alias("tokens")), "cells")
     if cells.count() <= max_cells:
         rows = sorted(tuple(r) for r in cells.collect())
         tokens = np.array([r[3] for r in rows], float)
@@ -244,24 +254,28 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
         out = keyed.join(F.broadcast(raked), names)
     elif exact:
         raked = exact_on_spark(rake_on_spark(cells, targets, sweeps, scratch), targets, keep, sweeps, scratch)
-        out = keyed.join(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "weight", "probability"), names)
+        out = keyed.join(raked.select(*(F.col(d).alias(f"{under}{d}") for d in DIMS), "weight", "probability"), names)
     else:
         raked = rake_on_spark(cells, targets, sweeps, scratch)
-        # Few of the largest weights reach probability 1: the factor is searched by halving.
-        low, high = 0.0, 1e9
-        total = raked.agg(F.sum("tokens")).first()[0]
-        for _ in range(60):
-            mid = (low * high) ** 0.5 if low else high / 1e6
-            got = raked.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * mid) * F.col("tokens"))).first()[0]
-            low, high = (mid, high) if got < keep * total else (low, mid)
-        p = raked.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+        # Cells that reach probability 1 stay there and the others share the rest, until no more do: ``scale`` for any number of cells.
+        total, sure, high = raked.agg(F.sum("tokens")).first()[0], F.lit(False), 0.0
+        while True:
+            whole, rest, n = raked.agg(F.sum(F.when(sure, F.col("tokens")).otherwise(0)), F.sum(F.when(sure, 0.0).otherwise(F.col("weight") * F.col("tokens"))), F.count_if(sure)).first()
+            if not rest:
+                break
+            high = (keep * total - whole) / rest
+            now = F.col("weight") * F.lit(high) > 1
+            if raked.where(now).count() <= n:
+                break
+            sure = now
+        p = raked.select(*(F.col(d).alias(f"{under}{d}") for d in DIMS), "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(high)).alias("probability"))
         out = keyed.join(p, names)
     u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"-{seed}"))), 1, 13), 16, 10).cast("double") / float(16**13)
     return out.drop(*names).withColumn("kept", u < F.col("probability"))
 
 
 def with_topics(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens (words of the whole text; null: none) and topic; other columns stay."""
+    """docs with n_tokens (words of the whole text; null: none) and topic, which replace columns by these names; other columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("n_tokens", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("topic", topic(text, F.col("n_tokens")))
 

@@ -7,6 +7,7 @@ goes through one hidden layer to a probability.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,7 +132,7 @@ class Net:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Net:
     """Learn from ``rows`` labelled documents of each class, those with the smallest hashes of doc_id.
 
-    A document with several labels takes the smallest. What reaches the driver is bounded:
+    A document with several labels takes the smallest; of rows that share a doc_id one text is taken. What reaches the driver is bounded:
     2 * rows * SAMPLE_CHUNKS chunks of CHUNK bytes. Without both classes, every score is the
     share of label 1, or 0.5 without labels.
     """
@@ -145,14 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Net:
     def sample(ids: pd.Series, texts: pd.Series) -> pd.Series:
         def of(i: int, t: bytes | None) -> list[bytes]:
             c = cut(t or b"")
-            at = np.random.default_rng(abs(i)).choice(len(c), min(SAMPLE_CHUNKS, len(c)), replace=False)
+            at = np.random.default_rng(zlib.crc32(str(i).encode())).choice(len(c), min(SAMPLE_CHUNKS, len(c)), replace=False)
             return [c[k].tobytes() for k in sorted(at)]
 
         return pd.Series([of(i, t) for i, t in zip(ids, texts, strict=True)])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * rows rows
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = chosen.select("doc_id", "quality", sample("doc_id", F.col("text").cast("binary")).alias("bag")).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["bag"]))[: 4 * rows]
+    got = sorted(got, key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in got], np.float32)
     net = Net.new()
     if len(set(y.tolist())) < 2:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from .common import Scratch, salted_join
 
 #: Bytes of one archive, captures of one block, bytes of ranges that one read joins, and of what one task reads.
 ARCHIVE_BYTES, BLOCK_ROWS, READ_BYTES, TASK_BYTES = 64 << 20, 256, 4 << 20, 32 << 20
+#: Repeated payloads up to which their digests (100 bytes each) are broadcast; beyond, they are joined.
+FEW_DIGESTS = 100_000
 #: Fixed value: revisit profile of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -80,19 +83,24 @@ def _digest(payload: bytes) -> str:
 # ---------------------------------------------------------------- writing
 
 
-def judged(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, refers_to, revisit: of equal payloads the largest page_id is the response."""
+def judged(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """key (hash of the payload), page_id, url, payload, refers_to, revisit: of equal payloads the largest page_id is the response."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    groups = base.groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    out = salted_join(base, groups, "key", "n", total, F.col("page_id"))
-    revisit = ~F.col("page_id").eqNullSafe(F.col("top"))
-    return out.select("page_id", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
+    groups = base.groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = scratch.save(groups, "repeated")
+    n, rows = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # Payloads only move where too many of them repeat for their digests to be sent to every task.
+    if n <= FEW_DIGESTS:
+        out = base.join(F.broadcast(groups), "key", "left")
+    else:
+        out = salted_join(base, groups, "key", "n", rows, F.col("page_id"), "left")
+    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    return out.select("key", "page_id", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, root: str, scratch: Scratch, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the records of ``judged`` pages below root; returns the captures: surt, page_id, file, offset, length.
+    """Write the records of ``judged`` pages below root; returns the captures: surt, page_id, key, file, offset, length.
 
     A file's name is new with every attempt of a task, and only files that the captures name
     count: attempts that were lost leave nothing that is read.
@@ -104,7 +112,7 @@ def write_archives(pages: DataFrame, root: str, scratch: Scratch, archive_bytes:
         out, name, at = None, "", 0
         for b in batches:
             rows = []
-            for page_id, url, payload, refers_to, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit")), strict=True):
+            for key, page_id, url, payload, refers_to, revisit in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "url", "payload", "refers_to", "revisit")), strict=True):
                 if out is None or at >= archive_bytes:
                     if out is not None:
                         out.close()
@@ -112,20 +120,20 @@ def write_archives(pages: DataFrame, root: str, scratch: Scratch, archive_bytes:
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
                 member = record(page_id, url, payload, _digest(payload), refers_to, revisit)
                 out.write(member)
-                rows.append((surt(url), page_id, name, at, len(member)))
+                rows.append((surt(url), page_id, key, name, at, len(member)))
                 at += len(member)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["surt", "page_id", "file", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["surt", "page_id", "key", "file", "offset", "length"])
         if out is not None:
             out.close()
 
-    return scratch.save(pages.mapInArrow(run, "surt string, page_id bigint, file string, offset bigint, length bigint"), "captures")
+    return scratch.save(pages.mapInArrow(run, "surt string, page_id bigint, key string, file string, offset bigint, length bigint"), "captures")
 
 
-def write_index(captures: DataFrame, root: str, scratch: Scratch, parts: int, block_rows: int = BLOCK_ROWS) -> list[tuple[str, str, int, int]]:
+def write_index(captures: DataFrame, root: str, scratch: Scratch, parts: int, block_rows: int = BLOCK_ROWS) -> list[tuple[tuple, str, int, int]]:
     """Write sorted index files; returns the root table: (first key, file, offset and length of its directory), one row a file.
 
-    Keys are (surt, page_id) and are dealt by range into ``parts`` files, so the root table is as
+    Keys are (surt, page_id, hash of the payload), so that rows that repeat the first two keep captures of their own; they are dealt by range into ``parts`` files, so the root table is as
     short as the number of files, which the caller sets.
     """
 
@@ -138,13 +146,13 @@ def write_index(captures: DataFrame, root: str, scratch: Scratch, parts: int, bl
         def flush() -> None:
             nonlocal at
             packed = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in block).encode())
-            directory.append((block[0][:2], at, len(packed)))
+            directory.append((block[0][:3], at, len(packed)))
             out.write(packed)
             at += len(packed)
             block.clear()
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("surt", "page_id", "file", "offset", "length")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("surt", "page_id", "key", "file", "offset", "length")), strict=True):
                 if out is None:
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
                 block.append(r)
@@ -158,11 +166,11 @@ def write_index(captures: DataFrame, root: str, scratch: Scratch, parts: int, bl
         out.write(packed)
         out.close()
         first = directory[0][0]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in (*first, name, at, len(packed))], ["surt", "page_id", "file", "offset", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in (*first, name, at, len(packed))], ["surt", "page_id", "key", "file", "offset", "length"])
 
-    ordered = captures.repartitionByRange(parts, "surt", F.col("page_id").asc_nulls_first()).sortWithinPartitions("surt", F.col("page_id").asc_nulls_first())
-    rows = scratch.save(ordered.mapInArrow(run, "surt string, page_id bigint, file string, offset bigint, length bigint"), "root").collect()
-    return sorted(((r["surt"], NO_PAGE if r["page_id"] is None else r["page_id"]), r["file"], r["offset"], r["length"]) for r in rows)
+    ordered = captures.repartitionByRange(parts, "surt", F.col("page_id").asc_nulls_first(), "key").sortWithinPartitions("surt", F.col("page_id").asc_nulls_first(), "key")
+    rows = scratch.save(ordered.mapInArrow(run, "surt string, page_id bigint, key string, file string, offset bigint, length bigint"), "root").collect()
+    return sorted(((r["surt"], NO_PAGE if r["page_id"] is None else r["page_id"], r["key"]), r["file"], r["offset"], r["length"]) for r in rows)
 
 
 NO_PAGE = -(1 << 63)
@@ -185,7 +193,7 @@ class Index:
         with self.files.open_input_file(f"{self.path}/{file}") as f:
             return zlib.decompress(f.read_at(length, offset))
 
-    def _block(self, key: tuple[str, int], side) -> tuple | None:
+    def _block(self, key: tuple[str, int, str], side) -> tuple | None:
         k = side(self.first, key) - 1
         if k < 0:
             return None
@@ -194,35 +202,35 @@ class Index:
             if len(self.directories) >= self.kept:
                 self.directories.clear()
             got = json.loads(self._range(file, offset, length))
-            self.directories[file] = ([(s, NO_PAGE if p is None else p) for (s, p), _, _ in got], got)
+            self.directories[file] = ([(s, NO_PAGE if p is None else p, d) for (s, p, d), _, _ in got], got)
         keys, got = self.directories[file]
         _, at, size = got[max(0, side(keys, key) - 1)]
         if (file, at) not in self.blocks:
             if len(self.blocks) >= self.kept:
                 self.blocks.clear()
             rows = [json.loads(x) for x in self._range(file, at, size).decode().split("\n")]
-            self.blocks[file, at] = ([(r[0], NO_PAGE if r[1] is None else r[1]) for r in rows], rows)
+            self.blocks[file, at] = ([(r[0], NO_PAGE if r[1] is None else r[1], r[2]) for r in rows], rows)
         return self.blocks[file, at]
 
-    def find(self, key: str, page_id: int | None) -> tuple[str, int, int] | None:
+    def find(self, key: str, page_id: int | None, payload: str) -> tuple[str, int, int] | None:
         """(file, offset, length) of a capture, or None. Of captures with equal keys, the last."""
-        want = (key, NO_PAGE if page_id is None else page_id)
+        want = (key, NO_PAGE if page_id is None else page_id, payload)
         block = self._block(want, bisect.bisect_right)
         if block is None:
             return None
         k = bisect.bisect_right(block[0], want) - 1
-        return tuple(block[1][k][2:5]) if k >= 0 and block[0][k] == want else None
+        return tuple(block[1][k][3:6]) if k >= 0 and block[0][k] == want else None
 
 
 def look_up(queries: DataFrame, root: str, table: list) -> DataFrame:
-    """queries (surt, page_id; other columns stay) with file, offset and length of the capture, null where there is none."""
+    """queries (surt, page_id, key; other columns stay) with file, offset and length of the capture, null where there is none."""
     held = queries.sparkSession.sparkContext.broadcast(table)  # one row an index file
     names = [*queries.columns, "file", "offset", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(root, held.value)
         for b in batches:
-            got = [index.find(s, p) or (None, None, None) for s, p in zip(b.column("surt").to_pylist(), b.column("page_id").to_pylist(), strict=True)]
+            got = [index.find(*k) or (None, None, None) for k in zip(*(b.column(c).to_pylist() for c in ("surt", "page_id", "key")), strict=True)]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names)
 
@@ -279,22 +287,25 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, block_rows:
 
     Null html is an empty payload, which counts like any other. Of equal payloads, rows with the
     largest page_id are responses and all others revisit them; null page_ids never are the
-    largest unless all are null. Rows that repeat a (url, page_id) are looked up one by one and
-    all lead to the last of their captures. Null urls have a key of their own. No rows: no rows.
+    largest unless all are null. Rows that repeat a (url, page_id) are looked up one by one, each
+    with its own payload; rows that repeat all three lead to one of their captures. Null urls have
+    a key of their own. No rows: no rows.
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     archives, indexes = scratch.path("archives"), scratch.path("index")
-    captures = write_archives(judged(pages), archives, scratch, archive_bytes)
+    captures = write_archives(judged(pages, scratch), archives, scratch, archive_bytes)
     n, size = captures.agg(F.count(F.lit(1)), F.sum("length")).first()
     parts = max(1, min(2000, n // 20_000 + 1))
     table = write_index(captures, indexes, scratch, parts, block_rows)
 
-    @F.udf("string")
-    def key(url):
-        return surt(url)
+    @F.pandas_udf("string")
+    def sort_key(url: pd.Series) -> pd.Series:
+        return url.map(surt)
 
-    queries = pages.select(key(F.col("url").cast("string")).alias("surt"), F.col("page_id").cast("long"))
-    queries = queries.repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), "surt", "page_id").sortWithinPartitions("surt", "page_id")
+    payload = F.sha2(F.coalesce(F.col("html").cast("binary"), F.lit(b"")), 256)
+    queries = pages.select(sort_key(F.col("url").cast("string")).alias("surt"), F.col("page_id").cast("long"), payload.alias("key"))
+    by = ("surt", "page_id", "key")
+    queries = queries.repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), *by).sortWithinPartitions(*by)
     return read_records(look_up(queries, indexes, table), archives, max(spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES))
 
 

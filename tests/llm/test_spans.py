@@ -108,6 +108,21 @@ def test_an_inserted_line_moves_few_boundaries(spark):
     assert got[1] == 0 and got[2] > 150
 
 
+def test_repeated_passages_are_found(spark):
+    rnd = random.Random(12)
+    new = lambda n: [f"line {rnd.random()}" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(300):
+        passage = new(rnd.randrange(2, 6))
+        for copy in range(2):
+            own = new(rnd.randrange(5)) + passage + new(rnd.randrange(5))
+            rows.append((2 * k + copy, "\n".join(own)))
+            planted[2 * k + copy] = len(passage) * copy
+    got = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] <= n for i, n in planted.items())  # nothing but later copies goes
+    assert sum(got.values()) >= 0.95 * sum(planted.values())
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "\n".join(f"line {k}" for k in range(40))
@@ -185,6 +200,46 @@ def test_mixing_of_odd_tables(spark):
     assert len(got) == 3 and all(0 <= r.probability <= 1 for r in got)
 
 
+def test_both_ways_of_raking_agree_on_absent_targets(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("aab"), rnd.choice(["en", "de"]), "x", rnd.randrange(1, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, MIX).withColumn("_source", F.lit("mine"))
+    targets = {"source": {"a": 0.1, "b": 0.1, "absent": 0.8}, "lang": {"en": 0.9, "de": 0.1}}
+    one, two = (sorted(mixing.mix(df, targets, keep=0.8, sweeps=4, max_cells=n).collect()) for n in (100, 0))
+    for a, b in zip(one, two, strict=True):
+        assert a._source == "mine"
+        assert abs(a.weight - b.weight) < 1e-6 and abs(a.probability - b.probability) < 1e-6
+    with pytest.raises(ValueError, match="source"):
+        mixing.mix(df, {"source": {"absent": 1.0}})
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id bigint, text string, lang string, source string, weight bigint, topic string, score string, n_chars bigint"
+    long = " ".join(f"word{i}" for i in range(300))
+    row = lambda i, t: (i, t, None, "s", 9, "mine", "x", 1)
+    rows = [row(3, long), row(5, long), row(5, "another text of this id"), row(5, "another text of this id"), row(None, None), row(None, ""), row(7, "long " * 20000)]
+    df = spark.createDataFrame(rows, schema)
+    ids = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stay = ids(cp.exact_duplicates(spark, df, ""))
+    assert [x for x in stay if x[0] is not None] == sorted([(3, long), (5, rows[2][1]), (7, rows[6][1])], key=str) and len(stay) == 4
+    near = ids(cp.near_duplicates(spark, df, ""))
+    assert [x for x in near if x[0] is not None] == sorted([(3, long), (5, rows[2][1]), (7, rows[6][1])], key=str)
+    mixed = cp.mixing_sources(spark, df, "")
+    assert mixed.columns == df.columns and all((r.weight, r.topic, r.score) == (9, "mine", "x") for r in mixed.collect())
+    for _, stage in cp.STAGES[1:]:
+        assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_quality_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"score": F.lit("mine"), "predicted": F.lit("no")})
+    got = cp.quality_classifier(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns and {(r.score, r.predicted) for r in got.collect()} == {("mine", "no")}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from cuegrain.llm import exact_dedup, simhash
