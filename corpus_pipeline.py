@@ -16,10 +16,19 @@ from cuegrain.llm.common import Scratch
 KEEP = 0.9
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one, so that columns an operator adds meet none of the input's."""
+    return docs.select(*names, F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c not in names)).alias("_rest"))
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    return out.select(*(F.col(c if c in names else f"_rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network rejects go."""
-    out = quality_cnn.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.where("predicted = 1").select(*docs.columns)
+    out = quality_cnn.classify(_packed(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unpacked(out.where("predicted = 1"), docs, "doc_id", "text")
 
 
 def _stay(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -35,16 +44,20 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id stays."""
-    groups = simhash.simhash_near_dedup(docs)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).distinct()
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return out.join(ids.hint("shuffle_hash"), "_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id stays; of those that share it, the one with the smallest hash of its text."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = simhash.simhash_near_dedup(docs.select(row.alias("doc_id"), "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = kept.select(F.coalesce(F.col("doc_id.id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id.hash").alias("_hash"), "_n")
+    out = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text")}).join(kept.hint("shuffle_hash"), ["_id", "_hash"])
+    once = out.where("_n > 1").dropDuplicates(["_id", "_hash"])
+    return out.where("_n = 1").unionByName(once).select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target weights."""
-    return mixing.mix(mixing.with_topics(docs), keep=KEEP, exact=True).where("kept").select(*docs.columns)
+    names = ("doc_id", "text", "source", "lang")
+    return _unpacked(mixing.mix(mixing.with_topics(_packed(docs, *names)), keep=KEEP, exact=True).where("kept"), docs, *names)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +74,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: The classifier and the transducers are beyond SQL; tests/llm holds the pipeline against a brute-force version.
+#: The classifier and the transducers are beyond SQL; tests/llm holds each stage against the decisions of its operator (which has a brute-force test of its own).
 ORACLE_SQL = None
 
 
