@@ -1,22 +1,26 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (dummy prefix, space -> U+2581),
-the pieces (a trie whose final arcs write an identifier) and the byte fallback (an arc for any
-other character that writes its bytes). A text goes through the normaliser in stretches that no
-piece crosses; each is composed with the piece machine as it is read, and the path of least
-weight in the tropical semiring is kept for every state.
-
-For unigram models an arc weighs the negative score of its piece. For BPE models the composed
-machine also remembers the last piece, and the arc from piece a to piece b weighs 0 if the
-merges applied to the letters of a and b give back just these two pieces, and is infinite
-otherwise. A sequence of pieces is what the merges give for a text exactly if each neighbouring
-pair passes, so one path of finite weight is left.
+Three machines are compiled from a model file. The normaliser reads characters and writes those of
+its rules (the model's character map, the longest first), the mark for a space and the leading
+mark. The piece machine is a tree of arcs by character whose final arcs write a piece and weigh
+its negative score. The byte machine has an arc for every character that is no piece of its own;
+it weighs more than any piece and writes the character's bytes, or the unknown piece. A text is
+composed with the normaliser; each stretch that no piece crosses is then composed with the union
+of the other two, arc by arc as it is read, and the path of least weight in the tropical semiring
+is found by relaxing the arcs from place to place.
+
+A unigram model's composed machine has one state a place. A BPE model's is composed with one more
+machine, which remembers the last piece: going from piece a to piece b weighs 0 if the merges
+applied to the letters of a and b give back just these two pieces, and is infinite otherwise. A
+sequence of pieces is what the merges give for a text exactly if each neighbouring pair passes, so
+one path of finite weight is left.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Words and pairs that a worker remembers before it starts anew.
+#: Stretches and pairs that a worker remembers before it starts anew.
 CACHE = 400_000
 MARK = "▁"
-#: Model types in a model file's trainer settings.
+#: Model types in a model file's trainer settings, what an unknown character weighs beyond the worst piece, what a user's piece is worth.
 UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY, USER_BONUS = 10.0, 0.1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -59,61 +64,135 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _rules(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(bytes, bytes they become) of a compiled character map: a double-array tree and the strings that its leaves point to."""
+    if not blob:
+        return
+    size = struct.unpack_from("<I", blob)[0]
+    units, strings = struct.unpack_from(f"<{size // 4}I", blob, 4), blob[4 + size :]
+    step = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    todo = [(b"", step(units[0]))]
+    while todo:
+        path, at = todo.pop()
+        for c in range(1, 256):
+            u = units[at ^ c] if at ^ c < len(units) else 0
+            if u & 0x800000FF != c:
+                continue
+            below = (at ^ c) ^ step(u)
+            if u >> 8 & 1:
+                begin = units[below] & 0x7FFFFFFF
+                yield path + bytes([c]), strings[begin : strings.index(b"\0", begin)]
+            todo.append((path + bytes([c]), below))
+
+
+class Normaliser:
+    """Machine from characters to characters: arcs of the rules' tree, and one that copies any other character."""
+
+    def __init__(self, spec: dict, users: list[str]):
+        self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+        self.arcs: dict = {}
+        for source, target in _rules(spec.get(2, b"")):
+            try:
+                self._add(source.decode(), target.decode())
+            except UnicodeDecodeError:  # a rule for part of a character never matches text
+                continue
+        for piece in users:  # stay as they are
+            self._add(piece, piece)
+
+    def _add(self, source: str, target: str) -> None:
+        node = self.arcs
+        for c in source:
+            node = node.setdefault(c, {})
+        node[""] = target
+
+    def written(self, text: str) -> str:
+        """What the rules make of a text, the longest one at each place."""
+        if not self.arcs:
+            return text
+        out, at = [], 0
+        while at < len(text):
+            node, k, end, best = self.arcs, at, at + 1, text[at]
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if "" in node:
+                    end, best = k, node[""]
+            out.append(best)
+            at = end
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.written(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).lstrip(" ")
+        if text and self.prefix:
+            text = " " + text
+        if self.escape:
+            text = text.replace(" ", MARK)
+        return text.rstrip(MARK if self.escape else " ") if self.squeeze else text
+
+
 class Transducer:
     """A compiled model. Built once a worker from the bytes of the model file."""
 
     def __init__(self, model: bytes):
         top = dict(_fields(model))
-        trainer, rules = dict(_fields(top.get(2, b""))), dict(_fields(top.get(3, b"")))
+        trainer = dict(_fields(top.get(2, b"")))
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
-            raise ValueError("only normalisers that keep every character are supported")
-        self.prefix = bool(rules.get(3, 1))
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.text, self.score, self.bytes_ = [], [], {}
-        self.trie: dict = {}
+        self.text, self.bytes_, self.out = [], {}, []
+        self.arcs: dict = {}
         self.id: dict[str, int] = {}
+        self.score: dict[str, float] = {}
         self.unknown = sp.unk_id()
-        self.out: list[bytes] = []
-        for i in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(i)
+        pieces = [dict(_fields(v)) for n, v in _fields(model) if n == 1]
+        users, plain = [], []
+        for i, fields in enumerate(pieces):
+            piece, kind = fields[1].decode(), fields.get(3, 1)  # 1 normal, 2 unknown, 3 control, 4 user's, 5 unused, 6 byte
             self.text.append(piece)
-            self.score.append(sp.get_score(i))
-            if sp.is_byte(i):
+            if kind == 6:
                 self.bytes_[int(piece[3:5], 16)] = i
                 self.out.append(bytes([int(piece[3:5], 16)]))
-            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.out.append("⁇".join("  ").encode() if sp.is_unknown(i) else b"")
-            else:
+            elif kind in (1, 4):
                 self.out.append(piece.replace(MARK, " ").encode())
                 self.id[piece] = i
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = i
-        self.letters = {c for p in self.id for c in p}
-        self.pairs: dict[int, bool] = {}
-        self.spines: dict[int, tuple] = {}
-        self.path = self.path_bpe if self.kind == BPE else self.path_unigram
+                self.score[piece] = sp.get_score(i)
+                (users if kind == 4 else plain).append(piece)
+            else:
+                self.out.append(" ⁇ ".encode() if kind == 2 else b"")
+        best, worst = (f((self.score[p] for p in plain), default=0.0) for f in (max, min))
+        if users and self.kind == BPE:
+            raise ValueError("BPE models with pieces of the user's are not supported")
+        for p in users:
+            self.score[p] = len(p) * best - USER_BONUS
+        for p, i in self.id.items():
+            node = self.arcs
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (p, -self.score[p])
+        self.normalise = Normaliser(dict(_fields(top.get(3, b""))), users)
+        self.other = -(worst - UNKNOWN_PENALTY)  # weight of an arc of the byte machine
+        self.pairs: dict[tuple[str, str], float] = {}
+        self.spines: dict[str, tuple] = {}
         # Stretches that no piece crosses: before the mark, where none has it behind another character, and around white space in no piece.
-        alone = "".join(c for c in "\t\n\v\f\r" if c not in self.letters)
-        whole = any(MARK in p.lstrip(MARK) for p in self.id)
-        self.cut = (lambda s: [s]) if whole else re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
+        letters = {c for p in self.id for c in p}
+        alone = "".join(c for c in "\t\n\v\f\r" if c not in letters)
+        whole = any(MARK in p.lstrip(MARK) for p in self.id) or any(" " in p for p in self.id)
+        self.cut = (lambda s: [s] if s else []) if whole else re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
         transducer = self
 
         class Memory(dict):
             def __missing__(self, stretch: str) -> bytes:
                 if len(self) >= CACHE:
                     self.clear()
-                got = np.array(transducer.stretch(stretch), np.int32).tobytes()
+                got = np.array(transducer.ids(transducer.shortest(stretch)), np.int32).tobytes()
                 self[stretch] = got
                 return got
 
         self.memory = Memory()
 
-    def merged(self, s: str, edge: tuple[set[str], set[str]] | None = None) -> list[int]:
+    def merged(self, s: str, edge: tuple[set[str], set[str]] | None = None) -> list[str]:
         """Pieces that the merges make of the letters of s, best score first, leftmost among equals.
 
         ``edge`` gathers what stands first and what stands last on the way.
@@ -125,117 +204,109 @@ class Transducer:
         while len(parts) > 1:
             best, at = -math.inf, -1
             for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and self.score[i] > best:
-                    best, at = self.score[i], k
+                score = self.score.get(parts[k] + parts[k + 1])
+                if score is not None and score > best:
+                    best, at = score, k
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             if edge:
                 edge[0].add(parts[0])
                 edge[1].add(parts[-1])
-        return [self.id.get(p, -1) for p in parts]
+        return parts
 
-    def edges(self, a: int) -> tuple[bool, set[str], set[str]]:
+    def edges(self, a: str) -> tuple[bool, set[str], set[str]]:
         """Whether merging the letters of piece a gives it back; its first and its last parts on the way."""
         got = self.spines.get(a)
         if got is None:
             edge: tuple[set[str], set[str]] = (set(), set())
-            got = self.spines[a] = (self.merged(self.text[a], edge) == [a], *edge)
+            got = self.spines[a] = (self.merged(a, edge) == [a], *edge)
         return got
 
-    def neighbours(self, a: int, b: int) -> bool:
-        """Whether the merges leave piece b behind piece a (-1: at the start)."""
+    def next_to(self, a: str, b: str) -> float:
+        """Weight of piece b behind piece a (none: at the start) in the machine of the merges: 0 or infinite."""
         ok, heads, _ = self.edges(b)
-        if a < 0 or not ok:
-            return ok
+        if not a or not ok:
+            return 0.0 if ok else math.inf
         ok, _, tails = self.edges(a)
         if not ok:
-            return False
+            return math.inf
         if not any(x + y in self.id for x in tails for y in heads):  # no merge can cross
-            return True
-        return self.merged(self.text[a] + self.text[b]) == [a, b]
-
-    def path_bpe(self, s: str) -> list[int]:
-        """Path of weight zero; each place has one live state, the last piece of the text up to it."""
-        n, width, pairs = len(s), len(self.text), self.pairs
-        last, back = [-2] * (n + 1), [0] * (n + 1)
-        last[0] = -1
+            return 0.0
+        return 0.0 if self.merged(a + b) == [a, b] else math.inf
+
+    def shortest(self, s: str) -> list[str]:
+        """Pieces and other characters along the path of least weight; the first found stays among equals."""
+        n, bpe, pairs, other = len(s), self.kind == BPE, self.pairs, self.other
+        live: list[dict[str, tuple]] = [{} for _ in range(n + 1)]  # by place and state: weight, place and state before, what the arc writes
+        live[0][""] = (0.0, 0, "", "")
         for at in range(n):
-            a = last[at]
-            if a == -2:
-                continue
-            node, k = self.trie, at
-            while k < n:
-                node = node.get(s[k])
-                if node is None:
-                    break
-                k += 1
-                b = node.get("")
-                if b is None or last[k] != -2:
-                    continue
-                key = (a + 1) * width + b
-                ok = pairs.get(key)
-                if ok is None:
-                    if len(pairs) >= CACHE:
-                        pairs.clear()
-                    ok = pairs[key] = self.neighbours(a, b)
-                if ok:
-                    last[k], back[k] = b, at
+            for state, (weight, *_) in live[at].items():
+                node, k = self.arcs, at
+                while k < n:
+                    node = node.get(s[k]) or {}
+                    final = node.get("")
+                    k += 1
+                    if final is None:
+                        if k > at + 1:
+                            if not node:
+                                break
+                            continue
+                        final = (s[at], other)  # the byte machine's arc
+                    piece, w = final
+                    if bpe:
+                        w = pairs.get((state, piece))
+                        if w is None:
+                            if len(pairs) >= CACHE:
+                                pairs.clear()
+                            w = pairs[state, piece] = self.next_to(state, piece)
+                    w += weight
+                    to = piece if bpe else ""
+                    if w < math.inf and (to not in live[k] or w < live[k][to][0]):
+                        live[k][to] = (w, at, state, piece)
+        if not n:
+            return []
+        state = min(live[n], key=lambda x: live[n][x][0])
         out, k = [], n
         while k:
-            if last[k] < 0:
-                raise ValueError("no path")
-            out.append(last[k])
-            k = back[k]
+            _, k, state, piece = live[k][state]
+            out.append(piece)
         return out[::-1]
 
-    def path_unigram(self, s: str) -> list[int]:
-        """Path of least weight; the first found stays among equals."""
-        n = len(s)
-        cost, last, back = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        for at in range(n):
-            node, k = self.trie, at
-            while k < n and (node := node.get(s[k])) is not None:
-                k += 1
-                b = node.get("")
-                if b is not None and cost[at] - self.score[b] < cost[k]:
-                    cost[k], last[k], back[k] = cost[at] - self.score[b], b, at
-        out, k = [], n
-        while k:
-            if last[k] < 0:
-                raise ValueError("no path")
-            out.append(last[k])
-            k = back[k]
-        return out[::-1]
+    def weight(self, pieces: list[str]) -> float:
+        """What a path of these pieces and other characters weighs in a unigram model."""
+        return sum(-self.score[p] if p in self.score else self.other for p in pieces)
 
-    def stretch(self, s: str) -> list[int]:
-        """Pieces of one stretch; characters outside all pieces fall back to their bytes."""
+    def ids(self, pieces: list[str]) -> list[int]:
+        """What the arcs write: a piece's identifier, or those of a character's bytes, or the unknown one."""
         out: list[int] = []
-        lo = 0
-        for k, c in enumerate(s):
-            if c not in self.letters:
-                if k > lo:
-                    out += self.path(s[lo:k])
-                if self.bytes_:
-                    out += [self.bytes_[b] for b in c.encode()]
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-                lo = k + 1
-        return out + (self.path(s[lo:]) if lo < len(s) else [])
+        for p in pieces:
+            i = self.id.get(p)
+            if i is not None:
+                out.append(i)
+            elif self.bytes_:
+                out += [self.bytes_[b] for b in p.encode()]
+            else:
+                out.append(self.unknown)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        if self.prefix:
-            text = " " + text
-        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.cut(text.replace(" ", MARK)))), np.int32)
+        ids = np.frombuffer(b"".join(map(self.memory.__getitem__, self.cut(self.normalise(text)))), np.int32)
+        if not self.bytes_:  # unknown characters in a row are one piece
+            ids = ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)][: len(ids)]]
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
-        out = self.out
-        joined = b"".join([out[i] for i in ids.tolist()])
-        return joined[1:] if self.prefix and joined[:1] == b" " else joined
+        """The text of identifiers; the leading mark goes, and where the normaliser drops spaces each one before the first other character's piece."""
+        ids = ids.tolist()
+        parts = [self.out[i] for i in ids]
+        if self.normalise.prefix or self.normalise.squeeze:
+            for k, i in enumerate(ids):
+                marked = self.text[i].startswith(MARK)
+                parts[k] = parts[k][marked:]
+                if parts[k] or marked and not self.normalise.squeeze:
+                    break
+        return b"".join(parts)
 
 
 _held: dict[int, Transducer] = {}
@@ -264,7 +335,7 @@ def _broadcast(spark, model: str | None):
 def transduce(docs: DataFrame, model: str | None = None, decode: bool = False, rows: int = 256) -> DataFrame:
     """docs (column text) with ids, an array of piece identifiers, and with ``decode`` the text that they stand for, as decoded.
 
-    Null texts give null, empty ones an empty array. Bytes that are not UTF-8 are read as U+FFFD.
+    Null texts give null, empty ones an empty array; no rows give no rows. Bytes that are not UTF-8 are read as U+FFFD.
     Columns of docs by these names are replaced; all others and repeated rows stay as they are.
     Results leave a task ``rows`` at a time, so that its memory doesn't grow with a batch.
     """
