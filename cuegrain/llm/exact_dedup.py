@@ -1,9 +1,10 @@
 """Exact dedup over a log-structured merge index of text digests.
 
 Each task gathers (digest, smallest doc_id, rows) in a memtable of bounded size and flushes it
-as a sorted run; runs are Parquet files with Bloom filters on the digest. Compaction merges the
-runs, keeps the smallest identifier of every digest and writes the sorted level 1, again with
-filters. Rows whose digest level 1 holds more than once are hits: their whole texts are compared
+as a sorted run; runs are Parquet files with Bloom filters on the digest, which Spark reads where
+digests are looked up by value. Compaction deals the runs by ranges of digests, merges them in
+order, keeps the smallest identifier of every digest and writes the sorted level 1, again with
+filters; an older level 1 takes part in it like another run. Rows whose digest level 1 holds more than once are hits: their whole texts are compared
 byte by byte with the text of the row that stays, and digests where any text differs are
 grouped anew by the text itself.
 """
@@ -51,12 +52,42 @@ def _memtable(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def build_index(docs: DataFrame, scratch: Scratch, memtable_rows: int = 1 << 16) -> DataFrame:
-    """Level 1 of the index: digest, keep_id (smallest doc_id), n (rows); docs has doc_id and digest."""
-    level0 = docs.select("digest", "doc_id").mapInArrow(_memtable(memtable_rows), "digest string, keep_id bigint, n bigint")
+INDEX = "digest string, keep_id bigint, n bigint"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each digest of sorted rows; the last digest waits for the next batch."""
+    held: pa.Table | None = None
+
+    def merged(t: pa.Table) -> pa.Table:
+        t = t.group_by("digest").aggregate([("keep_id", "min"), ("n", "sum")])
+        return t.select(["digest", "keep_id_min", "n_sum"]).rename_columns(["digest", "keep_id", "n"]).sort_by("digest")
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = merged(t if held is None else pa.concat_tables([held, t]))
+        held = t.slice(t.num_rows - 1)
+        yield from t.slice(0, t.num_rows - 1).combine_chunks().to_batches()
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def compact(runs: DataFrame) -> DataFrame:
+    """Runs merged to one level: digest, keep_id, n, dealt by ranges of digests and sorted."""
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartitionByRange(parts, "digest").sortWithinPartitions("digest").mapInArrow(_merge, INDEX)
+
+
+def build_index(docs: DataFrame, scratch: Scratch, memtable_rows: int = 1 << 16, older: DataFrame | None = None) -> DataFrame:
+    """Level 1 of the index: digest, keep_id (smallest doc_id), n (rows); docs has doc_id and digest, ``older`` is a level 1 to go on from."""
+    level0 = docs.select("digest", "doc_id").mapInArrow(_memtable(memtable_rows), INDEX)
     level0 = scratch.save(level0, "level0", **BLOOM)
-    level1 = level0.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    return scratch.save(level1.sortWithinPartitions("digest"), "level1", **BLOOM)
+    return scratch.save(compact(level0 if older is None else level0.unionByName(older)), "level1", **BLOOM)
+
+
+def look_up(index: DataFrame, digests: list[str]) -> DataFrame:
+    """The index's rows of a few digests; files whose filter has none of them are left out."""
+    return index.where(F.col("digest").isin(digests))
 
 
 def _may_hit(repeated: DataFrame, n: int, bound: int) -> Callable[[Column], Column] | None:

@@ -31,6 +31,8 @@ STRETCH = 64
 #: Bytes of the map of repeated anchors that may be broadcast; beyond, stretches are joined with them.
 FILTER_BYTES = 1 << 25
 SHARD_WORDS = 1_000_000
+#: Stretches of one anchor that an index holds; anchors with more are dealt window by window. Such anchors up to which they are broadcast.
+HOT, FEW_ANCHORS = 20_000, 500_000
 #: Stretches that a task remembers, to send equal ones once.
 SEEN_STRETCHES = 1_000_000
 NO_ID = -(1 << 63)
@@ -285,7 +287,7 @@ def substring_dedup(docs: DataFrame, filter_bytes: int = FILTER_BYTES, hot: int
     doc_id, or the same document, earlier start). Null texts have no words. A null doc_id comes
     before all others; rows with one doc_id come in the order of a hash of their texts, and rows
     that are the same in both are one document that is returned as often. No rows: no rows.
-    Anchors with more than ``hot`` different stretches (a passage in many contexts) are dealt
+    Anchors with more than ``hot`` (HOT if not given) different stretches (a passage in many contexts) are dealt
     over shards window by window.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -302,12 +304,12 @@ def substring_dedup(docs: DataFrame, filter_bytes: int = FILTER_BYTES, hot: int
     seen = cut.where("words IS NOT NULL")
 
     total, size = seen.agg(F.count(F.lit(1)), F.sum("n")).first()
-    limit = hot or max(20_000, (total or 0) // 2000)
-    wide = seen.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("wide"))  # at most 2,000 rows
+    limit = hot or HOT
+    wide = seen.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("wide"))  # one anchor in ``limit`` stretches at most
     wide = scratch.save(wide, "wide")
     gone, indexed = [later], seen
     if not wide.isEmpty():
-        seen = seen.join(F.broadcast(wide), "h", "left")
+        seen = seen.join(F.broadcast(wide) if (total or 0) // limit <= FEW_ANCHORS else wide, "h", "left")
         own = F.split(F.col("words").cast("string"), " ")
         each = seen.where("wide").select("id", "row", "first", own.alias("w")).select("id", "row", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("k"))
         each = each.select("id", "row", (F.col("first") + F.col("k")).alias("first"), F.array_join(F.slice("w", F.col("k") + 1, WINDOW), " ").cast("binary").alias("words"))

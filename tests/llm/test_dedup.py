@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cuegrain.llm.exact_dedup import exact_dedup
+from cuegrain.llm.common import Scratch
+from cuegrain.llm.exact_dedup import build_index, exact_dedup, look_up
 from cuegrain.llm.simhash import fingerprint, simhash_near_dedup
 
 SCHEMA = "doc_id bigint, text string"
@@ -43,6 +44,18 @@ def test_exact_without_filter_and_tiny_memtables(spark):
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute_exact(rows)
 
 
+def test_an_index_takes_a_second_batch(spark):
+    rnd = random.Random(9)
+    rows = [(i, f"{rnd.randrange(300):04d}") for i in range(3000)]
+    table = lambda part: spark.createDataFrame(part, "doc_id bigint, digest string")
+    scratch = Scratch(spark)
+    one = build_index(table(rows[1000:]), scratch, 64)
+    both = build_index(table(rows[:1000]), scratch, 64, one)
+    want = {d: (min(i for i, x in rows if x == d), sum(x == d for _, x in rows)) for _, d in rows}
+    assert {r.digest: (r.keep_id, r.n) for r in both.collect()} == want and both.count() == len(want)
+    assert {r.digest for r in look_up(both, ["0001", "9999"]).collect()} == {"0001"} & set(want)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(df).count() == 0
