@@ -238,39 +238,40 @@ class Transducer:
     def shortest(self, s: str) -> list[str]:
         """Pieces and other characters along the path of least weight; the first found stays among equals."""
         n, bpe, pairs, other = len(s), self.kind == BPE, self.pairs, self.other
-        live: list[dict[str, tuple]] = [{} for _ in range(n + 1)]  # by place and state: weight, place and state before, what the arc writes
-        live[0][""] = (0.0, 0, "", "")
+        cost, last, back = [math.inf] * (n + 1), [""] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
         for at in range(n):
-            for state, (weight, *_) in live[at].items():
-                node, k = self.arcs, at
-                while k < n:
-                    node = node.get(s[k]) or {}
-                    final = node.get("")
-                    k += 1
-                    if final is None:
-                        if k > at + 1:
-                            if not node:
-                                break
-                            continue
-                        final = (s[at], other)  # the byte machine's arc
-                    piece, w = final
-                    if bpe:
-                        w = pairs.get((state, piece))
-                        if w is None:
-                            if len(pairs) >= CACHE:
-                                pairs.clear()
-                            w = pairs[state, piece] = self.next_to(state, piece)
-                    w += weight
-                    to = piece if bpe else ""
-                    if w < math.inf and (to not in live[k] or w < live[k][to][0]):
-                        live[k][to] = (w, at, state, piece)
-        if not n:
-            return []
-        state = min(live[n], key=lambda x: live[n][x][0])
+            so_far = cost[at]
+            if so_far == math.inf:
+                continue
+            state, node, k = last[at], self.arcs, at
+            while k < n:
+                node = node.get(s[k])
+                k += 1
+                final = None if node is None else node.get("")
+                if final is None:
+                    if k > at + 1:
+                        if node is None:
+                            break
+                        continue
+                    final = (s[at], other)  # the byte machine's arc
+                    node = node or {}
+                piece, w = final
+                if bpe:
+                    if cost[k] < math.inf:  # a text has one path, and so has each beginning
+                        continue
+                    w = pairs.get((state, piece))
+                    if w is None:
+                        if len(pairs) >= CACHE:
+                            pairs.clear()
+                        w = pairs[state, piece] = self.next_to(state, piece)
+                w += so_far
+                if w < cost[k]:
+                    cost[k], last[k], back[k] = w, piece, at
         out, k = [], n
         while k:
-            _, k, state, piece = live[k][state]
-            out.append(piece)
+            out.append(last[k])
+            k = back[k]
         return out[::-1]
 
     def weight(self, pieces: list[str]) -> float:
