@@ -18,6 +18,8 @@ from .common import Scratch, salted_join
 #: Ways of cutting, each with chunks of two lines on average; a line's hash has 28 bits.
 PHASES = 24
 MIN_LINES = 2
+#: Bytes of spans that are broadcast; beyond, the texts are shuffled to them.
+SPAN_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 PLACE = ("id", "row", "at")
 
@@ -43,13 +45,24 @@ def _spans(docs: DataFrame) -> DataFrame:
         return F.zip_with(ends, begins, lambda e, b: F.struct(b.alias("at"), (e - b + 1).alias("n")))
 
     spans = F.flatten(F.transform(F.array(*(F.lit(1 << k) for k in range(PHASES))), chunks))
-    worded = lambda s: F.aggregate(F.slice("worded", s["at"], s["n"]), F.lit(0), lambda a, x: a + x)
-    spans = F.filter(F.array_distinct(F.filter(spans, lambda s: s["n"] >= MIN_LINES)), lambda s: worded(s) >= MIN_LINES)
+    spans = F.array_distinct(F.filter(spans, lambda s: s["n"] >= MIN_LINES))
+
+    def digested(v: Column) -> Column:
+        worded = lambda s: F.aggregate(F.slice(v["worded"], s["at"], s["n"]), F.lit(0), lambda a, x: a + x)
+        return F.transform(F.filter(spans, lambda s: worded(s) >= MIN_LINES), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(F.slice(v["digests"], s["at"], s["n"])).alias("digest")))
+
+    # Through an array of one, so that what the spans are held against is made once a text.
+    each = df.select("id", "row", F.flatten(F.transform(F.array(F.struct("digests", "worded")), digested)).alias("spans"))
     # The outer form keeps the optimizer from testing the size of the array below all the columns that it is made from.
-    each = df.select("id", "row", "digests", F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(F.slice("digests", s["at"], s["n"])).alias("digest"))).alias("spans"))
     return each.select("id", "row", F.explode_outer("spans").alias("s")).select("id", "row", "s.*").where("digest IS NOT NULL")
 
 
+def _few(spans: DataFrame, column: str) -> DataFrame:
+    """Spans by document for a join with the texts: sent to every task if they are few enough for that, so that texts needn't move."""
+    rows, n = spans.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
+    return F.broadcast(spans) if rows * 64 + (n or 0) * 32 <= SPAN_BYTES else spans.hint("shuffle_hash")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, kept_text: one row for each row of docs (doc_id, text).
 
@@ -61,21 +74,31 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    each = _spans(base)
+    each = scratch.save(_spans(base), "spans", compression="zstd")
     counts = scratch.save(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "digests")
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
     repeated = salted_join(each, counts, "digest", "n_rows", total, F.struct(*PLACE))
-    repeated = repeated.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-
-    # The texts of chunks that may repeat are compared, byte by byte.
-    texts = base.join(repeated.hint("shuffle_hash"), ["id", "row"]).select("id", "row", F.explode(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice(_lines(F.col("text")), s["at"], s["n"]), "\n").alias("text")))).alias("s"))
-    texts = scratch.save(texts.select("id", "row", "s.*").distinct(), "chunks", compression="zstd")
+    repeated = scratch.save(repeated.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "repeated", compression="zstd")
+    scratch.drop(each)
+
+    # The bytes of all lines of chunks that may repeat are compared: where no two lines share a hash, equal hashes are equal lines.
+    texts = base.join(_few(repeated, "spans"), ["id", "row"]).select("id", "row", "spans", _lines(F.col("text")).alias("lines"))
+    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    every = texts.select(F.explode(F.flatten(F.transform(F.array("lines"), lambda ls: F.transform(places, lambda i: F.element_at(ls, i))))).alias("line"))
+    shared = every.distinct().groupBy(F.xxhash64("line").alias("h")).count().where("count > 1")
+    if shared.isEmpty():
+        whole, own = F.transform("lines", lambda x: F.xxhash64(x)), lambda part: part
+    else:
+        whole, own = F.col("lines"), lambda part: F.array_join(part, "\n")
+    chunk = lambda ls: F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), own(F.slice(ls, s["at"], s["n"])).alias("own")))
+    texts = texts.select("id", "row", F.explode(F.flatten(F.transform(F.array(whole), chunk))).alias("s")).select("id", "row", "s.*")
+    texts = scratch.save(texts, "chunks", compression="zstd").dropDuplicates([*PLACE, "n"])
     place = F.struct(*PLACE)
-    first = scratch.save(texts.groupBy("text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "first", compression="zstd")
-    gone = salted_join(texts, first, "text", "n_rows", total, place).where(place != F.col("first"))
-    gone = gone.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    first = scratch.save(texts.groupBy("own").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "first", compression="zstd")
+    gone = salted_join(texts, first, "own", "n_rows", total, place).where(place != F.col("first"))
+    gone = scratch.save(gone.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("gone")), "gone", compression="zstd")
 
-    out = base.join(gone.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "gone", _lines(F.col("text")).alias("lines"))
+    out = base.join(_few(gone, "gone"), ["id", "row"], "left").select("doc_id", "gone", _lines(F.col("text")).alias("lines"))
     stays = lambda _, i: ~F.exists("gone", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"]))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
     out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
