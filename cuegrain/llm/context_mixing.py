@@ -47,7 +47,7 @@ PAIR, WORD, LONG = 0, 1, 2
 #: Bytes of text that a task takes apart, and that it counts, at once.
 CHUNK, COUNT_BYTES = 1 << 18, 8 << 20
 #: Bytes of text whose words and pairs one task adds up.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
 TOP_KEYS = 1 << 19
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
