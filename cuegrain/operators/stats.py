@@ -36,12 +36,16 @@ def bigrams(docs: DataFrame, by: str, key: str) -> DataFrame:
     return chars.select(by, F.explode(pairs).alias("p")).groupBy(by, "p.c", "p.d").agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """c, delta: (root of the second share - root of the first) in 16.16 fixed point, rounded half up, then cut toward zero."""
-    ta, tb = (x.agg(F.sum("n").alias("t")).first()["t"] for x in (a, b))
-    j = a.select("c", F.col("n").alias("x")).join(b.select("c", F.col("n").alias("y")), "c", "full_outer")
-    root = lambda v, t: F.sqrt(F.coalesce(F.col(v), F.lit(0)) / F.lit(float(t or 1)))
-    return j.select("c", ((root("y", tb) - root("x", ta)) * 65536 + 0.5).cast("int").alias("delta"))
+def histogram_difference(counts: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """c, delta: (root of the second share - root of the first) in 16.16 fixed point, rounded half up, then cut toward zero.
+
+    ``counts`` has c and n for each value of ``key``; both histograms and their totals come from one grouping.
+    """
+    own = lambda v: F.sum(F.when(F.col(key) == v, F.col("n")).otherwise(0))
+    both = counts.where(F.col(key).isin(first, second)).groupBy("c").agg(own(first).alias("x"), own(second).alias("y"))
+    whole = {v: both.agg(F.sum(v)).scalar() for v in ("x", "y")}
+    root = lambda v: F.sqrt(F.col(v) / F.greatest(whole[v], F.lit(1)).cast("double"))
+    return both.select("c", ((root("y") - root("x")) * 65536 + 0.5).cast("int").alias("delta"))
 
 
 def utf8_confidence(n: Column) -> Column:

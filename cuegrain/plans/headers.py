@@ -64,9 +64,7 @@ def component_status(t):
 
 @query("delta_updates", "SELECT o_custkey, o_orderstatus AS from_version, arg_max(o_orderkey, o_orderkey) AS item FROM orders GROUP BY o_custkey, o_orderstatus")
 def delta_updates(t):
-    deltas = t("orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderstatus", "o_orderkey")).alias("deltas"))
-    flat = deltas.select("o_custkey", F.explode("deltas").alias("d"))
-    return flat.groupBy("o_custkey", F.col("d.o_orderstatus").alias("from_version")).agg(F.max("d.o_orderkey").alias("item"))
+    return t("orders").groupBy("o_custkey", F.col("o_orderstatus").alias("from_version")).agg(F.max("o_orderkey").alias("item"))
 
 
 @query("font_scales", "SELECT p_partkey, round(CASE WHEN p_size % 10 = 0 THEN 1 ELSE 1000.0 / (p_size % 10 * 100 + 50) END, 6) AS scale, NOT regexp_matches(CASE WHEN p_size % 4 = 0 THEN 'DFx.ttc' ELSE 'Arial.ttf' END, '^DF.*[.]ttc$') AS imported FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -129,8 +131,7 @@ WITH h AS (SELECT lang, c, count(*) AS n FROM ({CHARS}) WHERE c <> '' GROUP BY A
 SELECT coalesce(a.c, b.c) AS c, CAST(trunc((sqrt(coalesce(b.n / b.t, 0)) - sqrt(coalesce(a.n / a.t, 0))) * 65536 + 0.5) AS INTEGER) AS delta FROM a FULL JOIN b ON a.c = b.c
 """)
 def hist_diff(t):
-    h = lambda lang: stats.histogram(t("documents").where(F.col("lang") == lang), "lang").select("c", "n")
-    return stats.histogram_difference(h("en"), h("fr"))
+    return stats.histogram_difference(stats.histogram(t("documents").where(F.col("lang").isin("en", "fr")), "lang"), "lang", "en", "fr")
 
 
 @query("latin1_pairs", """
@@ -140,11 +141,10 @@ p AS (SELECT doc_id, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS a, k AS b F
 SELECT doc_id, count(*) FILTER (b = 'a' AND a IN ('l', 'a')) AS likely, count(*) FILTER (b = 'a' AND a = 'U') AS unlikely, count(*) FILTER (a IS NOT NULL) AS total FROM p GROUP BY doc_id
 """)
 def latin1_pairs(t):
-    kind = lambda c: F.when(c.rlike("^[A-Z]$"), "U").when(c.rlike("^[a-z]$"), "l").when(c.isin(*"àèéêçñäöüßóíá"), "a").otherwise("o")
-    df = t("documents").where(F.length("text") > 0).select("doc_id", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), kind).alias("k"))
-    text = F.array_join("k", "")
+    upper, lower, accented = string.ascii_uppercase, string.ascii_lowercase, "àèéêçñäöüßóíá"
+    text = F.translate("text", upper + lower + accented, "U" * 26 + "l" * 26 + "a" * len(accented))
     n = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    return df.select("doc_id", n("(?<=[la])a").alias("likely"), n("(?<=U)a").alias("unlikely"), (F.size("k") - 1).cast("long").alias("total"))
+    return t("documents").where(F.length("text") > 0).select("doc_id", n("(?<=[la])a").alias("likely"), n("(?<=U)a").alias("unlikely"), (F.length("text") - 1).cast("long").alias("total"))
 
 
 @query("latin1_confidence", """
@@ -209,9 +209,9 @@ def loaded_time(t):
 
 @query("enabled_any", "WITH g AS (SELECT quality, bool_or(toxic = 1) AS any_on, min(doc_id) AS first FROM labels GROUP BY quality) SELECT l.quality, doc_id, (toxic = 1) OR (NOT any_on AND doc_id = first) AS enabled FROM labels l JOIN g ON l.quality = g.quality")
 def enabled_any(t):
-    w = Window.partitionBy("quality")
     on = F.col("toxic") == 1
-    return t("labels").select("quality", "doc_id", (on | (~F.bool_or(on).over(w) & (F.col("doc_id") == F.min("doc_id").over(w)))).alias("enabled"))
+    groups = t("labels").groupBy("quality").agg(F.bool_or(on).alias("any_on"), F.min("doc_id").alias("first"))  # partly summed before the shuffle
+    return t("labels").join(groups, "quality").select("quality", "doc_id", (on | (~F.col("any_on") & (F.col("doc_id") == F.col("first")))).alias("enabled"))
 
 
 @query("largest_packet", "SELECT user_id AS stream, event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS largest FROM events")
