@@ -127,7 +127,7 @@ def in_filter(whole: np.ndarray, h: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- words, vectorised
 
 
-def chunks(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes together, so that numpy temporaries stay small."""
     lo = n = 0
     for i, t in enumerate(texts):
