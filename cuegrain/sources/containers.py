@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import struct
 from collections.abc import Iterator
 
@@ -215,10 +216,8 @@ SCHEMAS = {
 }
 
 
-def read_matroska(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One of the tables of ``SCHEMAS`` for all files below path. Payloads stay in the files: frames hold their places."""
-    import decimal
-
+def matroska_rows(files: DataFrame, table: str) -> DataFrame:
+    """One of the tables of ``SCHEMAS`` for all files (path, content). Payloads stay in the files: frames hold their places."""
     names = [x.split()[0] for x in SCHEMAS[table].split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,8 +229,12 @@ def read_matroska(spark: SparkSession, path: str, table: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame([r | {"path": p} for r in rows], columns=names, dtype=object)
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return raw.mapInPandas(run, SCHEMAS[table])
+    return files.select("path", "content").mapInPandas(run, SCHEMAS[table])
+
+
+def read_matroska(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One of the tables of ``SCHEMAS`` for all files below path."""
+    return matroska_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), table)
 
 
 #: Video codes inside AVI files that other software plays, in lower case.
