@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import formats, headers, relations, scalars, timeline  # noqa: F401
+from . import codecs, formats, headers, relations, scalars, timeline  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
