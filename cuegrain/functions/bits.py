@@ -83,16 +83,91 @@ def sequence_parameters(nal: bytes | None) -> dict | None:
                         if nxt:
                             nxt = (last + b.se()) % 256
                         last = nxt or last
-    b.ue()
-    poc = b.ue()
+    frame_bits, poc, poc_bits = b.ue() + 4, b.ue(), 0
     if poc == 0:
-        b.ue()
+        poc_bits = b.ue() + 4
     elif poc == 1:
         b.get(1), b.se(), b.se()
         for _ in range(b.ue()):
             b.se()
     refs, _, width, height, mbs_only = b.ue(), b.get(1), b.ue() + 1, b.ue() + 1, b.get(1)
-    return {"profile": profile, "level": level, "poc_type": poc, "ref_frames": refs, "width": width * 16, "height": height * 16 * (2 - mbs_only), "frame_mbs_only": bool(mbs_only)}
+    if not mbs_only:
+        b.get(1)
+    b.get(1)
+    if b.get(1):
+        b.ue(), b.ue(), b.ue(), b.ue()
+    reorder = _reorder_frames(b) if b.get(1) else None
+    return {"profile": profile, "level": level, "poc_type": poc, "ref_frames": refs, "width": width * 16, "height": height * 16 * (2 - mbs_only), "frame_mbs_only": bool(mbs_only), "frame_bits": frame_bits, "poc_bits": poc_bits, "reorder_frames": reorder}
+
+
+def _reorder_frames(b: Bits) -> int | None:
+    """How many frames are held back for re-ordering, by the usability part of a parameter set; None if it doesn't say."""
+    if b.get(1) and b.get(8) == 255:
+        b.get(32)
+    if b.get(1):
+        b.get(1)
+    if b.get(1):
+        b.get(4)
+        if b.get(1):
+            b.get(24)
+    if b.get(1):
+        b.ue(), b.ue()
+    if b.get(1):
+        b.get(65)
+    buffers = [b.get(1) and _skip_buffer_model(b) for _ in range(2)]
+    if any(buffers):
+        b.get(1)
+    b.get(1)
+    if not b.get(1):
+        return None
+    b.get(1)
+    return [b.ue() for _ in range(5)][-1]
+
+
+def _skip_buffer_model(b: Bits) -> bool:
+    n = b.ue() + 1
+    b.get(8)
+    for _ in range(n):
+        b.ue(), b.ue(), b.get(1)
+    b.get(20)
+    return True
+
+
+def picture_parameters(nal: bytes | None) -> dict | None:
+    """Identifiers, entropy coding and order flag of an H.264 picture parameter set."""
+    if not nal or nal[0] & 31 != 8:
+        return None
+    b = Bits(unescape(nal[1:]))
+    return {"pps_id": b.ue(), "sps_id": b.ue(), "cabac": bool(b.get(1)), "order_present": bool(b.get(1))}
+
+
+def slice_order(stream: bytes | None) -> dict | None:
+    """Kind, frame number and order count (its low bits) of the first slice behind the parameter sets in a stream; order only where the stream counts by it (type 0)."""
+    sps = pps = None
+    for u in nal_units(stream or b""):
+        sps, pps = sequence_parameters(u) or sps, picture_parameters(u) or pps
+        if u[0] & 31 not in (1, 5) or sps is None:
+            continue
+        b = Bits(unescape(u[1:60]))
+        b.ue()
+        kind = b.ue()
+        if kind > 9:
+            return None
+        b.ue()
+        number, field = b.get(sps["frame_bits"]), 0
+        if not sps["frame_mbs_only"]:
+            field = b.get(1)
+            if field:
+                b.get(1)
+        if u[0] & 31 == 5:
+            b.ue()
+        order = None
+        if sps["poc_type"] == 0:
+            order = b.get(sps["poc_bits"])
+            if pps and pps["order_present"] and not field:
+                order += min(b.se(), 0)
+        return {"kind": SLICES[kind], "frame": number, "order": order}
+    return None
 
 
 def frame_kind(stream: bytes | None) -> dict | None:
@@ -104,7 +179,7 @@ def frame_kind(stream: bytes | None) -> dict | None:
         if u[0] & 31 in (1, 5):
             b = Bits(unescape(u[1:40]))
             b.ue()
-            kinds.append({"I": 0, "P": 1, "B": 2}[SLICES[b.ue() % 10] if SLICES else "I"])
+            kinds.append({"I": 0, "P": 1, "B": 2}[SLICES[b.ue() % 10]])
             refs.append(u[0] >> 5 & 3)
             idr |= u[0] & 31 == 5
     if not kinds:
@@ -417,9 +492,11 @@ def permute_channels(samples: np.ndarray, order: list[int]) -> np.ndarray:
 
 # ---------------------------------------------------------------- registry
 
-SPS = "profile int, level int, poc_type int, ref_frames int, width int, height int, frame_mbs_only boolean"
+SPS = "profile int, level int, poc_type int, ref_frames int, width int, height int, frame_mbs_only boolean, frame_bits int, poc_bits int, reorder_frames int"
 PARSERS: dict[str, tuple[Callable, str]] = {
     "parse_sps": (sequence_parameters, SPS),
+    "parse_pps": (picture_parameters, "pps_id int, sps_id int, cabac boolean, order_present boolean"),
+    "parse_slice": (slice_order, "kind string, frame int, order int"),
     "parse_h264_frame": (frame_kind, "kind string, skippable boolean, idr boolean"),
     "parse_ac3": (ac3_header, "rate int, bit_rate int, channels int, lfe boolean"),
     "parse_esds": (decoder_config, "binary"),

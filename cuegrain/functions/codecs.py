@@ -87,7 +87,7 @@ XiVs VORBIS
 .mp3 MP3
 0x6D730050 MP2
 DTS_ DTS
-nmos NELLYMOSER
+NELL NELLYMOSER
 TTA1 TTA
 0x6D732000 AC3
 lpcm PCM_S16LE
@@ -146,7 +146,7 @@ MP2|MPEG-1 Layer 1/2|0x6D730050
 MP2|MPEG-1 Layer 2|.mp2
 TTA|True Audio|TTA1
 DTS|DTS Coherent Acoustics|DTS_
-NELLYMOSER|Nellymoser ASAO|nmos
+NELLYMOSER|Nellymoser ASAO|NELL
 NONE|AC3|CAC3
 NONE|MPEG-1 Layer 1|CMP1
 NONE|MPEG-1 Layer 2|CMP2
@@ -437,8 +437,8 @@ def needs_private(code: Column) -> Column:
 
 
 def cleared(shown: Column, width: Column, height: Column) -> Column:
-    """A black picture: packed luma and chroma of 2 or 4 bytes a pixel, zeros for the others; opaque where there is alpha."""
-    pixel = F.when(shown == "YUV422P", "8010").when(shown == "YUV444P", "801080EB").when(shown == "RGB555BE", "0000").when(shown == "RGB24", "000000").when(shown == "ARGB", "FF000000")
+    """A black picture: packed luma and chroma of 2 or 4 bytes a pixel, zeros for the others."""
+    pixel = F.when(shown == "YUV422P", "8010").when(shown == "YUV444P", "801080EB").when(shown == "RGB555BE", "0000").when(shown == "RGB24", "000000").when(shown == "ARGB", "00000000")
     return F.unhex(F.repeat(pixel, (width * height).cast("int")))
 
 

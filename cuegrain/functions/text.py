@@ -28,11 +28,49 @@ def packet_line(n: Column, *fields: Column) -> Column:
     return F.concat_ws(",", (n + 1).cast("string"), *(F.coalesce(f.cast("string"), F.lit("(null)")) for f in fields))
 
 
-def override_colour(hex_rgb: Column) -> Column:
-    """#RRGGBB as a colour tag, whose bytes run blue, green, red; white for anything else."""
-    ok = hex_rgb.rlike("^#[0-9A-Fa-f]{6}$")
-    s = lambda i: F.substring(hex_rgb, i, 2)
-    return F.concat(F.lit("{\\1c&H"), F.when(ok, F.upper(F.concat(s(6), s(4), s(2)))).otherwise("FFFFFF"), F.lit("&}"))
+# Names of colours in SAMI files.
+COLOURS = {
+    "aqua": "00FFFF", "black": "000000", "blue": "0000FF", "fuchsia": "FF00FF", "gray": "808080", "green": "008000", "lime": "00FF00", "maroon": "800000",
+    "navy": "000080", "olive": "808000", "purple": "800080", "red": "FF0000", "silver": "C0C0C0", "teal": "008080", "white": "FFFFFF", "yellow": "FFFF00",
+}
+
+
+def override_colour(value: Column) -> Column:
+    """#RRGGBB, RRGGBB or a name as a colour tag, whose bytes run blue, green, red; white for anything else."""
+    names = F.create_map(*(F.lit(x) for pair in COLOURS.items() for x in pair))
+    digits = F.coalesce(names[F.lower(value)], F.when(value.rlike("^#?[0-9A-Fa-f]{6}$"), F.right(value, F.lit(6))), F.lit("FFFFFF"))
+    s = lambda i: F.substring(digits, i, 2)
+    return F.concat(F.lit("{\\1c&H"), F.upper(F.concat(s(5), s(3), s(1))), F.lit("&}"))
+
+
+def sami_classes(text: Column) -> Column:
+    """struct(first, second): the class of a file's first paragraph, and of the first one in its last tenth if that is another; noClass where there is none."""
+    name = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"(?is)<P CLASS=\s*([^>]+)", 1), F.lit("")), F.lit("noClass"))
+    first = name(text)
+    second = name(F.substr(text, F.floor(F.length(text) * 9 / 10).cast("int") + 1))
+    return F.struct(first.alias("first"), F.when(second == first, "noClass").otherwise(second).alias("second"))
+
+
+def sami_language(tag: Column, classes: Column) -> Column:
+    """1 or 2 for a paragraph of the first or second class, 3 for all others."""
+    own = F.coalesce(F.nullif(F.regexp_extract(tag, r"(?i)CLASS=\s*([^>]+)", 1), F.lit("")), F.lit("noClass"))
+    return F.when(own == classes["first"], 1).when(own == classes["second"], 2).otherwise(3)
+
+
+def strip_nested_tags(s: Column) -> Column:
+    """The text outside all tags; where an outermost tag ends stands a space. Tags may hold others."""
+    parts = F.regexp_extract_all(s, F.lit("([<>]|[^<>]+)"), F.lit(1))
+    depths = F.transform(parts, lambda x: F.when(x == "<", 1).when(x == ">", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("levels"))
+    step = lambda a, d: F.struct((a["level"] + d).alias("level"), F.array_append(a["levels"], a["level"] + d).alias("levels"))
+    levels = F.aggregate(depths, start, step, lambda a: a["levels"])
+    shown = F.zip_with(parts, levels, lambda x, n: F.when(n != 0, "").when(x == "<", "").when(x == ">", " ").otherwise(x))
+    return F.array_join(shown, "")
+
+
+def words_outside_tags(s: Column) -> Column:
+    """Runs of letters and non-ASCII characters outside tags, a space apart; a tag that isn't closed goes to the end."""
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(s, "<[^>]*(>|$)", " "), F.lit(r"([A-Za-z\x{80}-\x{10FFFF}]+)"), F.lit(1)), " ")
 
 
 def sync_start(tag: Column) -> Column:

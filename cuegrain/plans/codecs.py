@@ -96,7 +96,7 @@ _FORMATS = [*dict.fromkeys(r[0] for r in cd.rows_of(cd.PIXELS)), "PAL8"]
 
 @query("pixel_formats", f"""
 WITH r AS (SELECT p_partkey, p_size, {_FORMATS}[p_partkey % {len(_FORMATS)} + 1] AS f FROM part), j AS (SELECT p_partkey, p_size % 4 AS w, p_size % 3 AS h, f, shown, coalesce(code, 0) AS code FROM r LEFT JOIN {_PIXELS} p ON p.pixels = f)
-SELECT p_partkey, shown, code, CASE WHEN f IN ('YUVJ420P', 'YUV420P', 'YUVA420P') THEN w < 2 OR h < 2 WHEN f = 'YUV422P' THEN h < 2 ELSE false END AS invalid, repeat(CASE shown WHEN 'YUV422P' THEN '8010' WHEN 'YUV444P' THEN '801080EB' WHEN 'RGB555BE' THEN '0000' WHEN 'RGB24' THEN '000000' WHEN 'ARGB' THEN 'FF000000' END, w * h) AS black FROM j
+SELECT p_partkey, shown, code, CASE WHEN f IN ('YUVJ420P', 'YUV420P', 'YUVA420P') THEN w < 2 OR h < 2 WHEN f = 'YUV422P' THEN h < 2 ELSE false END AS invalid, repeat(CASE shown WHEN 'YUV422P' THEN '8010' WHEN 'YUV444P' THEN '801080EB' WHEN 'RGB555BE' THEN '0000' WHEN 'RGB24' THEN '000000' WHEN 'ARGB' THEN '00000000' END, w * h) AS black FROM j
 """)
 def pixel_formats(t):
     f = F.get(F.array(*map(F.lit, _FORMATS)), (F.col("p_partkey") % len(_FORMATS)).cast("int"))

@@ -102,18 +102,13 @@ def _bytes(bit_string: str) -> str:
     return f"array_join(transform(sequence(1, length({whole}), 8), i -> lpad(conv(substring({whole}, i, 8), 2, 16), 2, '0')), '')"
 
 
-def _escaped(digits: str) -> str:
-    """A unit's bytes with the escape byte where two zero bytes come before one below 4."""
-    once = f"regexp_replace({digits}, '(?<=^(?:..){{0,64}})0000(?=0[0-3])', '000003')"
-    return once
-
-
 def _data(t, digits: str, *names: str):
     return t("part").select("p_partkey", "p_size", "p_brand", F.expr(f"unhex(concat({digits}))").alias("data"), *names)
 
 
-VUI = f"concat('00000', '000', '1', {_bits('p_size % 2', 1)}, '1', {_ue('0')}, {_ue('0')}, {_ue('9')}, {_ue('9')}, {_ue('p_size % 4')}, {_ue('4')})"
-SPS = f"concat({_ue('0')}, {_ue('p_size % 3')}, {_ue('2')}, CASE WHEN p_size % 3 < 2 THEN {_ue('3')} ELSE '' END, {_ue('p_size % 5')}, '0', {_ue('p_size')}, {_ue('p_size % 7')}, '1', '1', '0', '1', {VUI})"
+#: The part of a parameter set that says how many frames are re-ordered.
+VUI = f"concat('00000', '00', '0', '1', '1', {_ue('0')}, {_ue('0')}, {_ue('9')}, {_ue('9')}, {_ue('p_size % 4')}, {_ue('4')})"
+SPS = f"concat({_ue('0')}, {_ue('4')}, {_ue('p_size % 3 div 2 * 2')}, CASE WHEN p_size % 3 < 2 THEN {_ue('3')} ELSE '' END, {_ue('p_size % 5')}, '0', {_ue('p_size')}, {_ue('p_size % 7')}, '1', '1', '0', '1', {VUI})"
 
 
 def _parsed(name: str, data: Column | str = "data") -> Column:
@@ -136,6 +131,23 @@ def h264_pictures(t):
     return _data(t, f"'0000010930000001', {head}, {_bytes('concat(' + _ue('0') + ', ' + _ue('p_size % 3') + ', ' + _ue('5') + ')')}").select("p_partkey", _parsed("parse_h264_frame").alias("f")).select("p_partkey", "f.*")
 
 
+@query("h264_parameters", "SELECT p_partkey, 8 AS frame_bits, p_size % 3 // 2 * 2 AS poc_type, CASE WHEN p_size % 3 < 2 THEN 7 ELSE 0 END AS poc_bits, p_size % 5 AS ref_frames, (p_size + 1) * 16 AS width, (p_size % 7 + 1) * 16 AS height, p_size % 4 AS reorder_frames FROM part")
+def h264_parameters(t):
+    return _data(t, f"'674D001E', {_bytes(SPS)}").select("p_partkey", _parsed("parse_sps").alias("s")).select("p_partkey", *(f"s.{c}" for c in ("frame_bits", "poc_type", "poc_bits", "ref_frames", "width", "height", "reorder_frames")))
+
+
+@query("h264_picture_parameters", "SELECT p_partkey, p_size AS pps_id, p_size % 5 AS sps_id, p_size % 2 = 1 AS cabac, p_size % 3 = 0 AS order_present FROM part")
+def h264_picture_parameters(t):
+    flags = f"concat({_ue('p_size')}, {_ue('p_size % 5')}, {_bits('p_size % 2', 1)}, CASE WHEN p_size % 3 = 0 THEN '1' ELSE '0' END)"
+    return _data(t, f"'68', {_bytes(flags)}").select("p_partkey", _parsed("parse_pps").alias("s")).select("p_partkey", "s.*")
+
+
+@query("h264_slice_orders", "SELECT p_partkey, ['P', 'B', 'I'][p_size % 3 + 1] AS kind, 100 + p_size AS frame, CASE WHEN p_size % 3 < 2 THEN 64 + p_size END AS \"order\" FROM part")
+def h264_slice_orders(t):
+    slice_ = f"concat({_ue('0')}, {_ue('p_size % 3')}, {_ue('0')}, {_bits('100 + p_size', 8)}, CASE WHEN p_size % 3 < 2 THEN {_bits('64 + p_size', 7)} ELSE '' END, '1111')"
+    return _data(t, f"'000001674D001E', {_bytes(SPS)}, '00000141', {_bytes(slice_)}").select("p_partkey", _parsed("parse_slice").alias("s")).select("p_partkey", "s.*")
+
+
 @query("mpeg_pictures", "SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'I' WHEN 2 THEN 'P' WHEN 3 THEN 'B' END AS kind FROM part")
 def mpeg_pictures(t):
     return _data(t, f"'000001B3', '00000100', '00', {_hex('(p_size % 4) * 8', 2)}, '00'").select("p_partkey", _parsed("mpeg_picture_kind").alias("kind"))
