@@ -261,6 +261,24 @@ def matroska_headers(t):
     return _mkv(t, "segment", info, info).select("p_partkey", "scale", "title")
 
 
+@query("matroska_seeks", "SELECT p_partkey, 357149030 AS ident, p_size AS \"position\" FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 0 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 272869232, 1000 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 78 FROM part WHERE p_size < 50")
+def matroska_seeks(t):
+    c = containers
+    seek = lambda ident, at: _el(c.SEEK, f"concat({_el(c.SEEK_ID, repr(f'{ident:X}'))}, {_num(c.SEEK_POSITION, at)})")
+    # The first head names the second (78 bytes on), which names the first.
+    first = _el(c.SEEK_HEAD, f"concat({seek(c.INFO, 'p_size')}, {seek(c.SEEK_HEAD, '78')})")
+    second = _el(c.SEEK_HEAD, f"concat({seek(c.CHAPTERS, '1000')}, {seek(c.SEEK_HEAD, '0')})")
+    return _mkv(t, "seeks", first, second).select("p_partkey", "ident", "position")
+
+
+@query("matroska_late_chapters", "SELECT p_partkey, 1 AS uid, 1000000 * p_size AS start FROM part WHERE p_size <= 25")
+def matroska_late_chapters(t):
+    c = containers
+    info = _el(c.INFO, f"concat({_num(c.SCALE, '1000000')}, {_el(c.DURATION, repr('4039000000000000'))})")
+    atom = _el(c.ATOM, f"concat({_num(c.UID, '1')}, {_num(c.START, '1000000 * p_size')})")
+    return _mkv(t, "chapters", _el(c.CHAPTERS, _el(c.EDITION, atom)), info).select("p_partkey", F.col("uid").cast("long").alias("uid"), "start")
+
+
 @query("matroska_chapters", "SELECT p_partkey, 2 AS uid, 1 AS parent, p_size AS start FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 4, NULL, 9 FROM part WHERE p_size < 50")
 def matroska_chapters(t):
     c = containers
@@ -271,10 +289,13 @@ def matroska_chapters(t):
     return rows.select("p_partkey", F.col("uid").cast("long").alias("uid"), F.col("parent").cast("long").alias("parent"), "start")
 
 
-@query("matroska_attachments", "SELECT p_partkey, p_brand || '.ttf' AS name, 'application/x-truetype-font' AS mime FROM part WHERE p_size < 50")
+@query("matroska_attachments", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'cover.png' WHEN p_size % 3 = 1 THEN 'DFfont.ttc' ELSE p_brand || '.ttf' END AS name, CASE WHEN p_size % 3 = 0 THEN 'cover' WHEN p_size % 3 = 2 THEN 'font' END AS role, p_size AS size FROM part WHERE p_size < 50")
 def matroska_attachments(t):
     c = containers
-    return _mkv(t, "attachments", _el(c.ATTACHMENTS, _el(c.FILE, f"concat({_el(c.FILE_NAME, 'hex(concat(p_brand, ' + repr('.ttf') + '))')}, {_el(c.FILE_MIME, 'hex(' + repr('application/x-truetype-font') + ')')})"))).select("p_partkey", "name", "mime")
+    name = "CASE WHEN p_size % 3 = 0 THEN 'cover.png' WHEN p_size % 3 = 1 THEN 'DFfont.ttc' ELSE concat(p_brand, '.ttf') END"
+    mime = "CASE WHEN p_size % 3 = 0 THEN 'image/png' ELSE 'application/x-truetype-font' END"
+    file = _el(c.FILE, f"concat({_el(c.FILE_NAME, 'hex(' + name + ')')}, {_el(c.FILE_MIME, 'hex(' + mime + ')')}, {_el(c.FILE_DATA, 'repeat(' + repr('AA') + ', p_size)')})")
+    return _mkv(t, "attachments", _el(c.ATTACHMENTS, file)).select("p_partkey", "name", "role", "size")
 
 
 @query("format_probe", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'avi' WHEN 1 THEN 'flv' WHEN 2 THEN 'tta' END AS format, CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_size % 8 = 0 THEN 'dvsd' ELSE 'XVID' END ELSE '' END AS codes, p_size % 4 IN (1, 2) OR p_size % 8 = 4 AS accepted FROM part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import re
 import struct
 from collections.abc import Iterator
 
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 
 #: Identifiers of the Matroska elements that are read, from the public format description.
 EBML, DOC_TYPE, READ_VERSION = 0x1A45DFA3, 0x4282, 0x4285
-SEGMENT, INFO, SCALE, DURATION, TITLE = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x7BA9
+SEGMENT, INFO, SCALE, DURATION, TITLE, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x7BA9, 0x5741
 TRACKS, TRACK, NUMBER, TYPE, CODEC, PRIVATE, LANGUAGE, NAME, DEFAULT_DURATION, LACING, ENABLED = 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86, 0x63A2, 0x22B59C, 0x536E, 0x23E383, 0x9C, 0xB9
 CLUSTER, TIMECODE, GROUP, BLOCK, BLOCK_DURATION, REFERENCE, SIMPLE = 0x1F43B675, 0xE7, 0xA0, 0xA1, 0x9B, 0xFB, 0xA3
 CHAPTERS, EDITION, ATOM, UID, START, HIDDEN, DISPLAY, CHAPTER_TEXT = 0x1043A770, 0x45B9, 0xB6, 0x73C4, 0x91, 0x98, 0x80, 0x85
-ATTACHMENTS, FILE, FILE_NAME, FILE_MIME = 0x1941A469, 0x61A7, 0x466E, 0x4660
+ATTACHMENTS, FILE, FILE_NAME, FILE_MIME, FILE_DATA = 0x1941A469, 0x61A7, 0x466E, 0x4660, 0x465C
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, CLUSTER, GROUP, CHAPTERS, EDITION, ATOM, DISPLAY, ATTACHMENTS, FILE, EBML}
 LEVEL_ONE = {INFO, TRACKS, CLUSTER, CHAPTERS, ATTACHMENTS}
 SEEK_HEAD, CUES, TAGS = 0x114D9B74, 0x1C53BB6B, 0x1254C367
+SEEK, SEEK_ID, SEEK_POSITION = 0x4DBB, 0x53AB, 0x53AC
+#: Kinds of attached fonts, and names of cover pictures.
+FONTS, COVERS = ("application/x-truetype-font", "application/x-font-otf"), ("cover.jpg", "cover.png")
 
 
 def _number(data: bytes, at: int, keep_mark: bool) -> tuple[int | None, int]:
@@ -99,8 +103,8 @@ def lace_sizes(data: bytes, at: int, kind: int, end: int) -> tuple[list[int], in
 
 
 def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dict]]:
-    """Rows of each table of one file: segment, tracks, frames, chapters, attachments. A file that isn't Matroska or WebM of read version 2 or less gives none."""
-    out: dict[str, list[dict]] = {k: [] for k in ("segment", "tracks", "frames", "chapters", "attachments")}
+    """Rows of each table of one file: segment, tracks, frames, chapters, attachments, seeks. A file that isn't Matroska or WebM of read version 2 or less gives none."""
+    out: dict[str, list[dict]] = {k: [] for k in ("segment", "tracks", "frames", "chapters", "attachments", "seeks")}
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         return out
@@ -111,7 +115,7 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
     seg = next((x for x in top if x[0] == SEGMENT), None)
     if seg is None:
         return out
-    at, end, seen = seg[1], seg[2], set()
+    at, end, seen, heads = seg[1], seg[2], set(), set()
     while at < end:
         got = next(elements(data, at, end), None)
         if got is None or (got[0] not in MASTERS and got[0] < 1 << 8):
@@ -125,12 +129,14 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
             b = _cluster_end(data, a, b, end)
             if not headers_only:  # tables that a SeekHead would point to may stand behind the clusters
                 _cluster(data, a, b, out["frames"])
+        elif ident == SEEK_HEAD:
+            _seeks(data, seg[1], end, at, heads, out["seeks"])
         elif ident not in seen:  # each of the others counts once
             seen.add(ident)
             if ident == INFO:
                 c = _children(data, a, b)
                 raw = data[slice(*c[DURATION])] if DURATION in c else b""
-                out["segment"].append({"scale": _uint(data, *c[SCALE]) if SCALE in c else 1_000_000, "duration": struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else None, "title": _text(data, *c[TITLE]) if TITLE in c else None})
+                out["segment"].append({"scale": _uint(data, *c[SCALE]) if SCALE in c else 1_000_000, "duration": struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else None, "title": _text(data, *c[TITLE]) if TITLE in c else None, "writer": _text(data, *c[WRITER]) if WRITER in c else None})
             elif ident == TRACKS:
                 for i, x, y in elements(data, a, b):
                     if i == TRACK:
@@ -148,11 +154,34 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
                 for i, x, y in elements(data, a, b):
                     if i == FILE:
                         c = _children(data, x, y)
-                        out["attachments"].append({"name": _text(data, *c[FILE_NAME]) if FILE_NAME in c else "", "mime": _text(data, *c[FILE_MIME]) if FILE_MIME in c else ""})
+                        name, mime = (_text(data, *c[k]) if k in c else "" for k in (FILE_NAME, FILE_MIME))
+                        first, behind = c.get(FILE_DATA, (0, 0))
+                        role = "font" if mime in FONTS and not re.fullmatch(r"DF.*\.ttc", name) else "cover" if name in COVERS else None
+                        out["attachments"].append({"name": name, "mime": mime, "role": role, "offset": first, "size": behind - first})
         at = b
+    if out["segment"] and out["segment"][0]["duration"]:  # chapters that begin behind the end are left out
+        last = out["segment"][0]["duration"]
+        out["chapters"] = [c for c in out["chapters"] if c["start"] // (out["segment"][0]["scale"] or 1) <= last]
+    out["seeks"].sort(key=lambda x: (x["position"], x["ident"]))
     return out
 
 
+def _seeks(data: bytes, base: int, end: int, at: int, heads: set[int], out: list[dict]) -> None:
+    """Adds the entries of a SeekHead, and of those that it points to; none is read twice."""
+    got = next(elements(data, at, end), None)
+    if at in heads or got is None or got[0] != SEEK_HEAD:
+        return
+    heads.add(at)
+    for ident, a, b in elements(data, *got[1:]):
+        c = _children(data, a, b) if ident == SEEK else {}
+        if SEEK_ID in c and SEEK_POSITION in c:
+            entry = {"ident": _uint(data, *c[SEEK_ID]), "position": _uint(data, *c[SEEK_POSITION])}
+            if entry not in out:
+                out.append(entry)
+            if entry["ident"] == SEEK_HEAD:
+                _seeks(data, base, end, base + entry["position"], heads, out)
+
+
 def _cluster_end(data: bytes, a: int, b: int, end: int) -> int:
     """Where a cluster ends: one of unknown size goes on to the next level-one element."""
     if b < end:
@@ -208,11 +237,12 @@ def _chapter(data: bytes, a: int, b: int, parent: int | None, out: list[dict]) -
 
 
 SCHEMAS = {
-    "segment": "path string, scale bigint, duration double, title string",
+    "segment": "path string, scale bigint, duration double, title string, writer string",
     "tracks": "path string, number bigint, type bigint, codec_id string, lang string, name string, enabled boolean, lacing boolean, default_duration bigint, codec_private binary",
     "frames": "path string, track bigint, tc bigint, lace bigint, n_frames bigint, keyframe boolean, discardable boolean, duration bigint, offset bigint, size bigint",
     "chapters": "path string, uid decimal(20,0), parent decimal(20,0), start bigint, title string",
-    "attachments": "path string, name string, mime string",
+    "attachments": "path string, name string, mime string, role string, offset bigint, size bigint",
+    "seeks": "path string, ident bigint, position bigint",
 }
 
 
