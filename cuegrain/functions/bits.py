@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 
 class Bits:
@@ -490,6 +491,68 @@ def permute_channels(samples: np.ndarray, order: list[int]) -> np.ndarray:
     return samples.reshape(-1, len(order))[:, order].reshape(-1)
 
 
+def convert_picture(data: bytes, pixels: str, width: int, height: int) -> bytes | None:
+    """A picture in the form that it is shown in, from its planes one behind the other without padding; None for formats that aren't known."""
+    deep = {"YUV420P9LE": 1, "YUV420P10LE": 2, "YUV420P16LE": 8}.get(pixels)
+    raw = np.frombuffer(data, "<u2" if deep else np.uint8)
+
+    def planes(*sizes: tuple[int, int]) -> list[np.ndarray]:
+        out, at = [], 0
+        for h, w in sizes:
+            out.append(raw[at : at + h * w].reshape(h, w))
+            at += h * w
+        return out
+
+    half, quarter = ((height + 1) // 2, (width + 1) // 2), ((height + 3) // 4, (width + 3) // 4)
+    whole = (height, width)
+    if deep or pixels in ("YUV420P", "YUVJ420P"):
+        return planar420_to_packed422(*planes(whole, half, half), shift=deep or 0).tobytes()
+    if pixels == "YUV422P":
+        return planar422_to_packed422(*planes(whole, (height, half[1]), (height, half[1]))).tobytes()
+    if pixels == "YUV410P":
+        return planar410_to_packed422(*planes(whole, quarter, quarter)).tobytes()
+    if pixels == "YUVA420P":
+        return alpha420_to_4444(*planes(whole, half, half, whole)).tobytes()
+    if pixels == "BGR24":
+        return swap_rgb24(raw.reshape(height, width * 3)).tobytes()
+    if pixels in ("RGB555LE", "BGRA"):
+        return swap_bytes(data, 2 if pixels == "RGB555LE" else 4)
+    return data if pixels in ("RGB24", "RGB555BE", "ARGB") else None
+
+
+@F.pandas_udf(BinaryType())
+def converted(data: pd.Series, pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """``convert_picture`` on columns; null for planes of another size."""
+
+    def one(d: bytes | None, p: str, w: int, h: int) -> bytes | None:
+        try:
+            return None if d is None else convert_picture(bytes(d), p, int(w), int(h))
+        except ValueError:
+            return None
+
+    return pd.Series([one(*x) for x in zip(data, pixels, width, height, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def coloured(packet: pd.Series, palette: pd.Series) -> pd.Series:
+    """``subpicture_colours`` on columns."""
+    return pd.Series([subpicture_colours(None if p is None else bytes(p), None if c is None else [int(x) for x in c]) for p, c in zip(packet, palette, strict=True)], dtype=object)
+
+
+#: Atoms of a Vorbis cookie: header, comments, codebooks.
+VORBIS_ATOMS = ("vCtH", "vCt#", "vCtC")
+
+
+def vorbis_private(cookie: bytes | None) -> bytes | None:
+    """A Vorbis decoder's private bytes (three packets, laced) from a cookie's atoms; of repeated atoms the last counts. None unless all three are there."""
+    parts = {a["type"]: a["payload"] for a in atoms(cookie)}
+    got = [parts.get(k) for k in VORBIS_ATOMS]
+    if any(x is None for x in got):
+        return None
+    lace = b"".join(b"\xff" * (len(x) // 255) + bytes([len(x) % 255]) for x in got[:2])
+    return b"\x02" + lace + b"".join(got)
+
+
 # ---------------------------------------------------------------- registry
 
 SPS = "profile int, level int, poc_type int, ref_frames int, width int, height int, frame_mbs_only boolean, frame_bits int, poc_bits int, reorder_frames int"
@@ -503,6 +566,7 @@ PARSERS: dict[str, tuple[Callable, str]] = {
     "split_xiph": (xiph_split, "array<binary>"),
     "parse_flac": (flac_blocks, "array<struct<kind:int,size:int,last:boolean>>"),
     "parse_atoms": (atoms, "array<struct<type:string,payload:binary>>"),
+    "vorbis_private": (vorbis_private, "binary"),
     "inflate": (inflate, "binary"),
     "split_avcc": (configuration_units, "array<binary>"),
     "mpeg_picture_kind": (mpeg_picture_kind, "string"),

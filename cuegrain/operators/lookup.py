@@ -27,6 +27,16 @@ def cascade(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v, F.lit(0)) for v in values))
 
 
+def font_names(rows: DataFrame, fonts: DataFrame, default: str) -> DataFrame:
+    """rows (name, ...) with font: of fonts (ord, family, platform) the first whose family is the name, else whose platform name is, else whose family is it in any case, else the default."""
+    every = fonts.select("ord", "family", "platform", F.lower("family").alias("lower"))
+    out = rows.withColumn("_any", F.lower("name"))
+    for key, column in (("family", "name"), ("platform", "name"), ("lower", "_any")):
+        dim = every.select(F.col(key).alias(column), "ord", F.col("family").alias(f"_{key}"))
+        out = match(out, dim, [column], f"_{key}", "ord")
+    return out.withColumn("font", F.coalesce("_family", "_platform", "_lower", F.lit(default))).drop("_family", "_platform", "_lower", "_any")
+
+
 def once(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     from pyspark.sql import Window

@@ -73,3 +73,45 @@ def best(rows: DataFrame, key: str, floor: float | None = None) -> DataFrame:
     """key, name, conf: the highest confidence; the earlier prober (ord) among equals; none at or below ``floor``."""
     out = rows.groupBy(key).agg(F.max_by(F.struct("name", "conf"), F.struct("conf", -F.col("ord"))).alias("b")).select(key, "b.name", "b.conf")
     return out if floor is None else out.where(F.col("conf") > floor)
+
+
+def pair_categories(text: Column, orders: dict[str, int], matrix: list[int], frequent: int, n: int = 4) -> Column:
+    """How often each of n categories occurs among a text's pairs of neighbouring letters.
+
+    ``orders`` numbers letters by frequency; pairs of two letters numbered below ``frequent`` have the
+    category that ``matrix`` (frequent by frequent) gives, all others don't count.
+    """
+    known = F.create_map(*(F.lit(x) for pair in orders.items() for x in pair))
+    numbers = F.transform(F.split(text, ""), lambda c: F.coalesce(known[c], F.lit(frequent)))
+    pairs = F.zip_with(numbers, F.slice(numbers, 2, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.when((a < frequent) & (b < frequent), a * frequent + b))
+    cells = F.filter(pairs, lambda p: p.isNotNull())
+    table = F.array(*map(F.lit, matrix))
+    found = F.transform(cells, lambda p: F.get(table, p))
+
+    def of(k: int) -> Column:
+        return F.size(F.filter(found, lambda x: x == k)).cast("long")
+
+    return F.array(*map(of, range(n)))
+
+
+def pair_share(counts: Column, least: int = 5) -> Column:
+    """Share of pairs beyond category 0; -1 below ``least`` pairs."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(total >= least, (total - F.get(counts, 0)) / total).otherwise(-1.0)
+
+
+def two_byte_order(charset: str, first: Column, second: Column) -> Column:
+    """Place of a two-byte character in the frequency tables of its encoding; -1 outside their range."""
+    rows = lambda base: (first - base) * 94 + second - 0xA1
+    if charset == "EUC-JP":
+        return F.when((first >= 0xA1) & (second >= 0xA1), rows(0xA1)).otherwise(-1)
+    if charset in ("EUC-KR", "GB2312"):
+        return F.when((first >= 0xB0) & (second >= 0xA1), rows(0xB0)).otherwise(-1)
+    if charset == "EUC-TW":
+        return F.when((first >= 0xC4) & (second >= 0xA1), rows(0xC4)).otherwise(-1)
+    if charset == "Big5":
+        return F.when(first < 0xA4, -1).when(second >= 0xA1, 157 * (first - 0xA4) + second - 0xA1 + 63).otherwise(157 * (first - 0xA4) + second - 0x40)
+    if charset == "Shift_JIS":
+        row = F.when(first.between(0x81, 0x9F), first - 0x81).when(first.between(0xE0, 0xEF), first - 0xE0 + 31)
+        return F.when(row.isNull() | (second > 0x7F), -1).otherwise(188 * row + second - 0x40)
+    raise ValueError(charset)

@@ -129,3 +129,29 @@ def release_order(samples: DataFrame) -> DataFrame:
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """df with the running number of rows where ``starts`` holds."""
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def scan_turns(packets: DataFrame, file: str, order: str, first: int = 300, idle: int = 1000) -> DataFrame:
+    """packets with turn: the scan that reads each one, the first of ``first`` packets, those after it of ``idle``; 0 packets: one scan reads all."""
+    n = F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1
+    turn = F.when(n < first, 0).otherwise(F.floor((n - first) / idle) + 1) if first and idle else F.lit(0)
+    return packets.withColumn("turn", turn.cast("int"))
+
+
+def before_margin(packets: DataFrame, file: str, available: str, total: str, least: int = 0, factor: int = 8) -> DataFrame:
+    """packets (pos, size) that are read while a file still arrives.
+
+    Reading ends behind the first packet, ``least`` at the earliest, that leaves less than
+    ``factor`` times the largest packet so far; a file that is complete is read to its end.
+    """
+    w = Window.partitionBy(file).orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, 0)
+    margin = F.col(available) - F.col("pos") - F.col("size")
+    near = (F.col(available) > 0) & (F.col(available) < F.col(total)) & (F.count(F.lit(1)).over(w) >= least) & (margin < F.max("size").over(w) * factor)
+    out = packets.withColumn("_near", near.cast("int"))
+    before = Window.partitionBy(file).orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("_stop", F.coalesce(F.max("_near").over(before), F.lit(0))).where("_stop = 0").drop("_near", "_stop")
+
+
+def placeholders(files: DataFrame) -> DataFrame:
+    """file, start, duration of the empty track that stands for what isn't loaded yet (file, loaded, duration)."""
+    return files.where("loaded < duration").select("file", F.col("loaded").alias("start"), (F.col("duration") - F.col("loaded")).alias("duration"))

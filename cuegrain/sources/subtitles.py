@@ -125,3 +125,47 @@ def html_page(packets: DataFrame) -> DataFrame:
     item = F.concat(F.lit('<p data-begin="'), F.col("begin").cast("string"), F.lit('" data-end="'), F.col("end").cast("string"), F.lit('">'), safe, F.lit("</p>"))
     rows = packets.where("text <> '\n'").select("file", "begin", item.alias("item"))
     return rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "item"))), lambda x: x["item"]), "\n").alias("html"))
+
+
+def screen_html(divs: Column) -> Column:
+    """A packet's page from its parts: struct(place: top, bottom or absolute, x, y, style, spans: array of struct(css, text)).
+
+    Parts on top come first, then those at the bottom from the last to the first, then those with a place of their own.
+    """
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>"))
+    span = lambda x: F.concat(F.when(x["css"] != "", F.concat(F.lit('<span style="'), x["css"], F.lit('">'))).otherwise(""), safe(x["text"]))
+
+    def part(d: Column) -> Column:
+        opened = F.size(F.filter(d["spans"], lambda x: x["css"] != "")) + 1
+        body = F.concat(F.lit('<span class="'), F.regexp_replace(d["style"], "[^A-Za-z0-9_-]", "_"), F.lit('">'), F.array_join(F.transform(d["spans"], span), ""), F.repeat(F.lit("</span>"), opened))
+        place = F.concat(F.lit('<div style="top: '), d["y"].cast("string"), F.lit("px; left: "), d["x"].cast("string"), F.lit('px; position: absolute">'))
+        return F.concat(F.when(d["place"] == "absolute", F.concat(place, body, F.lit("</div>"))).otherwise(body), F.lit("\n"))
+
+    at = lambda place: F.filter(divs, lambda d: d["place"] == place)
+    group = lambda name, parts: F.when(F.size(parts) > 0, F.concat(F.lit(f'<div class="{name}">\n'), F.array_join(F.transform(parts, part), ""), F.lit("</div>\n"))).otherwise("")
+    return F.concat(F.lit('<div class="screen">\n'), group("top", at("top")), group("bottom", F.reverse(at("bottom"))), F.array_join(F.transform(at("absolute"), part), ""), F.lit("</div>\n<br>\n"))
+
+
+def default_style(aspect: Column) -> Column:
+    """The style of cues that name none; its size follows the picture's aspect."""
+    values = {"name": "Default", "font": "Helvetica", "primary": "FFFFFF", "outline_colour": "000000", "scale_x": 100.0, "scale_y": 100.0, "spacing": 0.0, "angle": 0.0, "outline": 1.5, "shadow": 2.0, "margin": 20, "bold": False, "italic": False, "alignment": 2}
+    return F.struct((F.sqrt(aspect * 0.75) * 32).alias("size"), *(F.lit(v).alias(k) for k, v in values.items()))
+
+
+def vobsub_samples(index: DataFrame, files: DataFrame) -> DataFrame:
+    """file, track, lang, ts, sample: the bytes of each subpicture; index as of ``vobsub_index``, files: file, content of the picture file of the same name.
+
+    A picture goes on to the next place in its track, the last to the end of the file; places that run backward are skipped.
+    """
+    w = Window.partitionBy("file", "track").orderBy("ts", "filepos")
+    rows = index.withColumn("until", F.lead("filepos").over(w)).join(files, "file")
+    size = F.coalesce("until", F.octet_length("content").cast("long")) - F.col("filepos")
+    return rows.where(size > 0).select("file", "track", "lang", "ts", F.substr("content", F.col("filepos").cast("int") + 1, size.cast("int")).alias("sample"))
+
+
+def side_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("srt", "ass", "ssa", "idx", "smi")) -> DataFrame:
+    """dir, name, size of the subtitle files below a folder; only names are listed, contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), name.alias("name"), F.col("length").alias("size"))
+    return rows.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*suffixes))
