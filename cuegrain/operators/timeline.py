@@ -155,3 +155,19 @@ def before_margin(packets: DataFrame, file: str, available: str, total: str, lea
 def placeholders(files: DataFrame) -> DataFrame:
     """file, start, duration of the empty track that stands for what isn't loaded yet (file, loaded, duration)."""
     return files.where("loaded < duration").select("file", F.col("loaded").alias("start"), (F.col("duration") - F.col("loaded")).alias("duration"))
+
+
+def track_table(tracks: DataFrame, file: str, order: str) -> DataFrame:
+    """tracks with number (1 to n in their file) and uid, the same in every run and not 0."""
+    number = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    out = tracks.withColumn("number", number)
+    uid = F.abs(F.xxhash64(file, "number") % ((1 << 62) - 1)) + 1
+    return out.withColumn("uid", uid)
+
+
+def cue_samples(packets: DataFrame) -> DataFrame:
+    """file, number, start, duration, data of a text track: each packet (file, begin, end, text) is a sample, its length in two bytes before the text; a text that needs more is cut to what fits."""
+    raw = F.substring(F.encode("text", "UTF-8"), 1, 65535)
+    size = F.unhex(F.lpad(F.hex(F.octet_length(raw)), 4, "0"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("begin", "end"))
+    return packets.select("file", number.alias("number"), F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("duration"), F.concat(size, raw).alias("data"))

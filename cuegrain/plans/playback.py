@@ -8,7 +8,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import bits
 from ..operators import lookup, stats, timeline
-from ..sources import subtitles
+from ..sources import containers, subtitles
 from ..streaming import release
 from .registry import query
 
@@ -82,6 +82,43 @@ def load_states(t):
     return rows.select("p_partkey", release.load_state().alias("state"), release.publish_now().alias("publish"))
 
 
+# ---------------------------------------------------------------- feeds, inventories, export
+
+
+@query("feed_items", "SELECT p_partkey AS file, i AS num, p_brand || ' ' || i AS title, '1.' || (10 * i) AS version, 'http://x/' || p_size || '.zip' AS url FROM (SELECT *, unnest(range(0, p_size % 3 + 1)) AS i FROM part)")
+def feed_items(t):
+    item = "format_string('<item><title>%s %d</title><enclosure url=\"http://x/%d.zip\" version=\"1.%d\" length=\"7\"/></item>', p_brand, i, p_size, 10 * i)"
+    text = F.expr(f"concat('<rss><channel>', array_join(transform(sequence(0, p_size % 3), i -> {item}), '\\n'), '</channel></rss>')")
+    items = containers.feed_items(t("part").select(F.col("p_partkey").alias("file"), text.alias("text")))
+    return items.select("file", "num", "title", F.col("enclosure._version").alias("version"), F.col("enclosure._url").alias("url"))
+
+
+@query("tag_attributes", "SELECT p_partkey, p_type AS name, p_size::VARCHAR AS size, 2 AS n FROM part")
+def tag_attributes(t):
+    tag = F.expr("concat('<part size=\"0\" p:name = \\'', p_type, '\\' size=\"', p_size, '\"/>')")
+    rows = t("part").select("p_partkey", containers.attributes(tag).alias("a"))
+    return rows.select("p_partkey", F.col("a")["p:name"].alias("name"), F.col("a")["size"].alias("size"), F.size("a").alias("n"))
+
+
+@query("component_inventory", "SELECT CASE p_size % 3 WHEN 0 THEN 'codec' ELSE 'import' END AS kind, p_brand AS dir, p_partkey || '.' || CASE p_size % 3 WHEN 0 THEN 'component' ELSE 'bundle' END AS name FROM part WHERE p_size % 3 < 2 AND p_brand = (SELECT min(p_brand) FROM part)")
+def component_inventory(t):
+    ext = F.expr("CASE p_size % 3 WHEN 0 THEN 'component' WHEN 1 THEN 'bundle' ELSE 'txt' END")
+    files = t("part").select(F.col("p_brand").alias("dir"), F.concat(F.col("p_partkey").cast("string"), F.lit("."), ext).alias("name"))
+    least = t("part").agg(F.min("p_brand")).first()[0]
+    return containers.inventory(files, [("codec", least, "component"), ("import", least, "bundle")])
+
+
+@query("track_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, true AS has_uid FROM events")
+def track_numbers(t):
+    return timeline.track_table(t("events").select("event_id", "user_id"), "user_id", "event_id").select("event_id", "number", (F.col("uid") > 0).alias("has_uid"))
+
+
+@query("cue_samples", "SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number, p_partkey AS start, p_size AS duration, upper(printf('%04X', length(p_type))) || hex(p_type::BLOB) AS data FROM part")
+def cue_samples(t):
+    packets = t("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_type").alias("text"))
+    return timeline.cue_samples(packets).withColumn("data", F.hex("data"))
+
+
 # ---------------------------------------------------------------- letter pairs and two-byte characters
 
 _LETTERS = {c: i for i, c in enumerate("etaoinshrdlu")}

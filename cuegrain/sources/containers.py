@@ -306,8 +306,31 @@ def probe(content: Column) -> Column:
     return run(content)
 
 
+#: Columns of a feed's items; given, as versions would be read as numbers otherwise.
+ITEM = "title string, pubDate string, version string, link string, description string, enclosure struct<_url: string, _version: string, _length: bigint, _VALUE: string>"
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS feeds; the schema is given, as versions would be read as numbers otherwise."""
-    enclosure = "enclosure struct<_url: string, _version: string, _length: bigint, _VALUE: string>"
-    schema = f"title string, pubDate string, version string, link string, description string, {enclosure}"
-    return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    """Items of RSS feeds."""
+    return spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
+
+
+def feed_items(texts: DataFrame) -> DataFrame:
+    """The same items from texts (file, text) in a table, with the number of each in its feed."""
+    items = texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))).alias("num", "item"))
+    return items.select("file", "num", F.from_xml("item", ITEM).alias("item")).select("file", "num", "item.*")
+
+
+def attributes(tag: Column) -> Column:
+    """A tag's attributes as a map; of repeated names the last counts."""
+    pairs = F.regexp_extract_all(tag, F.lit(r"""([\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'))"""), F.lit(1))
+    entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([\w:-]+)", 1).alias("key"), F.regexp_replace(x, r"""(?s)^[^=]*=\s*.|.$""", "").alias("value")))
+    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def inventory(files: DataFrame, folders: list[tuple[str, str, str]]) -> DataFrame:
+    """kind, dir, name of components: files (dir, name) in one of the folders (kind, dir, extension) with its extension."""
+    rows = files.sparkSession.createDataFrame(folders, "kind string, dir string, ext string")
+    named = files.withColumn("ext", F.element_at(F.split("name", r"\."), -1))
+    return named.join(F.broadcast(rows), ["dir", "ext"]).select("kind", "dir", "name")

@@ -1,4 +1,4 @@
-"""Release of finished packets from a stream of cues, and the sample sink."""
+"""Release of finished packets from a stream of cues, and the state of files that still arrive."""
 
 from __future__ import annotations
 
@@ -16,9 +16,12 @@ PACKETS = "file long, begin long, end long, text string"
 def sweep(cues: list[tuple[int, int, int, str]], start: int) -> list[tuple[int, int, str]]:
     """Packets of cues (begin, num, end, line) from ``start`` on; the same rule as the batch operator's."""
     times = sorted({start, *(t for b, _, e, _ in cues for t in (b, e) if t > start)})
-    out = []
+    order, i, on, out = sorted(cues, key=lambda x: (x[0], x[1])), 0, [], []
     for a, b in zip(times, times[1:], strict=False):
-        on = sorted((x for x in cues if x[0] <= a and x[2] >= b), key=lambda x: (x[0], x[1]))
+        while i < len(order) and order[i][0] <= a:
+            on.append(order[i])
+            i += 1
+        on = [x for x in on if x[2] >= b]
         out.append((a, b, "".join(x[3] for x in on) or "\n"))
     return out
 
