@@ -113,14 +113,14 @@ def next_at_or_after(left: DataFrame, index: DataFrame, key: str, at: str, pos:
     return both.withColumn("next_pos", F.first("_pos", ignorenulls=True).over(w)).where(F.col("_pos").isNull()).drop("_q", "_at", "_pos")
 
 
-def release_order(samples: DataFrame) -> DataFrame:
+def release_order(samples: DataFrame, rows: int = 100_000) -> DataFrame:
     """Samples (track, dts) with their place when tracks are interleaved: smallest time first, lower track first among equals.
 
-    The place is counted by range: a global order without one task that sorts all rows would need
-    only the counts of earlier ranges, which a window over buckets of time gives.
+    The place is counted by range: a row's place in its bucket of time behind all rows of earlier
+    buckets, so no task sorts all rows. Buckets are as wide as ``rows`` rows take on average.
     """
-    bucket = F.expr("dts div 86400000")
-    df = samples.withColumn("b", bucket)
+    span = samples.agg(F.greatest(F.lit(1), F.floor((F.max("dts") - F.min("dts")) / F.ceil(F.count(F.lit(1)) / rows)).cast("long"))).scalar()
+    df = samples.withColumn("b", F.floor(F.col("dts") / span))
     counts = df.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return df.join(before.select("b", "before"), "b").select("track", "dts", "sample", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("dts", "track", "sample"))).alias("place"))

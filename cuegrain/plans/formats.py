@@ -51,6 +51,12 @@ def script_styles(t):
     return subtitles.script_styles(_files(t, SCRIPT)).select("file", "name", "font", "vertical", "size", "bold", "italic", "scale_x", "scale_y", "alignment")
 
 
+@query("script_styles_v4", "SELECT p_partkey AS file, 'Old' AS name, 'Arial' AS font, p_size::DOUBLE AS size, true AS bold, CASE WHEN a BETWEEN 9 AND 11 THEN a - 5 WHEN a BETWEEN 5 AND 7 THEN a + 2 ELSE a END AS alignment FROM (SELECT *, [1, 2, 3, 5, 6, 7, 9, 10, 11][p_partkey % 9 + 1] AS a FROM part)")
+def script_styles_v4(t):
+    text = r"concat('[V4 Styles]\nStyle: Old,Arial,', p_size, ',255,0,0,0,-1,0,1,2,2,', array(1, 2, 3, 5, 6, 7, 9, 10, 11)[CAST(p_partkey % 9 AS INT)], ',10,10,10,0,0\nStyle: Wrong,Arial,10\n')"
+    return subtitles.script_styles(_files(t, text)).select("file", "name", "font", "size", "bold", "alignment")
+
+
 @query("script_spans", f"""
 WITH c AS (SELECT p_partkey AS file, i, p_brand, p_type {CUES})
 SELECT file, i AS cue, 1 AS span, 0 AS "offset", p_brand AS "text", 'b=1 an=8' AS tags FROM c UNION ALL SELECT file, i, 2, length(p_brand), ', ' || p_type, 'i=1' FROM c

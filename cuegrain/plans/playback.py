@@ -66,8 +66,8 @@ n AS (SELECT *, available - pos - size < 8 * max(size) OVER w AND count(*) OVER
 SELECT file, pos FROM (SELECT *, coalesce(bool_or(near) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM n) WHERE NOT stopped
 """)
 def read_before_margin(t):
-    half = t("part").agg(F.floor(F.max("p_partkey") / 2).alias("available"), (F.max("p_partkey") * 2).alias("total"))
-    rows = t("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.col("p_size").cast("long").alias("size")).join(F.broadcast(half))
+    last = t("part").agg(F.max("p_partkey")).scalar()
+    rows = t("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.col("p_size").cast("long").alias("size"), F.floor(last / 2).alias("available"), (last * 2).alias("total"))
     return timeline.before_margin(rows, "file", "available", "total", least=2).select("file", "pos")
 
 

@@ -16,6 +16,8 @@ from ..functions.charset import decode_unknown
 EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
 STYLE_FIELDS_ASS = ("Name", "Fontname", "Fontsize", "PrimaryColour", "SecondaryColour", "OutlineColour", "BackColour", "Bold", "Italic", "Underline", "StrikeOut", "ScaleX", "ScaleY", "Spacing", "Angle", "BorderStyle", "Outline", "Shadow", "Alignment", "MarginL", "MarginR", "MarginV", "Encoding")
 
+STYLE_FIELDS_SSA = ("Name", "Fontname", "Fontsize", "PrimaryColour", "SecondaryColour", "TertiaryColour", "BackColour", "Bold", "Italic", "BorderStyle", "Outline", "Shadow", "Alignment", "MarginL", "MarginR", "MarginV", "AlphaLevel", "Encoding")
+
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """file, text: files of unknown encoding, decoded, with one kind of newline and without a byte-order mark."""
@@ -54,16 +56,29 @@ def _fields(value: Column, names: tuple[str, ...]) -> Column:
 
 
 def script_styles(texts: DataFrame) -> DataFrame:
-    """file and typed style columns; rows with another number of fields are dropped; of equal names the last wins, a leading * is dropped."""
-    rows = script_lines(texts).where((F.lower("key") == "style") & F.col("section").startswith("v4")).withColumn("s", _fields(F.col("value"), STYLE_FIELDS_ASS)).where("s IS NOT NULL")
-    number = lambda n, d: F.coalesce(F.col(f"s.{n}").try_cast("double"), F.lit(d))
-    flag = lambda n: F.coalesce(F.col(f"s.{n}").try_cast("int"), F.lit(0)) != 0
-    font = F.col("s.Fontname")
+    """file and typed style columns; rows with another number of fields than their section's are dropped; of equal names the last wins, a leading * is dropped.
+
+    Sections of the older kind ("V4 Styles") have 18 fields and number alignments by rows of four.
+    """
+    rows = script_lines(texts).where((F.lower("key") == "style") & F.col("section").startswith("v4"))
+    new = F.col("section").startswith("v4+")
+    fields = F.split("value", ",")
+    of = F.when(new & (F.size(fields) == len(STYLE_FIELDS_ASS)), True).when(~new & (F.size(fields) == len(STYLE_FIELDS_SSA)), False)
+    rows = rows.withColumns({"new": of, "fields": F.transform(fields, lambda x: F.trim(x))}).where("new IS NOT NULL")
+
+    def field(name: str):
+        old = F.get("fields", STYLE_FIELDS_SSA.index(name)) if name in STYLE_FIELDS_SSA else F.lit(None).cast("string")
+        return F.when(F.col("new"), F.get("fields", STYLE_FIELDS_ASS.index(name))).otherwise(old)
+
+    number = lambda n, d: F.coalesce(field(n).try_cast("double"), F.lit(d))
+    flag = lambda n: F.coalesce(field(n).try_cast("int"), F.lit(0)) != 0
+    font, place = field("Fontname"), field("Alignment").try_cast("int")
     typed = F.struct(
-        F.regexp_replace(font, "^@", "").alias("font"), font.startswith("@").alias("vertical"), number("Fontsize", 0.0).alias("size"), tx.colour_number(F.col("s.PrimaryColour")).alias("primary"),
-        flag("Bold").alias("bold"), flag("Italic").alias("italic"), F.coalesce(F.nullif(number("ScaleX", 100.0), F.lit(0.0)), F.lit(100.0)).alias("scale_x"), F.coalesce(F.nullif(number("ScaleY", 100.0), F.lit(0.0)), F.lit(100.0)).alias("scale_y"), F.coalesce(F.col("s.Alignment").try_cast("int"), F.lit(2)).alias("alignment"),
+        F.regexp_replace(font, "^@", "").alias("font"), font.startswith("@").alias("vertical"), number("Fontsize", 0.0).alias("size"), tx.colour_number(field("PrimaryColour")).alias("primary"),
+        flag("Bold").alias("bold"), flag("Italic").alias("italic"), F.coalesce(F.nullif(number("ScaleX", 100.0), F.lit(0.0)), F.lit(100.0)).alias("scale_x"), F.coalesce(F.nullif(number("ScaleY", 100.0), F.lit(0.0)), F.lit(100.0)).alias("scale_y"),
+        F.coalesce(F.when(F.col("new"), place).otherwise(tx.ass_alignment(place)), F.lit(2)).alias("alignment"),
     )
-    return rows.groupBy("file", F.regexp_replace("s.Name", r"^\*+", "").alias("name")).agg(F.max_by(typed, "n").alias("style")).select("file", "name", "style.*")
+    return rows.groupBy("file", F.regexp_replace(field("Name"), r"^\*+", "").alias("name")).agg(F.max_by(typed, "n").alias("style")).select("file", "name", "style.*")
 
 
 def script_cues(texts: DataFrame) -> DataFrame:
