@@ -28,7 +28,7 @@ _LANGUAGES = _values(cd.language_rows(), "ord", "two", "three", "language")
 _CODES = len(cd.registry_rows())
 
 
-@query("codec_registry", _REGISTRY[1:-1])
+@query("codec_registry", _REGISTRY[1:-1], long="fourcc")
 def codec_registry(t):
     return cd.registry(t("part").sparkSession)
 
@@ -49,7 +49,7 @@ _IDS = [*dict.fromkeys(r[0] for r in cd.rows_of(cd.MATROSKA)), "X_OTHER"]
 WITH r AS (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 'V_MS/VFW/FOURCC' WHEN 1 THEN 'A_MS/ACM' WHEN 2 THEN 'V_QUICKTIME' ELSE {_IDS}[p_partkey % {len(_IDS)} + 1] END AS id, CASE p_partkey % 4 WHEN 0 THEN 85 WHEN 1 THEN 8192 ELSE p_size END AS two FROM part)
 SELECT p_partkey, CASE WHEN id = 'V_MS/VFW/FOURCC' THEN CASE WHEN p_size > 20 THEN 1482049860 ELSE 0 END WHEN id = 'A_MS/ACM' THEN coalesce((SELECT arg_min(fourcc, ord) FROM {_WAVE} w WHERE w.two = r.two), 1836253184 + two) WHEN id = 'V_QUICKTIME' THEN 1398165809
   ELSE coalesce((SELECT arg_min(fourcc, ord) FROM {_MATROSKA} m WHERE m.codec_id = id), 0) END AS fourcc FROM r
-""")
+""", long="fourcc")
 def matroska_codes(t):
     size = F.col("p_size")
     ids = F.array(*map(F.lit, _IDS))
@@ -72,7 +72,7 @@ def matroska_ids(t):
 @query("audio_decoders", f"""
 WITH r AS (SELECT p_partkey, (SELECT any_value(fourcc) FROM {_REGISTRY} r WHERE r.ord = p_partkey % {_CODES}) AS code, (SELECT any_value(decoder) FROM {_REGISTRY} r WHERE r.ord = p_partkey % {_CODES}) AS name FROM part)
 SELECT p_partkey, coalesce((SELECT arg_min(decoder, ord) FROM {_AUDIO} a WHERE a.fourcc = code), 'NONE') AS decoder, coalesce((SELECT arg_min(fourcc, ord) FROM {_AUDIO} a WHERE a.decoder = name), 0) AS back FROM r
-""")
+""", long="back")
 def audio_decoders(t):
     pick = cd.registry(t("part").sparkSession).select(F.col("ord").cast("long").alias("k"), "fourcc", F.col("decoder").alias("name"))
     rows = t("part").select("p_partkey", (F.col("p_partkey") % _CODES).alias("k")).join(pick, "k")
@@ -84,7 +84,7 @@ def audio_decoders(t):
 @query("wrapped_streams", f"""
 WITH r AS (SELECT p_partkey, (SELECT any_value(fourcc) FROM {_REGISTRY} r WHERE r.ord = p_partkey % {_CODES}) AS code FROM part)
 SELECT p_partkey, coalesce((SELECT arg_min(original, ord) FROM {_WRAPPED} w WHERE w.wrapped = code), 0) AS original, coalesce((SELECT arg_min(wrapped, ord) FROM {_WRAPPED} w WHERE w.original = code), 0) AS wrapped, code IN {cd.NEEDS_PRIVATE} AS needs_private FROM r
-""")
+""", long="original wrapped")
 def wrapped_streams(t):
     pick = cd.registry(t("part").sparkSession).select(F.col("ord").cast("long").alias("k"), "fourcc")
     rows = t("part").select("p_partkey", (F.col("p_partkey") % _CODES).alias("k")).join(pick, "k").select("p_partkey", "fourcc")
@@ -97,7 +97,7 @@ _FORMATS = [*dict.fromkeys(r[0] for r in cd.rows_of(cd.PIXELS)), "PAL8"]
 @query("pixel_formats", f"""
 WITH r AS (SELECT p_partkey, p_size, {_FORMATS}[p_partkey % {len(_FORMATS)} + 1] AS f FROM part), j AS (SELECT p_partkey, p_size % 4 AS w, p_size % 3 AS h, f, shown, coalesce(code, 0) AS code FROM r LEFT JOIN {_PIXELS} p ON p.pixels = f)
 SELECT p_partkey, shown, code, CASE WHEN f IN ('YUVJ420P', 'YUV420P', 'YUVA420P') THEN w < 2 OR h < 2 WHEN f = 'YUV422P' THEN h < 2 ELSE false END AS invalid, repeat(CASE shown WHEN 'YUV422P' THEN '8010' WHEN 'YUV444P' THEN '801080EB' WHEN 'RGB555BE' THEN '0000' WHEN 'RGB24' THEN '000000' WHEN 'ARGB' THEN '00000000' END, w * h) AS black FROM j
-""")
+""", long="code")
 def pixel_formats(t):
     f = F.get(F.array(*map(F.lit, _FORMATS)), (F.col("p_partkey") % len(_FORMATS)).cast("int"))
     w, h = F.col("p_size") % 4, F.col("p_size") % 3
@@ -124,14 +124,14 @@ def cropped_pictures(t):
     return t("part").select("p_partkey", F.hex(cd.cropped_rows(F.unhex(F.repeat(row, 3)), F.lit(64), F.col("p_size"), F.lit(3))).alias("rows"))
 
 
-@query("image_descriptions", "SELECT p_partkey, 86 + p_size % 2 AS size, substr(p_brand, 1, 4) AS code, p_size * 16 AS width, p_size * 9 AS height, 1 AS frames, 24 AS depth, p_size % 2 = 1 AS extended FROM part")
+@query("image_descriptions", "SELECT p_partkey, 86 + p_size % 2 AS size, substr(p_brand, 1, 4) AS code, p_size * 16 AS width, p_size * 9 AS height, 1 AS frames, 24 AS depth, p_size % 2 = 1 AS extended FROM part", long="size width height frames depth")
 def image_descriptions(t):
     h = lambda v, n: f"lpad(hex({v}), {n}, '0')"
     data = F.expr(f"unhex(concat({h('86 + p_size % 2', 8)}, hex(substring(p_brand, 1, 4)), repeat('00', 24), {h('p_size * 16', 4)}, {h('p_size * 9', 4)}, repeat('00', 12), '0001', repeat('00', 32), '0018', 'FFFF', repeat('00', p_size % 2)))")
     return t("part").select("p_partkey", cd.image_description(data).alias("d")).select("p_partkey", "d.*")
 
 
-@query("packed_tables", "SELECT p_partkey, (p_size * 4) & 15 AS four, p_size & 255 AS eight, (p_size * 256) & 65535 AS sixteen FROM part")
+@query("packed_tables", "SELECT p_partkey, (p_size * 4) & 15 AS four, p_size & 255 AS eight, (p_size * 256) & 65535 AS sixteen FROM part", long="four eight sixteen")
 def packed_tables(t):
     size = F.col("p_size").cast("long")
     i = F.col("p_partkey") % 4

@@ -36,7 +36,7 @@ SCRIPT = (
 )
 
 
-@query("script_cues", f"SELECT p_partkey AS file, i AS layer, i * 100 + 50 AS \"begin\", i * 100 + 225 AS \"end\", 'Main' AS style, '{{\\b1\\an8}}' || p_brand || '{{\\i1}}, ' || p_type AS line {CUES}")
+@query("script_cues", f"SELECT p_partkey AS file, i AS layer, i * 100 + 50 AS \"begin\", i * 100 + 225 AS \"end\", 'Main' AS style, '{{\\b1\\an8}}' || p_brand || '{{\\i1}}, ' || p_type AS line {CUES}", int_="layer")
 def script_cues(t):
     return subtitles.script_cues(_files(t, SCRIPT)).select("file", "layer", "begin", "end", "style", "line")
 
@@ -60,7 +60,7 @@ def script_styles_v4(t):
 @query("script_spans", f"""
 WITH c AS (SELECT p_partkey AS file, i, p_brand, p_type {CUES})
 SELECT file, i AS cue, 1 AS span, 0 AS "offset", p_brand AS "text", 'b=1 an=8' AS tags FROM c UNION ALL SELECT file, i, 2, length(p_brand), ', ' || p_type, 'i=1' FROM c
-""")
+""", int_="cue")
 def script_spans(t):
     cues = subtitles.script_cues(_files(t, SCRIPT))
     tags = F.array_join(F.transform("tags", lambda x: F.concat(x["tag"], F.lit("="), x["arg"])), " ")
@@ -74,7 +74,7 @@ def sami_cues(t):
     return subtitles.sami_cues(_files(t, text)).select("file", "class", "begin", "end", "line")
 
 
-@query("vobsub_index", f"SELECT p_partkey AS file, i + 1 AS track, 'en' AS lang, i * 1000 + CASE WHEN k = 1 THEN 500 ELSE 0 END AS ts, p_size * 2048 + k AS filepos FROM (SELECT *, unnest([0, 1]) AS k {CUES})")
+@query("vobsub_index", f"SELECT p_partkey AS file, i + 1 AS track, 'en' AS lang, i * 1000 + CASE WHEN k = 1 THEN 500 ELSE 0 END AS ts, p_size * 2048 + k AS filepos FROM (SELECT *, unnest([0, 1]) AS k {CUES})", long="filepos")
 def vobsub_index(t):
     track = r"format_string('id: en, index: %d\ntimestamp: 00:00:%02d:000, filepos: %09x\ndelay: 00:00:00:500\ntimestamp: 00:00:%02d:000, filepos: %09x\n', i, i, p_size * 2048, i, p_size * 2048 + 1)"
     return subtitles.vobsub_index(_files(t, f"concat('# VobSub\\n', array_join(transform(sequence(0, p_size % 4), i -> {track}), ''))"))
@@ -168,7 +168,7 @@ def stream_descriptors(t):
     return _data(t, f"'00000000', '03808080', {_hex(f'3 + length({middle}) div 2', 2)}, '000000', {middle}").select("p_partkey", F.hex(_parsed("parse_esds")).alias("private"))
 
 
-@query("xiph_packets", "SELECT p_partkey, 255 + p_size AS first, p_size AS second, length(p_brand) AS third FROM part")
+@query("xiph_packets", "SELECT p_partkey, 255 + p_size AS first, p_size AS second, length(p_brand) AS third FROM part", long="first second")
 def xiph_packets(t):
     rows = _data(t, f"'02', 'FF', {_hex('p_size', 2)}, {_hex('p_size', 2)}, repeat('AA', 255 + p_size), repeat('BB', p_size), hex(p_brand)").select("p_partkey", _parsed("split_xiph").alias("x"))
     return rows.select("p_partkey", *(F.length(F.col("x")[i]).cast("long").alias(n) for i, n in enumerate(("first", "second", "third"))))
@@ -243,7 +243,7 @@ def _mkv(t, table: str, *parts: str):
     return containers.matroska_rows(rows, table).withColumn("p_partkey", F.col("path").cast("long"))
 
 
-@query("matroska_tracks", "SELECT p_partkey, p_size AS number, 17 AS type, 'S_TEXT/UTF8' AS codec_id, 'ger' AS lang, p_size % 2 = 1 AS enabled FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, p_size + 1, 1, p_brand, 'eng', true FROM part WHERE p_size < 50")
+@query("matroska_tracks", "SELECT p_partkey, p_size AS number, 17 AS type, 'S_TEXT/UTF8' AS codec_id, 'ger' AS lang, p_size % 2 = 1 AS enabled FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, p_size + 1, 1, p_brand, 'eng', true FROM part WHERE p_size < 50", long="number type")
 def matroska_tracks(t):
     c = containers
     one = _el(c.TRACK, f"concat({_num(c.NUMBER, 'p_size')}, {_num(c.TYPE, '17')}, {_el(c.CODEC, 'hex(' + repr('S_TEXT/UTF8') + ')')}, {_el(c.LANGUAGE, 'hex(' + repr('ger') + ')')}, {_num(c.ENABLED, 'p_size % 2')})")
@@ -251,7 +251,7 @@ def matroska_tracks(t):
     return _mkv(t, "tracks", _el(c.TRACKS, f"concat({one}, {two})")).select("p_partkey", "number", "type", "codec_id", "lang", "enabled")
 
 
-@query("matroska_frames", "SELECT p_partkey, 1 AS track, 1000 + p_size AS tc, 0 AS lace, p_size AS size, p_size % 2 = 0 AS keyframe FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 2, 1007, i, [3, 4, 2][i + 1], true FROM (SELECT *, unnest([0, 1, 2]) AS i FROM part WHERE p_size < 50)")
+@query("matroska_frames", "SELECT p_partkey, 1 AS track, 1000 + p_size AS tc, 0 AS lace, p_size AS size, p_size % 2 = 0 AS keyframe FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 2, 1007, i, [3, 4, 2][i + 1], true FROM (SELECT *, unnest([0, 1, 2]) AS i FROM part WHERE p_size < 50)", long="track tc lace size")
 def matroska_frames(t):
     c = containers
     simple = _el(c.SIMPLE, f"concat('81', {_hex('p_size', 4)}, CASE WHEN p_size % 2 = 0 THEN '80' ELSE '00' END, repeat('FF', p_size))")
@@ -260,14 +260,14 @@ def matroska_frames(t):
     return _mkv(t, "frames", junk, _el(c.CLUSTER, f"concat({_num(c.TIMECODE, '1000')}, {simple}, {laced})")).select("p_partkey", "track", "tc", "lace", "size", "keyframe")
 
 
-@query("matroska_headers", "SELECT p_partkey, 1000 * p_size AS scale, p_name AS title FROM part WHERE p_size < 50")
+@query("matroska_headers", "SELECT p_partkey, 1000 * p_size AS scale, p_name AS title FROM part WHERE p_size < 50", long="scale")
 def matroska_headers(t):
     c = containers
     info = _el(c.INFO, f"concat({_num(c.SCALE, '1000 * p_size')}, {_el(c.TITLE, 'hex(p_name)')})")
     return _mkv(t, "segment", info, info).select("p_partkey", "scale", "title")
 
 
-@query("matroska_seeks", "SELECT p_partkey, 357149030 AS ident, p_size AS \"position\" FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 0 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 272869232, 1000 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 78 FROM part WHERE p_size < 50")
+@query("matroska_seeks", "SELECT p_partkey, 357149030 AS ident, p_size AS \"position\" FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 0 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 272869232, 1000 FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 290298740, 78 FROM part WHERE p_size < 50", long="ident position")
 def matroska_seeks(t):
     c = containers
     seek = lambda ident, at: _el(c.SEEK, f"concat({_el(c.SEEK_ID, repr(f'{ident:X}'))}, {_num(c.SEEK_POSITION, at)})")
@@ -277,7 +277,7 @@ def matroska_seeks(t):
     return _mkv(t, "seeks", first, second).select("p_partkey", "ident", "position")
 
 
-@query("matroska_late_chapters", "SELECT p_partkey, 1 AS uid, 1000000 * p_size AS start FROM part WHERE p_size <= 25")
+@query("matroska_late_chapters", "SELECT p_partkey, 1 AS uid, 1000000 * p_size AS start FROM part WHERE p_size <= 25", long="uid start")
 def matroska_late_chapters(t):
     c = containers
     info = _el(c.INFO, f"concat({_num(c.SCALE, '1000000')}, {_el(c.DURATION, repr('4039000000000000'))})")
@@ -285,7 +285,7 @@ def matroska_late_chapters(t):
     return _mkv(t, "chapters", _el(c.CHAPTERS, _el(c.EDITION, atom)), info).select("p_partkey", F.col("uid").cast("long").alias("uid"), "start")
 
 
-@query("matroska_chapters", "SELECT p_partkey, 2 AS uid, 1 AS parent, p_size AS start FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 4, NULL, 9 FROM part WHERE p_size < 50")
+@query("matroska_chapters", "SELECT p_partkey, 2 AS uid, 1 AS parent, p_size AS start FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 4, NULL, 9 FROM part WHERE p_size < 50", long="uid parent start")
 def matroska_chapters(t):
     c = containers
     leaf = lambda uid, start, extra="''": _el(c.ATOM, f"concat({_num(c.UID, uid)}, {_num(c.START, start)}, {extra})")
@@ -295,7 +295,7 @@ def matroska_chapters(t):
     return rows.select("p_partkey", F.col("uid").cast("long").alias("uid"), F.col("parent").cast("long").alias("parent"), "start")
 
 
-@query("matroska_attachments", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'cover.png' WHEN p_size % 3 = 1 THEN 'DFfont.ttc' ELSE p_brand || '.ttf' END AS name, CASE WHEN p_size % 3 = 0 THEN 'cover' WHEN p_size % 3 = 2 THEN 'font' END AS role, p_size AS size FROM part WHERE p_size < 50")
+@query("matroska_attachments", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'cover.png' WHEN p_size % 3 = 1 THEN 'DFfont.ttc' ELSE p_brand || '.ttf' END AS name, CASE WHEN p_size % 3 = 0 THEN 'cover' WHEN p_size % 3 = 2 THEN 'font' END AS role, p_size AS size FROM part WHERE p_size < 50", long="size")
 def matroska_attachments(t):
     c = containers
     name = "CASE WHEN p_size % 3 = 0 THEN 'cover.png' WHEN p_size % 3 = 1 THEN 'DFfont.ttc' ELSE concat(p_brand, '.ttf') END"

@@ -34,7 +34,7 @@ def default_styles(t):
     return t("part").select("p_partkey", subtitles.default_style(F.col("p_size") / 10.0).alias("s")).select("p_partkey", F.round("s.size", 6).alias("size"), "s.font", "s.margin", "s.outline")
 
 
-@query("vobsub_samples", "SELECT p_partkey AS file, 1 AS track, i * 1000 AS ts, repeat(upper(printf('%02X', i)), CASE WHEN i = 2 THEN 5 ELSE p_size END) AS sample FROM (SELECT *, unnest([0, 1, 2]) AS i FROM part) WHERE i <> 1 UNION ALL SELECT p_partkey, 1, 1000, repeat('01', p_size) FROM part")
+@query("vobsub_samples", "SELECT p_partkey AS file, 1 AS track, i * 1000 AS ts, repeat(upper(printf('%02X', i)), CASE WHEN i = 2 THEN 5 ELSE p_size END) AS sample FROM (SELECT *, unnest([0, 1, 2]) AS i FROM part) WHERE i <> 1 UNION ALL SELECT p_partkey, 1, 1000, repeat('01', p_size) FROM part", long="track ts")
 def vobsub_samples(t):
     text = F.expr(r"concat('id: en, index: 0\n', array_join(transform(sequence(0, 2), i -> format_string('timestamp: 00:00:%02d:000, filepos: %09x\n', i, i * p_size)), ''))")
     index = subtitles.vobsub_index(t("part").select(F.col("p_partkey").alias("file"), text.alias("text")))
@@ -55,7 +55,7 @@ def font_names(t):
 # ---------------------------------------------------------------- reading while a file arrives
 
 
-@query("scan_turns", "SELECT event_id, CASE WHEN n < 3 THEN 0 ELSE 1 + (n - 3) // 10 END AS turn FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)")
+@query("scan_turns", "SELECT event_id, CASE WHEN n < 3 THEN 0 ELSE 1 + (n - 3) // 10 END AS turn FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)", int_="turn")
 def scan_turns(t):
     return timeline.scan_turns(t("events").select("event_id", "user_id"), "user_id", "event_id", 3, 10).select("event_id", "turn")
 
@@ -85,7 +85,7 @@ def load_states(t):
 # ---------------------------------------------------------------- feeds, inventories, export
 
 
-@query("feed_items", "SELECT p_partkey AS file, i AS num, p_brand || ' ' || i AS title, '1.' || (10 * i) AS version, 'http://x/' || p_size || '.zip' AS url FROM (SELECT *, unnest(range(0, p_size % 3 + 1)) AS i FROM part)")
+@query("feed_items", "SELECT p_partkey AS file, i AS num, p_brand || ' ' || i AS title, '1.' || (10 * i) AS version, 'http://x/' || p_size || '.zip' AS url FROM (SELECT *, unnest(range(0, p_size % 3 + 1)) AS i FROM part)", int_="num")
 def feed_items(t):
     item = "format_string('<item><title>%s %d</title><enclosure url=\"http://x/%d.zip\" version=\"1.%d\" length=\"7\"/></item>', p_brand, i, p_size, 10 * i)"
     text = F.expr(f"concat('<rss><channel>', array_join(transform(sequence(0, p_size % 3), i -> {item}), '\\n'), '</channel></rss>')")
@@ -108,12 +108,12 @@ def component_inventory(t):
     return containers.inventory(files, [("codec", least, "component"), ("import", least, "bundle")])
 
 
-@query("track_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, true AS has_uid FROM events")
+@query("track_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, true AS has_uid FROM events", int_="number")
 def track_numbers(t):
     return timeline.track_table(t("events").select("event_id", "user_id"), "user_id", "event_id").select("event_id", "number", (F.col("uid") > 0).alias("has_uid"))
 
 
-@query("cue_samples", "SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number, p_partkey AS start, p_size AS duration, upper(printf('%04X', length(p_type))) || hex(p_type::BLOB) AS data FROM part")
+@query("cue_samples", "SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number, p_partkey AS start, p_size AS duration, upper(printf('%04X', length(p_type))) || hex(p_type::BLOB) AS data FROM part", long="duration", int_="number")
 def cue_samples(t):
     packets = t("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("begin"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.col("p_type").alias("text"))
     return timeline.cue_samples(packets).withColumn("data", F.hex("data"))

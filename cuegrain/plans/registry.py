@@ -16,8 +16,14 @@ def millis(column: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of (tables) as a query; ``tables`` reads a driver table by name."""
+def query(name: str, sql: str | None = None, long: str = "", int_: str = ""):
+    """Register a function of (tables) as a query; ``tables`` reads a driver table by name.
+
+    ``long`` and ``int_`` name columns whose SQL type is to be BIGINT or INTEGER, where constants would make it another.
+    """
+    casts = [f'CAST("{c}" AS {kind}) AS "{c}"' for names, kind in ((long, "BIGINT"), (int_, "INTEGER")) for c in names.split()]
+    if casts:
+        sql = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})"
 
     def add(f: Callable) -> Callable:
         def run(spark, sf_dir: str) -> DataFrame:
