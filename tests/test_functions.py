@@ -167,3 +167,22 @@ def test_damaged_input_gives_null():
                 pass
             except Exception as e:  # noqa: BLE001
                 raise AssertionError(f"{name}: {e!r} on {data!r}") from e
+
+
+def test_codes():
+    from cuegrain.functions import codecs
+
+    assert codecs.fourcc("DTS_") == 0x44545320 and codecs.fourcc("0x6D732000") == 0x6D732000
+    assert len(codecs.language_rows()) == len({r[2] for r in codecs.language_rows()})
+
+
+def test_pictures():
+    assert bits.convert_picture(bytes(range(12)), "BGR24", 2, 2) == bytes([2, 1, 0, 5, 4, 3, 8, 7, 6, 11, 10, 9])
+    assert bits.convert_picture(b"\1" * 9 + b"\2" * 4 + b"\3" * 4, "YUV420P", 3, 3) == b"\2\1\3\1" * 3
+    assert bits.convert_picture(b"", "PAL8", 1, 1) is None
+
+
+def test_vorbis_private():
+    cookie = b"".join(bits.atom(k.encode(), v) for k, v in zip(bits.VORBIS_ATOMS, (b"a" * 255, b"b" * 3, b"c"), strict=True))
+    assert bits.xiph_split(bits.vorbis_private(cookie)) == [b"a" * 255, b"b" * 3, b"c"]
+    assert bits.vorbis_private(cookie[:-9]) is None

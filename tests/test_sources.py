@@ -154,3 +154,17 @@ def test_stream_releases_what_the_batch_gives(spark, tmp_path):
     whole = {tuple(r) for r in tl.serialize_cues(spark.createDataFrame(rows, "file long, num long, begin long, end long, line string")).collect()}
     assert got <= whole
     assert {r for r in whole if r[0] == 1 and r[2] <= 12} <= got
+
+
+def test_side_files(spark, tmp_path):
+    for name in ("Movie.srt", "movie.en.ASS", "movie.mkv", "note.txt"):
+        put(tmp_path / "d", name, "abc")
+    got = st.side_files(spark, str(tmp_path / "d")).collect()
+    assert sorted((r.name, r.size) for r in got) == [("Movie.srt", 3), ("movie.en.ASS", 3)]
+
+
+def test_seek_heads_that_name_each_other():
+    seek = lambda ident, at: el(mk.SEEK, el(mk.SEEK_ID, ident.to_bytes(4, "big")) + uint(mk.SEEK_POSITION, at))
+    body = el(mk.SEEK_HEAD, seek(mk.INFO, 500) + seek(mk.SEEK_HEAD, 0)) + el(mk.SEEK_HEAD, seek(mk.TRACKS, 7) + seek(mk.INFO, 500))
+    rows = mk.walk_matroska(el(mk.EBML, el(mk.DOC_TYPE, b"webm")) + el(mk.SEGMENT, body))["seeks"]
+    assert [(r["ident"], r["position"]) for r in rows] == [(mk.SEEK_HEAD, 0), (mk.TRACKS, 7), (mk.INFO, 500)]
