@@ -67,7 +67,7 @@ class Net:
         out, held, first = [], [], [0]
 
         def flush() -> None:
-            pooled = np.concatenate([self.pooled(c) for x in [np.concatenate(held)] for c in np.array_split(x, -(-len(x) // 256))])
+            pooled = np.concatenate([self.pooled(c) for x in [np.concatenate(held)] for c in np.array_split(x, -(-len(x) // 128))])
             n = np.diff(first)
             out.append(self.head(np.add.reduceat(pooled, first[:-1], axis=0) / n[:, None])[1])
 
@@ -75,7 +75,7 @@ class Net:
             c = cut(t)
             held.append(c)
             first.append(first[-1] + len(c))
-            if first[-1] >= 1024:
+            if first[-1] >= 512:
                 flush()
                 held, first = [], [0]
         if held:
@@ -152,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Net:
         return pd.Series([of(i, t) for i, t in zip(ids, texts, strict=True)])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * rows rows
-    chosen = chosen.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = chosen.select("doc_id", "quality", sample("doc_id", F.col("text").cast("binary")).alias("bag")).collect()
+    # Chunks are taken before rows of one doc_id meet, so that whole texts aren't shuffled.
+    bags = chosen.select("doc_id", "quality", F.xxhash64("text").alias("hash"), sample("doc_id", F.col("text").cast("binary")).alias("bag"))
+    got = bags.groupBy("doc_id", "quality").agg(F.min_by("bag", "hash").alias("bag")).collect()
     got = sorted(got, key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in got], np.float32)
     net = Net.new()
