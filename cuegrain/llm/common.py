@@ -94,8 +94,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total:
 PIECE_BITS = 18
 
 
-def bit_filter(keys: DataFrame, n: int, bound: int):
-    """Broadcast bit map over ``n`` 64-bit keys (column h), 16 bits or more a key; None beyond ``bound`` bytes.
+def bit_filter(keys: DataFrame, n: int, bound: int, lossy: bool = False):
+    """Broadcast bit map over ``n`` 64-bit keys (column h), 16 bits or more a key; beyond ``bound`` bytes None, or with ``lossy`` one of ``bound`` bytes (a power of two), in which more other keys are found.
 
     A key that is in it is always found; one in about 16 others is found too. Tasks build the
     pieces, each from its own range of slots; only the map itself, of at most ``bound`` bytes,
@@ -103,7 +103,9 @@ def bit_filter(keys: DataFrame, n: int, bound: int):
     """
     bits = 1 << max(PIECE_BITS, int(max(n, 1) * 16 - 1).bit_length())
     if bits // 8 > bound:
-        return None
+        if not lossy:
+            return None
+        bits = 8 * bound
 
     def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         filled = np.zeros(1 << PIECE_BITS, bool)
