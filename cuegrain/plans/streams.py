@@ -12,7 +12,7 @@ from ..streaming import release
 from .registry import query
 
 
-def _folder(spark) -> str:
+def new_folder(spark) -> str:
     """A new folder that driver and executors share; with a local master one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -30,12 +30,23 @@ def streamed(table: DataFrame) -> DataFrame:
 
 def finished(rows: DataFrame) -> DataFrame:
     """All rows that a stream gives for what is there now."""
-    folder = _folder(rows.sparkSession)
+    folder = new_folder(rows.sparkSession)
     run = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
+def drained(rows: DataFrame) -> DataFrame:
+    """All rows that a stream gives in as many turns as its source takes."""
+    folder = new_folder(rows.sparkSession)
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(processingTime="0 seconds").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 CUES = "(SELECT user_id AS file, event_id * 10 AS b, event_id * 10 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 5 END AS e, event_type || chr(10) AS line FROM events)"
 
 
