@@ -27,7 +27,7 @@ CONTAINED = 80
 #: Phrases returned for each language.
 TOP = 2000
 #: Bytes of text whose counts are added up in a task, and of the bit map.
-MEMTABLE, FILTER = 16 << 20, 32 << 20
+MEMTABLE, FILTER = 12 << 20, 32 << 20
 
 _upper = np.arange(256, dtype=np.uint8)
 _upper[ord("A") : ord("Z") + 1] += 32
@@ -55,16 +55,17 @@ def _read(texts: list[bytes], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = mix64(word_hashes(buf, starts, ends) ^ seeds[doc])
     buf[ends] = 0x20
     gap[ends] = False
-    return buf[~gap], ends - starts, h, goes_on, doc
+    return buf[~gap], (ends - starts).astype(np.int32), h, goes_on, doc
 
 
 def _grams(h: np.ndarray, goes_on: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the k words from each word on, whether they stand in one piece)."""
     out, whole = h.copy(), np.ones(len(h), bool)
     for j in range(1, k):
-        out[: len(h) - j] = mix64(out[: len(h) - j] * _STEP + h[j:])
-        whole[: len(h) - j] &= goes_on[j:]
-        whole[max(0, len(h) - j) :] = False
+        n = max(0, len(h) - j)
+        out[:n] = mix64(out[:n] * _STEP + h[j:])
+        whole[:n] &= goes_on[j:]
+        whole[n:] = False
     return out, whole
 
 
@@ -116,7 +117,7 @@ class _Memtable:
             return
         buf, size, h, goes_on, lang = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.bytes = [], 0
-        start = np.cumsum(size + 1) - size - 1
+        start = np.cumsum(size + 1, dtype=np.int32) - size - 1
         buf = np.concatenate([buf, np.zeros(8, np.uint8)])
         hashes, whole = _grams(h, goes_on, self.k)
         if self.frequent is not None:
@@ -124,28 +125,32 @@ class _Memtable:
             found = in_filter(self.frequent, below.view(np.int64))
             found[:-1] &= found[1:]
             whole &= found
-        at = np.flatnonzero(whole)
+            del below, found
+        at = np.flatnonzero(whole).astype(np.int32)
+        hashes = hashes[at]
         last = at + self.k - 1
         begin, n = start[at], start[last] + size[last] - start[at]
         if self.k == 1:  # all words of a language count as its empty phrase
             for code, count in zip(*np.unique(lang, return_counts=True), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([langs[code] + b"\n"], pa.binary()).cast(pa.string()), pa.array([int(count)])], names=["key", "f"])
-        for one, count in _counted(buf, begin, n, hashes[at]):
-            for lo in range(0, len(one), 200_000):
-                part = one[lo : lo + 200_000]
-                yield self._batch(buf, begin[part], n[part], lang[at[part]], langs, count[lo : lo + 200_000])
+        lang = lang[at]
+        del at, last, whole, h, goes_on, start, size
+        names = np.frombuffer(b"".join(x + b"\n" for x in langs), np.uint8)
+        both = np.concatenate([names, buf])
+        for one, count in _counted(buf, begin, n, hashes):
+            for lo in range(0, len(one), 100_000):
+                part = one[lo : lo + 100_000]
+                yield self._batch(both, begin[part], n[part], lang[part], langs, len(names), count[lo : lo + 100_000])
 
     @staticmethod
-    def _batch(buf, begin, n, lang, langs: list[bytes], count) -> pa.RecordBatch:
-        """Keys (language, line feed, phrase) cut out of the texts side by side."""
-        names = np.frombuffer(b"".join(x + b"\n" for x in langs), np.uint8)
+    def _batch(both, begin, n, lang, langs: list[bytes], after: int, count) -> pa.RecordBatch:
+        """Keys (language, line feed, phrase) cut out of the languages' names and the texts, which stand ``after`` them."""
         name_n = np.array([len(x) + 1 for x in langs])
         name_at = np.cumsum(name_n) - name_n
         total = name_n[lang] + n
         offsets = np.concatenate([[0], np.cumsum(total)])
-        both = np.concatenate([names, buf])
         # a key is two stretches: its language's name and its phrase
-        src = np.stack([name_at[lang], len(names) + begin], 1).ravel()
+        src = np.stack([name_at[lang], after + begin], 1).ravel()
         length = np.stack([name_n[lang], n], 1).ravel()
         ends = np.cumsum(length)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(src - (ends - length), length)
@@ -180,18 +185,21 @@ def count_phrases(docs: DataFrame, k: int, frequent=None) -> DataFrame:
         codes: dict[bytes, int] = {}
         table = _Memtable(k, None if frequent is None else frequent.value)
         for b in batches:
-            texts = [(x.as_py() or "").encode() for x in b.column(1)]
-            own = np.array([codes.setdefault((x.as_py() or "und").encode() if x.is_valid else b"und", len(codes)) for x in b.column(0)], np.int32)
-            seeds = np.array([_seed(x) for x in codes], np.uint64)
-            for lo, hi in chunks(texts):
-                buf, size, h, goes_on, doc = _read(texts[lo:hi], seeds[own[lo:hi]])
-                table.add(buf, size, h, goes_on, own[lo:hi][doc])
-                if table.bytes >= MEMTABLE:
-                    yield from table.flush(list(codes))
+            for first in range(0, b.num_rows, 500):
+                rows = b.slice(first, 500)
+                texts = [(x or "").encode() for x in rows.column(1).to_pylist()]
+                own = np.array([codes.setdefault(b"und" if x is None else x.encode(), len(codes)) for x in rows.column(0).to_pylist()], np.int32)
+                seeds = np.array([_seed(x) for x in codes], np.uint64)
+                for lo, hi in chunks(texts):
+                    buf, size, h, goes_on, doc = _read(texts[lo:hi], seeds[own[lo:hi]])
+                    table.add(buf, size, h, goes_on, own[lo:hi][doc])
+                    if table.bytes >= MEMTABLE:
+                        yield from table.flush(list(codes))
         yield from table.flush(list(codes))
 
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "key string, f long")
-    return counted.groupBy("key").agg(F.sum("f").alias("f"))
+    # a task has added up its texts already: no second table of them in the JVM before the shuffle
+    return counted.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def _split(counted: DataFrame, k: int) -> DataFrame:
