@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import release
+from ..streaming import packed, release
 from .registry import query
 
 
@@ -36,6 +37,18 @@ def finished(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
+@contextlib.contextmanager
+def rocks(spark):
+    """A session whose new streams keep their state in RocksDB, as transformWithState asks for."""
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(rows: DataFrame) -> DataFrame:
     """All rows that a stream gives in as many turns as its source takes."""
     folder = new_folder(rows.sparkSession)
@@ -59,3 +72,82 @@ def released_packets(t):
     rows = streamed(t("events"))
     cues = rows.select(F.col("user_id").cast("long").alias("file"), F.col("event_id").alias("num"), (F.col("event_id") * 10).alias("begin"), (F.col("event_id") * 10 + F.when(F.col("event_id") % 7 == 0, 0).otherwise(5)).alias("end"), F.concat("event_type", F.lit("\n")).alias("line"))
     return finished(release.release_packets(cues))
+
+
+# ---------------------------------------------------------------- packed bitstreams
+
+#: Kinds of the pictures of a packet, by the event's number; a jump after each twenty packets.
+LETTERS = ("P", "B", "PB", "N", "IB", "P", "PBB", "", "N", "B", "I", "PN", "P")
+SIZES = {"I": 400, "P": 200, "B": 100, "N": 7}
+
+
+def _total(column: str) -> str:
+    return "(" + " + ".join(f"{v} * (length({column}) - length(replace({column}, '{k}', '')))" for k, v in SIZES.items()) + ")"
+
+
+_PACKED = f"""
+WITH RECURSIVE p AS (
+  SELECT user_id AS file, rn + rn // 20 AS n, rn, [{', '.join(repr(x) for x in LETTERS)}][CAST(event_id % {len(LETTERS)} AS INTEGER) + 1] AS own
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events)),
+r AS (
+  SELECT DISTINCT file, CAST(-1 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS rn, false AS late, CAST(NULL AS VARCHAR) AS last_p, CAST(NULL AS VARCHAR) AS future, 'I' AS last_kind, '' AS rest, CAST(0 AS BIGINT) AS rest_n, CAST(0 AS BIGINT) AS rest_k,
+    CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS shown, CAST(NULL AS VARCHAR) AS needs FROM p
+  UNION ALL
+  SELECT file, n, rn, late1, CASE WHEN b THEN shown1 ELSE lp1 END, CASE WHEN b THEN kind1 ELSE f1 END, lk1,
+    CASE WHEN failed THEN rest0 WHEN NOT more THEN '' WHEN b THEN have[3:] ELSE have[2:] END, CASE WHEN failed THEN rn0 ELSE hn END, CASE WHEN failed THEN rk0 ELSE hk + CASE WHEN b THEN 2 ELSE 1 END END,
+    CASE WHEN b THEN 'B' ELSE kind1 END, CASE WHEN b THEN hn || '.' || (hk + 1) ELSE shown1 END, CASE WHEN b THEN shown1 ELSE needs1 END
+  FROM (SELECT *, more AND have[2] = 'B' AS b FROM (
+    SELECT *, NOT failed AND {_total('c')} < {_total('own')} AS more,
+      CASE WHEN failed THEN CASE WHEN f0 IS NOT NULL THEN lp0 END WHEN late1 AND c <> 'B' AND NOT jumped THEN lp0 ELSE id END AS shown1,
+      CASE WHEN NOT failed AND c <> 'I' THEN lp0 END AS needs1, CASE WHEN failed OR c = 'B' THEN lp0 ELSE id END AS lp1,
+      CASE WHEN failed THEN f0 WHEN late1 THEN lk0 ELSE c END AS kind1, CASE WHEN NOT failed AND late1 THEN c ELSE lk0 END AS lk1,
+      CASE WHEN failed OR (c = 'I' AND NOT late1) THEN NULL ELSE f0 END AS f1
+    FROM (SELECT *, CASE WHEN failed THEN late WHEN c = 'B' AND NOT late AND f0 IS NULL THEN true WHEN late AND {_total('c')} < {_total('have')} - 16 THEN false ELSE late END AS late1
+    FROM (SELECT *, have = '' OR (c = 'N' AND f0 IS NOT NULL) AS failed, hn || '.' || hk AS id
+    FROM (SELECT *, CASE WHEN rest0 <> '' THEN rest0 ELSE own END AS have, left(CASE WHEN rest0 <> '' THEN rest0 ELSE own END, 1) AS c, CASE WHEN rest0 <> '' THEN rn0 ELSE n END AS hn, CASE WHEN rest0 <> '' THEN rk0 ELSE 0 END AS hk
+    FROM (
+      SELECT p.file, p.n, p.rn, p.own, r.late, r.future AS f0, p.n <> r.n + 1 AS jumped, CASE WHEN p.n <> r.n + 1 THEN '' ELSE r.rest END AS rest0, r.rest_n AS rn0, r.rest_k AS rk0,
+        CASE WHEN p.n <> r.n + 1 THEN NULL ELSE r.last_p END AS lp0, CASE WHEN p.n <> r.n + 1 THEN 'I' ELSE r.last_kind END AS lk0
+      FROM r JOIN p ON p.file = r.file AND p.rn = r.rn + 1))))) ))
+SELECT file, n, kind, shown, needs, late FROM r WHERE rn >= 0
+"""
+
+
+def _packets(events: DataFrame) -> DataFrame:
+    """Packets of a table that has each event's place among its user's."""
+    kinds = F.element_at(F.array(*(F.lit(x) for x in LETTERS)), (F.col("event_id") % len(LETTERS) + 1).cast("int"))
+    sizes = F.transform(F.filter(F.split("kinds", ""), lambda x: x != ""), lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in SIZES.items() for v in kv)), x))
+    return events.select(F.col("user_id").cast("long").alias("file"), F.expr("rn + rn div 20").cast("long").alias("n"), kinds.alias("kinds")).withColumn("sizes", sizes)
+
+
+def _placed(t) -> DataFrame:
+    from pyspark.sql import Window
+
+    return t("events").withColumn("rn", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long"))
+
+
+@query("packed_table", _PACKED)
+def packed_table(t):
+    """What each packet of packed streams shows, over a table."""
+    return packed.packed_table(_packets(_placed(t)))
+
+
+@query("packed_stream", _PACKED)
+def packed_stream(t):
+    """The same as a stream in which a quarter of each file's packets arrives at a time."""
+    rows = _packets(_placed(t))
+    spark = rows.sparkSession
+    folder = f"{new_folder(spark)}/packets"
+    quarter = F.ntile(4).over(_by_n())
+    parts = rows.withColumn("part", quarter)
+    for part in range(1, 5):  # files are read in the order in which they were written
+        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with rocks(spark):
+        return drained(packed.packed_stream(stream))
+
+
+def _by_n():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("file").orderBy("n")
