@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import encodings
+
 
 def drop_stats(rows: DataFrame) -> DataFrame:
     """kind, begun, decoded, dropped, dropped_pct of rows (kind, stage); 0 percent where nothing was begun."""
@@ -30,10 +32,9 @@ def histogram(docs: DataFrame, by: str) -> DataFrame:
 
 
 def bigrams(docs: DataFrame, by: str, key: str) -> DataFrame:
-    """by, c, d, n: neighbouring characters, counted by array functions, without a sort of each text."""
-    chars = docs.select(by, F.filter(F.split("text", ""), lambda c: c != "").alias("cs"))
-    pairs = F.transform(F.slice("cs", 1, F.greatest(F.size("cs") - 1, F.lit(0))), lambda c, i: F.struct(c.alias("c"), F.get("cs", i + 1).alias("d")))
-    return chars.select(by, F.explode(pairs).alias("p")).groupBy(by, "p.c", "p.d").agg(F.count(F.lit(1)).alias("n"))
+    """by, c, d, n: neighbouring characters; tasks count those of their texts before the shuffle."""
+    pairs = encodings.pair_counts(docs, by).where("b IS NOT NULL")
+    return pairs.select(by, encodings.character(F.col("a")).alias("c"), encodings.character(F.col("b")).alias("d"), "n")
 
 
 def histogram_difference(counts: DataFrame, key: str, first: str, second: str) -> DataFrame:
