@@ -28,6 +28,8 @@ CONTAINED = 80
 TOP = 2000
 #: Bytes of text whose counts are added up in a task, and of the bit map.
 MEMTABLE, FILTER = 12 << 20, 32 << 20
+#: Shares (a power of two) in which a task counts, so that it holds few numbers beside the words.
+SHARES = 8
 
 _upper = np.arange(256, dtype=np.uint8)
 _upper[ord("A") : ord("Z") + 1] += 32
@@ -133,14 +135,18 @@ class _Memtable:
         if self.k == 1:  # all words of a language count as its empty phrase
             for code, count in zip(*np.unique(lang, return_counts=True), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([langs[code] + b"\n"], pa.binary()).cast(pa.string()), pa.array([int(count)])], names=["key", "f"])
-        lang = lang[at]
+        lang, first = lang[at], h[at]
         del at, last, whole, h, goes_on, start, size
         names = np.frombuffer(b"".join(x + b"\n" for x in langs), np.uint8)
         both = np.concatenate([names, buf])
-        for one, count in _counted(buf, begin, n, hashes):
-            for lo in range(0, len(one), 100_000):
-                part = one[lo : lo + 100_000]
-                yield self._batch(both, begin[part], n[part], lang[part], langs, len(names), count[lo : lo + 100_000])
+        for share in range(SHARES):  # phrases with one first word are counted together, and stand together where they are written
+            own = np.flatnonzero(first >> np.uint64(64 - SHARES.bit_length() + 1) == share).astype(np.int32)
+            for one, count in _counted(buf, begin[own], n[own], hashes[own]):
+                order = np.argsort(first[own[one]], kind="stable")
+                one, count = own[one[order]], count[order]
+                for lo in range(0, len(one), 100_000):
+                    part = one[lo : lo + 100_000]
+                    yield self._batch(both, begin[part], n[part], lang[part], langs, len(names), count[lo : lo + 100_000])
 
     @staticmethod
     def _batch(both, begin, n, lang, langs: list[bytes], after: int, count) -> pa.RecordBatch:
