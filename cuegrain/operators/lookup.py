@@ -15,11 +15,19 @@ def match(rows: DataFrame, dim: DataFrame, keys: list[str], value: str, order: s
 
 
 def prefix_pairs(movies: DataFrame, files: DataFrame, suffixes: list[str], block: str, strict: bool = False) -> DataFrame:
-    """block, base, name: files whose name begins with a movie's base name, letters in either case, within one directory (block)."""
-    base, name = F.lower("base"), F.lower("name")
-    files = files.where(F.substring_index(F.lower("name"), ".", -1).isin(suffixes))
-    begins = name.startswith(F.concat(base, F.lit(".")) if strict else base)
-    return movies.join(files, block).where(begins).select(block, "base", "name")
+    """block, base, name: files whose name begins with a movie's base name, letters in either case, within one directory (block); ``strict``: and goes on with a period.
+
+    The beginnings of a file's name that are as long as some base name of its directory meet the
+    base names by equality, so only names that match are paired.
+    """
+    movies = movies.select(block, "base", F.lower("base").alias("_base"))
+    names = files.select(block, "name", F.lower("name").alias("_name")).where(F.substring_index("_name", ".", -1).isin(suffixes))
+    lengths = movies.where("base IS NOT NULL").groupBy(block).agg(F.collect_set(F.length("_base")).alias("_lengths"))  # no more than names have characters
+    cut = names.join(lengths, block).withColumn("_n", F.explode("_lengths")).where(F.col("_n") + (1 if strict else 0) <= F.length("_name"))
+    if strict:
+        cut = cut.where(F.col("_name").substr(F.col("_n") + 1, F.lit(1)) == ".")
+    begun = cut.select(block, "name", F.col("_name").substr(F.lit(1), F.col("_n")).alias("_base"))
+    return movies.join(begun, [block, "_base"]).select(block, "base", "name")
 
 
 def cascade(*values: Column) -> Column:

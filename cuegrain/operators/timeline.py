@@ -166,8 +166,9 @@ def track_table(tracks: DataFrame, file: str, order: str) -> DataFrame:
 
 
 def cue_samples(packets: DataFrame) -> DataFrame:
-    """file, number, start, duration, data of a text track: each packet (file, begin, end, text) is a sample, its length in two bytes before the text; a text that needs more is cut to what fits."""
-    raw = F.substring(F.encode("text", "UTF-8"), 1, 65535)
-    size = F.unhex(F.lpad(F.hex(F.octet_length(raw)), 4, "0"))
+    """file, number, start, duration, data of a text track: each packet (file, begin, end, text) is a sample, its length in two bytes before the text; a text that needs more is an error."""
+    raw = F.encode("text", "UTF-8")
+    n = F.octet_length(raw)
+    size = F.unhex(F.lpad(F.hex(F.when(n > 65535, F.raise_error(F.concat(F.lit("a text of more than 65535 bytes in "), F.col("file").cast("string")))).otherwise(n)), 4, "0"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("begin", "end"))
     return packets.select("file", number.alias("number"), F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("duration"), F.concat(size, raw).alias("data"))

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import avi_import
+from ..session import new_folder
 from ..sinks.files import write_files
 from ..sources.avi import read_avi, stream_avi
 from .registry import query
-from .streams import drained, new_folder
+from .streams import drained
 
 
 def le32(n: Column) -> Column:

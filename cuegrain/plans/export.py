@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from ..sinks.matroska import encoder_tracks, export_matroska
 from ..sources.containers import read_matroska
 from .registry import query
-from .streams import new_folder
 
 KINDS = ("click", "view", "purchase", "signup", "error")
 NUMBER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(KINDS, 1)) + " END"

@@ -3,26 +3,15 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from ..streaming import packed, release
 from .registry import query
 
 
-def new_folder(spark) -> str:
-    """A new folder that driver and executors share; with a local master one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/cuegrain-stream-{uuid.uuid4().hex}"
-
-
 def streamed(table: DataFrame) -> DataFrame:
     """The files of a table as a stream."""
     folder, _, name = table.inputFiles()[0].rpartition("/")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,21 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "1
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; with a local master and none set, one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/cuegrain-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table, so that it is computed once and its lineage ends here."""
+    path = f"{new_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -173,9 +173,11 @@ def vobsub_samples(index: DataFrame, files: DataFrame) -> DataFrame:
     A picture goes on to the next place in its track, the last to the end of the file; places that run backward are skipped.
     """
     w = Window.partitionBy("file", "track").orderBy("ts", "filepos")
-    rows = index.withColumn("until", F.lead("filepos").over(w)).join(files, "file")
-    size = F.coalesce("until", F.octet_length("content").cast("long")) - F.col("filepos")
-    return rows.where(size > 0).select("file", "track", "lang", "ts", F.substr("content", F.col("filepos").cast("int") + 1, size.cast("int")).alias("sample"))
+    places = index.withColumn("until", F.lead("filepos").over(w)).groupBy("file").agg(F.collect_list(F.struct("track", "lang", "ts", "filepos", "until")).alias("places"))  # the lines of one index file
+    end = lambda p: F.coalesce(p["until"], F.octet_length("content").cast("long"))
+    whole = places.join(files, "file").withColumn("places", F.filter("places", lambda p: end(p) > p["filepos"]))
+    cut = F.transform("places", lambda p: F.struct(p["track"].alias("track"), p["lang"].alias("lang"), p["ts"].alias("ts"), F.substr("content", p["filepos"].cast("int") + 1, (end(p) - p["filepos"]).cast("int")).alias("sample")))
+    return whole.select("file", F.inline(cut))
 
 
 def side_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("srt", "ass", "ssa", "idx", "smi")) -> DataFrame:
