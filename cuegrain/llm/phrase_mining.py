@@ -30,6 +30,8 @@ TOP = 2000
 MEMTABLE, FILTER = 12 << 20, 32 << 20
 #: Shares (a power of two) in which a task counts, so that it holds few numbers beside the words.
 SHARES = 8
+#: A first word with a HOT-th of its language's words or more is dealt over SALTS tasks (a power of two); there are HOT at most in a language.
+HOT, SALTS = 1000, 64
 
 _upper = np.arange(256, dtype=np.uint8)
 _upper[ord("A") : ord("Z") + 1] += 32
@@ -102,11 +104,18 @@ def _counted(buf: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray
         at = np.sort(order[other])
 
 
+def _cut(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The stretches of ``n`` bytes from ``begin`` on as strings."""
+    offsets = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    index = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)
+    return pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(buf[index].tobytes())])
+
+
 class _Memtable:
     """Words of some texts, until their phrases are counted."""
 
-    def __init__(self, k: int, frequent: np.ndarray | None):
-        self.k, self.frequent = k, frequent
+    def __init__(self, k: int, frequent: np.ndarray | None, hot: np.ndarray):
+        self.k, self.frequent, self.hot = k, frequent, hot
         self.parts: list[tuple] = []
         self.bytes = 0
 
@@ -131,37 +140,57 @@ class _Memtable:
         at = np.flatnonzero(whole).astype(np.int32)
         hashes = hashes[at]
         last = at + self.k - 1
-        begin, n = start[at], start[last] + size[last] - start[at]
-        if self.k == 1:  # all words of a language count as its empty phrase
-            for code, count in zip(*np.unique(lang, return_counts=True), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([langs[code] + b"\n"], pa.binary()).cast(pa.string()), pa.array([int(count)])], names=["key", "f"])
+        begin, n, head = start[at], start[last] + size[last] - start[at], size[at]
         lang, first = lang[at], h[at]
         del at, last, whole, h, goes_on, start, size
-        names = np.frombuffer(b"".join(x + b"\n" for x in langs), np.uint8)
-        both = np.concatenate([names, buf])
-        for share in range(SHARES):  # phrases with one first word are counted together, and stand together where they are written
+        names = b"".join(x + b"\n" for x in langs)
+        both = np.concatenate([buf, np.frombuffer(names, np.uint8)])
+        name_n = np.array([len(x) + 1 for x in langs])
+        name_at = len(buf) + np.cumsum(name_n) - name_n
+        if self.k == 1:  # all words of a language count as its empty phrase
+            for code, count in zip(*np.unique(lang, return_counts=True), strict=True):
+                yield self._row([langs[code] + b"\n"], [int(count)])
+        for share in range(SHARES):  # phrases with one first word are counted together
             own = np.flatnonzero(first >> np.uint64(64 - SHARES.bit_length() + 1) == share).astype(np.int32)
             for one, count in _counted(buf, begin[own], n[own], hashes[own]):
-                order = np.argsort(first[own[one]], kind="stable")
-                one, count = own[one[order]], count[order]
+                one = own[one]
+                salt = np.where(np.isin(first[one], self.hot), hashes[one] & np.uint64(SALTS - 1), 0).astype(np.int32)
+                order = np.lexsort((salt, first[one]))
+                one, count, salt = one[order], count[order].astype(np.int64), salt[order]
                 for lo in range(0, len(one), 100_000):
                     part = one[lo : lo + 100_000]
-                    yield self._batch(both, begin[part], n[part], lang[part], langs, len(names), count[lo : lo + 100_000])
+                    yield self._rows(both, begin[part], head[part], n[part], name_at[lang[part]], name_n[lang[part]], salt[lo : lo + 100_000], count[lo : lo + 100_000])
 
     @staticmethod
-    def _batch(both, begin, n, lang, langs: list[bytes], after: int, count) -> pa.RecordBatch:
-        """Keys (language, line feed, phrase) cut out of the languages' names and the texts, which stand ``after`` them."""
-        name_n = np.array([len(x) + 1 for x in langs])
-        name_at = np.cumsum(name_n) - name_n
-        total = name_n[lang] + n
-        offsets = np.concatenate([[0], np.cumsum(total)])
-        # a key is two stretches: its language's name and its phrase
-        src = np.stack([name_at[lang], after + begin], 1).ravel()
-        length = np.stack([name_n[lang], n], 1).ravel()
-        ends = np.cumsum(length)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(src - (ends - length), length)
-        keys = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(both[index].tobytes())])
-        return pa.RecordBatch.from_arrays([keys, pa.array(count.astype(np.int64))], names=["key", "f"])
+    def _row(keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array([0] * len(keys), pa.int32()), pa.array([""] * len(keys)), pa.array([[c] for c in counts], pa.list_(pa.int64()))], names=["key", "salt", "rests", "n"])
+
+    @staticmethod
+    def _rows(both, begin, head, n, name_at, name_n, salt, count) -> pa.RecordBatch:
+        """A row for each first word (language, line feed, word): what follows it in its phrases, a line each, and their counts. Neighbours with one first word share a row."""
+        new = np.ones(len(begin), bool)
+        alike = (salt[1:] == salt[:-1]) & (head[1:] == head[:-1]) & (name_at[1:] == name_at[:-1])
+        near = np.flatnonzero(alike)
+        new[1:] = ~alike
+        new[1 + near] = _differ(both, begin[1 + near], begin[near], head[near])
+        rows = np.flatnonzero(new)
+        bounds = np.append(rows, len(begin))
+        stretches = _cut(both, np.stack([name_at[rows], begin[rows]], 1).ravel(), np.stack([name_n[rows], head[rows]], 1).ravel())
+        _, at, held = stretches.buffers()
+        keys = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(np.frombuffer(at, np.int32)[::2].tobytes()), held])
+        if (n == head).all():  # single words
+            return pa.RecordBatch.from_arrays([keys, pa.array(salt[rows]), pa.array([""] * len(rows)), pa.ListArray.from_arrays(bounds.astype(np.int32), count)], names=["key", "salt", "rests", "n"])
+        # what follows the first word, and the byte behind the phrase, which becomes a line feed but for the last
+        tail = n - head
+        ends = np.cumsum(tail)
+        index = np.arange(ends[-1]) + np.repeat(begin + head + 1 - (ends - tail), tail)
+        data = both[index]
+        data[ends - 1] = 0x0A
+        keep = np.ones(len(data), bool)
+        keep[ends[bounds[1:] - 1] - 1] = False
+        sums = np.concatenate([[0], ends[bounds[1:] - 1] - np.arange(1, len(rows) + 1)])
+        rests = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(sums.astype(np.int32).tobytes()), pa.py_buffer(data[keep].tobytes())])
+        return pa.RecordBatch.from_arrays([keys, pa.array(salt[rows]), rests, pa.ListArray.from_arrays(bounds.astype(np.int32), count)], names=["key", "salt", "rests", "n"])
 
 
 def _seed(lang: bytes) -> np.uint64:
@@ -184,12 +213,17 @@ def _hashed(phrases: DataFrame, k: int) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "h long")
 
 
-def count_phrases(docs: DataFrame, k: int, frequent=None) -> DataFrame:
-    """key (language, line feed, phrase), f: occurrences of phrases of ``k`` words; with ``frequent`` (a broadcast bit map of phrases of k - 1 words) only of those that may be frequent."""
+def count_phrases(docs: DataFrame, k: int, frequent=None, hot: np.ndarray | None = None) -> DataFrame:
+    """lang, phrase, f: occurrences of phrases of ``k`` words, and all words of a language as its empty phrase if k is 1.
+
+    With ``frequent`` (a broadcast bit map of phrases of k - 1 words) only of those that may be
+    frequent; ``hot``: hashes of the first words that are dealt over several tasks.
+    """
+    hot = np.empty(0, np.uint64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[bytes, int] = {}
-        table = _Memtable(k, None if frequent is None else frequent.value)
+        table = _Memtable(k, None if frequent is None else frequent.value, hot)
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 rows = b.slice(first, 500)
@@ -203,14 +237,13 @@ def count_phrases(docs: DataFrame, k: int, frequent=None) -> DataFrame:
                         yield from table.flush(list(codes))
         yield from table.flush(list(codes))
 
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "key string, f long")
-    # a task has added up its texts already: no second table of them in the JVM before the shuffle
-    return counted.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
-
-
-def _split(counted: DataFrame, k: int) -> DataFrame:
-    phrase = F.substring_index("key", "\n", -1)
-    return counted.select(F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), F.lit(k).alias("k"), "f")
+    # a task has added up its texts already: rows go to the shuffle as they are, a first word with all that follows it
+    counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "key string, salt int, rests string, n array<long>").repartition("key", "salt")
+    each = counted.select("key", "salt", F.explode(F.arrays_zip(F.split("rests", "\n").alias("rest"), F.col("n").alias("n"))).alias("x")) if k > 1 else counted.select("key", "salt", F.struct(F.lit("").alias("rest"), F.get("n", F.lit(0)).alias("n")).alias("x"))
+    sums = each.groupBy("key", "salt", F.col("x.rest").alias("rest")).agg(F.sum("x.n").alias("f"))
+    first = F.substring_index("key", "\n", -1)
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    return sums.select(lang.alias("lang"), (F.concat(first, F.lit(" "), "rest") if k > 1 else first).alias("phrase"), "f")
 
 
 def _part(words: Column, first: int, n: int) -> Column:
@@ -231,12 +264,14 @@ def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     spark = docs.sparkSession
     scratch = Scratch(spark)
     levels: list[DataFrame] = []
-    totals, frequent = None, None
+    totals, frequent, hot = None, None, None
     for k in range(1, longest + 1):
-        counted = count_phrases(docs, k, frequent)
-        kept = scratch.save(_split(counted.where((F.col("f") >= least) | F.col("key").endswith("\n")), k), f"level{k}")
+        counted = count_phrases(docs, k, frequent, hot)
+        kept = scratch.save(counted.where((F.col("f") >= least) | (F.col("phrase") == "")).withColumn("k", F.lit(k)), f"level{k}")
         if k == 1:
             totals = kept.where("phrase = ''").select("lang", F.col("f").alias("n"))
+            often = kept.where("phrase <> ''").join(totals, "lang").where(F.col("f") * HOT >= F.col("n"))
+            hot = np.array([r["h"] for r in _hashed(often, 1).collect()], np.int64).view(np.uint64)
         levels.append(kept.where("phrase <> ''"))
         if k < longest:
             frequent = bit_filter(_hashed(levels[-1], k), levels[-1].count(), FILTER, lossy=True)
