@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from ..streaming import packed, release
+from ..streaming import flush, packed, release
 from .registry import query
 
 
@@ -140,3 +140,47 @@ def _by_n():
     from pyspark.sql import Window
 
     return Window.partitionBy("file").orderBy("n")
+
+
+# ---------------------------------------------------------------- end of input by event time
+
+
+def _sweep(cues: str, start: str, name: str) -> str:
+    """SQL of the packets of ``cues`` (file, num, b, e, line) from ``start`` (file, t) on."""
+    return f"""{name}_t AS (SELECT DISTINCT file, t FROM (SELECT file, b AS t FROM {cues} UNION ALL SELECT file, e FROM {cues} UNION ALL SELECT file, t FROM {start} WHERE file IN (SELECT file FROM {cues}))),
+{name}_s AS (SELECT * FROM (SELECT file, t AS s0, lead(t) OVER (PARTITION BY file ORDER BY t) AS s1 FROM {name}_t) WHERE s1 IS NOT NULL),
+{name} AS (SELECT s.file, s0, s1, coalesce(string_agg(line || chr(10), '' ORDER BY b, num), chr(10)) AS text FROM {name}_s s LEFT JOIN {cues} c ON s.file = c.file AND b <= s0 AND e >= s1 GROUP BY s.file, s0, s1)"""
+
+
+@query("flushed_packets", f"""
+WITH c AS (SELECT user_id AS file, event_id AS num, event_id * 10 - CASE WHEN event_id % 7 = 3 THEN 4000 ELSE 0 END AS b, event_id * 10 + 5 + event_id % 5 * 300 - CASE WHEN event_id % 14 = 3 THEN 3000 ELSE 0 END AS e, event_type AS line, event_id % 7 = 3 OR event_id % 7 = 5 AS second FROM events),
+f AS (SELECT file, num, greatest(b, 0) AS b, e, line, second FROM c WHERE greatest(b, 0) < e),
+k1 AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY b, num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f WHERE NOT second),
+k2 AS (SELECT *, sum(CASE WHEN before IS NULL OR b >= before THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY b, num ROWS UNBOUNDED PRECEDING) AS cluster FROM k1),
+k3 AS (SELECT *, max(cluster) OVER (PARTITION BY file) AS last FROM k2),
+one AS (SELECT file, num, b, e, line FROM k3 WHERE cluster < last),
+files AS (SELECT DISTINCT file FROM f),
+done AS (SELECT files.file, coalesce(max(e), 0) AS t FROM files LEFT JOIN one ON one.file = files.file GROUP BY files.file),
+two AS (
+  SELECT file, num, b, e, line FROM k3 WHERE cluster = last
+  UNION ALL SELECT f.file, num, greatest(b, t), e, line FROM f JOIN done USING (file) WHERE second AND e > t),
+late AS (SELECT done.file, count(num) AS n FROM done LEFT JOIN f ON f.file = done.file AND second AND b < t GROUP BY done.file),
+zero AS (SELECT file, 0 AS t FROM files),
+{_sweep('one', 'zero', 'p1')},
+{_sweep('two', 'done', 'p2')}
+SELECT file, s0 AS "begin", s1 AS "end", text, 0 AS late FROM p1 UNION ALL SELECT p2.file, s0, s1, text, n FROM p2 JOIN late USING (file)""", long="begin end late")
+def flushed_packets(t):
+    """Cues that overlap, in two shares of which the second has late ones; then time goes on, and timers flush all files."""
+    e = F.col("event_id")
+    begin = F.greatest(e * 10 - F.when(e % 7 == 3, 4000).otherwise(0), F.lit(0))
+    end = e * 10 + 5 + e % 5 * 300 - F.when(e % 14 == 3, 3000).otherwise(0)
+    second = (e % 7).isin(3, 5)
+    rows = t("events").select(F.col("user_id").cast("long").alias("file"), e.alias("num"), begin.alias("begin"), end.alias("end"), F.col("event_type").alias("line"), F.timestamp_millis(F.when(second, 200_000).otherwise(100_000).cast("long") + e % 1000).alias("ts"), second.alias("second"))
+    spark = rows.sparkSession
+    folder = f"{new_folder(spark)}/cues"
+    later = spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS file", "0L AS num", "0L AS begin", "0L AS end", "'' AS line", "timestamp_millis(9000000L) AS ts")
+    for share in (rows.where(~F.col("second")).drop("second"), rows.where("second").drop("second"), later):
+        share.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with rocks(spark):
+        return drained(flush.flushed_packets(stream, 60_000, "10 minutes"))
