@@ -116,3 +116,25 @@ def two_byte_order(charset: str, first: Column, second: Column) -> Column:
         row = F.when(first.between(0x81, 0x9F), first - 0x81).when(first.between(0xE0, 0xEF), first - 0xE0 + 31)
         return F.when(row.isNull() | (second > 0x7F), -1).otherwise(188 * row + second - 0x40)
     raise ValueError(charset)
+
+
+#: Hebrew letters with a form of their own at the end of a word (kaf, mem, nun, pe, tsadi), and the plain forms that don't end words.
+HEBREW_FINAL, HEBREW_PLAIN = "ךםןףץ", "כמנפ"
+
+
+def hebrew_scores(text: Column) -> tuple[Column, Column]:
+    """(signs of logical order, signs of visual order) in a text whose words are parted by blanks.
+
+    A word of two letters or more that ends with a final form is written in logical order; one that
+    ends with the plain form, or begins with a final one, in visual order. The end of the text ends no word.
+    """
+    text = F.concat(F.lit("  "), text)
+    logical = F.regexp_count(text, F.lit(f"(?<=[^ ])[{HEBREW_FINAL}](?= )"))
+    visual = F.regexp_count(text, F.lit(f"(?<=[^ ])[{HEBREW_PLAIN}](?= )|(?<= )[{HEBREW_FINAL}](?=[^ ])"))
+    return logical, visual
+
+
+def hebrew_order(logical: Column, visual: Column, model_logical: Column, model_visual: Column, distance: int = 5, least: float = 0.01) -> Column:
+    """The charset of a Hebrew text: by its final letters if they are clear, else by the confidences of the models of both orders, else by the letters again; logical if nothing tells."""
+    letters, models = logical - visual, model_logical - model_visual
+    return F.when(letters >= distance, "windows-1255").when(letters <= -distance, "ISO-8859-8").when(models > least, "windows-1255").when(models < -least, "ISO-8859-8").when(letters < 0, "ISO-8859-8").otherwise("windows-1255")

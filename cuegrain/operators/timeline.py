@@ -172,3 +172,10 @@ def cue_samples(packets: DataFrame) -> DataFrame:
     size = F.unhex(F.lpad(F.hex(F.when(n > 65535, F.raise_error(F.concat(F.lit("a text of more than 65535 bytes in "), F.col("file").cast("string")))).otherwise(n)), 4, "0"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("begin", "end"))
     return packets.select("file", number.alias("number"), F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("duration"), F.concat(size, raw).alias("data"))
+
+
+def restored_packets(packets: DataFrame, header: Column) -> DataFrame:
+    """packets (file, n, data, frames) with the bytes that were stripped from the head of each: data, size, and offset in the new stream; frames go along."""
+    out = packets.withColumn("data", F.concat(header, "data")).withColumn("size", F.octet_length("data").cast("long"))
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))

@@ -107,8 +107,8 @@ def spans(cues: DataFrame) -> DataFrame:
     return rows.select("file", "num", "span", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("offset"), "text", tags.alias("tags")).where((F.length("text") > 0) | (F.size("tags") > 0))
 
 
-def sami_cues(texts: DataFrame) -> DataFrame:
-    """file, class, num, begin, end, line (milliseconds): a cue lasts until the next sync of its class; the last one is dropped."""
+def sami_cues(texts: DataFrame, last: int | None = None) -> DataFrame:
+    """file, class, num, begin, end, line (milliseconds): a cue lasts until the next sync of its class; the last one is dropped, or with ``last`` stays so many milliseconds."""
     syncs = texts.select("file", F.posexplode(F.split("text", r"(?i)<sync\s+")).alias("k", "part")).where("k > 0")
     begin = F.coalesce(F.regexp_extract("part", r"(?i)^start\s*=\s*\"?(-?\d+)", 1).try_cast("long"), F.lit(0))
     syncs = syncs.select("file", "k", begin.alias("begin"), F.regexp_replace("part", r"(?s)^[^>]*>", "").alias("part"))
@@ -119,9 +119,23 @@ def sami_cues(texts: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(body, r"#\}", "1}"), r"#/\}", "0}")
     rows = paras.select("file", cls.alias("class"), F.col("k").cast("long").alias("num"), "begin", F.trim(tx.strip_flat_tags(body)).alias("line"))
     until = F.lead("begin").over(Window.partitionBy("file", "class").orderBy("num"))
+    if last is not None:
+        until = F.coalesce(until, F.col("begin") + last)
     return rows.withColumn("end", until).where("end IS NOT NULL AND line <> ''").select("file", "class", "num", "begin", "end", "line")
 
 
+def sami_tracks(texts: DataFrame, classes: DataFrame, last: int | None = None) -> DataFrame:
+    """file, language, num, begin, end, line: the cues of both languages of SAMI texts, one under the other.
+
+    ``classes`` (file, first, second) names the classes of each file; cues of other classes are left
+    out. A language's last cue, which no later one ends, is left out, or with ``last`` stays so many
+    milliseconds.
+    """
+    cues = sami_cues(texts, last)
+    one = lambda n, name: cues.join(classes.select("file", F.upper(name).alias("class")).where("class IS NOT NULL"), ["file", "class"]).select("file", F.lit(n).alias("language"), "num", "begin", "end", "line")
+    return one(1, "first").unionByName(one(2, "second"))
+
+
 def vobsub_index(texts: DataFrame) -> DataFrame:
     """file, track, lang, ts, filepos of each timestamp line (milliseconds); a delay line holds for all that follow in its track."""
     lines = texts.select("file", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
