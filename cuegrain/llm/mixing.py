@@ -27,7 +27,7 @@ KEEP = 0.5
 MAX_CELLS = 100_000
 #: With exact: how far, of a target share, the expected share may be from it; sweeps of a trial, and trials of the share.
 NEAR = 0.005
-#: With exact: a target that only a sample of less than this share of the tokens could meet (its value is too rare) is given up: all of the value's tokens stay.
+#: With exact: the least share of tokens that is kept. A target that only a smaller sample could meet (its value is too rare) is given up: all of the value's tokens stay.
 LEAST = 0.1
 EXACT_SWEEPS, TRIALS = 300, 14
 SPARK_TRIALS = 4
@@ -74,28 +74,28 @@ def _warn(share: float, missed: list[tuple]) -> None:
         warnings.warn(f"mixing: {len(missed)} targets are not met by a sample of {share:.4f} of the tokens: {said}", stacklevel=3)
 
 
-def _within_reach(has: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _within_reach(has: np.ndarray, t: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether each value is too rare for its target, and the targets of the others, scaled to one."""
     rare = np.zeros(len(t), bool)
     while True:
         left = np.where(rare, 0, t) / max(t[~rare].sum(), 1e-300)
-        more = has < LEAST * left
+        more = has < least * left
         if not more.any():
             return rare, left
         rare |= more
 
 
-def exact_on_driver(keys: list[tuple], tokens: np.ndarray, targets: dict | None, weights: np.ndarray, keep: float) -> np.ndarray:
+def exact_on_driver(keys: list[tuple], tokens: np.ndarray, targets: dict | None, weights: np.ndarray, keep: float, least: float = LEAST) -> np.ndarray:
     """Probabilities by which the sample's tokens have the target shares, for the largest share of all tokens that allows it (``keep`` at most).
 
     Cells at 1 stay there while the others are raked to what is left of each target. Values too
-    rare for their target (LEAST) are kept whole, and the other values of that dimension share
+    rare for their target (``least``) are kept whole, and the other values of that dimension share
     the rest in the proportion of their targets. Targets that are not met are named in a warning.
     """
     codes, want, names = _margins(keys, tokens, targets)
     total = tokens.sum()
     has = [np.bincount(c, tokens) / total for c in codes]
-    rare, left = zip(*(_within_reach(h, t) for h, t in zip(has, want, strict=True)), strict=True)
+    rare, left = zip(*(_within_reach(h, t, least) for h, t in zip(has, want, strict=True)), strict=True)
     whole = np.any([r[c] for r, c in zip(rare, codes, strict=True)], 0)
     given = [h[r].sum() for h, r in zip(has, rare, strict=True)]
 
@@ -120,8 +120,9 @@ def exact_on_driver(keys: list[tuple], tokens: np.ndarray, targets: dict | None,
 
     # No value can give more tokens than it has.
     high = min([keep, *(float((h[t > 0] / t[t > 0]).min(initial=1)) + g for h, t, g in zip(has, left, given, strict=True))])
-    low = share = max(given)
-    best, off = rake(high) if high > low else (np.minimum(1, scale(weights, tokens, keep) * weights), 9.0)
+    low = max(*given, min(least, keep))
+    high = max(high, low)
+    best, off = rake(high) if high > max(given) else (np.minimum(1, scale(weights, tokens, keep) * weights), 9.0)
     if high > low and off > NEAR:
         for _ in range(TRIALS):
             mid = (low + high) / 2
@@ -138,7 +139,7 @@ def exact_on_driver(keys: list[tuple], tokens: np.ndarray, targets: dict | None,
     return best
 
 
-def exact_on_spark(raked: DataFrame, targets: dict | None, keep: float, sweeps: int, scratch: Scratch) -> DataFrame:
+def exact_on_spark(raked: DataFrame, targets: dict | None, keep: float, sweeps: int, scratch: Scratch, least: float = LEAST) -> DataFrame:
     """``exact_on_driver`` for any number of cells; a share that misses targets is lowered by the worst miss, SPARK_TRIALS times at most."""
     spark = raked.sparkSession
     total = raked.agg(F.sum("tokens")).first()[0]
@@ -151,7 +152,7 @@ def exact_on_spark(raked: DataFrame, targets: dict | None, keep: float, sweeps:
         else:
             has = has.withColumn("want", F.pow("has", F.lit(TEMPER)))
         has = scratch.save(has.withColumn("want", F.col("want") / F.lit(has.agg(F.sum("want")).first()[0])).withColumn("t", F.col("want")), f"goal-{d}")
-        rare = F.col("has") < LEAST * F.col("t")
+        rare = F.col("has") < F.lit(least) * F.col("t")
         while has.where(rare).limit(1).count():
             scaled = has.where(~rare).agg(F.sum("t")).first()[0] or 1.0
             has = scratch.save(has.withColumn("t", F.when(rare, 0.0).otherwise(F.col("t") / F.lit(scaled))), f"goal-{d}")
@@ -159,6 +160,7 @@ def exact_on_spark(raked: DataFrame, targets: dict | None, keep: float, sweeps:
         given[d] = goals[d].where("rare").agg(F.sum("has")).first()[0] or 0.0
         share = min(share, given[d] + (goals[d].where("t > 0").agg(F.min(F.col("has") / F.col("t"))).first()[0] or 1.0))
         cells = cells.join(goals[d].select(d, "rare"), d).withColumn("whole", F.col("whole") | F.col("rare")).drop("rare")
+    share = max(share, min(least, keep))
     factor = share * total / raked.agg(F.sum(F.col("weight") * F.col("tokens"))).first()[0]
     cells = cells.withColumn("u", F.when(F.col("whole"), 1e9).otherwise(F.col("weight") * F.lit(factor)))
     for trial in range(SPARK_TRIALS):
@@ -176,10 +178,10 @@ def exact_on_spark(raked: DataFrame, targets: dict | None, keep: float, sweeps:
             worst = each[d].where("t > 0").agg(F.min("r"), F.max(F.abs(F.col("r") - 1))).first()
             ratio = min(ratio, worst[0])
             missed.append(worst[1] > NEAR)
-        if not any(missed):
+        if not any(missed) or share <= min(least, keep):
             break
         if trial + 1 < SPARK_TRIALS:
-            share *= max(0.5, min(ratio, 0.99))
+            share = max(min(least, keep), share * max(0.5, min(ratio, 0.99)))
     whole = each[DIMS[0]].agg(F.sum("got")).first()[0]
     shares = F.col("got") / F.lit(whole)
     _warn(whole / total, [(d, r[d], r["want"], r["got"] / whole) for d in DIMS for r in each[d].where(F.abs(shares - F.col("want")) > 2 * NEAR * F.col("want")).limit(20).collect()])
@@ -225,15 +227,16 @@ def scale(weights: np.ndarray, tokens: np.ndarray, keep: float) -> float:
     return float(factor[ok[0]]) if len(ok) else 0.0
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS, seed: int = 1, max_cells: int = MAX_CELLS, exact: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS, seed: int = 1, max_cells: int = MAX_CELLS, exact: bool = False, least: float = LEAST) -> DataFrame:
     """docs (doc_id, source, lang, topic, n_tokens; other columns stay) with weight, probability and kept, which replace columns by these names.
 
     Null sources, languages and topics are a value of their own, "(none)". Values without a
     target share get weight 0; shares of values that don't occur go to the others in proportion, and
     targets none of whose values occur are an error. Rows with one doc_id are kept or left together; a null doc_id
     counts as the empty text. A document without tokens has the probability of its cell.
-    With ``exact`` the tokens' expected shares are the targets, and ``keep`` is the most that is
-    kept; values too rare for their target are kept whole and named in a warning. Without, ``keep``
+    With ``exact`` the tokens' expected shares are the targets, ``keep`` is the most that is
+    kept and ``least`` the least; values too rare for their target are kept whole, and targets that
+    would take a smaller sample are missed, both named in a warning. Without, ``keep``
     holds and cells whose probability stops at 1 fall short. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
@@ -249,11 +252,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
         rows = sorted(tuple(r) for r in cells.collect())
         tokens = np.array([r[3] for r in rows], float)
         w = rake_on_driver(rows, tokens, targets, sweeps) if tokens.sum() else np.ones(len(rows))
-        p = exact_on_driver(rows, tokens, targets, w, keep) if exact and tokens.sum() else np.minimum(1, scale(w, tokens, keep) * w)
+        p = exact_on_driver(rows, tokens, targets, w, keep, least) if exact and tokens.sum() else np.minimum(1, scale(w, tokens, keep) * w)
         raked = docs.sparkSession.createDataFrame([(*r[:3], float(a), float(b)) for r, a, b in zip(rows, w, p, strict=True)], ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
         out = keyed.join(F.broadcast(raked), names)
     elif exact:
-        raked = exact_on_spark(rake_on_spark(cells, targets, sweeps, scratch), targets, keep, sweeps, scratch)
+        raked = exact_on_spark(rake_on_spark(cells, targets, sweeps, scratch), targets, keep, sweeps, scratch, least)
         out = keyed.join(raked.select(*(F.col(d).alias(f"{under}{d}") for d in DIMS), "weight", "probability"), names)
     else:
         raked = rake_on_spark(cells, targets, sweeps, scratch)
