@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from cuegrain.llm import exact_dedup, mixing, quality_cnn, sentencepiece_fst, simhash
 from cuegrain.llm.common import Scratch
 
-#: Share of tokens that mixing keeps at most; it keeps less where the targets ask for it.
-KEEP = 0.9
+#: Share of tokens that mixing keeps at most and at least; targets that would take a smaller sample are missed, and named in a warning.
+KEEP, FLOOR = 0.9, 0.8
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target weights."""
     names = ("doc_id", "text", "source", "lang")
-    return _unpacked(mixing.mix(mixing.with_topics(_packed(docs, *names)), keep=KEEP, exact=True).where("kept"), docs, *names)
+    return _unpacked(mixing.mix(mixing.with_topics(_packed(docs, *names)), keep=KEEP, exact=True, least=FLOOR).where("kept"), docs, *names)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: The classifier and the transducers are beyond SQL; tests/llm holds each stage against the decisions of its operator (which has a brute-force test of its own).
+#: The classifier and the transducers are beyond SQL; tests/llm holds each stage against the decisions of its operator.
 ORACLE_SQL = None
 
 
