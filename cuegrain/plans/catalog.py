@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, codecs, encodings, export, formats, headers, mended, overrides, playback, relations, scalars, scans, streams, tags, timeline  # noqa: F401
+from . import avi, codecs, encodings, export, formats, headers, mended, overrides, playback, ranges, relations, scalars, scans, streams, tags, timeline  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -102,6 +102,38 @@ def lace_sizes(data: bytes, at: int, kind: int, end: int) -> tuple[list[int], in
     return [*sizes, end - at - sum(sizes)], at
 
 
+def level_one(data: bytes, ident: int, a: int, b: int, seen: set[int], out: dict[str, list[dict]]) -> None:
+    """Adds the rows of one element of the first level; each of them counts once."""
+    if ident in seen:
+        return
+    seen.add(ident)
+    if ident == INFO:
+        c = _children(data, a, b)
+        raw = data[slice(*c[DURATION])] if DURATION in c else b""
+        out["segment"].append({"scale": _uint(data, *c[SCALE]) if SCALE in c else 1_000_000, "duration": struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else None, "title": _text(data, *c[TITLE]) if TITLE in c else None, "writer": _text(data, *c[WRITER]) if WRITER in c else None})
+    elif ident == TRACKS:
+        for i, x, y in elements(data, a, b):
+            if i == TRACK:
+                c = _children(data, x, y)
+                num = lambda k, d, c=c: _uint(data, *c[k]) if k in c else d
+                txt = lambda k, d, c=c: _text(data, *c[k]) if k in c else d
+                out["tracks"].append({"number": num(NUMBER, 0), "type": num(TYPE, 0), "codec_id": txt(CODEC, ""), "lang": txt(LANGUAGE, "eng"), "name": txt(NAME, None), "enabled": bool(num(ENABLED, 1)), "lacing": bool(num(LACING, 1)), "default_duration": num(DEFAULT_DURATION, 0), "codec_private": data[slice(*c[PRIVATE])] if PRIVATE in c else None})
+    elif ident == CHAPTERS:
+        for i, x, y in elements(data, a, b):
+            if i == EDITION:
+                for j, p, q in elements(data, x, y):
+                    if j == ATOM:
+                        _chapter(data, p, q, None, out["chapters"])
+    elif ident == ATTACHMENTS:
+        for i, x, y in elements(data, a, b):
+            if i == FILE:
+                c = _children(data, x, y)
+                name, mime = (_text(data, *c[k]) if k in c else "" for k in (FILE_NAME, FILE_MIME))
+                first, behind = c.get(FILE_DATA, (0, 0))
+                role = "font" if mime in FONTS and not re.fullmatch(r"DF.*\.ttc", name) else "cover" if name in COVERS else None
+                out["attachments"].append({"name": name, "mime": mime, "role": role, "offset": first, "size": behind - first})
+
+
 def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dict]]:
     """Rows of each table of one file: segment, tracks, frames, chapters, attachments, seeks. A file that isn't Matroska or WebM of read version 2 or less gives none."""
     out: dict[str, list[dict]] = {k: [] for k in ("segment", "tracks", "frames", "chapters", "attachments", "seeks")}
@@ -131,39 +163,19 @@ def walk_matroska(data: bytes, headers_only: bool = False) -> dict[str, list[dic
                 _cluster(data, a, b, out["frames"])
         elif ident == SEEK_HEAD:
             _seeks(data, seg[1], end, at, heads, out["seeks"])
-        elif ident not in seen:  # each of the others counts once
-            seen.add(ident)
-            if ident == INFO:
-                c = _children(data, a, b)
-                raw = data[slice(*c[DURATION])] if DURATION in c else b""
-                out["segment"].append({"scale": _uint(data, *c[SCALE]) if SCALE in c else 1_000_000, "duration": struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else None, "title": _text(data, *c[TITLE]) if TITLE in c else None, "writer": _text(data, *c[WRITER]) if WRITER in c else None})
-            elif ident == TRACKS:
-                for i, x, y in elements(data, a, b):
-                    if i == TRACK:
-                        c = _children(data, x, y)
-                        num = lambda k, d, c=c: _uint(data, *c[k]) if k in c else d
-                        txt = lambda k, d, c=c: _text(data, *c[k]) if k in c else d
-                        out["tracks"].append({"number": num(NUMBER, 0), "type": num(TYPE, 0), "codec_id": txt(CODEC, ""), "lang": txt(LANGUAGE, "eng"), "name": txt(NAME, None), "enabled": bool(num(ENABLED, 1)), "lacing": bool(num(LACING, 1)), "default_duration": num(DEFAULT_DURATION, 0), "codec_private": data[slice(*c[PRIVATE])] if PRIVATE in c else None})
-            elif ident == CHAPTERS:
-                for i, x, y in elements(data, a, b):
-                    if i == EDITION:
-                        for j, p, q in elements(data, x, y):
-                            if j == ATOM:
-                                _chapter(data, p, q, None, out["chapters"])
-            elif ident == ATTACHMENTS:
-                for i, x, y in elements(data, a, b):
-                    if i == FILE:
-                        c = _children(data, x, y)
-                        name, mime = (_text(data, *c[k]) if k in c else "" for k in (FILE_NAME, FILE_MIME))
-                        first, behind = c.get(FILE_DATA, (0, 0))
-                        role = "font" if mime in FONTS and not re.fullmatch(r"DF.*\.ttc", name) else "cover" if name in COVERS else None
-                        out["attachments"].append({"name": name, "mime": mime, "role": role, "offset": first, "size": behind - first})
+        else:
+            level_one(data, ident, a, b, seen, out)
         at = b
+    finish(out)
+    return out
+
+
+def finish(out: dict[str, list[dict]]) -> None:
+    """Leaves out chapters that begin behind the end, and sorts the seek index."""
     if out["segment"] and out["segment"][0]["duration"]:  # chapters that begin behind the end are left out
         last = out["segment"][0]["duration"]
         out["chapters"] = [c for c in out["chapters"] if c["start"] // (out["segment"][0]["scale"] or 1) <= last]
     out["seeks"].sort(key=lambda x: (x["position"], x["ident"]))
-    return out
 
 
 def _seeks(data: bytes, base: int, end: int, at: int, heads: set[int], out: list[dict]) -> None:
