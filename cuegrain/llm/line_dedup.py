@@ -21,6 +21,7 @@ MIN_LINES = 2
 #: Bytes of spans that are broadcast; beyond, the texts are shuffled to them.
 SPAN_BYTES = 64 << 20
 NO_ID = -(1 << 63)
+LOW = (1 << 31) - 1
 PLACE = ("id", "row", "at")
 
 
@@ -42,10 +43,11 @@ def _spans(docs: DataFrame) -> DataFrame:
     def chunks(p: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (F.get("h", i - 1).bitwiseAND(p) != 0) | (i == F.size("h")))
         begins = F.concat(F.array(F.lit(1)), F.transform(ends, lambda e: e + 1))
-        return F.zip_with(ends, begins, lambda e, b: F.struct(b.alias("at"), (e - b + 1).alias("n")))
+        return F.filter(F.zip_with(ends, begins, lambda e, b: F.shiftleft(b.cast("long"), 31) + (e - b + 1)), lambda s: s.bitwiseAND(LOW) >= MIN_LINES)
 
-    spans = F.flatten(F.transform(F.array(*(F.lit(1 << k) for k in range(PHASES))), chunks))
-    spans = F.array_distinct(F.filter(spans, lambda s: s["n"] >= MIN_LINES))
+    # A chunk is one number, first line and lines, as Spark tells numbers apart by hashing and structures by comparing all pairs.
+    spans = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(1 << k) for k in range(PHASES))), chunks)))
+    spans = F.transform(spans, lambda s: F.struct(F.shiftright(s, 31).cast("int").alias("at"), s.bitwiseAND(LOW).cast("int").alias("n")))
 
     def digested(v: Column) -> Column:
         worded = lambda s: F.aggregate(F.slice(v["worded"], s["at"], s["n"]), F.lit(0), lambda a, x: a + x)
@@ -99,8 +101,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = scratch.save(gone.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("gone")), "gone", compression="zstd")
 
     out = base.join(_few(gone, "gone"), ["id", "row"], "left").select("doc_id", "gone", _lines(F.col("text")).alias("lines"))
-    stays = lambda _, i: ~F.exists("gone", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"]))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    lost = F.flatten(F.transform("gone", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), lost)
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(F.transform(F.array("lines"), lambda ls: F.transform(stay, lambda i: F.element_at(ls, i)))))
     out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed_lines"), F.array_join("kept", "\n").alias("kept_text"))
 
