@@ -1,7 +1,10 @@
-"""Scalar text functions on columns, all built from Spark's own."""
+"""Scalar text functions on columns, built from Spark's own; one that needs a running level is an Arrow function."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,15 +60,28 @@ def sami_language(tag: Column, classes: Column) -> Column:
     return F.when(own == classes["first"], 1).when(own == classes["second"], 2).otherwise(3)
 
 
+def outside_tags(text: str) -> str:
+    """The text where as many tags have ended as begun, with a space for each end of an outermost tag; in one pass."""
+    out, level = [], 0
+    for part in re.findall(r"[<>]|[^<>]+", text):
+        level += (part == "<") - (part == ">")
+        if not level and part != "<":
+            out.append(" " if part == ">" else part)
+    return "".join(out)
+
+
 def strip_nested_tags(s: Column) -> Column:
-    """The text outside all tags; where an outermost tag ends stands a space. Tags may hold others."""
-    parts = F.regexp_extract_all(s, F.lit("([<>]|[^<>]+)"), F.lit(1))
-    depths = F.transform(parts, lambda x: F.when(x == "<", 1).when(x == ">", -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("levels"))
-    step = lambda a, d: F.struct((a["level"] + d).alias("level"), F.array_append(a["levels"], a["level"] + d).alias("levels"))
-    levels = F.aggregate(depths, start, step, lambda a: a["levels"])
-    shown = F.zip_with(parts, levels, lambda x, n: F.when(n != 0, "").when(x == "<", "").when(x == ">", " ").otherwise(x))
-    return F.array_join(shown, "")
+    """The text outside all tags; where an outermost tag ends stands a space. Tags may hold others.
+
+    A running level over the marks of a text has no built-in form that is linear in them (arrays are
+    copied when they grow), so this is an Arrow function.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else outside_tags(x) for x in texts], dtype=object)
+
+    return run(s)
 
 
 def words_outside_tags(s: Column) -> Column:
