@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_folder
 from ..sinks.files import write_files
-from ..sinks.matroska import export_matroska
+from ..sinks.matroska import element, export_matroska, number, simple_block
+from ..sources import containers as c
 from ..sources.matroska import read_matroska, track_groups
 from . import export
-from .formats import _el, _num
 from .registry import query
 
 
@@ -27,23 +28,25 @@ def ranged_frames(t):
     return _number(read_matroska(spark, folder, "frames", share=2000)).select("file", "track", "tc", "keyframe", "size")
 
 
+def movie(size: int) -> bytes:
+    """A file with a seek index, a cluster, and behind it tracks and info that only the index leads to; languages and flags follow a part's size."""
+    second = b"ger" if size % 3 == 0 else b"eng"
+    rows = [(9, 17, b"eng", 0), (1, 1, b"eng", size % 2), (2, 2, b"fre", 0), (3, 2, second, 0), (4, 2, b"fre", size % 5 == 0), (5, 18, b"eng", 1)]
+    tracks = element(c.TRACKS, b"".join(element(c.TRACK, number(c.NUMBER, n) + number(c.TYPE, kind) + element(c.LANGUAGE, lang) + number(c.ENABLED, int(on)) + number(c.DEFAULT_DURATION, 1_500_000 * size)) for n, kind, lang, on in rows))
+    cluster = element(c.CLUSTER, number(c.TIMECODE, size) + simple_block(1, 0, True, b"\xff"))
+    seek = lambda at: element(c.SEEK_HEAD, b"".join(element(c.SEEK, element(c.SEEK_ID, i.to_bytes(4, "big")) + number(c.SEEK_POSITION, x)) for i, x in ((c.TRACKS, at), (c.INFO, at + len(tracks)))))
+    head = seek(len(seek(0)) + len(cluster))
+    return element(c.EBML, element(c.DOC_TYPE, b"matroska")) + element(c.SEGMENT, head + cluster + tracks + element(c.INFO, number(c.SCALE, 1_000_000)))
+
+
 def _written(t) -> str:
-    """A file for each part: seek index, a cluster, and behind it info and tracks that only the index leads to. Languages and flags follow the part's size."""
-    from ..sources import containers as c
+    """A file for each part."""
 
-    def track(number: str, kind: str, lang: str, on: str) -> str:
-        return _el(c.TRACK, f"concat({_num(c.NUMBER, number)}, {_num(c.TYPE, kind)}, {_el(c.LANGUAGE, f'hex({lang})')}, {_num(c.ENABLED, on)}, {_num(c.DEFAULT_DURATION, '1500000 * p_size')})")
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"name": [f"{k:08d}.mkv" for k in pdf["p_partkey"]], "content": [movie(int(s)) for s in pdf["p_size"]]})
 
-    second = "CASE WHEN p_size % 3 = 0 THEN 'ger' ELSE 'eng' END"
-    tracks = _el(c.TRACKS, f"concat({track('9', '17', repr('eng'), '0')}, {track('1', '1', repr('eng'), 'p_size % 2')}, {track('2', '2', repr('fre'), '0')}, {track('3', '2', second, '0')}, {track('4', '2', repr('fre'), 'CAST(p_size % 5 = 0 AS INT)')}, {track('5', '18', repr('eng'), '1')})")
-    info = _el(c.INFO, _num(c.SCALE, "1000000"))
-    cluster = _el(c.CLUSTER, f"concat({_num(c.TIMECODE, 'p_size')}, {_el(c.SIMPLE, repr('81000080FF'))})")
-    seek = lambda ident, at: _el(c.SEEK, f"concat({_el(c.SEEK_ID, repr(f'{ident:X}'))}, {_num(c.SEEK_POSITION, at)})")
-    index = lambda n: _el(c.SEEK_HEAD, f"concat({seek(c.TRACKS, n)}, {seek(c.INFO, f'{n} + length({tracks}) div 2')})")
-    before = f"(length({index('0')}) + length({cluster})) div 2"
-    body = f"concat({index(before)}, {cluster}, {tracks}, {info})"
-    head = _el(c.EBML, _el(c.DOC_TYPE, "hex('matroska')"))
-    rows = t("part").select(F.format_string("%08d.mkv", "p_partkey").alias("name"), F.expr(f"unhex(concat({head}, {_el(c.SEGMENT, body)}))").alias("content"))
+    rows = t("part").select("p_partkey", "p_size").mapInPandas(run, "name string, content binary")
     folder = f"{new_folder(rows.sparkSession)}/mkv"
     write_files(rows, folder)
     return folder
