@@ -226,7 +226,8 @@ def subpicture_controls(t):
 
 
 def _el(ident: int, digits: str) -> str:
-    return f"concat('{ident:X}', {_hex(f'268435456 + length({digits}) div 2', 8)}, {digits})"
+    """An element's digits. Its content is named once, so that an expression grows with the elements in it and not with two to the power of their depth."""
+    return f"transform(array({digits}), d -> concat('{ident:X}', {_hex('268435456 + length(d) div 2', 8)}, d))[0]"
 
 
 def _num(ident: int, value: str) -> str:
