@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from .files import Ranges, listed
 
 #: Bytes of a file for which its index is one share; smaller files are read many to a task.
 SHARE = 256 << 20
+#: Tasks that small shares are put together for, and the most bytes that are.
+TASKS, TOGETHER = 256, 64 << 20
 #: Bytes that a header list has at most.
 HEADER = 4 << 20
 #: Packets that a scan of a growing file reads: at least and at most in the first, then at most.
@@ -120,20 +123,24 @@ class Files(InputPartition):
     def __init__(self, shares: list[tuple[str, int, int]]):
         self.shares = shares
 
+    def files(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """(file, its shares): each file is opened once."""
+        for path, own in groupby(self.shares, lambda x: x[0]):
+            yield path, [x[1:] for x in own]
+
 
 def shares(files: list[tuple[str, int]], size: int, split: bool) -> list[Files]:
-    """Large files in several shares, small ones together: a task gets about ``size`` bytes of files. No file is opened here."""
+    """Files of more than ``size`` bytes in several shares, if ``split``. A task gets shares of ``size`` bytes together, of more if they are small and many: about TASKS tasks then. No file is opened here."""
+    enough = max(size, min(TOGETHER, sum(length for _, length in files) // TASKS))
     out, held, n = [], [], 0
     for path, length in files:
         parts = max(1, -(-length // size)) if split else 1
-        if parts > 1:
-            out += [Files([(path, i, parts)]) for i in range(parts)]
-            continue
-        held.append((path, 0, 1))
-        n += length
-        if n >= size or len(held) >= 1000:
-            out.append(Files(held))
-            held, n = [], 0
+        for i in range(parts):
+            held.append((path, i, parts))
+            n += length * (i + 1) // parts - length * i // parts
+            if n >= enough or (parts == 1 and len(held) >= 1000) or (parts > 1 and enough == size):
+                out.append(Files(held))
+                held, n = [], 0
     return out + ([Files(held)] if held else [])
 
 
@@ -147,7 +154,7 @@ class AviReader(DataSourceReader):
         return shares(listed(self.path, ".avi"), self.size, self.table == "index")
 
     def read(self, partition: Files) -> Iterator:
-        for path, part, parts in partition.shares:
+        for path, own in partition.files():
             with Ranges(path) as f:
                 found = layout(f)
                 if found is None:
@@ -156,7 +163,8 @@ class AviReader(DataSourceReader):
                     for s in found.streams:
                         yield (path, *s.values(), len(found.streams), found.index is not None)
                 elif self.table == "index":
-                    yield from self._index(f, path, found, part, parts)
+                    for part, parts in own:
+                        yield from self._index(f, path, found, part, parts)
                 elif found.packets:
                     for n, (stream, kind, pos, size, _) in enumerate(chunks(f, *found.packets)):
                         yield path, n, stream, kind, pos, size

@@ -163,13 +163,14 @@ class MatroskaReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMAS[self.table].split(", ")][1:]
-        for path, part, parts in partition.shares:
+        for path, own in partition.files():
             with Ranges(path) as f:
                 data = Lazy(f)
-                rows = frames(data, part, parts) if self.table == "frames" else heads(data)[0][self.table]
-                for n, r in enumerate(rows):
-                    r = r | {"entry": n}
-                    yield path, *(decimal.Decimal(r[k]) if k in ("uid", "parent") and r[k] is not None else r[k] for k in names)
+                for part, parts in own:
+                    rows = frames(data, part, parts) if self.table == "frames" else heads(data)[0][self.table]
+                    for n, r in enumerate(rows):
+                        r = r | {"entry": n}
+                        yield path, *(decimal.Decimal(r[k]) if k in ("uid", "parent") and r[k] is not None else r[k] for k in names)
 
 
 class MatroskaSource(DataSource):

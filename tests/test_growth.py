@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cuegrain.plans import formats
+from cuegrain.sources import avi
 from cuegrain.sources import containers as c
 
 
@@ -26,3 +27,14 @@ def test_rows_of_small_files_come_together(spark):
     assert sorted((int(r.path), r.number) for r in rows.collect()) == [(i, i) for i in range(30)]
     frames = list(c._tables(iter([files.toPandas()]), "tracks"))
     assert len(frames) == 1 and list(frames[0]["number"]) == list(range(30))
+
+
+def test_many_small_shares_are_dealt_to_few_tasks():
+    files = [("a", 40_000_000), ("b", 7), ("c", 3_000_000), *((f"s{i}", 9_000) for i in range(3000))]
+    tasks = avi.shares(files, 2000, True)
+    assert 100 < len(tasks) < 400
+    dealt = [x for t in tasks for x in t.shares]
+    assert dealt == [(p, i, -(-n // 2000)) for p, n in files for i in range(-(-n // 2000))]  # each share once
+    assert [len(t.shares) for t in avi.shares([("a", 10_000)], 2000, True)] == [1] * 5
+    assert len(avi.shares([("a", 64 << 40)], 64 << 20, True)) == 1 << 20  # large shares stay what they are
+    assert [p for t in tasks for p, _ in t.files()].count("b") == 1
