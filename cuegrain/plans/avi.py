@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import avi_import
@@ -58,14 +58,14 @@ def files(t, share: float = 1.0) -> DataFrame:
     """name, content of each supplier's file; with ``share`` only so much of the files whose number divides by 3 has arrived."""
     tag = F.concat(F.lit("0"), F.col("stream").cast("string"), F.when(F.col("stream") == 0, "dc").otherwise("wb"))
     packet = F.concat(F.encode(tag, "UTF-8"), le32(F.col("size")), F.col("data"), F.when(F.col("size") % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
-    rows = packets(t).withColumns({"tag": tag, "packet": packet})
-    sorted_ = F.array_sort(F.collect_list(F.struct("n", "size", F.hex("packet").alias("packet"), F.hex(F.encode("tag", "UTF-8")).alias("tag"), "key")))
-    whole = rows.groupBy("file").agg(sorted_.alias("all"))
-    # places grow with the packets before
-    places = F.aggregate("all", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("places")), lambda a, x: F.struct((a["at"] + F.length(x["packet"]) / 2).cast("long").alias("at"), F.concat(a["places"], F.array(a["at"])).alias("places")))
+    before = Window.partitionBy("file").orderBy("n", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = packets(t).withColumn("packet", packet).withColumn("at", F.coalesce(F.sum(F.length("packet")).over(before), F.lit(0)))
     base = F.when(F.col("file") % 2 == 0, F.lit(4)).otherwise(F.lit(BEGIN))
-    entry = lambda x, at: F.concat(x["tag"], F.when(x["key"], "10000000").otherwise("00000000"), F.hex(le32(at + base)), F.hex(le32(x["size"])))
-    df = whole.withColumn("places", places["places"]).withColumns({"movi": F.unhex(F.concat_ws("", F.transform("all", lambda x: x["packet"]))), "idx": F.unhex(F.concat_ws("", F.zip_with("all", "places", entry)))})
+    entry = F.concat(F.encode(tag, "UTF-8"), F.when(F.col("key"), F.lit(b"\x10\0\0\0")).otherwise(F.lit(bytes(4))), le32(F.col("at") + base), le32(F.col("size")))
+    # places grow, so they alone order a file's packets
+    whole = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("packet").alias("packet"), F.hex(entry).alias("entry")))).alias("all"))
+    joined = lambda name: F.unhex(F.concat_ws("", F.transform("all", lambda x: x[name])))
+    df = whole.withColumns({"movi": joined("packet"), "idx": joined("entry")})
     movi = F.concat(F.lit(b"LIST"), le32(F.length("movi") + 4), F.lit(b"movi"), F.col("movi"))
     idx = F.when(F.col("file") % 5 == 0, F.lit(b"")).otherwise(F.concat(F.lit(b"idx1"), le32(F.length("idx")), F.col("idx")))
     body = F.concat(F.lit(b"AVI "), F.when(F.col("file") % 7 == 0, F.lit(REFUSED)).otherwise(F.lit(PLAIN)), movi, idx)

@@ -188,7 +188,7 @@ class AviReader(DataSourceReader):
 
 
 @dataclass
-class Turn(InputPartition):
+class Turn:
     """Packets of one file from place ``at``, number ``n``, up to place ``end``."""
 
     path: str
@@ -197,6 +197,13 @@ class Turn(InputPartition):
     end: int
 
 
+@dataclass
+class Turns(InputPartition):
+    """Turns of several files that one task reads."""
+
+    turns: list[Turn]
+
+
 class AviStreamReader(DataSourceStreamReader):
     """Packets of files that grow. Each turn (``latestOffset``) admits, for each file, the packets that have arrived whole.
 
@@ -248,7 +255,8 @@ class AviStreamReader(DataSourceStreamReader):
                 new |= {"at": got[-1], "n": new["n"] + 1, "largest": max(new["largest"], got[3])}
             return new | {"size": f.size, "waits": waits, "done": waits and f.size >= found.declared}
 
-    def partitions(self, start: dict, end: dict) -> list[Turn]:
+    def partitions(self, start: dict, end: dict) -> list[Turns]:
+        """The turns of the files that have new packets, dealt to TASKS tasks at most."""
         if self.now is None:  # a restart: the last batch of the checkpoint is planned again
             self.now = end
         before = {p: x for p, x in start.items()}
@@ -257,13 +265,14 @@ class AviStreamReader(DataSourceStreamReader):
             n = before[path]["n"] if path in before else 0
             if x["n"] > n:
                 out.append(Turn(path, before[path]["at"] if path in before else 0, n, x["at"]))
-        return out
-
-    def read(self, partition: Turn) -> Iterator[tuple]:
-        with Ranges(partition.path) as f:
-            at = partition.at or layout(f).packets[0]
-            for n, (stream, kind, pos, size, _) in enumerate(chunks(f, at, partition.end), partition.n):
-                yield partition.path, n, stream, kind, pos, size
+        return [Turns(out[i::TASKS]) for i in range(min(TASKS, len(out)))]
+
+    def read(self, partition: Turns) -> Iterator[tuple]:
+        for turn in partition.turns:
+            with Ranges(turn.path) as f:
+                at = turn.at or layout(f).packets[0]
+                for n, (stream, kind, pos, size, _) in enumerate(chunks(f, at, turn.end), turn.n):
+                    yield turn.path, n, stream, kind, pos, size
 
     def commit(self, end: dict) -> None:
         if self.now is None:

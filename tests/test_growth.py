@@ -38,3 +38,12 @@ def test_many_small_shares_are_dealt_to_few_tasks():
     assert [len(t.shares) for t in avi.shares([("a", 10_000)], 2000, True)] == [1] * 5
     assert len(avi.shares([("a", 64 << 40)], 64 << 20, True)) == 1 << 20  # large shares stay what they are
     assert [p for t in tasks for p, _ in t.files()].count("b") == 1
+
+
+def test_turns_of_many_files_are_dealt_to_few_tasks():
+    reader = avi.AviStreamReader({"path": "unused"}, None)
+    end = {f"f{i}": {"at": 900, "n": 4, "largest": 9, "size": 900, "waits": True, "done": True} for i in range(1000)}
+    tasks = reader.partitions({"f7": {"at": 300, "n": 1}}, end)
+    assert len(tasks) == avi.TASKS
+    assert sorted((x.path, x.at, x.n, x.end) for t in tasks for x in t.turns) == sorted((f, 300 if f == "f7" else 0, 1 if f == "f7" else 0, 900) for f in end)
+    assert reader.partitions(end, end) == []
