@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,22 +67,37 @@ LETTERS, PAIRS = 64, 512
 LEAST, MOST = 0.01, 0.99
 
 
+#: Characters that are counted at once in a task; stands for no character, beyond all code points.
+COUNTED, NOTHING = 1 << 20, (1 << 21) - 1
+
+
+def counted_pairs(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pairs as first << 21 | second, their counts) of COUNTED characters at a time, however many texts there are and however long one is."""
+    held, n = [], 0
+    for text in texts:
+        if not text:
+            continue
+        for at in range(0, len(text), COUNTED):
+            codes = np.frombuffer(text[at : at + COUNTED + 1].encode("utf-32-le"), np.uint32).astype(np.int64)
+            behind = np.append(codes[1:], NOTHING)
+            held.append((codes << 21 | behind)[:COUNTED])  # of what is cut, the character behind the cut is only a second one
+            n += len(held[-1])
+            if n >= COUNTED:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held, n = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 def pair_counts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
     """key, a, b, n: pairs of neighbouring characters (code points), counted in the task first; b is null for the last character of a text, so that sums over b count characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, own in pdf.groupby("k", dropna=False, sort=False)["t"]:
-                codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in own if t]
-                if not codes:
-                    continue
-                a = np.concatenate(codes).astype(np.int64)
-                b = np.empty_like(a)
-                b[:-1] = a[1:]
-                b[np.cumsum([len(c) for c in codes]) - 1] = (1 << 21) - 1  # no character
-                pairs, n = np.unique(a << 21 | b, return_counts=True)
-                a, b = pairs >> 21, pairs & ((1 << 21) - 1)
-                yield pd.DataFrame({"k": name if isinstance(name, str) else None, "a": a, "b": pd.array(np.where(b == (1 << 21) - 1, -1, b)), "n": n})
+                for pairs, n in counted_pairs(own):
+                    a, b = pairs >> 21, pairs & NOTHING
+                    yield pd.DataFrame({"k": name if isinstance(name, str) else None, "a": a, "b": np.where(b == NOTHING, -1, b), "n": n})
 
     counted = texts.select(F.col(key).cast("string").alias("k"), F.col(column).alias("t")).mapInPandas(run, "k string, a int, b int, n long")
     return counted.groupBy("k", "a", F.when(F.col("b") >= 0, F.col("b")).alias("b")).agg(F.sum("n").alias("n")).withColumnRenamed("k", key)

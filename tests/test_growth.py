@@ -1,7 +1,10 @@
 """Steps whose cost is to grow with their input and no faster."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from cuegrain.operators import encodings
 from cuegrain.plans import formats
 from cuegrain.sources import avi
 from cuegrain.sources import containers as c
@@ -47,3 +50,17 @@ def test_turns_of_many_files_are_dealt_to_few_tasks():
     assert len(tasks) == avi.TASKS
     assert sorted((x.path, x.at, x.n, x.end) for t in tasks for x in t.turns) == sorted((f, 300 if f == "f7" else 0, 1 if f == "f7" else 0, 900) for f in end)
     assert reader.partitions(end, end) == []
+
+
+def test_pairs_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(encodings, "COUNTED", 10)
+    texts = ["", None, "a", "abcabcabcab", "x" * 35, "\U0001f600e" * 7, "0123456789"]
+    want, got, sizes = Counter(), Counter(), []
+    for t in texts:
+        want.update(zip(t or "", [*(t or "")[1:], None], strict=False))
+    for pairs, n in encodings.counted_pairs(texts):
+        sizes.append(int(n.sum()))
+        for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
+            b = p & encodings.NOTHING
+            got[chr(p >> 21), None if b == encodings.NOTHING else chr(b)] += k
+    assert got == want and max(sizes) < 20
