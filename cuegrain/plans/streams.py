@@ -129,9 +129,10 @@ def packed_stream(t):
     folder = f"{new_folder(spark)}/packets"
     quarter = F.ntile(4).over(_by_n())
     parts = rows.withColumn("part", quarter)
-    for part in range(1, 5):  # files are read in the order in which they were written
-        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for part in range(1, 5):  # files are read in the order in which they were written; a quarter's tasks write one each, so a file's packets of a quarter stand together
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+    written = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, written // 4)).parquet(folder)
     with rocks(spark):
         return drained(packed.packed_stream(stream))
 

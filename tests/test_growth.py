@@ -1,7 +1,9 @@
 """Steps whose cost is to grow with their input and no faster."""
 
 from collections import Counter
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuegrain.operators import encodings
@@ -64,3 +66,22 @@ def test_pairs_are_counted_in_pieces(monkeypatch):
             b = p & encodings.NOTHING
             got[chr(p >> 21), None if b == encodings.NOTHING else chr(b)] += k
     assert got == want and max(sizes) < 20
+
+
+def test_packets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cuegrain.plans import streams
+    from cuegrain.plans.catalog import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("the driver's tables are not here")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(streams, "new_folder", lambda _, n=iter(range(9)): f"file://{tmp_path}/{next(n)}")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = sorted(map(tuple, QUERIES["packed_stream"](spark, data).collect()))
+        assert len(list((tmp_path / "0" / "packets").glob("part-*"))) > 8
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted(map(tuple, QUERIES["packed_table"](spark, data).collect()))
