@@ -85,3 +85,13 @@ def test_packets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert got == sorted(map(tuple, QUERIES["packed_table"](spark, data).collect()))
+
+
+def test_bands_come_from_all_clean_documents(spark, monkeypatch):
+    from cuegrain.llm import quality_rules
+
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", 10, raising=False)
+    words = lambda i: " ".join(f"{(i * 7919 + k * 104729) % 99991:x}" for k in range(40))
+    df = spark.createDataFrame([(i, words(i)) for i in range(300)], "doc_id long, text string")
+    whole, _ = quality_rules.fit_bands(df, df.selectExpr("doc_id", "1 AS quality"))
+    assert whole != quality_rules.BANDS
