@@ -18,8 +18,8 @@ def address(base: str, path: str) -> str:
     return f"file://{path}" if base.startswith("file:") else path
 
 
-def listed(base: str, suffix: str) -> list[tuple[str, int]]:
-    """(address, size) of the files below a folder whose names end with ``suffix``, or of the one file; hidden ones are left out."""
+def listed(base: str, suffix: str | tuple[str, ...]) -> list[tuple[str, int]]:
+    """(address, size) of the files below a folder whose names end with ``suffix`` (or one of them), or of the one file; hidden ones are left out."""
     system, root = opened(base)
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
@@ -29,6 +29,13 @@ def listed(base: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((address(base, x.path), x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffix) and not hidden(x.path))
 
 
+def folders(base: str) -> list[str]:
+    """Addresses of the folders right below a folder; hidden ones are left out."""
+    system, root = opened(base)
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(address(base, x.path) for x in found if x.type == fs.FileType.Directory and x.base_name[0] not in "._")
+
+
 class Ranges:
     """One file: ``at`` reads a range, small ones through one block that is kept. ``spent`` counts the bytes that were read."""
 

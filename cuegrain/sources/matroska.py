@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import codecs
 from . import containers as c
-from .avi import Files, shares
-from .files import Ranges, listed
-
-#: Bytes of a share.
-SHARE = 64 << 20
-SCHEMAS = c.SCHEMAS | {"tracks": c.SCHEMAS["tracks"] + ", entry bigint"}
+from .avi import TASKS, Files, shares
+from .files import Ranges, folders, listed
+
+#: Bytes of a share; files of so many bytes at most are read at once.
+SHARE, SMALL = 64 << 20, 1 << 16
+SUFFIXES = (".mkv", ".webm", ".mka", ".mks")
+#: The tables of the walk, and tracks with the scale of their segment (null: none).
+SCHEMAS = c.SCHEMAS | {"tracks": c.SCHEMAS["tracks"] + ", entry bigint", "scaled": c.SCHEMAS["tracks"] + ", entry bigint, scale bigint"}
 VOID, CRC = 0xEC, 0xBF
 KNOWN = c.LEVEL_ONE | {c.SEEK_HEAD, c.CUES, c.TAGS, VOID, CRC}
 
@@ -153,21 +155,48 @@ def frames(data: Lazy, part: int, parts: int) -> Iterator[dict]:
         at = b
 
 
+class Folders(InputPartition):
+    """Folders whose files one task lists and reads."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def files(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        for folder in self.paths:
+            for path, _ in listed(folder, SUFFIXES):
+                yield path, [(0, 1)]
+
+
+def _rows(data: Lazy | bytes, table: str) -> list[dict]:
+    tables = heads(data)[0]
+    if table != "scaled":
+        return tables[table]
+    scale = tables["segment"][0]["scale"] if tables["segment"] else None
+    return [r | {"scale": scale} for r in tables["tracks"]]
+
+
 class MatroskaReader(DataSourceReader):
+    """With the option folders the files of each folder below are listed by a task, for so many files that planning would take long; all of them are in such folders then."""
+
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options.get("table", "frames")
         self.size = int(options.get("share", SHARE))
+        self.folders = options.get("folders") == "true"
 
-    def partitions(self) -> list[Files]:
-        return shares([x for s in (".mkv", ".webm", ".mka", ".mks") for x in listed(self.path, s)], self.size, self.table == "frames")
+    def partitions(self) -> list[Files] | list[Folders]:
+        if self.folders:
+            found = folders(self.path)
+            n = min(len(found), 4 * TASKS)
+            return [Folders(found[i::n]) for i in range(n)] or [Folders([])]
+        return shares(listed(self.path, SUFFIXES), self.size, self.table == "frames")
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files | Folders) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMAS[self.table].split(", ")][1:]
         for path, own in partition.files():
             with Ranges(path) as f:
-                data = Lazy(f)
+                data = f.at(0, f.size) if f.size <= SMALL else Lazy(f)
                 for part, parts in own:
-                    rows = frames(data, part, parts) if self.table == "frames" else heads(data)[0][self.table]
+                    rows = frames(data, part, parts) if self.table == "frames" else _rows(data, self.table)
                     for n, r in enumerate(rows):
                         r = r | {"entry": n}
                         yield path, *(decimal.Decimal(r[k]) if k in ("uid", "parent") and r[k] is not None else r[k] for k in names)
@@ -187,8 +216,8 @@ class MatroskaSource(DataSource):
         return MatroskaReader(dict(self.options))
 
 
-def read_matroska(spark: SparkSession, path: str, table: str, **options: int) -> DataFrame:
-    """One of the tables of SCHEMAS for all files below a folder, read by ranges."""
+def read_matroska(spark: SparkSession, path: str, table: str, **options: int | bool) -> DataFrame:
+    """One of the tables of SCHEMAS for all files below a folder, read by ranges. Options: share, folders."""
     spark.dataSource.register(MatroskaSource)
     return spark.read.format("matroska").options(table=table, **options).load(path)
 
@@ -197,15 +226,16 @@ def read_matroska(spark: SparkSession, path: str, table: str, **options: int) ->
 KINDS = {1: "video", 2: "audio", 17: "subtitle"}
 
 
-def track_groups(tracks: DataFrame, segments: DataFrame) -> DataFrame:
+def track_groups(tracks: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """tracks with place (the order in which they are added: pictures and sound, then subtitles), kind, language (a number), alternate_of, shown, frame_duration.
 
     Of each kind the first track's language counts: a track in another one is an alternate of the last
     one before it in that language. If no track of a kind is enabled, the last one in that
-    language is. frame_duration is the default one in units of the segment (segments: path, scale).
+    language is. frame_duration is the default one in units of the segment (segments: path, scale; without it tracks have their scale).
     Tracks of other kinds are left out.
     """
     kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    tracks = tracks.repartition("path")  # for all windows
     rows = codecs.language_number(tracks.where(F.col("type").isin(*KINDS)).withColumn("kind", F.element_at(kind, F.col("type").cast("int"))))
     own = Window.partitionBy("path", "type").orderBy("entry")
     whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -216,5 +246,6 @@ def track_groups(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     last = F.last(F.when(F.col("_lead"), F.col("entry")), ignorenulls=True).over(whole)
     place = F.row_number().over(Window.partitionBy("path").orderBy((F.col("type") == 17).cast("int"), "entry"))
     out = rows.withColumns({"alternate_of": F.when(~F.col("_lead"), before), "shown": F.col("enabled") | (none & (F.col("entry") == last)), "place": place})
-    scaled = out.join(segments.select("path", "scale"), "path", "left").withColumn("scale", F.coalesce("scale", F.lit(1_000_000)))
+    scaled = out if segments is None else out.join(segments.select("path", "scale"), "path", "left")
+    scaled = scaled.withColumn("scale", F.coalesce("scale", F.lit(1_000_000)))
     return scaled.withColumn("frame_duration", F.floor(F.col("default_duration") / F.col("scale") + 0.5)).drop("_lead", "scale")

@@ -95,3 +95,24 @@ def test_bands_come_from_all_clean_documents(spark, monkeypatch):
     df = spark.createDataFrame([(i, words(i)) for i in range(300)], "doc_id long, text string")
     whole, _ = quality_rules.fit_bands(df, df.selectExpr("doc_id", "1 AS quality"))
     assert whole != quality_rules.BANDS
+
+
+def test_commit_and_plan_of_many_files_take_a_step_a_folder(spark, tmp_path, monkeypatch):
+    from cuegrain.plans import ranges
+    from cuegrain.sinks import files as sink
+    from cuegrain.sources import matroska
+
+    monkeypatch.setattr(sink, "FOLDER", 10)
+    writer = sink.FilesWriter(str(tmp_path / "mkv"), apart=True)
+    done = [writer.write(iter([{"name": f"{k:08d}.mkv", "content": ranges.movie(k % 50 + 1)} for k in range(lo, lo + 25)])) for lo in (0, 25)]
+    assert [len(m.files) for m in done] == [3, 3]  # what the commit moves
+    writer.commit([*done, None])
+    assert len(list(tmp_path.glob("mkv/*/*.mkv"))) == 50 and len(list(tmp_path.iterdir())) == 1
+    reader = matroska.MatroskaReader({"path": str(tmp_path / "mkv"), "table": "scaled", "folders": "true"})
+    monkeypatch.setattr(matroska, "listed", None)  # planning lists no files
+    assert len(reader.partitions()) == 6
+    monkeypatch.undo()
+    tracks, segments = (matroska.read_matroska(spark, str(tmp_path / "mkv"), t) for t in ("tracks", "segment"))
+    got = matroska.track_groups(matroska.read_matroska(spark, str(tmp_path / "mkv"), "scaled", folders=True))
+    want = matroska.track_groups(tracks, segments)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 250
