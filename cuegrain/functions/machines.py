@@ -70,30 +70,57 @@ def table(name: str) -> np.ndarray:
 MACHINES = (*CODINGS, *ESCAPES)
 
 
-def block(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(state behind the bytes, place of the byte that led to FOUND or ERROR or -1) for each state before them.
+@cache
+def classes(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector of each class of bytes, class of each byte, whether a class does the same twice as once)."""
+    columns, of = np.unique(table(name).T, axis=0, return_inverse=True)
+    return columns, of.ravel(), (np.take_along_axis(columns, columns.astype(np.intp), 1) == columns).all(1)
+
+
+def _padded(vectors: np.ndarray, have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of each block, filled up with identities to as many as wanted, first place of each block)."""
+    first = np.cumsum(want) - want
+    out = np.tile(np.arange(vectors.shape[1], dtype=np.uint8), (int(want.sum()), 1))
+    out[np.arange(len(vectors)) + np.repeat(first - np.cumsum(have) + have, have)] = vectors
+    return out, first
+
 
-    Neighbours are composed pair by pair; the place is found on the way back down.
+def blocks(name: str, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(state behind the bytes, place of the byte that led to FOUND or ERROR or -1) of each block, for each state before it.
+
+    Of neighbours that do what the first one does the first one stands for all. The others are
+    composed pair by pair, those of all blocks at once; the place is found on the way back down.
     """
-    rules = table(name)
-    n = len(rules)
-    same = np.arange(n, dtype=np.uint8)
-    levels = [np.ascontiguousarray(rules.T)[np.frombuffer(data, np.uint8)]]
-    if not data:
-        return same, np.full(n, -1)
-    while len(levels[-1]) > 1:
-        at = levels[-1]
-        if len(at) % 2:
-            at = np.concatenate([at, same[None]])
-        levels.append(np.take_along_axis(at[1::2], at[::2].astype(np.intp), 1))
-    end = levels[-1][0]
-    stop = np.full(n, -1)
-    for first in np.flatnonzero((end >= n - 2) & (np.arange(n) < n - 2)):
-        state, node = int(first), 0
-        for at in reversed(levels[:-1]):
-            node *= 2
-            after = int(at[node][state])
-            if after < n - 2:
-                state, node = after, node + 1
-        stop[first] = node
+    columns, of, same = classes(name)
+    n = columns.shape[1]
+    lens = np.fromiter(map(len, data), np.int64, len(data))
+    begin = np.cumsum(lens) - lens
+    kind = of[np.frombuffer(b"".join(data), np.uint8)]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = (kind[1:] != kind[:-1]) | ~same[kind[1:]]
+    keep[begin[lens > 0]] = True
+    at = np.flatnonzero(keep)
+    have = np.diff(np.searchsorted(at, np.r_[begin, len(kind)]))
+    own = np.cumsum(have) - have
+    end, _ = _padded(columns[kind[at]], have, np.maximum(have, 1))
+    have, levels = np.maximum(have, 1), []
+    while have.max(initial=0) > 1:
+        levels.append(_padded(end, have, have + have % 2))
+        end = np.take_along_axis(levels[-1][0][1::2], levels[-1][0][::2].astype(np.intp), 1)
+        have = (have + 1) // 2
+    stop = np.full(end.shape, -1)
+    block, first = np.nonzero((end >= n - 2) & (np.arange(n) < n - 2))
+    state, node = first, np.zeros(len(block), np.int64)
+    for vectors, places in reversed(levels):
+        node = 2 * node
+        after = vectors[places[block] + node, state]
+        on = after < n - 2
+        state, node = np.where(on, after, state), node + on
+    stop[block, first] = at[own[block] + node] - begin[block]
     return end, stop
+
+
+def block(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``blocks`` of one."""
+    end, stop = blocks(name, [data])
+    return end[0], stop[0]

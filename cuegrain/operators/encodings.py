@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import machines
 
-#: Bytes of a block.
-BLOCK = 1 << 16
+#: Bytes of a block, and of the blocks that a task composes at once.
+BLOCK, TOGETHER = 1 << 16, 1 << 19
 SUMMARY = "file {}, block long, machine string, states array<int>, stops array<long>"
 
 
@@ -27,16 +28,18 @@ def blocks(texts: DataFrame, size: int = BLOCK) -> DataFrame:
 def summaries(parts: DataFrame, names: tuple[str, ...] = machines.MACHINES, size: int = BLOCK) -> DataFrame:
     """What each block does to each machine: the state behind it and where it ends the machine, for each state before it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for file, number, data in zip(pdf["file"], pdf["block"], pdf["data"], strict=True):
-                for name in names:
-                    states, stops = machines.block(name, bytes(data))
-                    out.append((file, number, name, states.astype(np.int32), np.where(stops >= 0, stops + number * size, -1)))
-            yield pd.DataFrame(out, columns=["file", "block", "machine", "states", "stops"])
-
-    return parts.mapInPandas(run, SUMMARY.format(parts.schema["file"].dataType.simpleString()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, TOGETHER // size)
+        for b in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
+            data, number = b.column("data").to_pylist(), b.column("block").to_numpy()
+            for name in names:
+                states, stops = machines.blocks(name, data)
+                stops = np.where(stops >= 0, stops + number[:, None] * size, -1)
+                cuts = pa.array(np.arange(len(data) + 1, dtype=np.int32) * states.shape[1])
+                lists = (pa.ListArray.from_arrays(cuts, pa.array(x.ravel().astype(t))) for x, t in ((states, np.int32), (stops, np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array([name] * len(data)), *lists], ["file", "block", "machine", "states", "stops"])
+
+    return parts.mapInArrow(run, SUMMARY.format(parts.schema["file"].dataType.simpleString()))
 
 
 def composed(found: DataFrame) -> DataFrame:

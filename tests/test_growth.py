@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from cuegrain.functions import machines
 from cuegrain.operators import encodings
 from cuegrain.plans import formats
 from cuegrain.sources import avi
@@ -116,3 +117,24 @@ def test_commit_and_plan_of_many_files_take_a_step_a_folder(spark, tmp_path, mon
     got = matroska.track_groups(matroska.read_matroska(spark, str(tmp_path / "mkv"), "scaled", folders=True))
     want = matroska.track_groups(tracks, segments)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 250
+
+
+@pytest.mark.parametrize("name", machines.MACHINES)
+def test_machines_compose_few_vectors_for_blocks_together(name, monkeypatch):
+    plain = b"a quick brown fox, and then some plain words " * 200
+    data = [b"", plain, b"~", plain + b"\x1b$B" + plain, b"\x1b", b"", "é漢".encode() + plain, b"\xe3\x81" + plain, b"x", plain + b"~{~{", b""]
+    machines.classes(name)
+    rows, take = [], np.take_along_axis
+    monkeypatch.setattr(machines.np, "take_along_axis", lambda a, *rest: rows.append(len(a)) or take(a, *rest))
+    states, stops = machines.blocks(name, data)
+    assert sum(rows) < sum(map(len, data)) // (2 if name.startswith("iso") else 1) and len(rows) < 20  # not twenty steps a block
+    rules = machines.table(name)
+    for k, text in enumerate(data):
+        for first in range(len(rules) - 2):
+            state, stop = first, -1
+            for i, byte in enumerate(text):
+                state = int(rules[state, byte])
+                if state >= len(rules) - 2:
+                    stop = i
+                    break
+            assert (int(states[k, first]), int(stops[k, first])) == (state, stop), (k, first)
