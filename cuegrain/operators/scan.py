@@ -36,8 +36,9 @@ def segments(df: DataFrame, keys: list[str], order: str, size: int = SEGMENT) ->
     """
     span = df.groupBy(*keys).agg(F.percentile_approx(order, [0.01, 0.99]).alias("_p"), F.count(F.lit(1)).alias("_n"))
     hot = span.where(F.col("_n") > size).select(*(F.col(k).alias(f"_{k}") for k in keys), F.element_at("_p", 1).alias("_lo"), F.element_at("_p", 2).alias("_hi"))
+    # At most rows / size timelines are hot; a shuffle by their keys would bring each to one task.
     same = lambda other: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    placed = df.join(hot, same(hot), "left").drop(*(f"_{k}" for k in keys))
+    placed = df.join(F.broadcast(hot), same(hot), "left").drop(*(f"_{k}" for k in keys))
     share = (F.col(order) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))
     cell = F.when(F.col("_lo").isNull(), 0).when(F.col(order).isNull(), 1).otherwise(F.coalesce(F.greatest(F.lit(1), F.least(F.lit(CELLS), F.floor(share * (CELLS - 2)) + 2)), F.lit(0))).cast("int")
     placed = placed.withColumn("_cell", cell).drop("_lo", "_hi")
@@ -99,10 +100,11 @@ def decode_times(frames: DataFrame, size: int = SEGMENT) -> DataFrame:
     by_pos = scan(frames, ["file"], ["pos", "pts"], [Running("k", "count")], size)
     by_pts = scan(frames, ["file"], ["pts", "pos"], [Running("k", "count"), Running("later", "next", F.col("pts"))], size)
     n = frames.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    tails = n.select("file", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("n") - 3), F.col("n"))).alias("k"), F.lit(True).alias("tail"))
     times = by_pts.select("file", "k", F.col("pts").alias("dts"))
     own = by_pts.select("file", "pos", "pts", (F.col("later") - F.col("pts")).alias("duration"))
-    out = by_pos.join(times, ["file", "k"]).join(own, ["file", "pos", "pts"]).join(n, "file")
-    return out.select("file", "pos", "pts", "dts", "duration", (F.col("k") > F.col("n") - 4).alias("is_tail"))
+    out = by_pos.join(times, ["file", "k"]).join(tails, ["file", "k"], "left").join(own, ["file", "pos", "pts"])  # never by file alone
+    return out.select("file", "pos", "pts", "dts", "duration", F.col("tail").isNotNull().alias("is_tail"))
 
 
 def commit_gate(frames: DataFrame, size: int = SEGMENT) -> DataFrame:

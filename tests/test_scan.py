@@ -1,6 +1,7 @@
 """Running values of long timelines equal those of windows, and no task holds a whole one."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -59,3 +60,21 @@ def test_nothing_and_wrong_kinds(spark):
     assert scan.scan(df, ["file"], ["at"], [scan.Running("n", "count")]).collect() == []
     with pytest.raises(ValueError, match="mean"):
         scan.scan(df, ["file"], ["at"], [scan.Running("n", "mean")])
+
+
+def test_rows_are_never_shuffled_by_file_alone(spark):
+    """One long file would come to one task, whatever joins Spark plans."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = spark.range(0, 3000, 1, 2).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), (F.col("id") * 40 + F.col("id") * 7 % 13 * 30).alias("pts"), F.col("id").alias("pos"))
+    spark.conf.set(key, "-1")
+    try:
+        cut = plan(scan.segments(df, ["file"], "pts", 100))
+        assert not re.findall(r"hashpartitioning\(coalesce\(file#\d+, \S*\), isnull\(file#\d+\), \d+\)", cut), cut
+        times = plan(scan.decode_times(df, 100))
+        assert len(re.findall(r"hashpartitioning\(file#\d+, \d+\)", times)) == 4, times  # the counts of files, and sums of segments three times (a row each)
+    finally:
+        spark.conf.set(key, before)
+    few = spark.createDataFrame([(f, i, i * 10) for f, n in (("a", 1), ("b", 3), ("c", 4), ("d", 5)) for i in range(n)], "file string, pos long, pts long")
+    assert sorted((r.file, r.pos) for r in scan.decode_times(few, 2).where("is_tail").collect()) == [("a", 0), *(("b", i) for i in range(3)), *(("c", i) for i in range(4)), *(("d", i) for i in range(1, 5))]
