@@ -589,7 +589,7 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
 
 
 def score_words(words: DataFrame, table, model, sure: bool = False) -> DataFrame:
-    """g, h (hash of the word), c, logp: the model's log10 probability of each dealt word in its context."""
+    """g, h (hash of the word), key (of the pair), c, logp: the model's log10 probability of each dealt word in its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g, b in _blocks(batches, 2 * BLOCK):
@@ -602,9 +602,11 @@ def score_words(words: DataFrame, table, model, sure: bool = False) -> DataFrame
                 one = model.value.p(*_inputs(table.value, [s[some] for s in b.slots(first, d, node)], zeros[some], ones[some], bit), node[some])
                 p[0, some], p[1, some] = np.log10(1 - one), np.log10(one)
                 logp[rows] += p[y, at]
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(name_hash(b.names).view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "c", "logp"])
+            h = name_hash(b.names)
+            key = pair_hash(g.view(np.uint64), h)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h.view(np.int64)), pa.array(key.view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "key", "c", "logp"])
 
-    return words.mapInArrow(run, "g bigint, h bigint, c bigint, logp double")
+    return words.mapInArrow(run, "g bigint, h bigint, key bigint, c bigint, logp double")
 
 
 @dataclass
@@ -640,7 +642,7 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     after = pairs.groupBy("g").agg(F.sum(F.when(F.col("c") > 2, F.col("c")).otherwise(0)).alias("ones"), F.count(F.lit(1)).alias("n"))
     piece = (F.substring("w", -1, 1) == F.lit(bytes([CUT]))) | (F.substring("w", 1, 1) == F.lit(bytes([LEAD])))
     before = words.select("g", "c", piece.alias("piece")).join(after, "g", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("ones", "n")})
-    kept = before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
+    known_rows = before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
     known = before.where("zeros + ones > 0").select(F.pmod("g", F.lit(streams(n_train))).alias("stream"), "g", "zeros", "ones")
     held = spark.sparkContext.broadcast(learn(train, streams(n_train), shared, known))
 
@@ -653,25 +655,26 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     before = before.select("g", "piece", "n", flag("zeros", "ones").alias("flag"))
     alone = score_words(in_order(dealt(one, scratch, group_rows), tasks(n_words), "key"), shared, held).select(F.col("h").alias("g"), "c", "logp")
     alone = scratch.save(alone.join(before, "g"), "words")
+    scratch.drop(known_rows)
 
     both = dealt(pairs, scratch, group_rows)
     held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, True))
-    scored = both = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs, True), "scored")
+    scored = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs, True), "scored")
+    long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
+    long = scratch.save(long, "long")
+    scratch.drop(counted)
     # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
-    both = salted_join(both, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
-    uses = both.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
+    # One join after the other is written, so that the shuffles of both are never on disk together.
+    turned = salted_join(scored, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
+    turned = scratch.save(turned.select("key", "h", "c", (F.col("turn") + F.col("logp")).alias("v")), "turned")
+    scratch.drop(scored)
+    uses = turned.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
     follow = uses.join(alone.select(F.col("g").alias("h"), F.col("logp").alias("alone")), "h")
-    both = salted_join(both, follow, "h", "uses", n_pairs, F.col("g"))
-
-    @F.pandas_udf("bigint")
-    def key(g: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(pair_hash(g.to_numpy().view(np.uint64), h.to_numpy().view(np.uint64)).view(np.int64))
-
-    values = both.select(key("g", "h").alias("key"), F.lit(None).cast("bigint").alias("base"), "c", (F.col("turn") + F.col("logp") - F.col("alone")).alias("v"))
+    both = salted_join(turned, follow, "h", "uses", n_pairs, F.col("key"))
+    values = both.select("key", F.lit(None).cast("bigint").alias("base"), "c", (F.col("v") - F.col("alone")).alias("v"))
     own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag")[0]).alias("v"))
-    long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
     values = scratch.save(values.unionByName(own).unionByName(long), "values")
-    for done in (counted, kept, alone, scored):
+    for done in (long, alone, turned):
         scratch.drop(done)
     n, v = values.agg(F.coalesce(F.sum("base"), F.lit(0)), F.count_if(F.col("base") > 0)).first()
     return Fitted(values, n_pairs, n, v, table, held.value, held_pairs.value)

@@ -182,3 +182,13 @@ def test_scores_equal_brute_force(spark, rows, group_rows):
     slow = Slow(rows, fitted)
     got = cm.score_texts(df, fitted, scratch).collect()
     assert sorted(r.score for r in got) == pytest.approx(sorted(slow.score(t) for _, t, _ in rows), rel=1e-6)
+
+
+def test_tables_go_before_the_next_join_is_written(spark, rows, monkeypatch):
+    """What lies on disk together: of all pairs the join before, its shuffle and the next one."""
+    steps, save, drop = [], Scratch.save, Scratch.drop
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **o: steps.append(name) or save(self, df, name, **o))
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: steps.append("-" + df._cuegrain_path.rpartition("-")[2]) or drop(self, df))
+    cm.fit(spark.createDataFrame(rows[:60], SCHEMA), Scratch(spark))
+    at = steps.index
+    assert at("words") < at("-before") < at("scored") < at("-counted") < at("turned") < at("-scored") < at("values") < at("-turned")
