@@ -48,6 +48,8 @@ PAIR, WORD, LONG = 0, 1, 2
 CHUNK, COUNT_BYTES = 1 << 18, 8 << 20
 #: Bytes of text whose words and pairs one task adds up.
 BUCKET_BYTES = 8 << 20
+#: Training tokens to each bucket of words and pairs that texts are looked up in.
+BUCKET_TOKENS = 1 << 22
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
 TOP_KEYS = 1 << 19
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
@@ -111,15 +113,20 @@ def pair_hash(p: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(p * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def name_hash(names: list[bytes]) -> np.ndarray:
+def flat_names(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all names, first byte and length of each)."""
+    ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+    return np.frombuffer(names.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+
+
+def name_hash(flat: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The hash of tokens by their names."""
-    out = np.full(len(names), END_HASH)
-    some = np.array([i for i, b in enumerate(names) if len(b) > 1], np.int64)
+    out = np.full(len(start), END_HASH)
+    some = np.flatnonzero(lens > 1)
     if len(some):
-        cores = [names[i][names[i][0] == LEAD : -1] for i in some]
-        lens = np.fromiter(map(len, cores), np.int64, len(cores))
-        h = word_hashes(np.frombuffer(b"".join(cores), np.uint8), np.cumsum(lens) - lens, np.cumsum(lens))
-        lead, cut = np.array([names[i][0] == LEAD for i in some]), np.array([names[i][-1] == CUT for i in some])
+        start, last = start[some], (start + lens)[some] - 1
+        lead, cut = flat[start] == LEAD, flat[last] == CUT
+        h = word_hashes(flat, start + lead, last)
         odd = lead | cut
         h[odd] = mix64(h[odd] + lead[odd] * np.uint64(0xA0761D6478BD642F) + cut[odd] * np.uint64(0xE7037ED1A0B428DB))
         out[some] = h
@@ -142,6 +149,36 @@ def _names(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, stop].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
+def _packed(t: pa.Table) -> bytes:
+    """Rows as compressed Arrow data."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(x: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(x.as_buffer() if isinstance(x, pa.Scalar) else x).read_all()
+
+
+def _by_bucket(t: pa.Table, key: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Buckets (equal ranges of 64-bit keys) that rows sorted by key fall in, and the packed rows of each."""
+    bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    to = np.flatnonzero(np.diff(cuts)).tolist()
+    return to, [_packed(t.slice(cuts[k], cuts[k + 1] - cuts[k])) for k in to]
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, a place of each, and the number of each place's hash."""
+    by = np.argsort(h)
+    h = h[by]
+    new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    number = np.empty(len(h), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return h[new], by[new], number
+
+
 class _Memtable:
     """Tokens of some texts, told apart by their hashes."""
 
@@ -150,7 +187,7 @@ class _Memtable:
 
     def add(self, texts: list[bytes], held: np.ndarray) -> None:
         t = tokens(texts)
-        h, first, number = np.unique(t.h, return_index=True, return_inverse=True)
+        h, first, number = _distinct(t.h)
         self.bufs.append(t.buf)
         self.kept.append((h, t.begin[first] + self.size, t.end[first] + self.size, t.lead[first], t.cut[first]))
         self.number.append(number)
@@ -162,9 +199,10 @@ class _Memtable:
         """COUNTED rows, and the hash of each one's word."""
         train = np.concatenate(self.train)
         h, begin, end, lead, cut = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-        words, first = np.unique(h, return_index=True)
+        words, first, again = _distinct(h)
         names = _names(np.concatenate(self.bufs), begin[first], end[first], lead[first], cut[first])
-        number = np.concatenate([np.searchsorted(words, k[0])[n] for k, n in zip(self.kept, self.number, strict=True)])
+        own = np.split(again, np.cumsum([len(k[0]) for k in self.kept])[:-1])
+        number = np.concatenate([k[n] for k, n in zip(own, self.number, strict=True)])
         pairs = np.concatenate([[np.searchsorted(words, END_HASH)], number[:-1]]) * len(words) + number
         pairs, n = np.unique(pairs[train], return_counts=True)
         before, word = pairs // len(words), pairs % len(words)
@@ -176,15 +214,13 @@ class _Memtable:
     def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
         """The rows of each bucket (by both words of a pair) as compressed Arrow data."""
         t, word = self.table()
-        bucket = (pair_hash(t["g"].to_numpy().view(np.uint64), word) % np.uint64(buckets)).astype(np.int64)
+        bucket = (pair_hash(t["g"].to_numpy().view(np.uint64), word) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short numbers sort faster
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         t = t.take(pa.array(by))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(t.slice(cuts[k], cuts[k + 1] - cuts[k]).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "rows"])
+            rows = _packed(t.slice(cuts[k], cuts[k + 1] - cuts[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows], pa.binary())], ["bucket", "rows"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -208,7 +244,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield from table.packed(buckets)
 
     def add(t: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["rows"]])
+        rows = pa.concat_tables([_unpacked(x) for x in t["rows"]])
         rows = rows.group_by(["kind", "g", "w"]).aggregate([("c", "sum")])
         rows = rows.filter((pc.field("kind") != PAIR) | (pc.field("c_sum") > 1))
         return pa.table({"kind": rows["kind"], "g": rows["g"], "w": rows["w"], "c": rows["c_sum"]})
@@ -220,11 +256,6 @@ def count_words(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- trees of words
 
 
-def _bits(names: list[bytes], width: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in names), np.uint8)
-    return flat.reshape(len(names), width)
-
-
 class Block:
     """Sorted words of whole groups (a context, or a beginning in it), walked bit by bit, node by node.
 
@@ -232,12 +263,14 @@ class Block:
     that the group's words share; below it the group's own words are all there are.
     """
 
-    def __init__(self, names: list[bytes], counts: np.ndarray, group: np.ndarray, heads: dict[int, tuple]):
-        self.n, self.names = len(names), names
-        self.lens = np.fromiter(map(len, names), np.int64, self.n)
+    def __init__(self, names: pa.Array, counts: np.ndarray, group: np.ndarray, heads: dict[int, tuple]):
+        self.n = len(names)
+        self.flat, self.at, self.lens = flat_names(names)
         self.counts = counts.astype(np.float64)
         self.group = group
-        self.m = _bits(names, int(self.lens.max(initial=1)))
+        self.m = np.zeros((self.n, int(self.lens.max(initial=1))), np.uint8)
+        place = np.arange(self.lens.sum()) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        self.m[np.repeat(np.arange(self.n), self.lens), place] = self.flat[np.repeat(self.at, self.lens) + place]
         self.start = np.concatenate([[True], group[1:] != group[:-1]])
         deep = max([len(z) for z, _ in heads.values()], default=0)
         self.deep = np.zeros(int(group.max(initial=0)) + 1, np.int64)
@@ -288,7 +321,7 @@ def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
     """Zeros and ones at each bit of the next HEAD bytes of the beginnings below one beginning."""
     pdf = pdf.sort_values("kid")
     skip = len(pdf["head"].iloc[0])
-    names = [bytes(x)[skip:] for x in pdf["kid"]]
+    names = pa.array([bytes(x)[skip:] for x in pdf["kid"]], pa.binary())
     b = Block(names, pdf["c"].to_numpy(), np.zeros(len(pdf), np.int64), {})
     zeros, ones = np.zeros((2, b.n, 8 * HEAD))
     for rows, at, _, d, bit, _, _, z, o in b.steps():
@@ -297,15 +330,15 @@ def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": pdf["g"], "head": pdf["head"], "kid": pdf["kid"], "z": [x[:k].tobytes() for x, k in zip(zeros, cut, strict=True)], "o": [x[:k].tobytes() for x, k in zip(ones, cut, strict=True)]})
 
 
-def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """words (g, w, c) with key, the group they are walked in, and for groups that are but a beginning a row with the counts above it (zeros, ones).
+def dealt(words: DataFrame, sizes: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """words (g, w, c; sizes: g and n, the words of each) with key, the group they are walked in, and for groups that are but a beginning a row with the counts above it (zeros, ones).
 
     A context with more than group_rows words (at most words / group_rows of them) is split by the
     beginnings of its words, HEAD bytes more each time, until no group has more.
     """
     heads, k = [], 0
     rows = words.withColumn("head", F.lit(b""))
-    hot = scratch.save(rows.groupBy("g", "head").count().where(F.col("count") > group_rows).select("g", "head"), "hot")
+    hot = scratch.save(sizes.where(F.col("n") > group_rows).select("g", F.lit(b"").alias("head")), "hot")
     above = hot.select("g", "head", F.lit(b"").alias("zeros"), F.lit(b"").alias("ones"))
     while not hot.isEmpty():
         k += HEAD
@@ -329,9 +362,11 @@ def dealt(words: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> D
 
 
 def in_order(rows: DataFrame, parts: int, by: str, streams: int = 1) -> DataFrame:
-    """Dealt rows by stream or key, and sorted."""
+    """Dealt rows by stream or key, and sorted by stream, key and w."""
     rows = rows.withColumn("stream", F.pmod("key", F.lit(streams)))
-    return rows.repartition(parts, by).sortWithinPartitions("stream", "key", F.col("w").asc_nulls_first())
+    low = streams.bit_length() + 1
+    first = F.shiftleft("stream", 64 - low) + F.shiftright("key", low)  # the first number alone tells most rows apart, which Spark compares fastest
+    return rows.repartition(parts, by).sortWithinPartitions(first, "key", F.col("w").asc_nulls_first())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, Block]]:
@@ -342,7 +377,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         head = t.column("w").is_null().to_numpy()
         heads = {int(group[i]): (np.frombuffer(t.column("zeros")[i].as_py()), np.frombuffer(t.column("ones")[i].as_py())) for i in np.flatnonzero(head).tolist()}
         own = np.flatnonzero(~head)
-        names = t.column("w").take(pa.array(own)).to_pylist()
+        names = t.column("w").take(pa.array(own)).combine_chunks()
         return t.column("stream")[0].as_py(), t.column("g").to_numpy()[own], Block(names, t.column("c").to_numpy()[own], group[own], heads)
 
     held: pa.Table | None = None
@@ -465,19 +500,19 @@ class Learner:
         """Predict bits, then learn from their values ``y``, which occurred ``mass`` times."""
         z = np.einsum("kn,nk->n", x, self.w[gate])
         p = _squash(z)
-        here, number = np.unique(gate, return_inverse=True)
+        by = np.argsort(gate.astype(np.int16), kind="stable")
+        gates = gate[by]
+        cuts = np.flatnonzero(np.r_[True, gates[1:] != gates[:-1], True])
+        here = gates[cuts[:-1]]
         err, bend = (y - p) * mass, np.maximum(p * (1 - p), 1e-4) * mass
-        slope = np.empty((len(here), INPUTS))
-        for j in range(INPUTS):
-            slope[:, j] = np.bincount(number, err * x[j], len(here))
-            for k in range(j, INPUTS):
-                both = np.bincount(number, bend * x[j] * x[k], len(here))
-                self.curve[here, j, k] += both
-                if k > j:
-                    self.curve[here, k, j] += both
+        xs, err, slope = x[:, by], err[by], np.empty((len(here), INPUTS))
+        bent = xs * bend[by]
+        for i, (g, lo, hi) in enumerate(zip(here.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            slope[i] = xs[:, lo:hi] @ err[lo:hi]
+            self.curve[g] += bent[:, lo:hi] @ xs[:, lo:hi].T
         step = np.linalg.solve(self.curve[here], slope[:, :, None])[:, :, 0]
         self.w[here] += np.clip(step, -0.5, 0.5)
-        self.seen[here] += np.bincount(number, mass, len(here))
+        self.seen += np.bincount(gate, mass, GATES)
         low, up = _cell(z)
         for at, part in ((low, 1 - up), (low + 1, up)):
             self.cells[:, 0] += np.bincount(node * CELLS + at, part * mass, len(self.cells))
@@ -537,8 +572,8 @@ def count_tables(words: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- learning and scoring
 
 
-def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None, sure: bool = False) -> Model:
-    """The model of dealt words: each stream of groups is learned online, then streams are averaged by the bits they saw.
+def learn(words: DataFrame, table, known: DataFrame | None = None, sure: bool = False) -> Model:
+    """The model of dealt words in the order of their streams: each stream of groups is learned online, then streams are averaged by the bits they saw.
 
     ``sure``: the next word is one of the context's own, so bits with one outcome are certain, and
     words that would not be left after leaving one occurrence out (counts below 3) are not learned from. ``known`` has
@@ -579,7 +614,7 @@ def learn(words: DataFrame, streams: int, table, known: DataFrame | None = None,
             learner.see(x[:, some], gate[some], np.zeros(len(some), np.int64), v[some], mass[some])
         return out(learner).to_pandas()
 
-    sums = [in_order(words, streams, "stream", streams).mapInArrow(run, "at bigint, x double")]
+    sums = [words.mapInArrow(run, "at bigint, x double")]
     if known is not None:
         sums.append(known.groupBy("stream").applyInPandas(run_known, "at bigint, x double"))
     got = reduce(DataFrame.unionByName, sums).groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # as many rows at any input size
@@ -602,7 +637,7 @@ def score_words(words: DataFrame, table, model, sure: bool = False) -> DataFrame
                 one = model.value.p(*_inputs(table.value, [s[some] for s in b.slots(first, d, node)], zeros[some], ones[some], bit), node[some])
                 p[0, some], p[1, some] = np.log10(1 - one), np.log10(one)
                 logp[rows] += p[y, at]
-            h = name_hash(b.names)
+            h = name_hash(b.flat, b.at, b.lens)
             key = pair_hash(g.view(np.uint64), h)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h.view(np.int64)), pa.array(key.view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "key", "c", "logp"])
 
@@ -625,7 +660,9 @@ class Fitted:
 def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitted:
     spark = docs.sparkSession
     counted = scratch.save(count_words(docs), "counted", compression="zstd")
-    sizes = {(r["kind"], r["known"]): r["rows"] for r in counted.groupBy("kind", (F.col("c") > 0).alias("known")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    sizes = counted.groupBy("kind", (F.col("c") > 0).alias("known")).agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("c")).collect()
+    most = sum(r["c"] for r in sizes if r["kind"] == WORD) // 2  # known pairs, with repeats: each occurs twice at least
+    sizes = {(r["kind"], r["known"]): r["rows"] for r in sizes}
     n_words, n_train, n_pairs = (sum(n for k, n in sizes.items() if k in of) for of in ({(WORD, True), (WORD, False)}, {(WORD, True)}, {(PAIR, True)}))
     tasks = lambda n: max(partitions(spark), -(-n // TASK_ROWS))
     streams = lambda n: max(1, -(-n // STREAM_ROWS))
@@ -633,7 +670,8 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     # Words have one context, the empty one; only those of training texts are learned from.
     words = counted.where(F.col("kind") == WORD).select("g", "w", "c")
     one = words.select(F.lit(0).cast("bigint").alias("g"), "w", "c")
-    train = dealt(one.where("c > 0"), scratch, group_rows)
+    size = lambda n: spark.range(1).select(F.col("id").alias("g"), F.lit(n).alias("n"))
+    train = dealt(one.where("c > 0"), size(n_train), scratch, group_rows)
     table = count_tables(words.where("c > 0"))
     shared = spark.sparkContext.broadcast(table)
 
@@ -644,35 +682,37 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
     before = words.select("g", "c", piece.alias("piece")).join(after, "g", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("ones", "n")})
     known_rows = before = scratch.save(before.select("g", "piece", "n", (F.col("c") - F.col("ones")).alias("zeros"), "ones"), "before")
     known = before.where("zeros + ones > 0").select(F.pmod("g", F.lit(streams(n_train))).alias("stream"), "g", "zeros", "ones")
-    held = spark.sparkContext.broadcast(learn(train, streams(n_train), shared, known))
+    held = spark.sparkContext.broadcast(learn(in_order(train, streams(n_train), "stream", streams(n_train)), shared, known))
 
-    @F.pandas_udf("array<double>")
-    def flag(zeros: pd.Series, ones: pd.Series) -> pd.Series:
+    @F.pandas_udf("no double, yes double")
+    def flag(zeros: pd.Series, ones: pd.Series) -> pd.DataFrame:
         """log10 of the probabilities that the pair with the next word is not known, and that it is."""
         p = held.value.p(*_known(zeros.to_numpy().astype(float), ones.to_numpy().astype(float)), np.zeros(len(zeros), np.int64))
-        return pd.Series(list(np.column_stack([np.log10(1 - p), np.log10(p)])))
+        return pd.DataFrame({"no": np.log10(1 - p), "yes": np.log10(p)})
 
     before = before.select("g", "piece", "n", flag("zeros", "ones").alias("flag"))
-    alone = score_words(in_order(dealt(one, scratch, group_rows), tasks(n_words), "key"), shared, held).select(F.col("h").alias("g"), "c", "logp")
+    alone = score_words(in_order(dealt(one, size(n_words), scratch, group_rows), tasks(n_words), "key"), shared, held).select(F.col("h").alias("g"), "c", "logp")
     alone = scratch.save(alone.join(before, "g"), "words")
     scratch.drop(known_rows)
 
-    both = dealt(pairs, scratch, group_rows)
-    held_pairs = spark.sparkContext.broadcast(learn(both, streams(n_pairs), shared, None, True))
-    scored = scratch.save(score_words(in_order(both, tasks(n_pairs), "key"), shared, held_pairs, True), "scored")
+    # Sorted once, to learn from and to score; one row group a file, so that no reader splits a stream.
+    both = in_order(dealt(pairs, alone.select("g", "n"), scratch, group_rows), streams(n_pairs), "stream", streams(n_pairs))
+    both = scratch.save(both, "pairs", **{"compression": "zstd", "parquet.block.size": str(1 << 30)})
+    held_pairs = spark.sparkContext.broadcast(learn(both, shared, None, True))
+    scored = scratch.save(score_words(both, shared, held_pairs, True), "scored")
+    scratch.drop(both)
     long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
     long = scratch.save(long, "long")
     scratch.drop(counted)
     # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
     # One join after the other is written, so that the shuffles of both are never on disk together.
-    turned = salted_join(scored, alone.where("n > 0").select("g", "n", (F.col("flag")[1] - F.col("flag")[0]).alias("turn")), "g", "n", n_pairs, F.col("h"))
+    turned = salted_join(scored, alone.where("n > 0").select("g", "n", (F.col("flag.yes") - F.col("flag.no")).alias("turn")), "g", "n", n_pairs, F.col("h"))
     turned = scratch.save(turned.select("key", "h", "c", (F.col("turn") + F.col("logp")).alias("v")), "turned")
     scratch.drop(scored)
-    uses = turned.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
-    follow = uses.join(alone.select(F.col("g").alias("h"), F.col("logp").alias("alone")), "h")
-    both = salted_join(turned, follow, "h", "uses", n_pairs, F.col("key"))
+    follow = alone.where("c > 1").select(F.col("g").alias("h"), F.shiftright("c", 1).alias("uses"), F.col("logp").alias("alone"))  # at most so many pairs end with it
+    both = salted_join(turned, follow, "h", "uses", most, F.col("key"))
     values = both.select("key", F.lit(None).cast("bigint").alias("base"), "c", (F.col("v") - F.col("alone")).alias("v"))
-    own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag")[0]).alias("v"))
+    own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag.no")).alias("v"))
     values = scratch.save(values.unionByName(own).unionByName(long), "values")
     for done in (long, alone, turned):
         scratch.drop(done)
@@ -727,48 +767,114 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
     finder: list[Finder] = []
     known = bit_filter(values.where("base IS NULL").select(F.col("key").alias("h")), fitted.pairs, filter_bytes)
 
+    buckets = max(partitions(spark), fitted.n // BUCKET_TOKENS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of what the broadcast table has of each text, and its other keys by bucket."""
         keys, numbers = held.value
         if not finder:  # once a worker
             finder.append(Finder(keys))
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
+        done, rest, size, part = [], [], 0, None
         for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts = [t or b"" for t in b.column("text").to_pylist()]
             for lo, hi in chunks(texts, CHUNK):
                 t = tokens(texts[lo:hi])
                 n = hi - lo
-                pair = pair_hash(t.before(), t.h)
-                key = np.concatenate([t.h, t.long_h, pair])
+                key = np.concatenate([t.h, t.long_h, pair_hash(t.before(), t.h)])
                 text = np.concatenate([t.text, t.long_text, t.text])
                 must = len(t.h) + len(t.long_h)  # words are all in the table, pairs may be
                 at, hit = finder[0].find(key)
                 found, at = text[hit], at[hit]
                 sums = [np.bincount(found, numbers[at, k], n).astype(float) for k in range(3)]
-                key, miss = key.view(np.int64), ~hit
+                miss = ~hit
                 if known is not None:
-                    miss[must:] &= in_filter(known.value, key[must:])
-                text, key = text[miss], key[miss]
-                by = np.lexsort((key, text))
-                text, key = text[by], key[by]
-                new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])] if len(text) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                times = np.diff(np.r_[first, len(text)])
-                ends = np.r_[0, np.cumsum(np.bincount(text[first], minlength=n))].astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times.astype(np.int32))], ["key", "n"])).cast(kind)
-                size = np.bincount(t.text, t.end - t.begin, n).astype(np.int64) + t.n_words + 1
-                part = b.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(t.n_words + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rest], names)
-
-    names = ["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "log_c", "score", "rest"]
+                    miss[must:] &= in_filter(known.value, key[must:].view(np.int64))
+                row = b.column("row")[lo].as_py()
+                part = row if part is None else part
+                rest.append((key[miss], text[miss] + (row - part)))
+                n_bytes = np.bincount(t.text, t.end - t.begin, n).astype(np.int64) + t.n_words + 1
+                own = b.slice(lo, n)
+                done.append(pa.table([own.column("doc_id"), own.column("held_out"), pa.array(n_bytes), pa.array(t.n_words + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names))
+                size += len(t.buf)
+                if size >= COUNT_BYTES:
+                    yield parcel(part, done, rest)
+                    done, rest, size, part = [], [], 0, None
+        if done:
+            yield parcel(part, done, rest)
+
+    def parcel(part: int, done: list[pa.Table], rest: list[tuple]) -> pa.RecordBatch:
+        """Keys of some texts, each with the text's number among them and how often it has it, by bucket; and what is known of the texts."""
+        key, text = (np.concatenate(x) for x in zip(*rest, strict=True))
+        by = np.argsort(key, kind="stable")  # keeps texts in order below a key
+        key, text = key[by], text[by]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
+        times = np.diff(np.r_[first, len(key)])
+        rows = pa.table({"key": pa.array(key[first]), "text": pa.array(text[first].astype(np.int32)), "n": pa.array(times.astype(np.int32))})
+        to, packed = _by_bucket(rows, key[first], buckets)
+        texts = _packed(pa.concat_tables(done))
+        return pa.RecordBatch.from_arrays([pa.array([*to, part % buckets], pa.int64()), pa.array([part] * (len(to) + 1), pa.int64()), pa.array([*packed, None], pa.binary()), pa.array([None] * len(to) + [texts], pa.binary())], ["bucket", "part", "rows", "texts"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Values by bucket."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 1 << 19:
+                yield of_values(held)
+                held = []
+        if held:
+            yield of_values(held)
+
+    def of_values(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        key = t["key"].to_numpy().view(np.uint64)
+        by = np.argsort(key)
+        to, packed = _by_bucket(t.set_column(0, "key", pa.array(key)).take(pa.array(by)), key[by], buckets)
+        none = pa.nulls(len(to))
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), none.cast(pa.int64()), pa.array(packed, pa.binary()), none.cast(pa.binary())], ["bucket", "part", "rows", "texts"])
+
+    def look_up(t: pa.Table) -> pa.Table:
+        """What a bucket's values add to the texts of each parcel."""
+        own = t.filter(pc.is_null(t["part"]))
+        theirs = t.filter(pc.is_valid(t["part"]))
+        values = pa.concat_tables([*(_unpacked(x) for x in own["rows"]), pa.table({"key": pa.array([], pa.uint64()), "base": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})])
+        key = values["key"].to_numpy()
+        by = np.argsort(key)
+        key = key[by]
+        base, v = values["base"].to_numpy(zero_copy_only=False).astype(float)[by], values["v"].to_numpy()[by]
+        seen, logs = base > 0, np.where(np.isnan(base), 0.0, np.log10(np.nan_to_num(base) + ALPHA))
+        out = []
+        for part, rows, texts in zip(theirs["part"].to_pylist(), theirs["rows"], theirs["texts"].to_pylist(), strict=True):
+            if texts is not None:
+                out.append((part, None, texts))
+                continue
+            rows = _unpacked(rows)
+            wanted = rows["key"].to_numpy()
+            at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+            hit = np.flatnonzero(key[at] == wanted) if len(key) else np.zeros(0, np.int64)
+            at, text, n = at[hit], rows["text"].to_numpy()[hit], rows["n"].to_numpy()[hit]
+            some = np.flatnonzero(np.bincount(text))
+            sums = [np.bincount(text, n * x[at])[some] for x in (seen, logs, v)]
+            out.append((part, _packed(pa.table([pa.array(some.astype(np.int32)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["text", *names[4:]])), None))
+        part, rows, texts = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(part, pa.int64()), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], ["part", "rows", "texts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        """The texts of a parcel with all sums."""
+        out = _unpacked(next(x for x in t["texts"] if x.is_valid))
+        sums = [out[k].to_numpy().astype(float) for k in names[4:]]
+        for rows in (_unpacked(x) for x in t["rows"] if x.is_valid):
+            text = rows["text"].to_numpy()
+            for total, k in zip(sums, names[4:], strict=True):
+                total[text] += rows[k].to_numpy()  # a text is there once
+        return pa.table([*(out[k] for k in names[:4]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
+
+    names = ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "log_c", "score"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), held_out(10).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    rows = scratch.save(rows.mapInArrow(run, "row bigint, doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, n_known bigint, log_c double, score double, rest array<struct<key: bigint, n: int>>"), "texts", compression="zstd")
-    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.key", "x.n").join(values, "key")
-    n = F.col("n")
-    logs = F.when(F.col("base").isNotNull(), n * F.log10(F.col("base") + ALPHA)).otherwise(0.0)
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("base") > 0, n).otherwise(0)).alias("known"), F.sum(logs).alias("logs"), F.sum(n * F.col("v")).alias("more"))
-    out = rows.drop("rest").join(rest, "row", "left")
-    add = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return out.select("doc_id", "held_out", "n_bytes", "n_tokens", add("n_known", "known"), add("log_c", "logs"), add("score", "more"))
+    parcels = "bucket bigint, part bigint, rows binary, texts binary"
+    sent = rows.mapInArrow(run, parcels).unionByName(values.select("key", "base", "v").mapInArrow(table, parcels))
+    got = sent.groupBy("bucket").applyInArrow(look_up, "part bigint, rows binary, texts binary")
+    return got.groupBy("part").applyInArrow(add, "doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, n_known bigint, log_c double, score double")
 
 
 def lm_score(docs: DataFrame, top_keys: int = TOP_KEYS, filter_bytes: int = FILTER_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:

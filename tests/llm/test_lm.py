@@ -192,3 +192,14 @@ def test_tables_go_before_the_next_join_is_written(spark, rows, monkeypatch):
     cm.fit(spark.createDataFrame(rows[:60], SCHEMA), Scratch(spark))
     at = steps.index
     assert at("words") < at("-before") < at("scored") < at("-counted") < at("turned") < at("-scored") < at("values") < at("-turned")
+
+
+def test_texts_are_looked_up_in_packed_parcels(spark, rows):
+    """The keys of texts go to the values packed, never as a row each, and are written to no table."""
+    scratch = Scratch(spark)
+    fitted = cm.fit(spark.createDataFrame(rows[:60], SCHEMA), scratch)
+    tables = scratch.n
+    got = cm.score_texts(spark.createDataFrame(rows[:60], SCHEMA), fitted, scratch, top_keys=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert scratch.n == tables and "Generate" not in plan and "Join" not in plan
+    assert got.count() == 60
