@@ -50,6 +50,8 @@ CHUNK, COUNT_BYTES = 1 << 18, 8 << 20
 BUCKET_BYTES = 8 << 20
 #: Training tokens to each bucket of words and pairs that texts are looked up in.
 BUCKET_TOKENS = 1 << 22
+#: Bytes of text whose keys a task sends to the buckets at once, and values that it sends at once.
+PARCEL_BYTES, PARCEL_VALUES = 2 << 20, 1 << 17
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
 TOP_KEYS = 1 << 19
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
@@ -771,6 +773,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of what the broadcast table has of each text, and its other keys by bucket."""
+        pa.default_memory_pool().release_unused()  # what the worker's tasks before have left
         keys, numbers = held.value
         if not finder:  # once a worker
             finder.append(Finder(keys))
@@ -796,7 +799,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
                 own = b.slice(lo, n)
                 done.append(pa.table([own.column("doc_id"), own.column("held_out"), pa.array(n_bytes), pa.array(t.n_words + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names))
                 size += len(t.buf)
-                if size >= COUNT_BYTES:
+                if size >= PARCEL_BYTES:
                     yield parcel(part, done, rest)
                     done, rest, size, part = [], [], 0, None
         if done:
@@ -819,7 +822,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 1 << 19:
+            if sum(x.num_rows for x in held) >= PARCEL_VALUES:
                 yield of_values(held)
                 held = []
         if held:
