@@ -54,12 +54,16 @@ BUCKET_TOKENS = 1 << 22
 PARCEL_BYTES, PARCEL_VALUES = 2 << 20, 1 << 17
 #: Most frequent words and pairs that tasks get by broadcast; all others are joined.
 TOP_KEYS = 1 << 19
+#: Most frequent words whose own scores are added to pairs where these are scored; only the pairs of others are joined.
+NEAR_WORDS = 1 << 18
 #: Bytes of the map of known pairs that may be broadcast; beyond, all pairs are joined.
 FILTER_BYTES = 1 << 25
 #: Distinct words below one beginning; a beginning with more is split at HEAD more bytes.
 GROUP_ROWS, HEAD = 100_000, 3
 #: Distinct words or pairs of one stream of learning, of one step, and of one task.
 STREAM_ROWS, BLOCK, TASK_ROWS = 1 << 18, 1 << 14, 250_000
+#: Tables of hashes and scores, nearly all distinct: Parquet needn't look for dictionaries.
+PLAIN = {"parquet.enable.dictionary": "false"}
 #: Curvature that holds a weight where it starts.
 PRIOR = 10.0
 SLOTS = 1 << 16
@@ -197,8 +201,8 @@ class _Memtable:
         self.long.append((t.long_h, ~held[t.long_text]))
         self.size += len(t.buf)
 
-    def table(self) -> tuple[pa.Table, np.ndarray]:
-        """COUNTED rows, and the hash of each one's word."""
+    def table(self, buckets: int) -> tuple[pa.Table, np.ndarray]:
+        """COUNTED rows (kind and c in fewer bytes) in the order of their buckets, and where each bucket begins."""
         train = np.concatenate(self.train)
         h, begin, end, lead, cut = (np.concatenate(x) for x in zip(*self.kept, strict=True))
         words, first, again = _distinct(h)
@@ -209,17 +213,18 @@ class _Memtable:
         pairs, n = np.unique(pairs[train], return_counts=True)
         before, word = pairs // len(words), pairs % len(words)
         long, c = (np.concatenate(x) for x in zip(*self.long, strict=True))
-        parts = [(PAIR, words[before], names.take(pa.array(word)), n), (WORD, words, names, np.bincount(number, train, len(words))), (LONG, long, pa.array([b""] * len(long), pa.binary()), c)]
-        rows = pa.concat_tables([pa.table({"kind": pa.array(np.full(len(g), kind, np.int32)), "g": pa.array(g.view(np.int64)), "w": w, "c": pa.array(c.astype(np.int64))}) for kind, g, w, c in parts])
-        return rows, np.concatenate([words[word], words, long])
+        g, to = np.concatenate([words[before], words, long]), np.concatenate([words[word], words, long])
+        bucket = (pair_hash(g, to) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short numbers sort faster
+        by = np.argsort(bucket, kind="stable")
+        kind = np.repeat(np.array([PAIR, WORD, LONG], np.int8), [len(pairs), len(words), len(long)])
+        name = np.concatenate([word, np.arange(len(words)), np.full(len(long), len(words))])
+        c = np.concatenate([n, np.bincount(number, train, len(words)), c]).astype(np.int32)
+        w = pa.concat_arrays([names, pa.array([b""], pa.binary())]).take(pa.array(name[by]))
+        return pa.table({"kind": kind[by], "g": g[by].view(np.int64), "w": w, "c": c[by]}), np.searchsorted(bucket[by], np.arange(buckets + 1))
 
     def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
         """The rows of each bucket (by both words of a pair) as compressed Arrow data."""
-        t, word = self.table()
-        bucket = (pair_hash(t["g"].to_numpy().view(np.uint64), word) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short numbers sort faster
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        t = t.take(pa.array(by))
+        t, cuts = self.table(buckets)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             rows = _packed(t.slice(cuts[k], cuts[k + 1] - cuts[k]))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows], pa.binary())], ["bucket", "rows"])
@@ -246,10 +251,14 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield from table.packed(buckets)
 
     def add(t: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([_unpacked(x) for x in t["rows"]])
-        rows = rows.group_by(["kind", "g", "w"]).aggregate([("c", "sum")])
-        rows = rows.filter((pc.field("kind") != PAIR) | (pc.field("c_sum") > 1))
-        return pa.table({"kind": rows["kind"], "g": rows["g"], "w": rows["w"], "c": rows["c_sum"]})
+        """A bucket's rows, those of one kind together: who reads one kind skips the pages of the others."""
+        rows, out = pa.concat_tables([_unpacked(x) for x in t["rows"]]), []
+        for kind in (PAIR, WORD, LONG):
+            own = rows.filter(pc.field("kind") == kind).group_by(["g", "w"]).aggregate([("c", "sum")])
+            if kind == PAIR:
+                own = own.filter(pc.field("c_sum") > 1)
+            out.append(pa.table({"kind": np.full(len(own), kind, np.int32), "g": own["g"], "w": own["w"], "c": own["c_sum"]}))
+        return pa.concat_tables(out)
 
     rows = docs.select(F.col("text").cast("binary").alias("text"), held_out(10).alias("held")).mapInArrow(run, "bucket bigint, rows binary")
     return rows.groupBy("bucket").applyInArrow(add, COUNTED)
@@ -429,6 +438,14 @@ def _seen(n: np.ndarray) -> np.ndarray:
     return np.searchsorted([1, 2, 4, 16, 128, 2048], n, "right").astype(np.int64)
 
 
+_seen_of = _seen(np.arange(2049))
+
+
+def _seen_whole(n: np.ndarray) -> np.ndarray:
+    """_seen of counts that are whole numbers."""
+    return _seen_of[np.minimum(n, 2048).astype(np.int64)]
+
+
 def _lookups() -> tuple[np.ndarray, np.ndarray]:
     """Stretched prediction and level for each pair of codes: as they are, and with one 0 or one 1 less."""
     n0, n1 = np.meshgrid(_value, _value, indexing="ij")
@@ -452,7 +469,7 @@ def _inputs(table: np.ndarray, slots, zeros: np.ndarray, ones: np.ndarray, bit:
         zeros, ones = np.maximum(zeros - 1 + less, 0), np.maximum(ones - less, 0)
     x[-2] = _stretch(zeros, ones)
     x[-1] = 0.3
-    return x, (bit * SEEN + _seen(zeros + ones)) * SEEN + level
+    return x, (bit * SEEN + _seen_whole(zeros + ones)) * SEEN + level
 
 
 def _known(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -484,7 +501,8 @@ class Model:
         """Probability of a one."""
         z = np.einsum("kn,nk->n", x, self.weights[gate])
         low, up = _cell(z)
-        refined = self.cells[node, low] * (1 - up) + self.cells[node, low + 1] * up
+        at, cells = node * CELLS + low, self.cells.ravel()
+        refined = cells[at] * (1 - up) + cells[at + 1] * up
         return np.clip((_squash(z) + refined) / 2, 1e-7, 1 - 1e-7)
 
 
@@ -543,7 +561,11 @@ def count_tables(words: DataFrame) -> np.ndarray:
     Their size is that of all contexts there can be. Bytes are counted, and the nodes of a context summed from them.
     """
 
+    def rows(slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = [np.zeros(SIZES[0]), np.zeros(SIZES[2])]  # summed up; of the large table's slots a batch has few
         for b in batches:
             w = b.column("w")
             lens = pc.binary_length(w).to_numpy()
@@ -551,10 +573,18 @@ def count_tables(words: DataFrame) -> np.ndarray:
             c = np.repeat(b.column("c").to_numpy(), lens).astype(float)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
             one, two = (np.where(place >= k, np.roll(flat, k), END) for k in (1, 2))
-            slot = np.concatenate([one << 8, OFFSETS[1] + (two << 16 | one << 8), OFFSETS[2] + (np.minimum(place, 15) << 16 | one << 8)]) | np.tile(flat, 3)
-            slot, back = np.unique(slot, return_inverse=True)
-            n = np.bincount(back, np.tile(c, 3)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+            node = one << 8 | flat
+            small[0] += np.bincount(node, c, SIZES[0])
+            small[1] += np.bincount(np.minimum(place, 15) << 16 | node, c, SIZES[2])
+            slot = OFFSETS[1] + (two << 16 | node)
+            by = np.argsort(slot)
+            slot = slot[by]
+            first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+            if len(first):
+                yield rows(slot[first], np.add.reduceat(c[by], first))
+        for offset, n in zip((0, OFFSETS[2]), small, strict=True):
+            some = np.flatnonzero(n)
+            yield rows(some + offset, n[some])
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
         n, codes = np.zeros(SLOTS), np.zeros((SLOTS // 256, 256), np.uint16)
@@ -594,15 +624,18 @@ def learn(words: DataFrame, table, known: DataFrame | None = None, sure: bool =
                 yield out(learner)
                 learner = Learner()
             last = stream
+            counts = b.counts * (b.counts >= (3 if sure else 1))
             for rows, at, first, d, bit, node, y, zeros, ones in b.steps(sure):
-                c = b.counts[rows] * (b.counts[rows] >= (3 if sure else 1))
+                if sure and not ((zeros > 0) & (ones > 0)).any():
+                    continue
+                c = counts[rows]
                 one = np.bincount(at, c * y, len(first))
-                slots = b.slots(first, d, node)
                 mass = np.r_[np.bincount(at, c, len(first)) - one, one]
                 some = np.flatnonzero((mass > 0) & np.tile((zeros > 0) & (ones > 0), 2)) if sure else np.flatnonzero(mass)
                 if len(some):
-                    v, on = some // len(first), some % len(first)
-                    learner.see(*_inputs(t, [s[on] for s in slots], zeros[on], ones[on], bit, v), node[on], v, mass[some])
+                    v = (some >= len(first)).astype(np.int64)
+                    on = some - v * len(first)
+                    learner.see(*_inputs(t, b.slots(first[on], d, node[on]), zeros[on], ones[on], bit, v), node[on], v, mass[some])
         if last is not None:
             yield out(learner)
 
@@ -625,23 +658,49 @@ def learn(words: DataFrame, table, known: DataFrame | None = None, sure: bool =
     return _model(total)
 
 
-def score_words(words: DataFrame, table, model, sure: bool = False) -> DataFrame:
-    """g, h (hash of the word), key (of the pair), c, logp: the model's log10 probability of each dealt word in its context."""
+def near_words(alone: DataFrame, most: int) -> tuple[tuple[np.ndarray, ...], int]:
+    """(hashes in order, turns, scores alone) of the most frequent words, ``most`` at most, and the lowest count among them."""
+    top = _top(alone, most)
+    g = top["g"].to_numpy().view(np.uint64)
+    by = np.argsort(g)
+    numbers = [np.append(top[k].to_numpy(zero_copy_only=False).astype(float)[by], 0.0) for k in ("turn", "logp")]
+    return (g[by], *numbers), pc.min(top["c"]).as_py() or (1 << 63) - 1
+
+
+def score_words(words: DataFrame, table, model, sure: bool = False, near=None) -> DataFrame:
+    """g, h (hash of the word), key (of the pair), c, logp: the model's log10 probability of each dealt word in its context.
+
+    ``near`` (of near_words): the turn of a context that is there is added, and g null then; the
+    score alone of a word that is there is subtracted, and h null then.
+    """
+    finder: list[Finder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g, b in _blocks(batches, 2 * BLOCK):
             logp = np.zeros(b.n)
             for rows, at, first, d, bit, node, y, zeros, ones in b.steps(sure):
-                some = np.flatnonzero((zeros > 0) & (ones > 0)) if sure else np.arange(len(first))
+                if not sure:
+                    one = model.value.p(*_inputs(table.value, b.slots(first, d, node), zeros, ones, bit), node)[at]
+                    logp[rows] += np.log10(np.where(y, one, 1 - one))
+                    continue
+                some = np.flatnonzero((zeros > 0) & (ones > 0))
                 if not len(some):
                     continue
                 p = np.zeros((2, len(first)))
-                one = model.value.p(*_inputs(table.value, [s[some] for s in b.slots(first, d, node)], zeros[some], ones[some], bit), node[some])
+                one = model.value.p(*_inputs(table.value, b.slots(first[some], d, node[some]), zeros[some], ones[some], bit), node[some])
                 p[0, some], p[1, some] = np.log10(1 - one), np.log10(one)
                 logp[rows] += p[y, at]
             h = name_hash(b.flat, b.at, b.lens)
             key = pair_hash(g.view(np.uint64), h)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h.view(np.int64)), pa.array(key.view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "key", "c", "logp"])
+            done = [None, None]
+            if near is not None:
+                names, *numbers = near.value
+                if not finder:  # once a worker
+                    finder.append(Finder(names))
+                for k, (of, sign) in enumerate(((g.view(np.uint64), 1), (h, -1))):
+                    at, done[k] = finder[0].find(of)
+                    logp += sign * np.where(done[k], numbers[k][at], 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(g, mask=done[0]), pa.array(h.view(np.int64), mask=done[1]), pa.array(key.view(np.int64)), pa.array(b.counts.astype(np.int64)), pa.array(logp)], ["g", "h", "key", "c", "logp"])
 
     return words.mapInArrow(run, "g bigint, h bigint, key bigint, c bigint, logp double")
 
@@ -659,9 +718,9 @@ class Fitted:
     pairs_model: Model
 
 
-def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitted:
+def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS, near_most: int = NEAR_WORDS) -> Fitted:
     spark = docs.sparkSession
-    counted = scratch.save(count_words(docs), "counted", compression="zstd")
+    counted = scratch.save(count_words(docs), "counted", **PLAIN, compression="zstd")
     sizes = counted.groupBy("kind", (F.col("c") > 0).alias("known")).agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("c")).collect()
     most = sum(r["c"] for r in sizes if r["kind"] == WORD) // 2  # known pairs, with repeats: each occurs twice at least
     sizes = {(r["kind"], r["known"]): r["rows"] for r in sizes}
@@ -699,23 +758,28 @@ def fit(docs: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> Fitt
 
     # Sorted once, to learn from and to score; one row group a file, so that no reader splits a stream.
     both = in_order(dealt(pairs, alone.select("g", "n"), scratch, group_rows), streams(n_pairs), "stream", streams(n_pairs))
-    both = scratch.save(both, "pairs", **{"compression": "zstd", "parquet.block.size": str(1 << 30)})
+    both = scratch.save(both, "pairs", **{**PLAIN, "compression": "zstd", "parquet.block.size": str(1 << 30)})
     held_pairs = spark.sparkContext.broadcast(learn(both, shared, None, True))
-    scored = scratch.save(score_words(both, shared, held_pairs, True), "scored")
+    # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
+    turn = F.col("flag.yes") - F.col("flag.no")
+    near, least = near_words(alone.select("g", "c", turn.alias("turn"), "logp"), near_most)
+    scored = scratch.save(score_words(both, shared, held_pairs, True, spark.sparkContext.broadcast(near)).withColumnRenamed("logp", "v"), "scored", **PLAIN)
     scratch.drop(both)
     long = counted.where(F.col("kind") == LONG).select(F.col("g").alias("key"), F.col("c").alias("base"), "c", F.lit(0.0).alias("v"))
     long = scratch.save(long, "long")
     scratch.drop(counted)
-    # What a known pair adds to what its words alone give: the other flag, and the word after the one before.
-    # One join after the other is written, so that the shuffles of both are never on disk together.
-    turned = salted_join(scored, alone.where("n > 0").select("g", "n", (F.col("flag.yes") - F.col("flag.no")).alias("turn")), "g", "n", n_pairs, F.col("h"))
-    turned = scratch.save(turned.select("key", "h", "c", (F.col("turn") + F.col("logp")).alias("v")), "turned")
+    # The pairs of rarer words are joined. One join after the other is written, so that the shuffles of both are never on disk together.
+    rare = alone.where(F.col("c") < least)
+    turned = salted_join(scored.where("g IS NOT NULL"), rare.where("n > 0").select("g", "n", turn.alias("turn")), "g", "n", n_pairs, F.col("key"))
+    turned = turned.select("key", "h", "c", (F.col("turn") + F.col("v")).alias("v"))
+    turned = scratch.save(scored.where("g IS NULL").select("key", "h", "c", "v").unionByName(turned), "turned", **PLAIN)
     scratch.drop(scored)
-    follow = alone.where("c > 1").select(F.col("g").alias("h"), F.shiftright("c", 1).alias("uses"), F.col("logp").alias("alone"))  # at most so many pairs end with it
-    both = salted_join(turned, follow, "h", "uses", most, F.col("key"))
-    values = both.select("key", F.lit(None).cast("bigint").alias("base"), "c", (F.col("v") - F.col("alone")).alias("v"))
+    follow = rare.where("c > 1").select(F.col("g").alias("h"), F.shiftright("c", 1).alias("uses"), F.col("logp").alias("alone"))  # at most so many pairs end with it
+    both = salted_join(turned.where("h IS NOT NULL"), follow, "h", "uses", most, F.col("key")).select("key", "c", (F.col("v") - F.col("alone")).alias("v"))
+    both = turned.where("h IS NULL").select("key", "c", "v").unionByName(both)
+    values = both.select("key", F.lit(None).cast("bigint").alias("base"), "c", "v")
     own = alone.select(F.col("g").alias("key"), F.when(~F.col("piece"), F.col("c")).alias("base"), "c", (F.col("logp") + F.col("flag.no")).alias("v"))
-    values = scratch.save(values.unionByName(own).unionByName(long), "values")
+    values = scratch.save(values.unionByName(own).unionByName(long), "values", **PLAIN)
     for done in (long, alone, turned):
         scratch.drop(done)
     n, v = values.agg(F.coalesce(F.sum("base"), F.lit(0)), F.count_if(F.col("base") > 0)).first()
@@ -788,7 +852,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
                 must = len(t.h) + len(t.long_h)  # words are all in the table, pairs may be
                 at, hit = finder[0].find(key)
                 found, at = text[hit], at[hit]
-                sums = [np.bincount(found, numbers[at, k], n).astype(float) for k in range(3)]
+                sums = [np.bincount(found, x, n).astype(float) for x in numbers[at].T]
                 miss = ~hit
                 if known is not None:
                     miss[must:] &= in_filter(known.value, key[must:].view(np.int64))
@@ -808,7 +872,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, scratch: Scratch, top_keys: int
     def parcel(part: int, done: list[pa.Table], rest: list[tuple]) -> pa.RecordBatch:
         """Keys of some texts, each with the text's number among them and how often it has it, by bucket; and what is known of the texts."""
         key, text = (np.concatenate(x) for x in zip(*rest, strict=True))
-        by = np.argsort(key, kind="stable")  # keeps texts in order below a key
+        by = np.argsort(key)  # texts in any order below a key: a text may have a key in two rows, which are added up
         key, text = key[by], text[by]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
         times = np.diff(np.r_[first, len(key)])

@@ -203,3 +203,24 @@ def test_texts_are_looked_up_in_packed_parcels(spark, rows):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert scratch.n == tables and "Generate" not in plan and "Join" not in plan
     assert got.count() == 60
+
+
+def test_counted_rows_of_one_kind_lie_together(spark, rows):
+    """Who reads words alone skips the pages of pairs: a bucket has one run of each kind, however many parcels it got."""
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = cm.count_words(df).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    got = [(r.part, r.kind) for r in sorted(got, key=lambda r: r["at"])]
+    runs = 1 + sum(a != b for a, b in zip(got, got[1:]))
+    assert {k for _, k in got} == {cm.PAIR, cm.WORD, cm.LONG} and runs <= 3 * 8  # buckets
+
+
+def test_only_pairs_of_rare_words_are_joined(spark, rows, monkeypatch):
+    """What frequent words add to their pairs is added where these are scored; values are the same whichever way."""
+    joined, join = [], cm.salted_join
+    monkeypatch.setattr(cm, "salted_join", lambda left, *a, **k: joined.append(left.count()) or join(left, *a, **k))
+    df = spark.createDataFrame(rows, SCHEMA)
+    fit = lambda most: {r.key: (r.base, r.c, r.v) for r in cm.fit(df, Scratch(spark), near_most=most).values.collect()}
+    near, some, none = fit(cm.NEAR_WORDS), fit(40), fit(0)
+    assert joined[:2] == [0, 0] and 0 < joined[2] < joined[4] and 0 < joined[3] < joined[5]
+    for other in (some, none):
+        assert near.keys() == other.keys() and all(near[k][:2] == other[k][:2] and near[k][2] == pytest.approx(other[k][2], abs=1e-9) for k in near)
