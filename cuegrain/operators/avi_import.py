@@ -1,11 +1,11 @@
 """Import of AVI-like files: which files and streams are taken, and samples from the index or from the packets.
 
-Tables are those of ``sources.avi``: streams, index, packets and first.
+Tables are those of ``sources.avi``: streams and entries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.avi import read_avi
@@ -15,71 +15,62 @@ from ..sources.containers import REFUSED
 MOST_STREAMS = 16
 
 
+def _refused(code: Column | str) -> Column:
+    return F.lower(code).isin(*REFUSED)
+
+
 def accepted(streams: DataFrame) -> DataFrame:
     """Video and sound streams of the files that are imported: none of whose video codes other software plays, and with fewer than MOST_STREAMS streams."""
-    refused = F.lower("handler").isin(*REFUSED) | F.lower("compression").isin(*REFUSED)
-    bad = streams.where((F.col("n_streams") >= MOST_STREAMS) | ((F.col("kind") == "vids") & refused)).select("file").distinct()
+    bad = streams.where((F.col("n_streams") >= MOST_STREAMS) | ((F.col("kind") == "vids") & (_refused("handler") | _refused("compression")))).select("file").distinct()
     return streams.where(F.col("kind").isin("vids", "auds")).join(bad, "file", "left_anti")
 
 
-def _timed(streams: DataFrame, rows: DataFrame) -> DataFrame:
-    """Entries or packets of accepted streams, numbered (k) and with their time (ts, in units of the stream's rate): what came before, in entries or, where samples have a fixed size, in samples."""
-    known = streams.select("file", "stream", F.col("kind").alias("media"), "scale", "rate", "start", "sample_size", "block_align", "indexed")
-    w = Window.partitionBy("file", "stream").orderBy("place")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    timed = rows.drop("kind").join(known, ["file", "stream"]).withColumns({"k": (F.row_number().over(w) - 1).cast("long"), "_before": before})
-    return timed.withColumn("ts", F.when(F.col("sample_size") > 0, F.expr("_before div nullif(sample_size, 0)")).otherwise(F.col("k"))).drop("_before")
+def accepted_entries(entries: DataFrame) -> DataFrame:
+    """Entries of the streams that ``accepted`` takes; each row tells its file's codes and number of streams, so that nothing is joined."""
+    return entries.where(F.col("kind").isin("vids", "auds") & (F.col("n_streams") < MOST_STREAMS) & ~F.exists("codes", _refused))
 
 
-def header_offsets(entries: DataFrame, first: DataFrame) -> DataFrame:
-    """file, base: what is added to places of the index. The first packet's real place tells, less that of the entry of its time."""
-    packet = first.where("place = 0").select("file", "stream", F.col("pos").alias("real"))
-    at = entries.where("ts = 0").join(packet, ["file", "stream"])
-    return at.groupBy("file").agg((F.min("real") - F.min_by("pos", "place")).alias("base"))
+def _timed(entries: DataFrame) -> DataFrame:
+    """Entries numbered (k of n) and with their time (ts, in units of the stream's rate): what came before, in entries or, where samples have a fixed size, in samples."""
+    own = Window.partitionBy("file", "stream")
+    w = own.orderBy("place")
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    timed = entries.withColumns({"k": (F.row_number().over(w) - 1).cast("long"), "n": F.count(F.lit(1)).over(own), "_before": before})
+    return timed.withColumn("ts", F.when(F.col("sample_size") > 0, F.expr("_before div nullif(sample_size, 0)")).otherwise(F.col("k"))).drop("_before")
 
 
-def _samples(size: str = "size") -> F.Column:
-    """Samples of a sound packet whose samples have a fixed size."""
-    return F.expr(f"{size} div nullif(coalesce(nullif(block_align, 0), sample_size), 0)")
+def header_offset() -> Column:
+    """What is added to places of a file's index, of timed entries. The first packet's real place tells, less that of the entry of its time."""
+    at = F.when((F.col("ts") == 0) & (F.col("stream") == F.col("first_stream")), F.struct("place", "pos"))
+    return F.col("first_pos") - F.min(at).over(Window.partitionBy("file"))["pos"]
 
 
-def by_index(streams: DataFrame, index: DataFrame, first: DataFrame) -> DataFrame:
-    """Samples (file, stream, k, offset, size, keyframe, samples, duration) of files with an index.
+def samples(entries: DataFrame) -> DataFrame:
+    """Samples (file, stream, k, offset, size, keyframe, samples, duration) of accepted entries.
 
-    Empty entries are no samples: those behind a picture make it last longer. A sound packet of
-    varying size lasts until the next one, the last as long as the one before it.
+    Empty entries are no samples: those of an index that stand behind a picture make it last longer. A
+    sound packet of varying size lasts until the next one, the last of an index as long as the one
+    before it, the last without an index not at all; nor is it known there which pictures are key frames.
     """
-    timed = _timed(streams.where("indexed"), index)
     w = Window.partitionBy("file", "stream").orderBy("place")
-    whole = Window.partitionBy("file", "stream")
     gap = F.lead("ts").over(w) - F.col("ts")
-    rows = timed.withColumns({"gap": gap, "n": F.count(F.lit(1)).over(whole)}).withColumn("gap", F.coalesce("gap", F.lag("gap").over(w)))
-    rows = rows.where("size > 0").withColumn("stays", F.coalesce(F.lead("k").over(w), F.col("n")) - F.col("k"))
-    fixed = (F.col("media") == "auds") & (F.col("sample_size") > 0)
-    duration = F.when(F.col("media") == "vids", F.col("stays") * F.col("scale")).when(fixed, F.lit(1)).otherwise(F.col("gap") * F.col("scale"))
-    return rows.join(header_offsets(timed, first), "file").select("file", "stream", "k", (F.col("pos") + F.col("base")).alias("offset"), "size", "keyframe", F.when(fixed, _samples()).otherwise(F.lit(1)).cast("long").alias("samples"), duration.cast("long").alias("duration"))
-
-
-def by_packets(streams: DataFrame, packets: DataFrame) -> DataFrame:
-    """The same of files without an index, from the packets as they stand; which pictures are key frames is not known.
-
-    Packets of varying size last until the next one of their stream, and the last one not at all.
-    """
-    timed = _timed(streams.where("NOT indexed"), packets).where("size > 0")
-    fixed = (F.col("media") == "auds") & (F.col("sample_size") > 0)
-    w = Window.partitionBy("file", "stream").orderBy("place")
-    later = F.coalesce(F.lead("ts").over(w) - F.col("ts"), F.lit(0)) * F.col("scale")
-    duration = F.when(F.col("media") == "vids", F.col("scale")).when(fixed, F.lit(1)).otherwise(later)
-    key = F.when(F.col("media") == "auds", F.lit(True))
-    return timed.select("file", "stream", "k", F.col("pos").alias("offset"), "size", key.alias("keyframe"), F.when(fixed, _samples()).otherwise(F.lit(1)).cast("long").alias("samples"), duration.cast("long").alias("duration"))
-
-
-def import_avi(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of all accepted files below a folder, by the index where there is one."""
-    streams = accepted(read_avi(spark, path, "streams"))
-    indexed = by_index(streams, read_avi(spark, path, "index"), read_avi(spark, path, "first"))
-    plain = streams.where("NOT indexed").select("file").distinct()
-    return indexed.unionByName(by_packets(streams, read_avi(spark, path, "packets").join(plain, "file", "left_semi")))
+    # a file's rows lie together, which serves all windows
+    rows = _timed(entries.repartition("file")).withColumn("gap", gap).withColumns({"gap": F.coalesce("gap", F.lag("gap").over(w)), "base": header_offset()})
+    later = F.coalesce(F.lead("ts").over(w) - F.col("ts"), F.lit(0))
+    rows = rows.where("size > 0 AND (base IS NOT NULL OR NOT indexed)").withColumns({"stays": F.coalesce(F.lead("k").over(w), F.col("n")) - F.col("k"), "later": later})
+    by_index = lambda yes, no: F.when(F.col("indexed"), yes).otherwise(no)
+    fixed = (F.col("kind") == "auds") & (F.col("sample_size") > 0)
+    n = F.expr("size div nullif(coalesce(nullif(block_align, 0), sample_size), 0)")
+    lasts = F.when(F.col("kind") == "vids", by_index(F.col("stays"), F.lit(1)) * F.col("scale")).when(fixed, F.lit(1)).otherwise(by_index(F.col("gap"), F.col("later")) * F.col("scale"))
+    key = by_index(F.col("keyframe"), F.when(F.col("kind") == "auds", F.lit(True)))
+    offset = by_index(F.col("pos") + F.col("base"), F.col("pos"))
+    return rows.select("file", "stream", "k", offset.alias("offset"), "size", key.alias("keyframe"), F.when(fixed, n).otherwise(F.lit(1)).cast("long").alias("samples"), lasts.cast("long").alias("duration"))
+
+
+def import_avi(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Samples of all accepted files below a folder, by the index where there is one. With ``folders`` tasks list the files, all of which are in folders below."""
+    entries = accepted_entries(read_avi(spark, path, "entries", folders=folders))
+    return samples(entries.drop("codes", "n_streams"))
 
 
 def movie_ends(streams: DataFrame, samples: DataFrame, movie_scale: int = 600) -> DataFrame:

@@ -75,10 +75,10 @@ def files(t, share: float = 1.0) -> DataFrame:
     return out.select(F.format_string("%08d.avi", "file").alias("name"), F.col("content").substr(F.lit(1), arrived).alias("content"))
 
 
-def _written(t, share: float = 1.0) -> str:
+def _written(t, share: float = 1.0, apart: bool = False) -> str:
     rows = files(t, share)
     folder = f"{new_folder(rows.sparkSession)}/avi"
-    write_files(rows, folder)
+    write_files(rows, folder, apart)
     return folder
 
 
@@ -116,7 +116,7 @@ SELECT file, stream, k, pos AS "offset", size, CASE WHEN file % 5 <> 0 THEN key
   CASE WHEN stream = 1 THEN 1 WHEN file % 5 = 0 THEN 40 ELSE 40 * stays END AS duration FROM s""", long="samples duration")
 def avi_samples(t):
     """Samples by the index, or by the packets of files that have none; files with refused codes are left out."""
-    return avi_import.import_avi(t("lineitem").sparkSession, _written(t)).withColumn("file", _number())
+    return avi_import.import_avi(t("lineitem").sparkSession, _written(t, apart=True), folders=True).withColumn("file", _number())
 
 
 @query("avi_growing", f"""

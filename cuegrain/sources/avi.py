@@ -1,4 +1,4 @@
-"""AVI files as a Spark data source that reads ranges: stream headers, shares of the index, packets, and a stream of packets of files that still grow.
+"""AVI files as a Spark data source that reads ranges: stream headers, shares of the index, packets, entries of both kinds of file with what the header says, and a stream of packets of files that still grow.
 
 Tasks read the header of a file (its lists by their sizes) and then their share of the index or the
 headers of its chunks; payloads stay where they are.
@@ -9,19 +9,22 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .files import Ranges, listed
+from .files import Ranges, folders, listed
 
 #: Bytes of a file for which its index is one share; smaller files are read many to a task.
 SHARE = 256 << 20
 #: Tasks that small shares are put together for, and the most bytes that are.
 TASKS, TOGETHER = 256, 64 << 20
+#: Rows of a batch of entries, which holds those of several small files.
+ROWS = 1 << 14
 #: Bytes that a header list has at most.
 HEADER = 4 << 20
 #: Packets that a scan of a growing file reads: at least and at most in the first, then at most.
@@ -34,7 +37,10 @@ SCHEMAS = {
     "index": "file string, place bigint, stream int, kind string, keyframe boolean, pos bigint, size bigint",
     "packets": "file string, place bigint, stream int, kind string, pos bigint, size bigint",
     "first": "file string, place bigint, stream int, kind string, pos bigint, size bigint",
+    # entries of the index or, of files without one, packets; with their stream's header, the file's video codes and its first packet
+    "entries": "file string, place bigint, stream int, keyframe boolean, pos bigint, size bigint, indexed boolean, kind string, scale bigint, sample_size bigint, block_align int, codes array<string>, n_streams int, first_stream int, first_pos bigint",
 }
+ENTRIES = pa.schema([("file", pa.string()), ("place", pa.int64()), ("stream", pa.int32()), ("keyframe", pa.bool_()), ("pos", pa.int64()), ("size", pa.int64()), ("indexed", pa.bool_()), ("kind", pa.string()), ("scale", pa.int64()), ("sample_size", pa.int64()), ("block_align", pa.int32()), ("codes", pa.list_(pa.string())), ("n_streams", pa.int32()), ("first_stream", pa.int32()), ("first_pos", pa.int64())])
 ENTRY = np.dtype([("id", "S4"), ("flags", "<u4"), ("pos", "<u4"), ("size", "<u4")])
 KEY = 0x10
 
@@ -144,16 +150,105 @@ def shares(files: list[tuple[str, int]], size: int, split: bool) -> list[Files]:
     return out + ([Files(held)] if held else [])
 
 
+class Folders(InputPartition):
+    """Folders whose files one task lists and reads."""
+
+    def __init__(self, paths: list[str], suffix: str | tuple[str, ...]):
+        self.paths, self.suffix = paths, suffix
+
+    def files(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        for folder in self.paths:
+            for path, _ in listed(folder, self.suffix):
+                yield path, [(0, 1)]
+
+
+def by_folders(path: str, suffix: str | tuple[str, ...]) -> list[Folders]:
+    """The folders right below a folder, dealt to 4 * TASKS tasks at most. No file is listed here."""
+    found = folders(path)
+    n = min(len(found), 4 * TASKS)
+    return [Folders(found[i::n], suffix) for i in range(n)] or [Folders([], suffix)]
+
+
+def _said(path: str, found: Layout, first: tuple[int, int] | None, table: list) -> pa.RecordBatch:
+    """A batch of ENTRIES from columns place, stream, keyframe, pos, size; those of streams that the header lacks are left out."""
+    there = table[1] < len(found.streams)
+    place, stream, keyframe, pos, size = (None if x is None else x[there] for x in table)
+    n, all_ = len(place), pa.array(np.zeros(len(place), np.int64))
+    of = lambda name, kind: pa.array([s[name] for s in found.streams], kind).take(pa.array(stream))
+    same = lambda value, kind: pa.array([value], kind).take(all_)
+    codes = [s[x] for s in found.streams if s["kind"] == "vids" for x in ("handler", "compression") if s[x] is not None]
+    columns = [
+        same(path, pa.string()), place, pa.array(stream, pa.int32()), pa.nulls(n, pa.bool_()) if keyframe is None else keyframe, pos, size, same(found.index is not None, pa.bool_()),
+        of("kind", pa.string()), of("scale", pa.int64()), of("sample_size", pa.int64()), of("block_align", pa.int32()), same(codes, pa.list_(pa.string())), same(len(found.streams), pa.int32()),
+        same(first and first[0], pa.int32()), same(first and first[1], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=ENTRIES)
+
+
+def _entries(f: Ranges, path: str, found: Layout, own: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Entries of a file's shares of its index; without an index the first share has all packets."""
+    packets = chunks(f, *found.packets) if found.packets else iter(())
+    if found.index is None:
+        first, n = None, 0
+        if all(part for part, _ in own):
+            return
+        while held := list(islice(packets, ROWS)):
+            stream, pos, size = (np.array([x[i] for x in held], np.int64) for i in (0, 2, 3))
+            first = first or (held[0][0], held[0][2])
+            yield _said(path, found, first, [np.arange(n, n + len(held)), stream, None, pos, size])
+            n += len(held)
+        return
+    first = next(((x[0], x[2]) for x in packets), None)
+    begin, end = found.index
+    n = (end - begin) // ENTRY.itemsize
+    for part, parts in own:
+        for at in range(n * part // parts, stop := n * (part + 1) // parts, ROWS):
+            table = np.frombuffer(f.at(begin + at * ENTRY.itemsize, min(stop - at, ROWS) * ENTRY.itemsize), ENTRY)
+            tag = table["id"].copy().view("u1").reshape(-1, 4)
+            ours = np.flatnonzero(((tag[:, :2] >= 48) & (tag[:, :2] <= 57)).all(axis=1) & (tag[:, 3] > 0))
+            table, tag = table[ours], tag[ours].astype(np.int64)
+            yield _said(path, found, first, [at + ours, tag[:, 0] * 10 + tag[:, 1] - 528, (table["flags"] & KEY) > 0, table["pos"].astype(np.int64), table["size"].astype(np.int64)])
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS rows or more, but for the last."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class AviReader(DataSourceReader):
+    """With the option folders the files of each folder below are listed by a task, for so many files that planning would take long; all of them are in such folders then."""
+
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table = options["path"], options.get("table", "packets")
         self.size = int(options.get("share", SHARE))
+        self.folders = options.get("folders") == "true"
         self.schema = schema
 
-    def partitions(self) -> list[Files]:
-        return shares(listed(self.path, ".avi"), self.size, self.table == "index")
+    def partitions(self) -> list[Files] | list[Folders]:
+        if self.folders:
+            return by_folders(self.path, ".avi")
+        return shares(listed(self.path, ".avi"), self.size, self.table in ("index", "entries"))
+
+    def read(self, partition: Files | Folders) -> Iterator:
+        return together(self._batches(partition)) if self.table == "entries" else self._tuples(partition)
+
+    @staticmethod
+    def _batches(partition: Files | Folders) -> Iterator[pa.RecordBatch]:
+        for path, own in partition.files():
+            with Ranges(path) as f:
+                found = layout(f)
+                if found is not None:
+                    yield from _entries(f, path, found, own)
 
-    def read(self, partition: Files) -> Iterator:
+    def _tuples(self, partition: Files | Folders) -> Iterator[tuple]:
         for path, own in partition.files():
             with Ranges(path) as f:
                 found = layout(f)
@@ -280,7 +375,7 @@ class AviStreamReader(DataSourceStreamReader):
 
 
 class AviSource(DataSource):
-    """Format "avi" with the option table: streams, index, packets or first (the first packet of each file)."""
+    """Format "avi" with the option table: streams, index, packets, first (the first packet of each file) or entries."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,8 +391,8 @@ class AviSource(DataSource):
         return AviStreamReader(dict(self.options), schema)
 
 
-def read_avi(spark: SparkSession, path: str, table: str, **options: int) -> DataFrame:
-    """One of the tables of ``SCHEMAS`` of all .avi files below a folder."""
+def read_avi(spark: SparkSession, path: str, table: str, **options: int | bool) -> DataFrame:
+    """One of the tables of ``SCHEMAS`` of all .avi files below a folder. Options: share, folders."""
     spark.dataSource.register(AviSource)
     return spark.read.format("avi").options(table=table, **options).load(path)
 

@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
 from ..functions import codecs
 from . import containers as c
-from .avi import TASKS, Files, shares
-from .files import Ranges, folders, listed
+from .avi import Files, Folders, by_folders, shares
+from .files import Ranges, listed
 
 #: Bytes of a share; files of so many bytes at most are read at once.
 SHARE, SMALL = 64 << 20, 1 << 16
@@ -155,18 +155,6 @@ def frames(data: Lazy, part: int, parts: int) -> Iterator[dict]:
         at = b
 
 
-class Folders(InputPartition):
-    """Folders whose files one task lists and reads."""
-
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def files(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-        for folder in self.paths:
-            for path, _ in listed(folder, SUFFIXES):
-                yield path, [(0, 1)]
-
-
 def _rows(data: Lazy | bytes, table: str) -> list[dict]:
     tables = heads(data)[0]
     if table != "scaled":
@@ -185,9 +173,7 @@ class MatroskaReader(DataSourceReader):
 
     def partitions(self) -> list[Files] | list[Folders]:
         if self.folders:
-            found = folders(self.path)
-            n = min(len(found), 4 * TASKS)
-            return [Folders(found[i::n]) for i in range(n)] or [Folders([])]
+            return by_folders(self.path, SUFFIXES)
         return shares(listed(self.path, SUFFIXES), self.size, self.table == "frames")
 
     def read(self, partition: Files | Folders) -> Iterator[tuple]:

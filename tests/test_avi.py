@@ -2,11 +2,13 @@
 
 import random
 import struct
+from pathlib import Path
 
 import pytest
 
 from cuegrain.operators import avi_import
 from cuegrain.plans import avi as made
+from cuegrain.plans.catalog import QUERIES
 from cuegrain.sinks.files import FilesSink, FilesWriter, write_files
 from cuegrain.sources import avi
 from cuegrain.sources.files import Ranges, listed
@@ -158,3 +160,38 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         rows.write.format("cuegrain_files").mode("append").save(str(tmp_path / "out"))
     assert [p for p in (tmp_path / "out").rglob("*") if p.is_file()] == []
+
+
+def test_entries_are_those_of_the_other_tables(tmp_path, monkeypatch):
+    monkeypatch.setattr(avi, "ROWS", 7)
+    packets = made_packets(3, 300)
+    for name, index in (("a/index.avi", True), ("a/plain.avi", False), ("b/more.avi", True), ("b/none.avi", False)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(build([(5, b"x", True), *packets] if name == "b/more.avi" else packets * (name != "b/none.avi"), index=index, base=77))
+
+    def rows(table, **options):
+        reader = avi.AviReader({"path": str(tmp_path), "table": table} | options, None)
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    first = {r[0]: (r[2], r[4]) for r in rows("first")}
+    streams = {(r[0], r[1]): r for r in rows("streams")}
+    said = {k: (s[15], s[2], s[5], s[9], s[10], ["DIVX", "DIVX"], 2, *first.get(k[0], ())) for k, s in streams.items()}
+    want = [(r[0], r[1], r[2], r[4], r[5], r[6], *said[r[0], r[2]]) for r in rows("index") if r[2] < 2]
+    want += [(r[0], r[1], r[2], None, r[4], r[5], *said[r[0], r[2]]) for r in rows("packets") if not streams[r[0], 0][15]]
+    assert len(want) == 900
+    for options in ({}, {"share": "1000"}, {"folders": "true"}):
+        batches = rows("entries", **options)
+        assert sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=str) == sorted(want, key=str)
+    assert max(b.num_rows for b in batches) < 2 * 7
+
+
+def test_samples_are_read_once_and_by_folders(spark, tmp_path, monkeypatch):
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("the driver's tables are not here")
+    monkeypatch.setattr(made, "new_folder", lambda _: f"file://{tmp_path}/0")
+    df = QUERIES["avi_samples"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1  # for each one the driver plans the reading of all files
+    n = len({r.file for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_suppkey AS file").collect()})
+    assert n == len(list(tmp_path.glob("0/avi/*/*.avi"))) == len(list(tmp_path.rglob("*.avi")))
+    monkeypatch.setattr(avi, "listed", None)  # planning lists no files
+    assert 0 < len(avi.AviReader({"path": f"{tmp_path}/0/avi", "table": "entries", "folders": "true"}, None).partitions()) <= 8
